@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # A key is hot from this share of the rows on, so there are at most 1 / HOT_SHARE of them.
-HOT_SHARE = 0.01
+HOT_SHARE = 0.002
 SALTS = 64
 # Below this estimated size a hot key still fits one task and the extra pass is not worth it.
 CHECK_FROM_BYTES = 4 << 30
