@@ -97,14 +97,24 @@ def is_filled_not_yes(c: Column) -> Column:
     return c.isNotNull() & ~is_yes(c)
 
 
-def key_text(c: Column) -> Column:
-    """Canonical text of a join key whatever its storage type; null stays null."""
-    return F.regexp_replace(c.cast("string"), r"\.0$", "")
+def sql_exact_text(df: DataFrame, name: str) -> str:
+    """SQL for the text of a value, whole numbers without decimals or exponent however they are stored."""
+    dtype, c = field_type(df, name), quoted(name)
+    if isinstance(dtype, (T.DoubleType, T.FloatType, T.DecimalType)):
+        whole = f"cast(cast({c} as decimal(38, 0)) as string)"
+        return f"case when {c} = floor({c}) then {whole} else cast({c} as string) end"
+    if is_text(dtype):
+        return f"regexp_replace({c}, '[.]0$', '')"
+    return f"cast({c} as string)"
+
+
+def exact_text(df: DataFrame, name: str) -> Column:
+    return F.expr(sql_exact_text(df, name))
 
 
 def key_column(df: DataFrame, name: str, as_text: bool) -> Column:
     """A join key. Integers stay integers unless the other side needs text."""
-    return key_text(column(name)) if as_text else column(name).cast("bigint")
+    return exact_text(df, name) if as_text else column(name).cast("bigint")
 
 
 def integral(df: DataFrame, name: str) -> bool:

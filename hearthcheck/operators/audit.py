@@ -201,7 +201,7 @@ def unusual_length_rows(tables: TableSet, name: str) -> DataFrame:
         c: C.identifier_lengths(df.select(S.column(c))).agg(F.max("modal_length").alias("m")).scalar() for c in ids
     }
     marks = [
-        F.when(S.column(c).isNotNull() & (F.length(S.column(c).cast("string")) != modal[c]), F.lit(c)) for c in ids
+        F.when(S.column(c).isNotNull() & (F.length(S.exact_text(df, c)) != modal[c]), F.lit(c)) for c in ids
     ]
     return df.withColumn("violations", F.array_compact(F.array(*marks))).where(F.size("violations") > 0)
 
@@ -474,7 +474,7 @@ class CrossAudit:
 
         gender = persons.find(P.GENDER)
         if gender:
-            male = persons_where("male", S.is_code(S.column(gender), P.MALE_CODE))
+            male = persons_where("male", S.is_code(persons.text(gender), P.MALE_CODE))
             for form in (reproductive, complement):
                 if form and ledger.tally(f"rows:{form.name}", form.df, R.person_key(form.df), one):
                     looked_at = (R.person_key(form.df), f"{self.persons}.{gender}")
@@ -522,8 +522,8 @@ class CrossAudit:
         ledger.tally("registered", persons.df, key, F.lit(1))
         if gender:
             known = S.column(gender).isNotNull()
-            ledger.tally("not_male", persons.df, key, S.as_flag(known & ~S.is_code(S.column(gender), P.MALE_CODE)))
-            ledger.tally("not_female", persons.df, key, S.as_flag(known & ~S.is_code(S.column(gender), P.FEMALE_CODE)))
+            ledger.tally("not_male", persons.df, key, S.as_flag(known & ~S.is_code(persons.text(gender), P.MALE_CODE)))
+            ledger.tally("not_female", persons.df, key, S.as_flag(known & ~S.is_code(persons.text(gender), P.FEMALE_CODE)))
         for parent, pattern, wrong in (("father", P.FATHER_ID, "not_male"), ("mother", P.MOTHER_ID, "not_female")):
             column = persons.find(pattern)
             if column is None:
@@ -579,7 +579,7 @@ class CrossAudit:
         if bites and residency:
             home, found = bites.find(P.HOUSEHOLD), residency.find_all(P.HOUSEHOLD, P.RESIDENCE_STATUS)
             if home and found:
-                resident = S.as_flag(S.is_code(S.column(found[1]), P.RESIDENT_CODE))
+                resident = S.as_flag(S.is_code(residency.text(found[1]), P.RESIDENT_CODE))
                 ledger.tally("snakebite", bites.df, home, one)
                 ledger.tally("resident", residency.df, found[0], resident)
                 looked_at, needs = (home, *found), ("snakebite", "resident")
@@ -765,7 +765,7 @@ class CrossAudit:
         ):
             column = persons.find(pattern)
             if column:
-                add("RUL1", metric, (column,), ~S.code_text(S.column(column)).isin(*codes))
+                add("RUL1", metric, (column,), ~S.code_text(persons.text(column)).isin(*codes))
         for metric, pattern in (("n_father", P.FATHER_ID), ("n_mother", P.MOTHER_ID)):
             column = persons.find(pattern)
             if column:

@@ -38,6 +38,9 @@ class Sheet:
     def moment(self, column: str) -> Column:
         return S.moment(self.df, column)
 
+    def text(self, column: str) -> Column:
+        return S.exact_text(self.df, column)
+
     def number(self, column: str) -> Column:
         return S.numeric(self.df, column)
 
@@ -136,7 +139,7 @@ def outside_territory(
 
 def invalid_phone(sheet: Sheet) -> Findings:
     found = sheet.find(P.PHONE)
-    return found and _one(S.phone_is_invalid(S.column(found)), found)
+    return found and _one(S.phone_is_invalid(sheet.text(found)), found)
 
 
 def left_before_arriving(sheet: Sheet) -> Findings:
@@ -181,7 +184,7 @@ def minor_head(sheet: Sheet) -> Findings:
     found = sheet.find_all(P.BIRTH_DATE, P.HEAD_RELATION)
     if not found:
         return None
-    return _one((sheet.age(found[0]) < P.HEAD_MINIMUM_AGE) & S.is_code(S.column(found[1]), P.HEAD_CODE), *found)
+    return _one((sheet.age(found[0]) < P.HEAD_MINIMUM_AGE) & S.is_code(sheet.text(found[1]), P.HEAD_CODE), *found)
 
 
 def visits_out_of_order(sheet: Sheet) -> Findings:
@@ -224,15 +227,15 @@ def interview_length(sheet: Sheet) -> Findings:
 
 def menses_month_missing(sheet: Sheet) -> Findings:
     found = sheet.find_all(P.MENSES, P.MENSES_MONTH)
-    return found and _one(S.is_code(S.column(found[0]), P.NO_CODE) & S.column(found[1]).isNull(), *found)
+    return found and _one(S.is_code(sheet.text(found[0]), P.NO_CODE) & S.column(found[1]).isNull(), *found)
 
 
 def internet_contradiction(sheet: Sheet) -> Findings:
     use, places = sheet.find(P.INTERNET_USE), [c for c in sheet.df.columns if P.INTERNET_PLACE.match(c)]
     if use is None or not places:
         return None
-    somewhere = S.any_of([S.is_code(S.column(c), *P.USED_CODES) for c in places])
-    return _one(S.is_code(S.column(use), P.NEVER_CODE) & somewhere, use, *places)
+    somewhere = S.any_of([S.is_code(sheet.text(c), *P.USED_CODES) for c in places])
+    return _one(S.is_code(sheet.text(use), P.NEVER_CODE) & somewhere, use, *places)
 
 
 ROW_CHECKS: tuple[RowCheck, ...] = (
@@ -321,7 +324,7 @@ def offending_keys(df: DataFrame, key: str, value: str | None) -> DataFrame:
 def length_cells(df: DataFrame) -> DataFrame:
     """Column name and text length of every filled identifier cell."""
     cells = ", ".join(
-        f"named_struct('column', {S.sql_text(c)}, 'length', length(cast({S.quoted(c)} as string)))"
+        f"named_struct('column', {S.sql_text(c)}, 'length', length({S.sql_exact_text(df, c)}))"
         for c in R.id_columns(df)
     )
     return df.selectExpr(f"inline(array({cells}))").where("length is not null")

@@ -324,7 +324,7 @@ def _holds_identifier(df: DataFrame, wanted: str) -> Column | None:
             if re.fullmatch(r"-?\d{1,18}", wanted):
                 tests.append(S.column(c) == F.lit(int(wanted)))
         else:
-            tests.append(S.plain_text(S.column(c)) == F.lit(wanted))
+            tests.append(S.plain_text(S.exact_text(df, c)) == F.lit(wanted))
     return S.any_of(tests) if tests else None
 
 
@@ -344,14 +344,14 @@ def search_identifier(tables: TableSet, identifier: object) -> DataFrame:
 
 def search_identifiers(tables: TableSet, wanted: DataFrame, column: str) -> DataFrame:
     """The same for a table of identifiers: (identifier, table, JSON row) for each match."""
-    keys = wanted.select(F.lower(F.trim(S.key_text(S.column(column)))).alias("identifier")).distinct()
+    keys = wanted.select(F.lower(F.trim(S.exact_text(wanted, column))).alias("identifier")).distinct()
     parts = []
     for name, df in tables.items():
         ids = R.id_columns(df)
         if not ids:
             continue
         values = F.array_distinct(
-            F.array_compact(F.array(*[F.lower(F.trim(S.key_text(S.column(c)))) for c in ids]))
+            F.array_compact(F.array(*[F.lower(F.trim(S.exact_text(df, c))) for c in ids]))
         )
         row = F.to_json(F.struct(*[S.column(c) for c in df.columns]))
         cells = df.select(F.lit(name).alias("table"), row.alias("row"), F.explode(values).alias("value"))

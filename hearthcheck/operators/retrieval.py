@@ -46,6 +46,10 @@ def with_header(stem: Column, text: Column) -> Column:
     return F.concat(F.lit("Document: "), stem, F.lit("\n\n"), clean_text(text))
 
 
+def _strip(c: Column) -> Column:
+    return F.btrim(c, F.lit(" \t\r\x0b\x0c"))
+
+
 def passages(df: DataFrame, source: str, text: str, separator: str = r"\n\s*\n") -> DataFrame:
     """One row per block of each document: ``source, passage_no, text``.
 
@@ -54,7 +58,7 @@ def passages(df: DataFrame, source: str, text: str, separator: str = r"\n\s*\n")
     """
     body = F.regexp_replace(S.column(text), r"^\s+|\s+$", "")
     blocks = F.split(body, separator)
-    first_line = F.trim(F.split(F.element_at(blocks, 1), "\n").getItem(0))
+    first_line = _strip(F.split(F.element_at(blocks, 1), "\n").getItem(0))
     kept = F.when(F.size(blocks) > 1, F.slice(blocks, 2, F.size(blocks))).otherwise(blocks)
     opened = df.where(S.column(text).isNotNull()).select(
         S.column(source).alias("source"), body.alias("body"), first_line.alias("first_line"), kept.alias("kept")
@@ -62,7 +66,7 @@ def passages(df: DataFrame, source: str, text: str, separator: str = r"\n\s*\n")
     exploded = opened.where(F.length("body") > 0).select(
         "source", "first_line", F.posexplode("kept").alias("passage_no", "block")
     )
-    lines = F.transform(F.split(F.col("block"), "\n"), lambda line: F.trim(line))
+    lines = F.transform(F.split(F.col("block"), "\n"), _strip)
     joined = F.array_join(F.filter(lines, lambda line: line != ""), " ")
     return exploded.withColumn("joined", joined).where(F.col("joined") != "").select(
         "source",

@@ -19,13 +19,14 @@ from hearthcheck.plans import roles as R
 from hearthcheck.sources import exports as X
 
 REFRESH_INTERVAL = "15 minutes"
+FILE_NAME, FILE_TIME = "_file_name", "_file_time"
 
 
 def incoming(
     spark: SparkSession, folder: str, schema: T.StructType | str, kind: str = "csv", delimiter: str = ",",
     pattern: str = "*", files_per_batch: int | None = None,
 ) -> DataFrame:
-    """The stream of rows of new files, each with the name of its file."""
+    """The stream of rows of new files, each with the name and time of its file."""
     reader = (
         spark.readStream.schema(schema)
         .option("pathGlobFilter", pattern)
@@ -37,7 +38,11 @@ def incoming(
     if kind == "csv":
         reader = reader.option("header", True).option("sep", delimiter)
     rows = reader.format(kind).load(folder)
-    return R.drop_person_names(rows).withColumn("file_name", F.col("_metadata.file_name"))
+    return R.drop_person_names(rows).select(
+        "*",
+        F.col("_metadata.file_name").alias(FILE_NAME),
+        F.col("_metadata.file_modification_time").alias(FILE_TIME),
+    )
 
 
 def snapshot_date(spark: SparkSession, target: str):
@@ -57,20 +62,25 @@ def current_snapshot(spark: SparkSession, target: str) -> DataFrame:
 
 
 def keep_newest(target: str) -> Callable[[DataFrame, int], None]:
-    """A batch writer that keeps the newest export of a batch when it is newer than the snapshot."""
+    """A batch writer that keeps the newest file of a batch when it is not older than the snapshot.
+
+    A file is dated by its name, else by its modification time; the later file wins ties.
+    """
 
     def write(batch: DataFrame, _: int) -> None:
         spark = batch.sparkSession
-        dated = batch.withColumn("export_date", X.export_date(F.col("file_name")))
-        newest = dated.agg(F.max("export_date").alias("d")).first()["d"]
+        dated = F.coalesce(X.export_date(F.col(FILE_NAME)), F.col(FILE_TIME).cast("date"))
+        age = F.struct(dated.alias("d"), F.col(FILE_TIME).alias("t"), F.col(FILE_NAME).alias("f"))
+        newest = batch.agg(F.max(age).alias("age")).first()["age"]
         if newest is None:
             return
         held = snapshot_date(spark, target)
-        if held is not None and newest < held:
+        if held is not None and newest["d"] < held:
             return
-        fresh = dated.where(F.col("export_date") == F.lit(newest)).drop("file_name")
+        fresh = batch.where(F.col(FILE_NAME) == newest["f"]).drop(FILE_NAME, FILE_TIME)
         (
-            fresh.write.mode("overwrite")
+            fresh.withColumn("export_date", F.lit(newest["d"]))
+            .write.mode("overwrite")
             .option("partitionOverwriteMode", "dynamic")
             .partitionBy("export_date")
             .parquet(target)
