@@ -47,7 +47,7 @@ def with_header(stem: Column, text: Column) -> Column:
 
 
 def _strip(c: Column) -> Column:
-    return F.btrim(c, F.lit(" \t\r\x0b\x0c"))
+    return F.btrim(c, F.lit(" \t\n\r\x0b\x0c"))
 
 
 def passages(df: DataFrame, source: str, text: str, separator: str = r"\n\s*\n") -> DataFrame:
@@ -56,39 +56,37 @@ def passages(df: DataFrame, source: str, text: str, separator: str = r"\n\s*\n")
     The first line of a document introduces all its passages; the first block is left out unless
     it is the only one. Lines of a block are joined by a space.
     """
-    body = F.regexp_replace(S.column(text), r"^\s+|\s+$", "")
-    blocks = F.split(body, separator)
-    first_line = _strip(F.split(F.element_at(blocks, 1), "\n").getItem(0))
-    kept = F.when(F.size(blocks) > 1, F.slice(blocks, 2, F.size(blocks))).otherwise(blocks)
+    # Each step is its own projection, so that no text is split or trimmed twice.
     opened = df.where(S.column(text).isNotNull()).select(
-        S.column(source).alias("source"), body.alias("body"), first_line.alias("first_line"), kept.alias("kept")
+        S.column(source).alias("source"), _strip(S.column(text)).alias("body")
     )
-    exploded = opened.where(F.length("body") > 0).select(
-        "source", "first_line", F.posexplode("kept").alias("passage_no", "block")
-    )
-    lines = F.transform(F.split(F.col("block"), "\n"), _strip)
-    joined = F.array_join(F.filter(lines, lambda line: line != ""), " ")
-    return exploded.withColumn("joined", joined).where(F.col("joined") != "").select(
+    split = opened.where(F.length("body") > 0).select("source", F.split("body", separator).alias("blocks"))
+    exploded = split.select(
         "source",
-        F.col("passage_no").cast("bigint").alias("passage_no"),
-        F.concat(
-            F.lit("["), F.col("source").cast("string"), F.lit("] "), F.col("first_line"), F.lit(" — "), F.col("joined")
-        ).alias("text"),
-    )
+        _strip(F.substring_index(F.element_at("blocks", 1), "\n", 1)).alias("first_line"),
+        (F.size("blocks") > 1).alias("several"),
+        F.posexplode("blocks").alias("position", "block"),
+    ).where(~F.col("several") | (F.col("position") > 0))
+    stripped = exploded.select(
+        "source",
+        (F.col("position") - F.col("several").cast("int")).cast("bigint").alias("passage_no"),
+        "first_line",
+        _strip(F.col("block")).alias("block"),
+    ).where(F.col("block") != "")
+    joined = F.regexp_replace("block", r"[ \t\r\x0b\f]*\n\s*", " ")
+    prefix = F.concat(F.lit("["), F.col("source").cast("string"), F.lit("] "), F.col("first_line"), F.lit(" — "))
+    return stripped.select("source", "passage_no", F.concat(prefix, joined).alias("text"))
+
 
+def words(text: Column) -> Column:
+    """Words of two or more characters, lower-cased, repeats kept."""
+    return F.regexp_extract_all(F.lower(text), F.lit(WORD), F.lit(0))
 
-def terms(text: Column) -> Column:
-    """Words of two or more characters, then pairs of neighbours, lower-cased, repeats kept."""
-    words = F.regexp_extract_all(F.lower(text), F.lit(WORD), F.lit(0))
-    pairs = F.when(
-        F.size(words) > 1,
-        F.zip_with(
-            F.slice(words, 1, F.size(words) - 1),
-            F.slice(words, 2, F.size(words) - 1),
-            lambda a, b: F.concat(a, F.lit(" "), b),
-        ),
-    ).otherwise(F.array().cast("array<string>"))
-    return F.concat(words, pairs)
+
+def neighbours(w: Column) -> Column:
+    """Pairs of neighbouring words, joined by a space."""
+    n = F.greatest(F.size(w) - 1, F.lit(0))
+    return F.zip_with(F.slice(w, F.lit(1), n), F.slice(w, F.lit(2), n), lambda a, b: F.concat(a, F.lit(" "), b))
 
 
 # ---------------------------------------------------------------------- index
@@ -122,9 +120,12 @@ class PassageIndex:
 def term_counts(df: DataFrame, ids: Sequence[str], text: str = "text") -> DataFrame:
     """Occurrences of each term in each row: ``ids, term, tf``.
 
-    All terms of a row are produced in one task, so the map side already combines them.
+    Texts are spread by their ids before they are cut into terms. The terms of a row then already
+    sit where they are counted: the text is shuffled, not its many times larger list of terms.
     """
-    exploded = df.select(*ids, F.explode(terms(S.column(text))).alias("term"))
+    spread = df.select(*ids, S.column(text).alias("_text")).repartition(*ids)
+    cut = spread.select(*ids, words(F.col("_text")).alias("_words"))
+    exploded = cut.select(*ids, F.explode(F.concat("_words", neighbours(F.col("_words")))).alias("term"))
     return exploded.groupBy(*ids, "term").agg(F.count(F.lit(1)).alias("tf"))
 
 
@@ -197,7 +198,8 @@ def rank_passages(
     vectors = query_vectors(index.idf, questions, question_id, text)
     held = vectors.limit(held_terms + 1).toPandas() if held_terms else None
     if held is not None and len(held) <= held_terms:
-        best = _rank_against_held(index, held, vectors, k, boosted, boost, source)
+        query_type = vectors.schema["query_id"].dataType.simpleString()
+        best = _rank_against_held(index, held, query_type, k, boosted, boost, source)
     else:
         best = _score_by_join(index, vectors, boosted, boost, source)
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), *[F.asc(c) for c in index.ids])
@@ -210,30 +212,6 @@ def _boost(score: Column, boosted: Sequence[str], boost: float, source: str) ->
     return F.when(S.column(source).isin(*boosted), score * boost).otherwise(score)
 
 
-class _Best:
-    """The best rows seen so far for each question, in one task."""
-
-    def __init__(self, questions: np.ndarray, ids: list[str], k: int):
-        self.questions, self.ids, self.k = questions, ids, k
-        self.floor = np.zeros(len(questions))
-        self.rows = pd.DataFrame(columns=["query_id", *ids, "score"])
-
-    def add(self, block: pd.DataFrame, scores: np.ndarray) -> None:
-        """Only scores reaching a question's current k-th best can still matter."""
-        row, query = np.nonzero((scores > 0) & (scores >= self.floor))
-        if not len(row):
-            return
-        part = block[self.ids].iloc[row].reset_index(drop=True)
-        part.insert(0, "query_id", self.questions[query])
-        part["score"] = scores[row, query]
-        rows = part if self.rows.empty else pd.concat([self.rows, part], ignore_index=True)
-        rows = rows.sort_values(["query_id", "score", *self.ids], ascending=[True, False] + [True] * len(self.ids))
-        self.rows = rows.groupby("query_id", sort=False).head(self.k)
-        full = self.rows.groupby("query_id")["score"].agg(["size", "min"])
-        full = full[full["size"] >= self.k]
-        self.floor[np.searchsorted(self.questions, full.index.to_numpy())] = full["min"].to_numpy()
-
-
 def _score_by_join(
     index: PassageIndex, vectors: DataFrame, boosted: Sequence[str], boost: float, source: str
 ) -> DataFrame:
@@ -248,7 +226,7 @@ def _score_by_join(
 def _rank_against_held(
     index: PassageIndex,
     held: pd.DataFrame,
-    vectors: DataFrame,
+    query_type: str,
     k: int,
     boosted: Sequence[str],
     boost: float,
@@ -257,6 +235,7 @@ def _rank_against_held(
     """Local best passages per task. Postings of a passage are gathered into one row first, and only
     those of terms some question has."""
     ids = list(index.ids)
+    digits, per_round = SCORE_DIGITS, ROWS_PER_ROUND
     held = held.sort_values(["term", "query_id"], kind="stable").reset_index(drop=True)
     vocabulary = pd.Index(held["term"].unique())
     query_ids = np.sort(held["query_id"].unique())
@@ -266,7 +245,8 @@ def _rank_against_held(
     weights = held["weight"].to_numpy()
     shared = index.passages.sparkSession.sparkContext.broadcast((vocabulary, query_ids, starts, query_of, weights))
 
-    asked = vectors.select("term").distinct()
+    spark = index.passages.sparkSession
+    asked = spark.createDataFrame(pd.DataFrame({"term": vocabulary.to_numpy(dtype=object)}), "term string")
     rows = (
         index.postings.join(asked, "term", "left_semi")
         .groupBy(*ids)
@@ -279,22 +259,41 @@ def _rank_against_held(
         )
     )
 
+    # Everything the tasks run is nested here, so that it travels with the job by value.
+    def keep_best(rows: pd.DataFrame | None, part: pd.DataFrame, floor: np.ndarray, questions: np.ndarray):
+        """The k best rows per question so far; ``floor`` rises to each full question's k-th score."""
+        rows = part if rows is None else pd.concat([rows, part], ignore_index=True)
+        rows = rows.sort_values(["query_id", "score", *ids], ascending=[True, False] + [True] * len(ids))
+        rows = rows.groupby("query_id", sort=False).head(k)
+        full = rows.groupby("query_id")["score"].agg(["size", "min"])
+        full = full[full["size"] >= k]
+        floor[np.searchsorted(questions, full.index.to_numpy())] = full["min"].to_numpy()
+        return rows
+
     def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         words, questions, first, column, weight = shared.value
-        best = _Best(questions, ids, k)
+        floor = np.zeros(len(questions))
+        best = None
         for batch in batches:
-            for start in range(0, len(batch), ROWS_PER_ROUND):
-                block = batch.iloc[start : start + ROWS_PER_ROUND]
+            for start in range(0, len(batch), per_round):
+                block = batch.iloc[start : start + per_round]
                 scores = np.zeros((len(block), len(questions)))
                 for line, line_terms, line_weights in zip(scores, block["terms"], block["weights"]):
                     for t, w in zip(words.get_indexer(line_terms), line_weights):
                         span = slice(first[t], first[t + 1])
                         line[column[span]] += w * weight[span]
-                best.add(block, np.round(scores * block["factor"].to_numpy()[:, None], SCORE_DIGITS))
-        yield best.rows
+                scores = np.round(scores * block["factor"].to_numpy()[:, None], digits)
+                # Only scores reaching a question's current k-th best can still matter.
+                row, question = np.nonzero((scores > 0) & (scores >= floor))
+                if len(row):
+                    part = block[ids].iloc[row].reset_index(drop=True)
+                    part.insert(0, "query_id", questions[question])
+                    part["score"] = scores[row, question]
+                    best = keep_best(best, part, floor, questions)
+        if best is not None:
+            yield best
 
     fields = ", ".join(f"{c} {index.postings.schema[c].dataType.simpleString()}" for c in ids)
-    query_type = vectors.schema["query_id"].dataType.simpleString()
     return rows.mapInPandas(score, f"query_id {query_type}, {fields}, score double")
 
 
@@ -317,16 +316,20 @@ def best_phrasing(
         & (F.lower(F.trim(S.column(rephrased))) != F.lower(F.trim(S.column(text))))
     )
     second = rank_passages(index, usable, question_id, rephrased, k, **settings).withColumn("phrasing", F.lit(2))
-    both = first.unionByName(second)
-    tops = both.groupBy("query_id").agg(
-        F.coalesce(F.max(F.when(F.col("phrasing") == 1, F.col("score"))), F.lit(0.0)).alias("top1"),
-        F.max(F.when(F.col("phrasing") == 2, F.col("score"))).alias("top2"),
-    )
-    chosen = tops.select(
-        "query_id",
-        F.when((F.col("top1") < weak) & (F.col("top2") > F.col("top1")), F.lit(2)).otherwise(F.lit(1)).alias("phrasing"),
+    # At most 2k rows per question.
+    same_question = Window.partitionBy("query_id")
+
+    def top(phrasing: int) -> Column:
+        return F.max(F.when(F.col("phrasing") == phrasing, F.col("score"))).over(same_question)
+
+    both = (
+        first.unionByName(second)
+        .withColumn("_top1", F.coalesce(top(1), F.lit(0.0)))
+        .withColumn("_top2", top(2))
+        .withColumn("_better", F.coalesce((F.col("_top1") < weak) & (F.col("_top2") > F.col("_top1")), F.lit(False)))
     )
-    return both.join(chosen, ["query_id", "phrasing"])
+    chosen = both.where((F.col("phrasing") == 2) == F.col("_better"))
+    return chosen.drop("_top1", "_top2", "_better")
 
 
 def contexts(index: PassageIndex, ranked: DataFrame) -> DataFrame:

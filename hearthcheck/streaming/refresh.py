@@ -1,8 +1,9 @@
 """Keeping table snapshots up to date from a folder that receives dated exports.
 
-A file stream takes each file once (its checkpoint remembers them). A batch is written only when
-it carries a newer export than the snapshot holds, as its own partition by export date, so a batch
-replayed after a failure overwrites itself and readers never see a half-written table.
+An export is a file, or a folder of part files, with a date in its name. The stream takes each
+file once (its checkpoint remembers them). A batch is written only when its export is not older
+than the snapshot, under its export and batch number, so a batch replayed after a failure
+overwrites exactly itself and parts of one export may arrive in several batches.
 """
 
 from __future__ import annotations
@@ -10,7 +11,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
@@ -19,14 +20,14 @@ from hearthcheck.plans import roles as R
 from hearthcheck.sources import exports as X
 
 REFRESH_INTERVAL = "15 minutes"
-FILE_NAME, FILE_TIME = "_file_name", "_file_time"
+FILE_PATH, FILE_TIME = "_file_path", "_file_time"
 
 
 def incoming(
     spark: SparkSession, folder: str, schema: T.StructType | str, kind: str = "csv", delimiter: str = ",",
     pattern: str = "*", files_per_batch: int | None = None,
 ) -> DataFrame:
-    """The stream of rows of new files, each with the name and time of its file."""
+    """The stream of rows of new files, each with the path and time of its file."""
     reader = (
         spark.readStream.schema(schema)
         .option("pathGlobFilter", pattern)
@@ -40,12 +41,20 @@ def incoming(
     rows = reader.format(kind).load(folder)
     return R.drop_person_names(rows).select(
         "*",
-        F.col("_metadata.file_name").alias(FILE_NAME),
+        F.col("_metadata.file_path").alias(FILE_PATH),
         F.col("_metadata.file_modification_time").alias(FILE_TIME),
     )
 
 
-def snapshot_date(spark: SparkSession, target: str):
+def _export_of(path: Column) -> tuple[Column, Column]:
+    """(name, date) of the export a file belongs to: itself if dated, else its folder if that is."""
+    parts = F.split(F.url_decode(path), "/")
+    own, folder = F.element_at(parts, -1), F.element_at(parts, -2)
+    name = F.when(X.export_date(own).isNull() & X.export_date(folder).isNotNull(), folder).otherwise(own)
+    return name, X.export_date(name)
+
+
+def _held_date(spark: SparkSession, target: str):
     """The export date of the current snapshot, or None before the first one."""
     try:
         dates = spark.read.parquet(target).select("export_date")
@@ -55,34 +64,39 @@ def snapshot_date(spark: SparkSession, target: str):
 
 
 def current_snapshot(spark: SparkSession, target: str) -> DataFrame:
-    """Rows of the newest export only; older partitions are pruned."""
+    """Rows of the newest export only; the partitions of older ones are pruned."""
     history = spark.read.parquet(target)
-    newest = history.agg(F.max("export_date").alias("d")).scalar()
-    return history.where(F.col("export_date") == newest)
+    age = F.struct("export_date", "batch", "export")
+    newest = history.agg(F.max(age).alias("age")).select("age.*").first()
+    return history.where(
+        (F.col("export_date") == F.lit(newest["export_date"])) & (F.col("export") == F.lit(newest["export"]))
+    ).drop("export_date", "export", "batch")
 
 
 def keep_newest(target: str) -> Callable[[DataFrame, int], None]:
-    """A batch writer that keeps the newest file of a batch when it is not older than the snapshot.
+    """A batch writer that keeps the newest export of a batch when it is not older than the snapshot.
 
-    A file is dated by its name, else by its modification time; the later file wins ties.
+    An export is dated by its name, else by its modification time; the later one wins ties.
     """
 
-    def write(batch: DataFrame, _: int) -> None:
-        spark = batch.sparkSession
-        dated = F.coalesce(X.export_date(F.col(FILE_NAME)), F.col(FILE_TIME).cast("date"))
-        age = F.struct(dated.alias("d"), F.col(FILE_TIME).alias("t"), F.col(FILE_NAME).alias("f"))
+    def write(batch: DataFrame, number: int) -> None:
+        name, dated = _export_of(F.col(FILE_PATH))
+        day = F.coalesce(dated, F.col(FILE_TIME).cast("date"))
+        age = F.struct(day.alias("d"), F.col(FILE_TIME).alias("t"), name.alias("e"))
         newest = batch.agg(F.max(age).alias("age")).first()["age"]
         if newest is None:
             return
-        held = snapshot_date(spark, target)
+        held = _held_date(batch.sparkSession, target)
         if held is not None and newest["d"] < held:
             return
-        fresh = batch.where(F.col(FILE_NAME) == newest["f"]).drop(FILE_NAME, FILE_TIME)
+        fresh = batch.where(name == F.lit(newest["e"])).drop(FILE_PATH, FILE_TIME)
         (
             fresh.withColumn("export_date", F.lit(newest["d"]))
+            .withColumn("export", F.lit(newest["e"]))
+            .withColumn("batch", F.lit(number))
             .write.mode("overwrite")
             .option("partitionOverwriteMode", "dynamic")
-            .partitionBy("export_date")
+            .partitionBy("export_date", "export", "batch")
             .parquet(target)
         )
 
