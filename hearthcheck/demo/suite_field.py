@@ -163,9 +163,9 @@ def _forecast(spark, folder, goal):
     return forecast
 
 
-@query("goal_forecast", forecast_sql("10000000"))
+@query("goal_forecast", forecast_sql("1000000"))
 def goal_forecast(spark, folder):
-    return _forecast(spark, folder, 10_000_000)
+    return _forecast(spark, folder, 1_000_000)
 
 
 @query("goal_reached", forecast_sql("10"))

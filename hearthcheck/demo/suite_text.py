@@ -375,7 +375,7 @@ def intent_sql(again: bool = False) -> str:
     rules = (
         ("list_tables", f"{any_sql(L.LIST_WORDS)} or ({any_sql(L.TABLE_WORDS)} and {any_sql(L.LOADING_WORDS)})"),
         ("audit", any_sql(L.AUDIT_WORDS)),
-        ("status_overlap", any_sql(L.DEATH_WORDS + L.DEPARTURE_WORDS)),
+        ("status_overlap", f"{any_sql(L.DEATH_WORDS)} and coalesce(meant <> 'FNewDeath', false)" if again else "false"),
         ("load_history", any_sql(L.HISTORY_WORDS)),
         ("search_identifier", any_sql(L.SEARCH_WORDS)),
         ("field_performance", f"{any_sql(L.FIELD_WORDS)} and {any_sql(L.REPORT_WORDS)}"),
@@ -459,14 +459,15 @@ def first_sql(tests: dict[str, str]) -> str:
         from turns t left join spoken s on s.conv_id = t.conv_id and s.turn between t.turn - 6 and t.turn - 1 group by all),
       seen as (select t.conv_id, t.turn, arg_min(n.name, (t.turn - n.turn) * 100 + n.pos) as recent
         from turns t join named n on n.conv_id = t.conv_id and n.turn between t.turn - 6 and t.turn - 1 group by all)
-    select t.conv_id, t.turn,
+    , aimed as (select t.*, past_difference, past_fusion, past_relation, recent,
       coalesce({first_sql({n: f"contains({FOLDED}, '{n.lower()}')" for n in CHAT_TABLES})},
         {first_sql({n: f"regexp_matches({FOLDED}, '\\b({a})\\b')" for n, a in ALIASES.items()})},
         case when len(list_filter([{", ".join(OWNERS.values())}], lambda x: x)) = 1 then {first_sql(OWNERS)} end,
-        s.recent) as target,
-      {intent_sql(again=True)} as intent
-    from turns t join past p on p.conv_id = t.conv_id and p.turn = t.turn
-    left join seen s on s.conv_id = t.conv_id and s.turn = t.turn
+        s.recent) as target
+      from turns t join past p on p.conv_id = t.conv_id and p.turn = t.turn
+      left join seen s on s.conv_id = t.conv_id and s.turn = t.turn),
+    judged as (select *, coalesce({first_sql(MENTIONS)}, recent, target) as meant from aimed)
+    select conv_id, turn, target, {intent_sql(again=True)} as intent from judged
     """,
 )
 def context_carry(spark, folder):
