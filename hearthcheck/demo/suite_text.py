@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import hashlib
+
+from pyspark.errors import AnalysisException
 from pyspark.sql import functions as F
 
 from hearthcheck.demo.registry import query
@@ -9,6 +12,7 @@ from hearthcheck.demo.views import base_table, view
 from hearthcheck.operators import chatlog as L
 from hearthcheck.operators import retrieval as T
 from hearthcheck.plans.catalog import TableSet
+from hearthcheck.session import shared_folder
 from hearthcheck.sources import tables as ST
 
 # ---------------------------------------------------------------------- documents
@@ -90,6 +94,16 @@ INDEX = f"""
 """
 
 
+def _index(spark, folder) -> T.PassageIndex:
+    """The index of the documents, written once per application to the shared folder."""
+    name = hashlib.md5(f"{spark.sparkContext.applicationId} {folder}".encode()).hexdigest()
+    path = f"{shared_folder(spark)}/passage-index-{name}"
+    try:
+        return T.PassageIndex.load(spark, path, ("source", "passage_no"))
+    except AnalysisException:
+        return T.build_index(_passages(spark, folder)).save(path)
+
+
 @query(
     "tfidf_terms",
     f"with {PASSAGES}, {IDF} select df, count(*) as n_terms, round(min(idf), 6) as idf, min(term) as first_term from idf group by df",
@@ -132,7 +146,7 @@ QUESTIONS = "select item_id as query_id, text from benchmark"
 
 @query("tfidf_topk", f"with {PASSAGES}, {INDEX}, {ranked_sql(QUESTIONS)} select query_id, source, passage_no, score, rank::integer as rank from q_ranked")
 def tfidf_topk(spark, folder):
-    index = T.build_index(_passages(spark, folder))
+    index = _index(spark, folder)
     return T.rank_passages(index, base_table(spark, folder, "benchmark"), "item_id", "text")
 
 
@@ -145,7 +159,7 @@ BOOSTED = list(range(0, 40))
     "select query_id, source, passage_no, score, rank::integer as rank from q_ranked",
 )
 def tfidf_boosted(spark, folder):
-    index = T.build_index(_passages(spark, folder))
+    index = _index(spark, folder)
     return T.rank_passages(index, base_table(spark, folder, "benchmark"), "item_id", "text", k=3, boosted=BOOSTED)
 
 
@@ -168,7 +182,7 @@ VAGUE = "select item_id as query_id, left(text, 9) as text from benchmark"
 )
 def tfidf_second_phrasing(spark, folder):
     """Questions cut to nine characters, with the full text as second phrasing; weak means below 0.5 here."""
-    index = T.build_index(_passages(spark, folder))
+    index = _index(spark, folder)
     questions = base_table(spark, folder, "benchmark").withColumn("short", F.substring("text", 1, 9))
     best = T.best_phrasing(index, questions, "item_id", "short", "text", weak=0.5)
     return best.select("phrasing", "query_id", "source", "passage_no", "score", "rank")
@@ -183,7 +197,7 @@ def tfidf_second_phrasing(spark, folder):
     """,
 )
 def context_per_query(spark, folder):
-    index = T.build_index(_passages(spark, folder))
+    index = _index(spark, folder)
     ranked = T.rank_passages(index, base_table(spark, folder, "benchmark"), "item_id", "text")
     return T.contexts(index, ranked)
 

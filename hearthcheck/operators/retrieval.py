@@ -29,16 +29,20 @@ ROWS_PER_ROUND = 256
 
 
 # What ends a line, and the blanks trimmed from the end of a line.
-LINE_ENDS = "\r\n|[\r\x0b\x0c\x1c-\x1e\x85\u2028\u2029]"
-BLANKS = " \t\x1f\xa0\u1680\u2000-\u200a\u202f\u205f\u3000"
+LINE_ENDS = "\r\x0b\x0c\x1c\x1d\x1e\x85\u2028\u2029"
+BLANKS = (
+    " \t\x1f\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u202f\u205f\u3000"
+)
 
 
 def clean_text(c: Column) -> Column:
     """Unix line ends, no trailing blanks on lines, at most one empty line in a row, outer blanks trimmed."""
-    unified = F.regexp_replace(c, LINE_ENDS, "\n")
-    stripped = F.regexp_replace(unified, rf"[{BLANKS}]+(\n|\z)", "$1")
+    unified = F.translate(F.replace(c, F.lit("\r\n"), F.lit("\n")), LINE_ENDS, "\n" * len(LINE_ENDS))
+    # Trimming line by line is several times faster than a pattern over all blanks.
+    lines = F.transform(F.split(unified, "\n"), lambda line: F.rtrim(line, F.lit(BLANKS)))
+    stripped = F.array_join(lines, "\n")
     spaced = F.regexp_replace(stripped, "\n{3,}", "\n\n")
-    return F.regexp_replace(spaced, rf"^[{BLANKS}\n]+|[{BLANKS}\n]+\z", "")
+    return F.btrim(spaced, F.lit(BLANKS + "\n"))
 
 
 def with_header(stem: Column, text: Column) -> Column:
@@ -94,27 +98,28 @@ def neighbours(w: Column) -> Column:
 
 @dataclass
 class PassageIndex:
-    """``passages`` (id columns, text), ``idf`` (term, df, idf) and ``postings`` (id columns, term, weight)."""
+    """``passages`` (id columns, text), ``idf`` (term, df, idf), ``vectors`` (id columns, terms, weights)."""
 
     passages: DataFrame
     idf: DataFrame
-    postings: DataFrame
+    vectors: DataFrame
     ids: tuple[str, ...]
 
-    def save(self, path: str) -> None:
-        """Write the three tables, replacing an earlier index at the path.
+    @property
+    def postings(self) -> DataFrame:
+        """One row per passage and term: id columns, term, weight."""
+        cells = F.arrays_zip(F.col("terms").alias("term"), F.col("weights").alias("weight"))
+        return self.vectors.select(*self.ids, F.inline(cells))
 
-        Postings are laid out by term, so that a batch of questions reads only its own terms.
-        """
-        self.passages.write.mode("overwrite").parquet(f"{path}/passages")
-        self.idf.write.mode("overwrite").parquet(f"{path}/idf")
-        by_term = self.postings.repartitionByRange("term", *self.ids).sortWithinPartitions("term")
-        by_term.write.mode("overwrite").parquet(f"{path}/postings")
+    def save(self, path: str) -> PassageIndex:
+        """Write the three tables, replacing an earlier index at the path, and return the written index."""
+        for name, table in (("passages", self.passages), ("idf", self.idf), ("vectors", self.vectors)):
+            table.write.mode("overwrite").parquet(f"{path}/{name}")
+        return PassageIndex.load(self.passages.sparkSession, path, self.ids)
 
     @staticmethod
     def load(spark: SparkSession, path: str, ids: Sequence[str]) -> PassageIndex:
-        read = spark.read.parquet
-        return PassageIndex(read(f"{path}/passages"), read(f"{path}/idf"), read(f"{path}/postings"), tuple(ids))
+        return PassageIndex(*[spark.read.parquet(f"{path}/{n}") for n in ("passages", "idf", "vectors")], tuple(ids))
 
 
 def term_counts(df: DataFrame, ids: Sequence[str], text: str = "text") -> DataFrame:
@@ -152,9 +157,15 @@ def build_index(
     known = join_reference(counts, F.col("term"), idf.select(F.col("term").alias("_t"), "idf"), "_t", "left")
     weighted = known.where(F.col("idf").isNotNull()).select(*ids, "term", (F.col("tf") * F.col("idf")).alias("w"))
     # The terms of one passage: a group as small as a passage.
-    norm = F.sqrt(F.sum(F.col("w") * F.col("w")).over(Window.partitionBy(*ids)))
-    postings = weighted.select(*ids, "term", (F.col("w") / norm).alias("weight"))
-    return PassageIndex(passages_df, idf, postings, tuple(ids))
+    gathered = weighted.groupBy(*ids).agg(
+        F.collect_list(F.struct("term", "w")).alias("cells"), F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm")
+    )
+    vectors = gathered.select(
+        *ids,
+        F.col("cells.term").alias("terms"),
+        F.transform("cells", lambda cell: cell["w"] / F.col("norm")).alias("weights"),
+    )
+    return PassageIndex(passages_df, idf, vectors, tuple(ids))
 
 
 def index_documents(documents: DataFrame, source: str = "source", text: str = "text") -> PassageIndex:
@@ -232,8 +243,7 @@ def _rank_against_held(
     boost: float,
     source: str,
 ) -> DataFrame:
-    """Local best passages per task. Postings of a passage are gathered into one row first, and only
-    those of terms some question has."""
+    """Local best passages per task, over whole passage vectors; terms no question has are skipped."""
     ids = list(index.ids)
     digits, per_round = SCORE_DIGITS, ROWS_PER_ROUND
     held = held.sort_values(["term", "query_id"], kind="stable").reset_index(drop=True)
@@ -243,20 +253,10 @@ def _rank_against_held(
     query_of = np.searchsorted(query_ids, held["query_id"].to_numpy())
     starts = np.searchsorted(term_of, np.arange(len(vocabulary) + 1))
     weights = held["weight"].to_numpy()
-    shared = index.passages.sparkSession.sparkContext.broadcast((vocabulary, query_ids, starts, query_of, weights))
-
     spark = index.passages.sparkSession
-    asked = spark.createDataFrame(pd.DataFrame({"term": vocabulary.to_numpy(dtype=object)}), "term string")
-    rows = (
-        index.postings.join(asked, "term", "left_semi")
-        .groupBy(*ids)
-        .agg(F.array_sort(F.collect_list(F.struct("term", "weight"))).alias("entries"))
-        .select(
-            *ids,
-            F.col("entries.term").alias("terms"),
-            F.col("entries.weight").alias("weights"),
-            _boost(F.lit(1.0), boosted, boost, source).alias("factor"),
-        )
+    shared = spark.sparkContext.broadcast((vocabulary, query_ids, starts, query_of, weights))
+    rows = index.vectors.select(
+        *ids, "terms", "weights", _boost(F.lit(1.0), boosted, boost, source).alias("factor")
     )
 
     # Everything the tasks run is nested here, so that it travels with the job by value.
@@ -279,7 +279,9 @@ def _rank_against_held(
                 block = batch.iloc[start : start + per_round]
                 scores = np.zeros((len(block), len(questions)))
                 for line, line_terms, line_weights in zip(scores, block["terms"], block["weights"]):
-                    for t, w in zip(words.get_indexer(line_terms), line_weights):
+                    found = words.get_indexer(line_terms)
+                    hits = np.flatnonzero(found >= 0)
+                    for t, w in zip(found[hits], line_weights[hits]):
                         span = slice(first[t], first[t + 1])
                         line[column[span]] += w * weight[span]
                 scores = np.round(scores * block["factor"].to_numpy()[:, None], digits)
@@ -293,7 +295,7 @@ def _rank_against_held(
         if best is not None:
             yield best
 
-    fields = ", ".join(f"{c} {index.postings.schema[c].dataType.simpleString()}" for c in ids)
+    fields = ", ".join(f"{c} {index.vectors.schema[c].dataType.simpleString()}" for c in ids)
     return rows.mapInPandas(score, f"query_id {query_type}, {fields}, score double")
 
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+from py4j.protocol import Py4JError
 from pyspark.errors import PySparkException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -68,7 +69,7 @@ def load_files(
             if not frame.columns or frame.isEmpty():
                 problems.append((name, path, "empty"))
                 continue
-        except (PySparkException, ValueError) as problem:
+        except (PySparkException, Py4JError, ValueError) as problem:
             problems.append((name, path, str(problem).splitlines()[0]))
             continue
         folder = path.rstrip("/").rsplit("/", 2)[-2] if "/" in path else ""
