@@ -778,13 +778,27 @@ class CrossAudit:
         return [self.person_ledger(), self.household_ledger(), *self.event_ledgers(), self.rule_ledger()]
 
     def counts(self, only: Sequence[str] | None = None) -> list[DataFrame]:
-        parts = [ledger.counts(only) for ledger in self.ledgers()]
+        """Counts of the wanted checks; those the loaded tables do not allow come as not applicable."""
+        parts: list[DataFrame | None] = []
+        applied: set[str] = set()
+        for ledger in self.ledgers():
+            parts.append(ledger.counts(only))
+            applied |= {c[0] for c in ledger._selected(only)}
         parts.append(self.dated_counts(only))
-        if _wanted("XCK8", only):
-            parts.append(self.union_age_gap())
-        if _wanted("XCK9", only):
-            parts.append(self.departures_before_arrivals())
-        parts.append(self.person_rules(only))
+        applied |= {s[0] for s in self._dated_sources(only) if s[3] and s[4]}
+        for check, build in (("XCK8", self.union_age_gap), ("XCK9", self.departures_before_arrivals)):
+            counted = build() if _wanted(check, only) else None
+            if counted is not None:
+                parts.append(counted)
+                applied.add(check)
+        rules = self.person_rules(only)
+        if rules is not None:
+            parts.append(rules)
+            applied |= {"RUL1", "RUL2"}
+        absent = [c for c in (CROSS_CHECKS if only is None else only) if c not in applied]
+        if absent and len(self.tables):
+            one_row = next(iter(self.tables.values())).limit(0).agg(F.count(F.lit(1)).alias("f"))
+            parts.append(explode_entries(one_row, [result_entry(c, None, None, "n", (), None) for c in absent]))
         return [p for p in parts if p is not None]
 
     def keys(self, check_id: str, cap: int | None = P.LIST_CAP) -> DataFrame:

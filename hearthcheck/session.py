@@ -9,11 +9,24 @@ import uuid
 from pyspark.sql import SparkSession
 
 
-def build_session(app: str = "hearthcheck", master: str | None = None, **conf: str) -> SparkSession:
+SHUFFLE_PARTITION_BYTES = 200 << 20
+
+
+def partitions_for(shuffle_bytes: int) -> int:
+    """How many shuffle partitions keep each one around 200 MB; adaptive execution merges small ones."""
+    return min(max(200, -(-shuffle_bytes // SHUFFLE_PARTITION_BYTES)), 200_000)
+
+
+def build_session(
+    app: str = "hearthcheck", master: str | None = None, shuffle_bytes: int | None = None, **conf: str
+) -> SparkSession:
     """A session with adaptive execution, skew-join splitting and a UTC clock.
 
-    Partition counts are left to the cluster; pass ``spark.sql.shuffle.partitions`` to set one.
+    ``shuffle_bytes`` is the size of the largest expected shuffle and sets the number of partitions,
+    since adaptive execution merges partitions but does not split an aggregate's.
     """
+    if shuffle_bytes is not None:
+        conf.setdefault("spark.sql.shuffle.partitions", str(partitions_for(shuffle_bytes)))
     builder = (
         SparkSession.builder.appName(app)
         .config("spark.sql.adaptive.enabled", "true")

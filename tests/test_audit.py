@@ -231,3 +231,10 @@ def test_status_overlap(make, check):
         assert A.status_overlap(tables, "FNewDeath", "FNewPresences").first()["n"] == 2
     else:
         assert set(counts(A.audit_across(tables, TODAY, ["XCK4"])).values()) == {2}
+
+
+def test_cross_checks_without_their_tables_are_listed(make):
+    tables = TableSet({"FNewDeath": make("individid int, evtdate string", (1, "01/01/2023"))})
+    result = A.audit_full(tables, TODAY)
+    absent = as_set(result.where("not applicable and table_a is null"), "check")
+    assert absent == set(A.CROSS_CHECKS)

@@ -95,3 +95,11 @@ def test_demo_identifiers_are_the_detected_ones(spark):
     tables = survey(spark, "/root/testdata/sf0.001")
     for sheet, name in SHEETS.items():
         assert tuple(R.id_columns(tables[sheet])) == IDS[name]
+
+
+def test_shuffle_partitions_follow_the_data():
+    from hearthcheck.session import partitions_for
+
+    assert partitions_for(1) == 200
+    assert partitions_for(100 << 40) == 200_000
+    assert partitions_for(1 << 40) == 5243
