@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 import re
 from collections.abc import Mapping, Sequence
 from dataclasses import dataclass
@@ -63,23 +64,30 @@ def _literal_number(value: object) -> float | None:
         return None
 
 
+def _compare(df: DataFrame, column: str, operator: str, number: float) -> Column:
+    """An order test the file scan can take over: on an integer column the bound is made an integer."""
+    cell = S.column(column)
+    if S.integral(df, column) and math.isfinite(number) and abs(number) < 2**53:
+        bound = F.lit(math.floor(number) if operator in (">", "<=") else math.ceil(number)).cast("bigint")
+    else:
+        cell, bound = S.numeric(df, column), F.lit(number)
+    tests = {">": cell > bound, "<": cell < bound, ">=": cell >= bound, "<=": cell <= bound}
+    return tests[operator]
+
+
 def condition_column(df: DataFrame, condition: Condition) -> Column:
-    """The row test of one condition. Missing values fail every test but ``!=``."""
+    """The row test of one condition, for a filter. Missing values pass no test but ``!=``."""
     cell, wanted = S.column(condition.column), str(condition.value).strip().lower()
     if condition.operator == "==":
         if S.integral(df, condition.column) and re.fullmatch(r"-?\d{1,18}", wanted):
             return cell == F.lit(int(wanted))
-        return F.coalesce(S.plain_text(cell) == wanted, F.lit(False))
+        return S.plain_text(cell) == wanted
     if condition.operator == "!=":
         return F.coalesce(S.plain_text(cell) != wanted, F.lit(True))
     if condition.operator == "contient":
-        return F.coalesce(F.contains(F.lower(cell.cast("string")), F.lit(str(condition.value).lower())), F.lit(False))
+        return F.contains(F.lower(cell.cast("string")), F.lit(str(condition.value).lower()))
     number = _literal_number(condition.value)
-    if number is None:
-        return F.lit(False)
-    value = S.numeric(df, condition.column)
-    tests = {">": value > number, "<": value < number, ">=": value >= number, "<=": value <= number}
-    return F.coalesce(tests[condition.operator], F.lit(False))
+    return F.lit(False) if number is None else _compare(df, condition.column, condition.operator, number)
 
 
 def usable_conditions(df: DataFrame, conditions: Sequence[Condition]) -> list[Condition]:

@@ -107,3 +107,27 @@ def test_spec_over_all_tables(make):
     tables = TableSet({"a": make("x int, y int", (1, 2), (3, 4)), "b": make("x int, y int", (5, 6)), "c": make("x int", (1,))})
     raw = {"operation": "somme", "colonne_cible": "y", "filtres": [{"colonne": "x", "operateur": ">=", "valeur": "1"}]}
     assert as_set(Q.run_spec_everywhere(tables, raw)) == {("a", 6.0, 2), ("b", 6.0, 1)}
+
+
+@pytest.mark.parametrize("operator", [">", "<", ">=", "<="])
+@pytest.mark.parametrize("bound", ["2", "2,5", "-1.5", "1e30"])
+def test_order_tests_on_integers_equal_those_on_decimals(spark, operator, bound):
+    df = spark.range(-3, 6).selectExpr("cast(id as int) as i", "cast(id as double) as d").unionByName(
+        spark.sql("select cast(null as int) as i, cast(null as double) as d")
+    )
+    by_integer, by_decimal = (answer(df, "compter", None, (c, operator, bound)).first()["n"] for c in ("i", "d"))
+    assert by_integer == by_decimal
+
+
+def test_filters_reach_the_file_scan(spark, tmp_path):
+    spark.range(10).selectExpr("id as individid", "cast(id as double) as age").write.parquet(str(tmp_path / "t"))
+    df = spark.read.parquet(str(tmp_path / "t"))
+    wanted = {
+        "GreaterThan(individid,3)": ("individid", ">", "3,5"),
+        "LessThanOrEqual(age,8.0)": ("age", "<=", 8),
+        "EqualTo(individid,7)": ("individid", "==", "7"),
+    }
+    for pushed, condition in wanted.items():
+        plan = answer(df, "compter", None, condition)._jdf.queryExecution().executedPlan().toString()
+        assert pushed in plan
+    assert answer(df, "compter", None, *wanted.values()).first()["n"] == 1
