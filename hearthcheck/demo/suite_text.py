@@ -316,7 +316,7 @@ def mention_counts(spark, folder):
     return counts.withColumnRenamed("table", "table_name")
 
 
-ANCHORED = "\\b(dans|table|base|fiche|feuille|onglet)\\s+(la\\s+|le\\s+|les\\s+|l[''’]\\s*|de\\s+la\\s+|des\\s+)?(opoindividus|opo_individus|individus|individu)\\b"
+ANCHORED = "\\b(dans|table|base|fiche|feuille|onglet)\\s+(la\\s+|le\\s+|les\\s+|l[''’]\\s*|de\\s+la\\s+|des\\s+)?(individus|individu)\\b"
 
 
 @query(

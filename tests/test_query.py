@@ -9,7 +9,7 @@ from hearthcheck.plans.catalog import TableSet
 def people(make):
     return make(
         "individu_id int, commune string, age double",
-        (1, "Ouaga ", 20.0), (2, "ouaga", 30.0), (3, "Bobo", None), (4, None, 50.0), (5, "OUAGA", 12.0),
+        (1, "North ", 20.0), (2, "north", 30.0), (3, "Southbob", None), (4, None, 50.0), (5, "NORTH", 12.0),
     )
 
 
@@ -23,13 +23,13 @@ def answer(df, operation, target=None, *filters):
 
 
 def test_text_equality_ignores_case_and_blanks(people):
-    assert answer(people, "compter", None, ("commune", "==", " OUAGA")).first()["n"] == 3
-    assert answer(people, "compter", None, ("commune", "!=", "ouaga")).first()["n"] == 2
+    assert answer(people, "compter", None, ("commune", "==", " NORTH")).first()["n"] == 3
+    assert answer(people, "compter", None, ("commune", "!=", "north")).first()["n"] == 2
     assert answer(people, "compter", None, ("commune", "contient", "OB")).first()["n"] == 1
 
 
 def test_aggregates_report_usable_values(people):
-    row = answer(people, "moyenne", "AGE", ("commune", "==", "ouaga")).first()
+    row = answer(people, "moyenne", "AGE", ("commune", "==", "north")).first()
     assert (round(row["result"], 4), row["n_values"]) == (20.6667, 3)
     assert answer(people, "max", "commune").first()["result"] is None
 
