@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from hearthcheck.llm import chat, exact_dedup, language, mixing, token_files
+from hearthcheck.llm import chat, exact_dedup, language, mixing, near_dedup, pii, token_files, toxicity
 from hearthcheck.llm.common import fold, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -89,3 +89,19 @@ def op6(spark: SparkSession, folder: str) -> DataFrame:
     turns = table(spark, folder, "conversations").select("conv_id", "turn", "role", "text")
     probe = spark.createDataFrame([(-1, 0, "user", PROBE), (-1, 1, "assistant", PROBE)], turns.schema)
     return chat.digests(chat.format_conversations(turns.unionByName(probe)))
+
+
+@query("op3_personal_data")
+def op3(spark: SparkSession, folder: str) -> DataFrame:
+    return pii.report(pii.find_spans(table(spark, folder, "documents")))
+
+
+@query("op10_toxicity")
+def op10(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents")
+    return toxicity.score(docs, toxicity.train(docs, table(spark, folder, "labels")))
+
+
+@query("op9_near_dedup")
+def op9(spark: SparkSession, folder: str) -> DataFrame:
+    return near_dedup.near_groups(table(spark, folder, "documents"))
