@@ -132,8 +132,9 @@ def mix(
     share: float = 1.5,
     most: int = 2,
     seed: int = SEED,
+    whole: bool = False,
 ) -> DataFrame:
-    """One row per document: doc_id, size, pattern, source_size, target, copies, taken.
+    """One row per document: doc_id, size, pattern, source_size, target, copies, taken, and with ``whole`` its row as ``doc``.
 
     ``memberships`` is an array of the sources a document belongs to; with one source, ``source_size`` and ``target`` are
     that source's, with more they are those of the first by rank.
@@ -146,6 +147,7 @@ def mix(
         word_count(F.col("text")).alias("size"),
         F.shiftrightunsigned(F.xxhash64(F.lit(seed), "doc_id", "text"), 24).alias("place"),
         F.monotonically_increasing_id().alias("row"),
+        *([F.struct(*(F.col(f"`{x}`") for x in docs.columns)).alias("doc")] if whole else []),
     )
     slim = stored(slim, "mix-sizes")
     summed = slim.groupBy("pattern").agg(F.sum("size").alias("words"), F.count("*").alias("n")).limit(MOST_PATTERNS + 1).collect()
@@ -188,4 +190,11 @@ def mix(
         "doc_id", "row", "size", "pattern", "source_size", "target",
         F.when(F.col("size") > 0, F.col("base") + extra).otherwise(0).alias("copies"),
         F.when(F.col("size") > 0, F.col("size") * (F.col("base") + extra)).otherwise(0).alias("taken"),
+        *(["doc"] if whole else []),
     )
+
+
+def mixed_rows(docs: DataFrame, memberships: Column, **options) -> DataFrame:
+    """The documents of the mix, each as often as it is taken, with all their columns."""
+    chosen = mix(docs, memberships, whole=True, **options).where("copies > 0")
+    return chosen.select(F.explode(F.array_repeat("doc", F.col("copies").cast("int"))).alias("doc")).select("doc.*")

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from hearthcheck.llm import chat, exact_dedup, language, mixing, near_dedup, pii, token_files, toxicity
+from hearthcheck.llm import chat, decontaminate, exact_dedup, html_text, language, mixing, near_dedup, pii, token_files, toxicity
 from hearthcheck.llm.common import fold, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -87,7 +87,8 @@ def op5(spark: SparkSession, folder: str) -> DataFrame:
 )
 def op6(spark: SparkSession, folder: str) -> DataFrame:
     turns = table(spark, folder, "conversations").select("conv_id", "turn", "role", "text")
-    probe = spark.createDataFrame([(-1, 0, "user", PROBE), (-1, 1, "assistant", PROBE)], turns.schema)
+    role = F.when(F.col("id") == 0, "user").otherwise("assistant")
+    probe = spark.range(2).select(F.lit(-1).cast("long").alias("conv_id"), F.col("id").alias("turn"), role.alias("role"), F.lit(PROBE).alias("text"))
     return chat.digests(chat.format_conversations(turns.unionByName(probe)))
 
 
@@ -105,3 +106,13 @@ def op10(spark: SparkSession, folder: str) -> DataFrame:
 @query("op9_near_dedup")
 def op9(spark: SparkSession, folder: str) -> DataFrame:
     return near_dedup.near_groups(table(spark, folder, "documents"))
+
+
+@query("op8_decontamination")
+def op8(spark: SparkSession, folder: str) -> DataFrame:
+    return decontaminate.contaminated(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
+
+
+@query("op7_html_text")
+def op7(spark: SparkSession, folder: str) -> DataFrame:
+    return html_text.extract(table(spark, folder, "pages"))
