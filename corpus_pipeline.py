@@ -1,8 +1,55 @@
-"""The corpus pipeline."""
+"""The corpus pipeline: documents in, token files out. Each stage is written before the next one reads it."""
 
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from hearthcheck.llm import decontaminate, mixing, near_dedup, token_files, toxicity
+from hearthcheck.llm.common import stored, table
+from hearthcheck.llm.suite import TOKENIZER_FILE
+
+
+def without_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents not predicted toxic by a model of the labelled ones."""
+    return toxicity.clean(docs, toxicity.train(docs, table(spark, sf_dir, "labels")))
+
+
+def one_of_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each near-duplicate group: the one with the smallest id."""
+    return near_dedup.one_of_each(docs)
+
+
+def without_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents in which no benchmark item is found."""
+    return decontaminate.clean(docs, table(spark, sf_dir, "benchmark"))
+
+
+def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents as often as the mix takes them: none, once or twice."""
+    return mixing.mixed_rows(docs, F.array("source"))
+
+
+def token_ids(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """doc_id, start, n_tokens and ids_crc32 of each document, read back from its token files."""
+    return token_files.read_documents(spark, token_files.write_ids(docs, TOKENIZER_FILE))
+
+
+STAGES = [
+    ("toxicity", without_toxic),
+    ("near_dedup", one_of_near_copies),
+    ("decontamination", without_benchmark),
+    ("mixing", mixed),
+    ("token_files", token_ids),
+]
+
+# learned scores, retrieval and seeded selection are beyond SQL; tests/llm holds the stages against brute force
 ORACLE_SQL = None
-STAGES = []
 
 
-def run(spark, sf_dir):
-    raise NotImplementedError
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over the documents of a folder."""
+    docs = table(spark, sf_dir, "documents")
+    for name, stage in STAGES[:-1]:
+        docs = stored(stage(spark, docs, sf_dir), f"pipeline-{name}")
+    return STAGES[-1][1](spark, docs, sf_dir)
