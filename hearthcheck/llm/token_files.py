@@ -15,6 +15,7 @@ by text; null ids come first and are stored as the smallest integer. No rows giv
 
 from __future__ import annotations
 
+import os
 import re
 import uuid
 import zlib
@@ -35,7 +36,8 @@ TAIL = 8 + 6 * 8
 BLOCK = 4096
 END_ID = 0
 SHARD_CHARS = 64 << 20
-CACHE_UNITS = 400_000
+CACHE_UNITS = 300_000
+JOINED_UNITS = 2_000
 NO_ID = -(1 << 63)
 
 
@@ -135,33 +137,75 @@ def store_of(path: str) -> tuple[pafs.FileSystem, str]:
     return pafs.LocalFileSystem(), path
 
 
-_ENCODERS: dict[str, tuple[object, dict[str, bytes]]] = {}
-_UNSAFE = re.compile(r" \s|\s ")
+_ENCODERS: dict[str, tuple[object, np.ndarray, dict[str, bytes]]] = {}
+_NEAR_SPACE = tuple(x for white in "\n\t\r " for x in (f" {white}", f"{white} "))
+_RARE_WHITE = re.compile("[\x0b\x0c\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
 _SAFE_CUT = re.compile(r"(?<=\S) (?=\S)")
 
 
 def units(text: str) -> list[str]:
     """Cut before each single space between two non-spaces; byte-level BPE never merges across such a place."""
-    pieces = _SAFE_CUT.split(text) if _UNSAFE.search(text) or text[:1].isspace() or text[-1:].isspace() else text.split(" ")
+    plain = not (text[:1].isspace() or text[-1:].isspace() or any(x in text for x in _NEAR_SPACE) or _RARE_WHITE.search(text))
+    if plain:
+        return text.replace(" ", "\0 ").split("\0") if "\0" not in text else [text]
+    pieces = _SAFE_CUT.split(text)
     return [pieces[0], *(" " + x for x in pieces[1:])]
 
 
-def encode(texts: list[str], tokenizer_file: str) -> list[bytes]:
-    """Ids of each text as little-endian u32 bytes: each distinct unit goes to the tokenizer once, then is looked up."""
+def _encoder(tokenizer_file: str) -> tuple[object, np.ndarray, dict[str, bytes]]:
+    """The tokenizer, how many bytes of text each id stands for, and the units known so far, kept by the worker."""
+    os.environ["TOKENIZERS_PARALLELISM"] = "false"  # the task's core is the only one it may use
     from tokenizers import Tokenizer
 
     if tokenizer_file not in _ENCODERS:
-        _ENCODERS[tokenizer_file] = (Tokenizer.from_file(tokenizer_file), {})
-    tokenizer, known = _ENCODERS[tokenizer_file]
+        tokenizer = Tokenizer.from_file(tokenizer_file)
+        vocabulary = tokenizer.get_vocab(with_added_tokens=True)
+        width = np.zeros(max(vocabulary.values()) + 1, np.int64)
+        for token, number in vocabulary.items():  # byte-level: one character of a token's name is one byte
+            width[number] = len(token)
+        _ENCODERS[tokenizer_file] = (tokenizer, width, {})
+    return _ENCODERS[tokenizer_file]
+
+
+def _learn(fresh: list[str], tokenizer_file: str) -> None:
+    """Encode new units, many at a time in one text, and cut the ids where a unit's bytes end.
+
+    A full stop or comma behind a letter is a piece of its own, so such a unit is put together from its two pieces.
+    """
+    tokenizer, width, known = _encoder(tokenizer_file)
+    ended = [x for x in fresh if x[-1] in ".," and x[-2:-1].isalpha()]
+    stems = {x[:-1] for x in ended}.difference(known)
+    fresh = list(stems.union(fresh).difference(ended)) if ended else fresh
+    joined = [x for x in fresh if x[0] == " " and not x[-1].isspace()]
+    for unit in [".", ",", *(x for x in fresh if x[0] != " " or x[-1].isspace())]:
+        if unit not in known:
+            known[unit] = array("I", tokenizer.encode(unit, add_special_tokens=False).ids).tobytes()
+    texts = ["".join(joined[k : k + JOINED_UNITS]) for k in range(0, len(joined), JOINED_UNITS)]
+    for k, found in enumerate(tokenizer.encode_batch_fast(texts, add_special_tokens=False)):
+        some = joined[k * JOINED_UNITS : (k + 1) * JOINED_UNITS]
+        ids = np.array(found.ids, "<u4")
+        stops = np.searchsorted(np.cumsum(width[ids]), np.cumsum([len(x.encode()) for x in some]), side="left") + 1
+        raw, at = ids.tobytes(), 0
+        for unit, stop in zip(some, (4 * stops).tolist()):
+            known[unit] = raw[at:stop]
+            at = stop
+    for unit in ended:
+        known[unit] = known[unit[:-1]] + known[unit[-1]]
+
+
+def encode(texts: list[str], tokenizer_file: str) -> list[bytes]:
+    """Ids of each text as little-endian u32 bytes: each distinct unit goes to the tokenizer once, then is looked up."""
+    known = _encoder(tokenizer_file)[2]
     if len(known) > CACHE_UNITS:
         known.clear()
     cut = [units(x) if x else [] for x in texts]
-    fresh = list({x for pieces in cut for x in pieces if x not in known})
-    for k in range(0, len(fresh), 10_000):
-        some = fresh[k : k + 10_000]
-        for unit, found in zip(some, tokenizer.encode_batch_fast(some, add_special_tokens=False)):
-            known[unit] = array("I", found.ids).tobytes()
-    return [b"".join(map(known.__getitem__, pieces)) for pieces in cut]
+    found = [list(map(known.get, pieces)) for pieces in cut]
+    missing = [k for k, x in enumerate(found) if None in x]
+    if missing:
+        _learn(list({unit for k in missing for unit, x in zip(cut[k], found[k]) if x is None}), tokenizer_file)
+        for k in missing:
+            found[k] = map(known.__getitem__, cut[k])
+    return [b"".join(x) for x in found]
 
 
 def vocabulary_of(tokenizer_file: str) -> int:
