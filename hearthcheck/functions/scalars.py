@@ -5,6 +5,8 @@ Everything here is a built-in expression, so it stays inside whole-stage code ge
 
 from __future__ import annotations
 
+import re
+import unicodedata
 from collections.abc import Sequence
 from functools import reduce
 
@@ -15,15 +17,28 @@ from pyspark.sql import types as T
 # Texts that mean "yes".
 YES_CODES = ["1", "1.0", "oui", "yes", "true"]
 
-# Letters with a diacritic and the plain letter they fold to.
-ACCENTED = "àáâãäåçèéêëìíîïñòóôõöùúûüýÿÀÁÂÃÄÅÇÈÉÊËÌÍÎÏÑÒÓÔÕÖÙÚÛÜÝŸ"
-UNACCENTED = "aaaaaaceeeeiiiinooooouuuuyyAAAAAACEEEEIIIINOOOOOUUUUYY"
+# Every letter of the Latin blocks that is a plain letter with marks, and that plain letter.
+_MARKED = {
+    chr(x): unicodedata.normalize("NFD", chr(x))[0]
+    for x in (*range(0xC0, 0x250), *range(0x1E00, 0x1F00))
+    if unicodedata.normalize("NFD", chr(x))[0].isascii()
+}
+ACCENTED, UNACCENTED = "".join(_MARKED), "".join(_MARKED.values())
 
 DAYS_PER_YEAR = 365.25
 
 ISO_DATE = r"^\s*\d{4}-\d{1,2}-\d{1,2}"
 SLASH_DATE = r"^\s*\d{1,2}/\d{1,2}/\d{4}"
 DASH_DATE = r"^\s*\d{1,2}-\d{1,2}-\d{4}"
+# Other shapes and how they are read; each text has one shape at most. A fraction of a second is cut off first.
+OTHER_DATES = (
+    (r"^\d{1,2}/\d{1,2}/\d{2}( |$)", "d/M/yy[ H:mm[:ss]]"),
+    (r"^\d{4}/\d{1,2}/\d{1,2}( |$)", "yyyy/M/d[ H:mm[:ss]]"),
+    (r"^\d{1,2}[.]\d{1,2}[.]\d{4}( |$)", "d.M.yyyy[ H:mm[:ss]]"),
+    (r"^(19|20)\d{6}$", "yyyyMMdd"),
+    (r"^\d{1,2} [A-Za-z]{3} \d{4}( |$)", "d MMM yyyy[ H:mm[:ss]]"),
+    (r"^\d{1,2} [A-Za-z]{4,9} \d{4}( |$)", "d MMMM yyyy[ H:mm[:ss]]"),
+)
 
 
 def field_type(df: DataFrame, name: str) -> T.DataType:
@@ -121,22 +136,31 @@ def integral(df: DataFrame, name: str) -> bool:
     return isinstance(field_type(df, name), T.IntegralType)
 
 
+def writes_integer(text: str) -> bool:
+    """Is the text how an integer column shows a value? ``007`` is not: text is compared, not amounts."""
+    return bool(re.fullmatch(r"-?\d{1,18}", text)) and str(int(text)) == text
+
+
 def needs_text_key(sides: Sequence[tuple[DataFrame, str]]) -> bool:
     return not all(integral(df, name) for df, name in sides)
 
 
 def parse_moment(text: Column) -> Column:
-    """Day-first text, then ISO text, to a timestamp without zone; null when neither fits.
+    """Day-first text, then ISO text, then the shapes of ``OTHER_DATES``, to a timestamp without zone.
 
-    The shape is tested before parsing so that no exception is raised and swallowed per row.
+    Null when none fits: month names in other languages than English, years of fewer digits than shown,
+    month-first dates and times with a zone or of 12 hours behind a day-first date stay unread. Two-digit
+    years are of this century. The shape is tested before parsing so that no exception is raised and
+    swallowed per row.
     """
-    t = F.trim(text)
+    t = F.regexp_replace(F.trim(text), r"^(\d{1,2}[/.-]\d{1,2}[/.-]\d{2,4} +\d{1,2}:\d{2}:\d{2})[.]\d+$", "$1")
     day_first = F.coalesce(
         F.when(t.rlike(SLASH_DATE), F.try_to_timestamp(t, F.lit("d/M/yyyy[ H:mm[:ss]]"))),
         F.when(t.rlike(DASH_DATE), F.try_to_timestamp(t, F.lit("d-M-yyyy[ H:mm[:ss]]"))),
     )
     iso = F.when(t.rlike(ISO_DATE), t.try_cast("timestamp_ntz"))
-    return F.coalesce(day_first.cast("timestamp_ntz"), iso)
+    others = [F.when(t.rlike(shape), F.try_to_timestamp(F.initcap(t), F.lit(how))) for shape, how in OTHER_DATES]
+    return F.coalesce(day_first.cast("timestamp_ntz"), iso, F.coalesce(*others).cast("timestamp_ntz"))
 
 
 def moment(df: DataFrame, name: str) -> Column:

@@ -321,7 +321,7 @@ def _holds_identifier(df: DataFrame, wanted: str) -> Column | None:
     tests = []
     for c in R.id_columns(df):
         if S.integral(df, c):
-            if re.fullmatch(r"-?\d{1,18}", wanted):
+            if S.writes_integer(wanted):
                 tests.append(S.column(c) == F.lit(int(wanted)))
         else:
             tests.append(S.plain_text(S.exact_text(df, c)) == F.lit(wanted))

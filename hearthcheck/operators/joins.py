@@ -51,9 +51,12 @@ def _same(left: DataFrame, right: DataFrame, match_nulls: bool) -> Column:
     return left[KEY].eqNullSafe(right[KEY]) if match_nulls else left[KEY] == right[KEY]
 
 
-def fuse(tables: TableSet, a: str, b: str, key: str | None = None, match_nulls: bool = True) -> DataFrame:
+def fuse(tables: TableSet, a: str, b: str, key: str | None = None, match_nulls: bool = False) -> DataFrame:
     """Inner join of two tables. Columns both have get the table's name as suffix.
 
+    Rows without a key meet nothing unless ``match_nulls`` asks to pair each with each of the other
+    table, which gives as many rows as the product of their numbers.
+
     Both inputs reach the join straight from their shuffle, so adaptive execution can split a
     hot key on either side.
     """
@@ -169,10 +172,13 @@ def distinct_keys_in_both(left: tuple[DataFrame, str], right: tuple[DataFrame, s
 
 
 def one_per_key(reference: DataFrame, key: str, value: str, order: Sequence[str] = ()) -> DataFrame:
-    """One value per key: that of the first row in ``order`` (lowest value when no order is given)."""
+    """One value per key: that of the first row in ``order`` (lowest value when no order is given).
+
+    Rows without a value never hide a known one: a key has no value only if none of its rows has.
+    """
     ranking = F.struct(*[S.column(c) for c in order], S.column(value).alias("_value"))
     return (
-        reference.where(S.column(key).isNotNull())
+        reference.where(S.column(key).isNotNull() & S.column(value).isNotNull())
         .groupBy(S.column(key).alias("_lookup"))
         .agg(F.min(ranking).alias("_first"))
         .select("_lookup", F.col("_first._value").alias("_found"))

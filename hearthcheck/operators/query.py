@@ -7,6 +7,7 @@ import re
 from collections.abc import Mapping, Sequence
 from dataclasses import dataclass
 
+from py4j.protocol import Py4JError
 from pyspark.errors import PySparkException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -21,11 +22,16 @@ OPERATIONS = ("compter", "lister", "moyenne", "somme", "min", "max")
 AGGREGATES = {"moyenne": F.avg, "somme": F.sum, "min": F.min, "max": F.max}
 OPERATORS = ("==", "!=", ">", "<", ">=", "<=", "contient")
 
-# Words no statement may contain.
+# Words no statement may contain outside of quotes.
 FORBIDDEN_WORDS = (
     "INSERT", "UPDATE", "DELETE", "DROP", "ALTER", "CREATE", "ATTACH", "DETACH", "COPY", "PRAGMA",
     "CALL", "EXPORT", "IMPORT", "INSTALL", "LOAD", "SET", "GRANT", "REVOKE", "VACUUM", "CHECKPOINT",
 )
+QUOTED = re.compile(r"'(?:[^'\\]|\\.|'')*'|\"(?:[^\"]|\"\")*\"|`(?:[^`]|``)*`")
+# Functions that reach outside the tables: they run code of the JVM or of another program, or open files.
+OUTSIDE_FUNCTIONS = frozenset({"reflect", "java_method", "try_reflect", "transform_script", "read_files", "input_file_name"})
+# How a parsed statement that does more than read begins.
+CHANGING_PLAN = re.compile(r"^'?(Insert|Create|Drop|Delete|Update|Merge|Truncate|Alter|Set|Replace|Cache|Refresh|Describe|Show|\w*Command)")
 
 
 class InvalidSpec(ValueError):
@@ -79,7 +85,7 @@ def condition_column(df: DataFrame, condition: Condition) -> Column:
     """The row test of one condition, for a filter. Missing values pass no test but ``!=``."""
     cell, wanted = S.column(condition.column), str(condition.value).strip().lower()
     if condition.operator == "==":
-        if S.integral(df, condition.column) and re.fullmatch(r"-?\d{1,18}", wanted):
+        if S.integral(df, condition.column) and S.writes_integer(wanted):
             return cell == F.lit(int(wanted))
         return S.plain_text(cell) == wanted
     if condition.operator == "!=":
@@ -127,11 +133,14 @@ def parse_spec(raw: Mapping, columns: Sequence[str]) -> Spec:
     return Spec(operation, target, tuple(kept))
 
 
-def run_spec(df: DataFrame, spec: Spec, order_by: Sequence[str] = ()) -> DataFrame:
+def run_spec(
+    df: DataFrame, spec: Spec, order_by: Sequence[str] = (), cap: int | None = P.LIST_CAP
+) -> DataFrame:
     """The answer to one spec.
 
-    ``compter`` gives ``n``; ``lister`` the first 50 rows (in ``order_by``) with ``n_total``; the
-    others ``result`` and ``n_values``, with a null result when no value is usable.
+    ``compter`` gives ``n``; ``lister`` the first ``cap`` rows (in ``order_by``, else by all columns;
+    None lists all) with ``n_total``; the others ``result`` and ``n_values``, with a null result when
+    no value is usable.
     """
     if spec.operation not in OPERATIONS:
         raise InvalidSpec(f"Unknown operation: {spec.operation!r}")
@@ -140,8 +149,9 @@ def run_spec(df: DataFrame, spec: Spec, order_by: Sequence[str] = ()) -> DataFra
         return rows.agg(F.count(F.lit(1)).alias("n"))
     if spec.operation == "lister":
         total = rows.agg(F.count(F.lit(1)).alias("t")).scalar()
-        ordered = rows.orderBy(*[S.column(c) for c in order_by]) if order_by else rows
-        return ordered.limit(P.LIST_CAP).withColumn("n_total", total)
+        if cap is None:
+            return rows.withColumn("n_total", total)
+        return rows.orderBy(*[S.column(c) for c in order_by or df.columns]).limit(cap).withColumn("n_total", total)
     if spec.target not in df.columns:
         raise InvalidSpec(f"No such target column: {spec.target}")
     value = S.numeric(df, spec.target)
@@ -175,20 +185,39 @@ def run_spec_everywhere(tables: TableSet, raw: Mapping) -> DataFrame:
 # ---------------------------------------------------------------------- SQL
 
 
-def check_statement(text: str | None) -> str:
-    """One non-empty SELECT or WITH statement without a forbidden word, final semicolon removed."""
-    statement = (text or "").strip().rstrip(";").strip()
-    if not statement:
-        raise InvalidSql("Empty statement")
-    if ";" in statement:
-        raise InvalidSql("Only one statement is allowed")
-    if not re.match(r"(SELECT|WITH)\b", statement, re.IGNORECASE):
-        raise InvalidSql("Only SELECT or WITH ... SELECT is allowed")
-    if re.search(rf"\b({'|'.join(FORBIDDEN_WORDS)})\b", statement, re.IGNORECASE):
-        raise InvalidSql("The statement contains a forbidden word")
+def check_statement(spark: SparkSession, tables: TableSet, text: str | None) -> str:
+    """A statement that only reads the loaded tables, final semicolons removed; anything else is refused.
+
+    Beside the forbidden words, what counts is what Spark's parser makes of it; text inside quotes is free. Relations have to
+    be tables of this set or names the statement defines itself.
+    """
+    statement = re.sub(r"[;\s]+\Z", "", text or "")
+    if not re.match(r"\s*(SELECT|WITH)\b", statement, re.IGNORECASE):
+        raise InvalidSql("A statement has to begin with SELECT or WITH")
+    if forbidden := re.search(rf"\b({'|'.join(FORBIDDEN_WORDS)})\b", QUOTED.sub("''", statement), re.IGNORECASE):
+        raise InvalidSql(f"Not allowed in a statement: {forbidden[0]}")
+    try:
+        parsed = spark._jsparkSession.sessionState().sqlParser().parsePlan(statement)
+    except (PySparkException, Py4JError) as problem:
+        raise InvalidSql(f"SQL error: {problem}") from problem
+    shown = parsed.treeString(True, False, 1 << 30, False, False)
+    if CHANGING_PLAN.match(shown) or "ScriptTransformation" in shown:
+        raise InvalidSql("The statement does more than read")
+    own = {n.lower() for n in tables} | {n.lower() for n in _defined_names(shown)}
+    outside = [n for n in re.findall(r"'UnresolvedRelation \[(.*?)\], \[", shown) if n.strip("`").lower() not in own]
+    if outside or "UnresolvedTableValuedFunction" in shown:
+        raise InvalidSql(f"Not a loaded table: {', '.join(outside) or 'a table function'}")
+    used = {n.lower() for n in re.findall(r"'`?(\w+)`?\(", shown)}
+    if used & OUTSIDE_FUNCTIONS:
+        raise InvalidSql(f"Function not allowed: {', '.join(sorted(used & OUTSIDE_FUNCTIONS))}")
     return statement
 
 
+def _defined_names(shown: str) -> set[str]:
+    """Names of common table expressions in a printed plan."""
+    return {n.strip() for names in re.findall(r"CTE \[(.*?)\]", shown) for n in names.split(",")}
+
+
 def tables_in_statement(tables: TableSet, statement: str) -> list[str]:
     """Loaded tables named as whole words in the statement."""
     return [n for n in tables if re.search(rf"\b{re.escape(n)}\b", statement, re.IGNORECASE)]
@@ -196,12 +225,12 @@ def tables_in_statement(tables: TableSet, statement: str) -> list[str]:
 
 def plan_sql(spark: SparkSession, tables: TableSet, text: str) -> DataFrame:
     """The uncapped result of a checked statement. Double quotes enclose names, as in ANSI SQL."""
-    statement = check_statement(text)
-    tables.register_views()
     setting = "spark.sql.ansi.doubleQuotedIdentifiers"
     before = spark.conf.get(setting, "false")
     spark.conf.set(setting, "true")
     try:
+        statement = check_statement(spark, tables, text)
+        tables.register_views()
         return spark.sql(statement)
     except PySparkException as problem:
         raise InvalidSql(f"SQL error: {problem}") from problem
@@ -209,9 +238,10 @@ def plan_sql(spark: SparkSession, tables: TableSet, text: str) -> DataFrame:
         spark.conf.set(setting, before)
 
 
-def run_sql(spark: SparkSession, tables: TableSet, text: str, cap: int = P.SQL_ROW_CAP) -> DataFrame:
-    """The first ``cap`` rows of a read-only statement over the loaded tables."""
-    return plan_sql(spark, tables, text).limit(cap)
+def run_sql(spark: SparkSession, tables: TableSet, text: str, cap: int | None = P.SQL_ROW_CAP) -> DataFrame:
+    """The first ``cap`` rows (None: all) of a read-only statement over the loaded tables."""
+    result = plan_sql(spark, tables, text)
+    return result if cap is None else result.limit(cap)
 
 
 def join_growth(spark: SparkSession, tables: TableSet, text: str) -> DataFrame:

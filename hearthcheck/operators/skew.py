@@ -1,8 +1,10 @@
 """Joining rows to a keyed reference when one key may hold a large share of the rows.
 
 Adaptive execution splits a skewed side only where both inputs come straight from a shuffle.
-A reference with one row per key is an aggregate, so a hot key would stay in one task. Here the
-hot keys are found first (their number is bounded by their share) and only they are salted.
+A reference with one row per key is an aggregate, so a hot key would stay in one task. Here rows
+are counted per key first (one narrow row per key and task is shuffled), a key gets as many salts
+as its rows are worth tasks, and its reference row is copied once per salt. The plan is the same
+at every size.
 """
 
 from __future__ import annotations
@@ -10,27 +12,21 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-# A key is hot from this share of the rows on, so there are at most 1 / HOT_SHARE of them.
-HOT_SHARE = 0.002
-SALTS = 64
-# Below this estimated size a hot key still fits one task and the extra pass is not worth it.
-CHECK_FROM_BYTES = 4 << 30
+TASK_ROWS = 1_000_000
+# A key needs more rows than this share of all to get salts, so no more than 1 / LEAST_SHARE keys can.
+LEAST_SHARE = 1e-4
 
 
-def estimated_bytes(df: DataFrame) -> int | None:
-    """The optimizer's size estimate, read from the plan without running anything."""
-    try:
-        return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    except AttributeError:
-        return None
+def key_salts(keys: DataFrame, key: str, task_rows: int = TASK_ROWS) -> DataFrame:
+    """(_h, _salts) of the keys worth more than one task, missing keys included.
 
-
-def hot_keys(df: DataFrame, key: str, share: float = HOT_SHARE) -> list:
-    """Filled keys holding at least ``share`` of all rows; never more than ``1 / share`` values."""
-    counts = df.groupBy(key).agg(F.count(F.lit(1)).alias("_n"))
-    total = counts.agg(F.sum("_n").alias("t")).scalar()
-    rows = counts.where(F.col(key).isNotNull() & (F.col("_n") >= share * total)).select(key).collect()
-    return [r[0] for r in rows]
+    A key is worth one task per ``task_rows`` rows, or per ``LEAST_SHARE`` of all rows where that is
+    more: at most 1 / LEAST_SHARE rows come back, whatever the data, so they can be held in every task.
+    """
+    counts = keys.groupBy(F.col(key).alias("_h")).agg(F.count(F.lit(1)).alias("_n"))
+    total = counts.agg(F.coalesce(F.sum("_n"), F.lit(0)).alias("t")).scalar()
+    worth = F.greatest(F.lit(float(task_rows)), total * F.lit(LEAST_SHARE))
+    return counts.where(F.col("_n") > worth).select("_h", F.ceil(F.col("_n") / worth).cast("int").alias("_salts"))
 
 
 def join_reference(
@@ -40,34 +36,19 @@ def join_reference(
     reference_key: str,
     how: str,
     match_nulls: bool = False,
-    check_from: int | None = None,
+    task_rows: int = TASK_ROWS,
 ) -> DataFrame:
     """Left, semi or anti join to a reference that has each key once.
 
-    Rows with a hot or missing key are spread over ``SALTS`` tasks; the reference is copied only
-    for those keys. The result does not depend on which salt a row gets.
+    Rows of a key worth several tasks are spread over that many salts by their place in their file,
+    so copies of one row spread as well; the result does not depend on which salt a row gets.
     """
-    threshold = CHECK_FROM_BYTES if check_from is None else check_from
     keyed = left.withColumn("_k", left_key)
-    size = estimated_bytes(left)
+    salts = F.broadcast(key_salts(keyed.select("_k"), "_k", task_rows))
+    spread = F.pmod(F.monotonically_increasing_id(), F.coalesce(F.col("_salts"), F.lit(1))).cast("int")
+    keyed = keyed.join(salts, F.col("_k").eqNullSafe(F.col("_h")), "left").withColumn("_s", spread).drop("_h", "_salts")
+    copies = F.sequence(F.lit(0), F.coalesce(F.col("_salts"), F.lit(1)) - 1)
     renamed = reference.withColumnRenamed(reference_key, "_rk")
-
-    def same() -> Column:
-        return F.col("_k").eqNullSafe(F.col("_rk")) if match_nulls else F.col("_k") == F.col("_rk")
-
-    if size is not None and size < threshold:
-        return keyed.join(renamed, same(), how).drop("_k", "_rk")
-
-    hot = hot_keys(keyed.select("_k"), "_k")
-    is_hot = F.col("_k").isin(hot) if hot else F.lit(False)
-    # The position of a row in its file decides its salt, so copies of one row spread as well.
-    salt = F.pmod(F.monotonically_increasing_id(), F.lit(SALTS)).cast("int")
-    spread = F.col("_k").isNull() | is_hot
-    keyed = keyed.withColumn("_s", F.when(spread, salt).otherwise(F.lit(0)))
-    copied = F.col("_rk").isin(hot) if hot else F.lit(False)
-    if match_nulls:
-        copied = copied | F.col("_rk").isNull()
-    every_salt = F.sequence(F.lit(0), F.lit(SALTS - 1))
-    copies = F.when(F.coalesce(copied, F.lit(False)), every_salt).otherwise(F.array(F.lit(0)))
-    renamed = renamed.withColumn("_rs", F.explode(copies))
-    return keyed.join(renamed, same() & (F.col("_s") == F.col("_rs")), how).drop("_k", "_rk", "_s", "_rs")
+    renamed = renamed.join(salts, F.col("_rk").eqNullSafe(F.col("_h")), "left").withColumn("_rs", F.explode(copies)).drop("_h", "_salts")
+    same = F.col("_k").eqNullSafe(F.col("_rk")) if match_nulls else F.col("_k") == F.col("_rk")
+    return keyed.join(renamed, same & (F.col("_s") == F.col("_rs")), how).drop("_k", "_rk", "_s", "_rs")

@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from hearthcheck.functions import scalars as S
+from hearthcheck.session import new_work_path
 
 # Extensions of table files, and how an export date is written in a name.
 TABLE_EXTENSIONS = ("csv", "xlsx", "xls", "dta")
@@ -152,44 +153,72 @@ def tables_or_archive(batch: DataFrame) -> DataFrame:
 
 # ---------------------------------------------------------------------- archives
 
+PIECE_BYTES = 1 << 20
+PIECES = "archive string, member string, part string, piece bigint, value string, error string"
 
-def archive_members(spark: SparkSession, paths: Sequence[str] | str) -> DataFrame:
-    """Table files inside zip archives: ``archive, member, content, error``.
 
-    Folders, hidden files and system leftovers are skipped. An unreadable archive gives one row
-    with its error instead of failing the others. Each archive is expanded by the task reading it.
-    """
-    wanted = tuple("." + e for e in TABLE_EXTENSIONS)
+def _is_table_member(name: str) -> bool:
+    """Text tables only; system leftovers, folders and hidden files are not tables."""
+    own = name.rsplit("/", 1)[-1]
+    return own.lower().endswith(".csv") and not own.startswith(".") and "__MACOSX" not in name.split("/")
+
+
+def _pieces(stream) -> Iterator[str]:
+    """Whole lines of a member, about ``PIECE_BYTES`` at a time, without their last line end."""
+    rest = b""
+    for raw in iter(lambda: stream.read(PIECE_BYTES), b""):
+        lines, _, rest = (rest + raw).rpartition(b"\n")
+        if lines:
+            yield lines.decode("utf-8", "replace")
+    if rest:
+        yield rest.decode("utf-8", "replace")
+
+
+def _expand(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    import io
+    import zipfile
+    import zlib
+
+    broken = (zipfile.BadZipFile, zlib.error, EOFError, OSError, RuntimeError, NotImplementedError)
+    names = [x.split()[0] for x in PIECES.split(", ")]
 
-    def expand(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        import io
-        import zipfile
+    def row(*values) -> pd.DataFrame:
+        return pd.DataFrame([values], columns=names)
 
-        for batch in batches:
-            for path, content in zip(batch["path"], batch["content"]):
+    for batch in batches:
+        for path, content in zip(batch["path"], batch["content"]):
+            own = path.rsplit("/", 1)[-1]
+            try:
+                archive = zipfile.ZipFile(io.BytesIO(content))
+            except broken as problem:
+                yield row(path, own, None, None, None, str(problem))
+                continue
+            for info in filter(lambda i: _is_table_member(i.filename), archive.infolist()):
+                member, part = info.filename.rsplit("/", 1)[-1], f"{zlib.crc32(path.encode()):08x}{info.header_offset:012x}"
                 try:
-                    with zipfile.ZipFile(io.BytesIO(content)) as archive:
-                        for info in archive.infolist():
-                            name = info.filename.rsplit("/", 1)[-1]
-                            hidden = not name or name.startswith(".") or "__MACOSX" in info.filename
-                            if info.is_dir() or hidden or not name.lower().endswith(wanted):
-                                continue
-                            yield pd.DataFrame(
-                                {"archive": [path], "member": [name], "content": [archive.read(info)], "error": [None]}
-                            )
-                except (zipfile.BadZipFile, OSError, RuntimeError) as problem:
-                    yield pd.DataFrame(
-                        {"archive": [path], "member": [None], "content": [None], "error": [str(problem)]}
-                    )
-
-    files = spark.read.format("binaryFile").load(paths).select("path", "content")
-    return files.mapInPandas(expand, "archive string, member string, content binary, error string")
-
-
-def member_lines(members: DataFrame) -> DataFrame:
-    """Lines of the CSV members, numbered: ``archive, member, line_no, line``."""
-    text = F.regexp_replace(F.decode(F.col("content"), "UTF-8"), "^﻿", "")
-    readable = members.where(F.col("error").isNull() & F.lower("member").endswith(".csv"))
-    return readable.select("archive", "member", F.posexplode(F.split(text, "\r?\n")).alias("line_no", "line")).where(
-        F.col("line") != ""
-    )
+                    with archive.open(info) as stream:  # a first pass to its end proves the check sum
+                        while stream.read(PIECE_BYTES):
+                            pass
+                    with archive.open(info) as stream:
+                        for n, lines in enumerate(_pieces(stream)):
+                            yield row(path, member, part, n, lines.lstrip("\ufeff") if n == 0 else lines, None)
+                except broken as problem:
+                    yield row(path, member, None, None, None, str(problem))
+
+
+def expand_archives(spark: SparkSession, paths: Sequence[str]) -> tuple[list[tuple[str, str]], list[tuple[str, str]]]:
+    """Text tables inside zip archives, written out to the shared folder: (member, folder to read), (name, error).
+
+    The archive is one row of its reading task; members leave it in pieces of whole lines. A damaged archive or member
+    gives an error and stops nothing else.
+    """
+    target = new_work_path(spark, "archives")
+    files = spark.read.format("binaryFile").load(list(paths)).select("path", "content")
+    files.mapInPandas(_expand, PIECES).write.parquet(f"{target}/pieces")
+    pieces = spark.read.schema(PIECES).parquet(f"{target}/pieces")
+    # one row per member: as short as the archive's own listing
+    listed = pieces.groupBy("archive", "member", "part", "error").agg(F.count("*").alias("n")).orderBy("archive", "member", "part").collect()
+    whole = pieces.where(F.col("error").isNull()).repartition("part").sortWithinPartitions("part", "piece")
+    whole.select("part", "value").write.partitionBy("part").text(f"{target}/members")
+    good = [(r["member"], f"{target}/members/part={r['part']}") for r in listed if r["error"] is None]
+    return good, [(r["member"], r["error"]) for r in listed if r["error"] is not None]

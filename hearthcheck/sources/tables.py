@@ -65,7 +65,7 @@ def load_files(
     problems = []
     for name, path in files:
         try:
-            frame = read_table(spark, path)
+            frame = read_table(spark, path) if extension(path) in X.READABLE_EXTENSIONS else R.drop_person_names(read_csv(spark, path))
             if not frame.columns or frame.isEmpty():
                 problems.append((name, path, "empty"))
                 continue
@@ -78,12 +78,22 @@ def load_files(
 
 
 def load_folder(spark: SparkSession, folder: str) -> tuple[TableSet, list[tuple[str, str, str]]]:
-    """The newest export of every table found under a folder. Only the chosen files are opened."""
-    files = X.listing(spark, folder)
-    chosen = X.latest_per_table(X.latest_batch(files, folder), X.READABLE_EXTENSIONS)
+    """The newest export of every table found under a folder, or of its newest archive when no table file is there.
+
+    Only the chosen files are opened.
+    """
+    batch = X.latest_batch(X.listing(spark, folder), folder)
+    chosen = X.latest_per_table(batch, X.READABLE_EXTENSIONS)
     # One row per table: a list as short as the catalog.
     pairs = [(r["table"], r["path"]) for r in chosen.orderBy("table").select("table", "path").collect()]
-    return load_files(spark, pairs)
+    if pairs:
+        return load_files(spark, pairs)
+    archives = X.tables_or_archive(batch).where(F.lower("name").endswith(".zip")).select("path").collect()
+    if not archives:
+        return TableSet(), []
+    members, errors = X.expand_archives(spark, [r["path"] for r in archives])
+    tables, problems = load_files(spark, [(m.rsplit(".", 1)[0], path) for m, path in members])
+    return tables, problems + [(name, archives[0]["path"], error) for name, error in errors]
 
 
 # ---------------------------------------------------------------------- databases

@@ -1,16 +1,22 @@
 """Keeping table snapshots up to date from a folder that receives dated exports.
 
-An export is a file, or a folder of part files, with a date in its name. The stream takes each
-file once (its checkpoint remembers them). A batch is written only when its export is not older
-than the snapshot, under its export and batch number, so a batch replayed after a failure
-overwrites exactly itself and parts of one export may arrive in several batches.
+An export is a file, or a folder of part files, with a date in its name; what is left of the name
+is its table. The stream takes the names of new files only, so a file that cannot be read never
+stops it. In each batch the newest export of every table is read whole and written when it is not
+older than the table's snapshot, replacing what an earlier batch wrote of the same export: a batch
+replayed after a failure overwrites itself, and parts of one export may arrive in several batches.
+
+An export that cannot be read leaves a row (table, export, path, error) beside the snapshots, the
+next older one of the batch is tried, and it is tried again with every later batch until it is
+read or a newer one is in place.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.errors import AnalysisException
+from py4j.protocol import Py4JError
+from pyspark.errors import AnalysisException, PySparkException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -20,92 +26,114 @@ from hearthcheck.plans import roles as R
 from hearthcheck.sources import exports as X
 
 REFRESH_INTERVAL = "15 minutes"
-FILE_PATH, FILE_TIME = "_file_path", "_file_time"
-
-
-def incoming(
-    spark: SparkSession, folder: str, schema: T.StructType | str, kind: str = "csv", delimiter: str = ",",
-    pattern: str = "*", files_per_batch: int | None = None,
-) -> DataFrame:
-    """The stream of rows of new files, each with the path and time of its file."""
-    reader = (
-        spark.readStream.schema(schema)
-        .option("pathGlobFilter", pattern)
-        .option("recursiveFileLookup", "true")
-        .option("ignoreCorruptFiles", "true")
-    )
+PARTITIONS = ("table_name", "export_date", "export")
+FILES = "path string, modificationTime timestamp, length bigint, content binary"
+PROBLEMS = "table_name string, export string, path string, error string, batch bigint"
+
+
+def incoming(spark: SparkSession, folder: str, pattern: str = "*", files_per_batch: int | None = None) -> DataFrame:
+    """The stream of new files: path and modification time. Contents are not read."""
+    reader = spark.readStream.schema(FILES).format("binaryFile").option("pathGlobFilter", pattern).option("recursiveFileLookup", "true")
     if files_per_batch:
         reader = reader.option("maxFilesPerTrigger", files_per_batch)
-    if kind == "csv":
-        reader = reader.option("header", True).option("sep", delimiter)
-    rows = reader.format(kind).load(folder)
-    return R.drop_person_names(rows).select(
-        "*",
-        F.col("_metadata.file_path").alias(FILE_PATH),
-        F.col("_metadata.file_modification_time").alias(FILE_TIME),
-    )
+    return reader.load(folder).select("path", F.col("modificationTime").alias("modified"))
 
 
-def _export_of(path: Column) -> tuple[Column, Column]:
-    """(name, date) of the export a file belongs to: itself if dated, else its folder if that is."""
-    parts = F.split(F.url_decode(path), "/")
+def _export_of(path: Column) -> tuple[Column, Column, Column]:
+    """(name, date, path) of the export a file belongs to: itself if dated, else its folder if that is."""
+    parts = F.split(path, "/")
     own, folder = F.element_at(parts, -1), F.element_at(parts, -2)
-    name = F.when(X.export_date(own).isNull() & X.export_date(folder).isNotNull(), folder).otherwise(own)
-    return name, X.export_date(name)
+    inside = X.export_date(own).isNull() & X.export_date(folder).isNotNull()
+    name = F.when(inside, folder).otherwise(own)
+    place = F.when(inside, F.array_join(F.slice(parts, 1, F.size(parts) - 1), "/")).otherwise(path)
+    return name, X.export_date(name), place
+
+
+def exports_of(files: DataFrame) -> DataFrame:
+    """One row per export: table_name, export, export_date, modified, path. Undated ones go by their time."""
+    name, dated, place = _export_of(F.col("path"))
+    named = files.select(name.alias("export"), dated.alias("dated"), place.alias("path"), "modified")
+    grouped = named.groupBy("export", "dated", "path").agg(F.max("modified").alias("modified"))
+    table = X.base_name(F.col("export"), X.READABLE_EXTENSIONS)
+    return grouped.select(
+        table.alias("table_name"), "export", F.coalesce("dated", F.col("modified").cast("date")).alias("export_date"), "modified", "path"
+    )
 
 
-def _held_date(spark: SparkSession, target: str):
-    """The export date of the current snapshot, or None before the first one."""
+def _read(spark: SparkSession, path: str, schema: str | None = None) -> DataFrame | None:
     try:
-        dates = spark.read.parquet(target).select("export_date")
+        reader = spark.read.schema(schema) if schema else spark.read
+        return reader.parquet(path)
     except AnalysisException:
         return None
-    return dates.agg(F.max("export_date").alias("d")).first()["d"]
 
 
-def current_snapshot(spark: SparkSession, target: str) -> DataFrame:
-    """Rows of the newest export only; the partitions of older ones are pruned."""
-    history = spark.read.parquet(target)
-    age = F.struct("export_date", "batch", "export")
-    newest = history.agg(F.max(age).alias("age")).select("age.*").first()
-    return history.where(
-        (F.col("export_date") == F.lit(newest["export_date"])) & (F.col("export") == F.lit(newest["export"]))
-    ).drop("export_date", "export", "batch")
+def problems(spark: SparkSession, target: str) -> DataFrame:
+    """Every failed attempt to read an export, with its error."""
+    found = _read(spark, f"{target}/problems", PROBLEMS)
+    return found if found is not None else spark.createDataFrame([], PROBLEMS)
+
 
+def current_snapshot(spark: SparkSession, target: str, table: str | None = None) -> DataFrame:
+    """Rows of the newest export of one table, or of every table with its name; older partitions are pruned."""
+    history = spark.read.parquet(f"{target}/tables")
+    if table is not None:
+        history = history.where(F.col("table_name") == table)
+    newest = history.groupBy("table_name").agg(F.max(F.struct("export_date", "export")).alias("n")).select(
+        F.col("table_name").alias("_t"), F.col("n.export_date").alias("_d"), F.col("n.export").alias("_e")
+    )
+    same = (F.col("table_name") == F.col("_t")) & (F.col("export_date") == F.col("_d")) & (F.col("export") == F.col("_e"))
+    rows = history.join(F.broadcast(newest), same, "left_semi")  # one row per table
+    return rows.drop(*PARTITIONS) if table is not None else rows.drop("export_date", "export")
 
-def keep_newest(target: str) -> Callable[[DataFrame, int], None]:
-    """A batch writer that keeps the newest export of a batch when it is not older than the snapshot.
 
-    An export is dated by its name, else by its modification time; the later one wins ties.
-    """
+def keep_newest(
+    target: str, schema: T.StructType | str, kind: str = "csv", delimiter: str = ",", mode: str = "FAILFAST"
+) -> Callable[[DataFrame, int], None]:
+    """A batch writer that keeps, per table, the newest export that can be read and is not older than the snapshot."""
 
     def write(batch: DataFrame, number: int) -> None:
-        name, dated = _export_of(F.col(FILE_PATH))
-        day = F.coalesce(dated, F.col(FILE_TIME).cast("date"))
-        age = F.struct(day.alias("d"), F.col(FILE_TIME).alias("t"), name.alias("e"))
-        newest = batch.agg(F.max(age).alias("age")).first()["age"]
-        if newest is None:
-            return
-        held = _held_date(batch.sparkSession, target)
-        if held is not None and newest["d"] < held:
-            return
-        fresh = batch.where(name == F.lit(newest["e"])).drop(FILE_PATH, FILE_TIME)
-        (
-            fresh.withColumn("export_date", F.lit(newest["d"]))
-            .withColumn("export", F.lit(newest["e"]))
-            .withColumn("batch", F.lit(number))
-            .write.mode("overwrite")
-            .option("partitionOverwriteMode", "dynamic")
-            .partitionBy("export_date", "export", "batch")
-            .parquet(target)
-        )
+        spark = batch.sparkSession
+        held_rows = _read(spark, f"{target}/tables")
+        held = {}
+        if held_rows is not None:
+            held = {r["table_name"]: r["d"] for r in held_rows.groupBy("table_name").agg(F.max("export_date").alias("d")).collect()}
+        arrived = exports_of(batch.select("path", "modified"))
+        again = problems(spark, target).select("path").distinct().withColumn("modified", F.lit(None).cast("timestamp"))
+        # one row per export, never one per file
+        waiting = arrived.unionByName(exports_of(again).where(F.col("export_date").isNotNull()).join(arrived.select("path"), "path", "left_anti"))
+        order = [F.asc("table_name"), F.desc("export_date"), F.desc_nulls_last("modified"), F.desc("export")]
+        failed, done = [], set()
+        for e in waiting.orderBy(*order).collect():
+            table, day = e["table_name"], e["export_date"]
+            if table in done or (table in held and day < held[table]):
+                continue
+            try:
+                reader = spark.read.schema(schema).option("recursiveFileLookup", "true")
+                if kind == "csv":
+                    reader = reader.option("header", True).option("sep", delimiter).option("mode", mode)
+                rows = R.drop_person_names(reader.format(kind).load(e["path"]))
+                stamped = rows.withColumns(dict(zip(PARTITIONS, (F.lit(table), F.lit(day), F.lit(e["export"])))))
+                stamped.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*PARTITIONS).parquet(f"{target}/tables")
+                done.add(table)
+            except (PySparkException, Py4JError) as problem:
+                failed.append((table, e["export"], e["path"], str(problem).splitlines()[0][:500], number))
+        if failed:
+            spark.createDataFrame(failed, PROBLEMS).coalesce(1).write.mode("append").parquet(f"{target}/problems")
 
     return write
 
 
-def refresh_table(
-    rows: DataFrame, target: str, checkpoint: str, once: bool = True, interval: str = REFRESH_INTERVAL
+def refresh_tables(
+    files: DataFrame,
+    target: str,
+    checkpoint: str,
+    schema: T.StructType | str,
+    kind: str = "csv",
+    delimiter: str = ",",
+    once: bool = True,
+    interval: str = REFRESH_INTERVAL,
 ) -> StreamingQuery:
-    """Start refreshing a snapshot: everything waiting and then stop, or every ``interval``."""
-    writer = rows.writeStream.foreachBatch(keep_newest(target)).option("checkpointLocation", checkpoint)
+    """Start refreshing snapshots: everything waiting and then stop, or every ``interval``."""
+    writer = files.writeStream.foreachBatch(keep_newest(target, schema, kind, delimiter)).option("checkpointLocation", checkpoint)
     return (writer.trigger(availableNow=True) if once else writer.trigger(processingTime=interval)).start()

@@ -82,7 +82,22 @@ def test_salted_join_equals_the_plain_one(spark, how, match_nulls):
     )
     from pyspark.sql import functions as F
 
-    plain = skew.join_reference(rows, F.col("k"), reference, "r", how, match_nulls, check_from=1 << 60)
-    salted = skew.join_reference(rows, F.col("k"), reference, "r", how, match_nulls, check_from=0)
-    assert sorted(map(str, plain.collect())) == sorted(map(str, salted.collect()))
-    assert skew.hot_keys(rows, "k", 0.3) == [7]
+    joined = skew.join_reference(rows, F.col("k"), reference, "r", how, match_nulls)
+    salted = skew.join_reference(rows, F.col("k"), reference, "r", how, match_nulls, task_rows=100)
+    same = rows["k"].eqNullSafe(reference["r"]) if match_nulls else rows["k"] == reference["r"]
+    plain = sorted(map(str, rows.join(reference, same, how).drop("r").collect()))
+    assert sorted(map(str, joined.collect())) == plain == sorted(map(str, salted.collect()))
+    assert as_set(skew.key_salts(rows, "k", 100)) == {(7, 11), (None, 2)}
+    assert skew.key_salts(rows, "k").count() == 0
+
+
+def test_missing_keys_pair_only_when_asked(make):
+    tables = TableSet({"a": make("individid int, x int", (None, 1), (1, 2)), "b": make("individid int, y int", (None, 3), (1, 4))})
+    assert J.fuse(tables, "a", "b").count() == 1
+    assert J.fuse(tables, "a", "b", match_nulls=True).count() == 2
+
+
+def test_lookup_without_order_prefers_a_known_value(make):
+    team = make("a string, c string", ("A", "A5"), ("A", None), ("B", None))
+    found = J.lookup(make("agent string", ("A",), ("B",)), "agent", team, "a", "c", "controller")
+    assert as_set(found) == {("A", "A5"), ("B", "Non renseigné")}

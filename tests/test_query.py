@@ -90,13 +90,35 @@ def test_sql_is_capped(spark):
 @pytest.mark.parametrize(
     "text",
     ["", None, "select 1; select 2", "delete from deaths", "with x as (select 1) insert into deaths select 1",
-     "select * from deaths where 1 = 1 -- drop table deaths", "explain select 1", "select * from nowhere", "select nope from deaths"],
+     "select * from deaths where 1 = 1 -- drop table deaths", "explain select 1", "select * from nowhere", "select nope from deaths",
+     "select * from text.`/etc/hostname`", "with x as (select * from csv.`/etc/hostname`) select * from x", "select * from range(3)",
+     "select (select max(value) from text.`/etc/hostname`) from deaths", "select reflect('java.lang.System', 'nanoTime') from deaths",
+     "select 1 from deaths where exists (select 1 from parquet.`/tmp`)", "select java_method('java.lang.System', 'nanoTime')",
+     "with x as (select 1 as a) from x insert overwrite directory '/tmp/out' select a"],
 )
 def test_sql_is_read_only(spark, tables, text):
     with pytest.raises(Q.InvalidSql):
         Q.run_sql(spark, tables, text)
 
 
+@pytest.mark.parametrize("text", ["select 'a; set b' as x from deaths", "with t as (select 1 as drop_) select * from t;",
+                                  'select "set" from (select 1 as "set")', "select x.a from (select 1 as a) x, deaths d"])
+def test_quoted_words_and_own_names_are_allowed(spark, tables, text):
+    assert Q.run_sql(spark, tables, text, cap=None).count() >= 1
+
+
+def test_other_views_are_refused(spark, tables):
+    spark.range(3).createOrReplaceTempView("not_of_this_set")
+    with pytest.raises(Q.InvalidSql):
+        Q.run_sql(spark, tables, "select * from not_of_this_set")
+
+
+@pytest.mark.parametrize("wanted, n", [("7", 1), ("007", 0), (" 7 ", 1), ("7.0", 0), ("-0", 0)])
+def test_integers_compare_as_their_text(spark, wanted, n):
+    df = spark.range(10).selectExpr("cast(id as int) as i")
+    assert answer(df, "compter", None, ("i", "==", wanted)).first()["n"] == n
+
+
 def test_growing_join_is_noticed(spark, tables):
     grew = Q.join_growth(spark, tables, "select 1 as x from presences a join presences b on a.enquete_id = b.enquete_id").first()
     assert (grew["result_rows"], grew["largest_input"], grew["grew"]) == (8, 4, True)

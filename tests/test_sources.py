@@ -89,17 +89,36 @@ def test_folder_is_loaded_and_failures_stay_apart(spark, tmp_path):
     assert list(again) == ["FNewDeath", "old_2020-01-01_FNewDeath"]
 
 
+def zip_file(path, **members):
+    with zipfile.ZipFile(path, "w", zipfile.ZIP_DEFLATED) as z:
+        for name, text in members.items():
+            z.writestr(name.replace("__", "/").replace("_csv", ".csv").replace("_pdf", ".pdf"), text)
+
+
 def test_archives_are_expanded_and_bad_ones_reported(spark, tmp_path):
-    with zipfile.ZipFile(tmp_path / "good.zip", "w") as z:
-        z.writestr("deep/t.csv", "a;b\r\n1;2\r\n")
+    zip_file(tmp_path / "good.zip", deep__t_csv="a;b\r\n1;2\r\n" + "3;4\n" * 400_000, notes_pdf="no")
+    with zipfile.ZipFile(tmp_path / "good.zip", "a") as z:
         z.writestr("__MACOSX/t.csv", "no")
         z.writestr(".hidden.csv", "no")
-        z.writestr("notes.pdf", "no")
     write(tmp_path, "bad.zip", "not an archive")
-    members = X.archive_members(spark, [str(tmp_path / n) for n in ("good.zip", "bad.zip")])
-    rows = members.select("member", F.col("error").isNull().alias("ok"))
-    assert as_set(rows) == {("t.csv", True), (None, False)}
-    assert as_set(X.member_lines(members), "line_no", "line") == {(0, "a;b"), (1, "1;2")}
+    # one member of two is damaged
+    zip_file(tmp_path / "half.zip", ok_csv="a,b\n7,8\n", torn_csv="x,y\n" + "1,2\n" * 5_000)
+    raw = bytearray((tmp_path / "half.zip").read_bytes())
+    at = raw.index(b"torn.csv") + 12
+    raw[at : at + 6] = b"\xff" * 6
+    (tmp_path / "half.zip").write_bytes(raw)
+    members, errors = X.expand_archives(spark, [str(tmp_path / n) for n in ("good.zip", "bad.zip", "half.zip")])
+    assert {m[0] for m in members} == {"t.csv", "ok.csv"} and {e[0] for e in errors} == {"bad.zip", "torn.csv"}
+    paths = dict(members)
+    assert ST.read_csv(spark, paths["t.csv"]).agg(F.sum("a"), F.count("*")).first() == (1_200_001, 400_001)
+    assert as_set(ST.read_csv(spark, paths["ok.csv"])) == {(7, 8)}
+
+
+def test_folder_with_an_archive_only(spark, tmp_path):
+    zip_file(tmp_path / "export_2026-01-01.zip", FNewDeath_csv="individid,nom\n1,x\n", FNewBirth_csv="individid\n2\n3\n")
+    zip_file(tmp_path / "export_2025-01-01.zip", FNewDeath_csv="individid,nom\n9,x\n")
+    tables, found = ST.load_folder(spark, str(tmp_path))
+    assert {n: as_set(t) for n, t in tables.items()} == {"FNewDeath": {1}, "FNewBirth": {2, 3}} and found == []
 
 
 def test_documents_and_pending_conversions(spark, make, tmp_path):
@@ -151,32 +170,58 @@ def test_load_history_is_newest_first(spark, make, tmp_path):
     assert [r["table"] for r in K.load_history(spark, path).collect()] == ["b", "a"]
 
 
-def test_refresh_takes_each_file_once_and_keeps_the_newest(spark, tmp_path):
+def refresh(spark, tmp_path, pattern="*.csv", schema="individid int, nom string", kind="csv"):
     inbox, target, mark = (str(tmp_path / n) for n in ("inbox", "table", "mark"))
+    SR.refresh_tables(SR.incoming(spark, inbox, pattern), target, mark, schema, kind).awaitTermination()
+    return target
+
+
+def test_refresh_takes_each_file_once_and_keeps_the_newest(spark, tmp_path):
+    inbox = str(tmp_path / "inbox")
 
-    def refresh():
-        rows = SR.incoming(spark, inbox, "individid int, nom string", pattern="t_*.csv")
-        SR.refresh_table(rows, target, mark).awaitTermination()
-        return as_set(SR.current_snapshot(spark, target))
+    def now():
+        return as_set(SR.current_snapshot(spark, refresh(spark, tmp_path, "t_*.csv"), "t"))
 
     write(inbox, "t_2026-01-01.csv", "individid,nom\n1,x\n2,y\n")
     write(inbox, "other_2027-01-01.csv", "individid,nom\n9,x\n")
-    assert refresh() == {1, 2}
+    assert now() == {1, 2}
     write(inbox, "t_2026-02-01.csv", "individid,nom\n3,x\n")
-    assert refresh() == {3}
+    assert now() == {3}
     write(inbox, "t_2025-12-01.csv", "individid,nom\n4,x\n")
-    assert refresh() == {3}
-    assert refresh() == {3}
+    assert now() == {3}
+    assert now() == {3}
+
+
+def test_refresh_keeps_every_table_of_an_inbox(spark, tmp_path):
+    inbox = str(tmp_path / "inbox")
+    write(inbox, "FNewBirth_2024-01-01.csv", "individid,nom\n1,x\n2,x\n")
+    write(inbox, "FNewDeath_2024-01-01.csv", "individid,nom\n3,x\n")
+    write(inbox, "FNewDeath_2023-01-01.csv", "individid,nom\n4,x\n")
+    target = refresh(spark, tmp_path)
+    assert as_set(SR.current_snapshot(spark, target), "table_name", "individid") == {("FNewBirth", 1), ("FNewBirth", 2), ("FNewDeath", 3)}
+
+
+def test_unreadable_export_is_reported_and_tried_again(spark, tmp_path):
+    inbox = str(tmp_path / "inbox")
+    write(inbox, "t_2026-01-01.csv", "individid,nom\n1,x\n")
+    write(inbox, "t_2026-02-01.csv", "individid,nom\nbroken line,x\n")
+    write(inbox, "u_2026-02-01.csv", "individid,nom\n5,x\n")
+    target = refresh(spark, tmp_path)
+    assert as_set(SR.current_snapshot(spark, target), "table_name", "individid") == {("t", 1), ("u", 5)}
+    assert as_set(SR.problems(spark, target), "table_name", "export") == {("t", "t_2026-02-01.csv")}
+    write(inbox, "t_2026-02-01.csv", "individid,nom\n2,x\n")
+    write(inbox, "u_2026-03-01.csv", "individid,nom\n6,x\n")
+    refresh(spark, tmp_path)
+    assert as_set(SR.current_snapshot(spark, target), "table_name", "individid") == {("t", 2), ("u", 6)}
 
 
 def test_batch_replay_overwrites_itself(spark, make, tmp_path):
-    target = str(tmp_path / "table")
-    batch = make("x int", (1,), (2,)).select(
-        "x", F.lit("file:/in/t_2026-01-01.csv").alias(SR.FILE_PATH), F.current_timestamp().alias(SR.FILE_TIME)
-    )
+    inbox, target = str(tmp_path / "inbox"), str(tmp_path / "table")
+    write(inbox, "t_2026-01-01.csv", "x\n1\n2\n")
+    batch = make("path string", (f"file:{inbox}/t_2026-01-01.csv",)).withColumn("modified", F.current_timestamp())
     for _ in range(2):
-        SR.keep_newest(target)(batch, 7)
-    assert SR.current_snapshot(spark, target).count() == 2
+        SR.keep_newest(target, "x int")(batch, 7)
+    assert SR.current_snapshot(spark, target, "t").count() == 2
 
 
 def test_derived_tables_are_published(spark, make):
