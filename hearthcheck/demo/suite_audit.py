@@ -445,17 +445,17 @@ def unusual_identifiers(spark, folder):
     "xck_02_keys",
     f"""
     with eligible as ({ELIGIBLE}), forms as (select distinct individid from education)
-    select * from (select 'n_eligible_without_form' as metric, cast(individid as varchar) as person from eligible
-      where individid not in (select individid from forms) order by person limit 50) a
+    select 'n_eligible_without_form' as metric, cast(individid as varchar) as person from eligible
+      where individid not in (select individid from forms)
     union all
-    select * from (select 'n_form_without_eligibility' as metric, cast(individid as varchar) as person from forms
-      where individid not in (select individid from eligible) order by person limit 50) b
+    select 'n_form_without_eligibility' as metric, cast(individid as varchar) as person from forms
+      where individid not in (select individid from eligible)
     """,
 )
 def eligibility_keys(spark, folder):
-    """The first 50 persons of each direction, in text order: the listing is the feature."""
+    """All persons of each direction."""
     tables = survey(spark, folder, "FNewPresences", "FNewEducation")
-    return A.CrossAudit(tables, AS_OF).keys("XCK2").select("metric", F.col("key").alias("person"))
+    return A.CrossAudit(tables, AS_OF).keys("XCK2", cap=None).select("metric", F.col("key").alias("person"))
 
 
 @query(

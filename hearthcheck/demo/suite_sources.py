@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from hearthcheck.demo.registry import query
@@ -137,6 +138,23 @@ def csv_semicolon_scan(spark, folder):
     return ST.R.drop_person_names(ST.read_csv(spark, path))
 
 
+def _inbox(spark, arrivals, schema, label):
+    """Exports arrive one after another and are refreshed each time; gives the folder of the snapshots."""
+    work = new_work_path(spark, label)
+    inbox, target, checkpoint = f"{work}/inbox", f"{work}/snapshots", f"{work}/checkpoint"
+    for name, rows in arrivals:
+        if isinstance(rows, str):
+            rows = spark.range(1).select(F.lit(rows))
+            rows.write.text(f"{inbox}/{name}")
+        else:
+            rows.write.csv(f"{inbox}/{name}", header=True)
+        SR.refresh_tables(SR.incoming(spark, inbox, "part-*"), target, checkpoint, schema).awaitTermination()
+    return target
+
+
+SUPPLIER = "s_suppkey bigint, s_nationkey int, s_acctbal double"
+
+
 @query(
     "refresh_newest_snapshot",
     "select s_suppkey, s_nationkey, s_acctbal + 1 as s_acctbal from supplier where s_suppkey % 4 <> 0",
@@ -144,16 +162,140 @@ def csv_semicolon_scan(spark, folder):
 def refresh_newest_snapshot(spark, folder):
     """Three dated exports arrive, an older one last: the stream leaves the newest one as the table."""
     suppliers = base_table(spark, folder, "supplier").select("s_suppkey", "s_nationkey", "s_acctbal")
-    work = new_work_path(spark, "refresh")
-    inbox, target, checkpoint = f"{work}/inbox", f"{work}/table", f"{work}/checkpoint"
-    schema = "s_suppkey bigint, s_nationkey int, s_acctbal double"
     arrivals = (
         ("FNewAgents_2024-01-01", suppliers),
         ("FNewAgents_2024-03-01", suppliers.where("s_suppkey % 4 <> 0").withColumn("s_acctbal", F.col("s_acctbal") + 1)),
         ("FNewAgents_2024-02-01", suppliers.where("s_suppkey < 5")),
     )
-    for name, rows in arrivals:
-        rows.write.csv(f"{inbox}/{name}", header=True)
-        waiting = SR.incoming(spark, inbox, schema, pattern="*.csv")
-        SR.refresh_table(waiting, target, checkpoint).awaitTermination()
-    return SR.current_snapshot(spark, target)
+    return SR.current_snapshot(spark, _inbox(spark, arrivals, SUPPLIER, "refresh"), "FNewAgents")
+
+
+@query(
+    "refresh_many_tables",
+    """
+    select 'FNewAgents' as table_name, count(*) as n, sum(s_suppkey)::bigint as keys, 0::bigint as problems from supplier
+    union all select 'FNewTeams', count(*), sum(s_suppkey)::bigint, 1 from supplier where s_suppkey % 2 = 0
+    """,
+)
+def refresh_many_tables(spark, folder):
+    """Two tables share an inbox; the newest export of one cannot be read, so its older one stays and the report says why."""
+    suppliers = base_table(spark, folder, "supplier").select("s_suppkey", "s_nationkey", "s_acctbal")
+    arrivals = (
+        ("FNewTeams_2024-01-01", suppliers.where("s_suppkey % 2 = 0")),
+        ("FNewTeams_2024-02-01", "s_suppkey,s_nationkey,s_acctbal\ntorn,line"),
+        ("FNewAgents_2024-01-01", suppliers),
+    )
+    target = _inbox(spark, arrivals, SUPPLIER, "refresh-many")
+    told = SR.problems(spark, target).groupBy("table_name").agg(F.countDistinct("export").alias("problems"))
+    rows = SR.current_snapshot(spark, target).groupBy("table_name").agg(F.count("*").alias("n"), F.sum("s_suppkey").alias("keys"))
+    return rows.join(told, "table_name", "left").na.fill(0)
+
+
+def _zip_of(folder):
+    """Write one archive per group of rows: a table member, and a damaged one beside it."""
+
+    def write(rows):
+        import io
+        import re
+        import zipfile
+
+        import pandas as pd
+        from pyarrow import fs
+
+        held = io.BytesIO()
+        with zipfile.ZipFile(held, "w", zipfile.ZIP_DEFLATED) as z:
+            z.writestr("deep/FNewAgents.csv", rows[["s_suppkey", "s_nationkey"]].to_csv(index=False, sep=";"))
+            z.writestr("FNewTorn.csv", "a;b\n" * 9_000)
+        raw = bytearray(held.getvalue())
+        at = raw.index(b"FNewTorn.csv") + 14
+        raw[at : at + 8] = b"\xff" * 8
+        store, root = fs.FileSystem.from_uri(re.sub("^file:/+", "file:///", folder)) if ":" in folder else (fs.LocalFileSystem(), folder)
+        store.create_dir(root, recursive=True)
+        name = f"export_{int(rows['part'].iloc[0])}.zip"
+        with store.open_output_stream(f"{root}/{name}") as out:
+            out.write(bytes(raw))
+        return pd.DataFrame({"name": [name]})
+
+    return write
+
+
+@query(
+    "archive_members_loaded",
+    """
+    select 'rows' as kind, count(*) as n, sum(s_suppkey)::bigint as keys from supplier
+    union all select 'errors', count(distinct s_suppkey // 50), null from supplier
+    """,
+)
+def archive_members_loaded(spark, folder):
+    """Suppliers go into archives of fifty, each beside a damaged member; the good members load whole, the bad ones are reported."""
+    work = f"{new_work_path(spark, 'zip')}/batch_2024-01-01"
+    suppliers = base_table(spark, folder, "supplier").selectExpr("s_suppkey", "s_nationkey", "cast(floor(s_suppkey / 50) as bigint) as part")
+    names = [r["name"] for r in suppliers.groupBy("part").applyInPandas(_zip_of(work), "name string").collect()]
+    members, errors = X.expand_archives(spark, [f"{work}/{n}" for n in names])
+    reader = spark.read.schema("s_suppkey bigint, s_nationkey int").option("header", True).option("sep", ";")
+    loaded = reader.csv([path for _, path in members])
+    rows = loaded.agg(F.lit("rows").alias("kind"), F.count("*").alias("n"), F.sum("s_suppkey").alias("keys"))
+    told = spark.range(1).select(F.lit("errors").alias("kind"), F.lit(len(errors)).cast("bigint").alias("n"), F.lit(None).cast("bigint").alias("keys"))
+    return rows.unionByName(told)
+
+
+@query(
+    "formats_round_trip",
+    "select f as format, count(*) as n, sum(s_suppkey)::bigint as keys from supplier, (values ('csv'), ('json'), ('orc'), ('parquet')) t(f) group by f",
+)
+def formats_round_trip(spark, folder):
+    """The reader is chosen by the extension of the file."""
+    suppliers = base_table(spark, folder, "supplier").select("s_suppkey", "s_nationkey", "s_acctbal")
+    parts = []
+    for kind in ("csv", "json", "orc", "parquet"):
+        path = f"{new_work_path(spark, 'format')}/FNewAgents.{kind}"
+        writer = suppliers.write.option("header", True) if kind == "csv" else suppliers.write
+        writer.format(kind).save(path)
+        parts.append(ST.read_table(spark, path).agg(F.lit(kind).alias("format"), F.count("*").alias("n"), F.sum("s_suppkey").cast("bigint").alias("keys")))
+    return parts[0].unionByName(parts[1]).unionByName(parts[2]).unionByName(parts[3])
+
+
+@query("documents_read", "select doc_id, md5(text) as digest from documents where text <> ''")
+def documents_read(spark, folder):
+    """Each document is written as a text file of its own and the folder is read back."""
+    path = new_work_path(spark, "texts")
+    documents = base_table(spark, folder, "documents").where("text <> ''")
+    documents.select("text", F.concat(F.col("doc_id").cast("string"), F.lit(".md")).alias("name")).repartition("name").write.partitionBy("name").option(
+        "lineSep", "\u0001"
+    ).text(path)
+    found = ST.read_documents(spark, path)
+    stem = F.regexp_extract("path", r"name=(\d+)\.md", 1).cast("bigint")
+    return found.select(stem.alias("doc_id"), F.md5(F.rtrim("text", F.lit("\u0001"))).alias("digest"))
+
+
+@query("csv_export", "select s_suppkey, s_nationkey, case when s_acctbal > 0 then 'True' else 'False' end as in_credit from supplier")
+def csv_export(spark, folder):
+    """Written with a byte-order mark and booleans as text, and read back."""
+    path = f"{new_work_path(spark, 'export')}/agents"
+    rows = base_table(spark, folder, "supplier").select("s_suppkey", "s_nationkey", (F.col("s_acctbal") > 0).alias("in_credit"))
+    K.export(rows, path, "CSV")
+    back = ST.read_csv(spark, path)
+    first = back.columns[0]
+    return back.select(F.col(f"`{first}`").cast("bigint").alias("s_suppkey"), "s_nationkey", F.initcap(F.col("in_credit").cast("string")).alias("in_credit"))
+
+
+@query(
+    "load_history",
+    """
+    select row_number() over (order by s_suppkey desc)::integer as place, 'f' || s_suppkey as file, s_nationkey::bigint as n_rows
+    from supplier where s_suppkey between 1 and 3
+    """,
+)
+def load_history(spark, folder):
+    """Three loads are recorded one after another and listed newest first."""
+    path = new_work_path(spark, "history")
+    suppliers = base_table(spark, folder, "supplier")
+    for k in (1, 2, 3):
+        rows = suppliers.where(F.col("s_suppkey") == k).select(
+            F.concat(F.lit("f"), "s_suppkey").alias("file"), F.lit("t").alias("table"), F.col("s_nationkey").cast("bigint").alias("n_rows"),
+            F.lit(None).cast("date").alias("export_date"), F.lit("folder").alias("source"),
+        )
+        K.record_loads(spark, path, rows)
+    listed = K.load_history(spark, path)
+    stamp = [c for c in listed.columns if c not in ("file", "table", "n_rows", "export_date", "source")][0]
+    return listed.select(F.row_number().over(Window.orderBy(F.desc(stamp))).alias("place"), "file", "n_rows")

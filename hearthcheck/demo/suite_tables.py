@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from hearthcheck.demo.registry import query
 from hearthcheck.demo.views import AS_OF, base_table, survey, view
+from hearthcheck.functions import scalars as S
 from hearthcheck.operators import joins as J
 from hearthcheck.operators import query as Q
 from hearthcheck.operators import stats as ST
@@ -108,13 +109,14 @@ def crosstab_margins(spark, folder):
     "crosstab_wide",
     """
     select coalesce(gender, 'Total') as row_value,
-      count(*) filter (where ethnic_gp = 1) as "1", count(*) filter (where ethnic_gp = 2) as "2", count(*) as "Total"
-    from individuals where ethnic_gp in (1, 2) and gender is not null group by grouping sets ((gender), ())
+    """
+    + ", ".join(f'count(*) filter (where ethnic_gp = {k}) as "{k}"' for k in range(1, 15))
+    + """, count(*) as "Total"
+    from individuals where ethnic_gp is not null and gender is not null group by grouping sets ((gender), ())
     """,
 )
 def crosstab_wide(spark, folder):
-    persons = view(spark, folder, "individuals").where("ethnic_gp in (1, 2)")
-    return ST.crosstab_wide(persons, "gender", "ethnic_gp", ["1", "2"])
+    return ST.crosstab_wide(view(spark, folder, "individuals"), "gender", "ethnic_gp", [str(k) for k in range(1, 15)])
 
 
 @query(
@@ -306,12 +308,20 @@ def coherence_report(spark, folder):
       from (select count(*) as k from education group by individid union all select count(*) from education group by socialgpid) q
     union all select 'FNewMigration_Out', 'duplicates', cast(coalesce(sum(case when k > 1 then k else 0 end), 0) as double)
       from (select count(*) as k from migration_out group by individid) q
-    """,
+    """
+    + "".join(
+        f" union all select '{t}', 'missing_rate', round(sum(r), 6) from ("
+        + " union all ".join(f"select round_even(avg(case when {c} is null then 1.0 else 0.0 end), 3) as r from {v}" for c in columns)
+        + ") q where r > 0 having count(*) > 0"
+        for t, v, columns in (
+            ("FNewEducation", "education", ("individid", "socialgpid", "education_level")),
+            ("FNewMigration_Out", "migration_out", ("individid", "depart_date")),
+        )
+    ),
 )
 def coherence_everywhere(spark, folder):
     report = ST.coherence_everywhere(survey(spark, folder, "FNewEducation", "FNewMigration_Out"), AS_OF)
-    grouped = report.groupBy(F.col("table").alias("table_name"), "kind").agg(F.sum("value").alias("value"))
-    return grouped.where("kind <> 'missing_rate'")
+    return report.groupBy(F.col("table").alias("table_name"), "kind").agg(F.round(F.sum("value"), 6).alias("value"))
 
 
 @query("table_summary", """
@@ -432,7 +442,7 @@ WINDOW = """
 select o_custkey, o_orderkey, rn, price_before from (
   select o_custkey, o_orderkey, row_number() over (partition by o_custkey order by o_orderdate, o_orderkey) as rn,
     lag(o_totalprice) over (partition by o_custkey order by o_orderdate, o_orderkey) as price_before
-  from orders) q where rn = 2 order by o_custkey limit 200
+  from orders) q where rn = 2 order by o_custkey
 """
 GROUPING = """
 select l_returnflag, l_linestatus, grouping(l_returnflag) + grouping(l_linestatus) as level,
@@ -441,7 +451,6 @@ select l_returnflag, l_linestatus, grouping(l_returnflag) + grouping(l_linestatu
 SET_OPS = """
 select c_custkey as person from customer where c_acctbal > 9000 union select o_custkey from orders where o_totalprice > 480000
 intersect select c_custkey from customer where c_nationkey < 12 except select o_custkey from orders where o_orderstatus = 'P' order by person
-limit 200
 """
 NESTED = """
 with big as (select "o_custkey", count(*) as n from orders group by "o_custkey" having count(*) >= 15)
@@ -449,7 +458,7 @@ select c.c_custkey, c.c_mktsegment, b.n, case when b.n > 18 then 'many' else 'so
 from customer c left join big b on b.o_custkey = c.c_custkey
 where exists (select 1 from orders o where o.o_custkey = c.c_custkey and o.o_totalprice between 400000 and 500000)
   and c.c_mktsegment like 'B%' and c.c_nationkey in (1, 2, 3) and b.n is not null
-order by c.c_custkey limit 200
+order by c.c_custkey
 """
 SCALARS = """
 select o_orderpriority, upper(substring(o_orderpriority, 3, 3)) as part, sum(abs(floor(o_totalprice) - ceil(o_totalprice))) as gap,
@@ -459,7 +468,7 @@ from orders group by o_orderpriority order by o_orderpriority
 
 
 def _sql(spark, folder, names, text):
-    return Q.run_sql(spark, TableSet({n: base_table(spark, folder, n) for n in names}), text)
+    return Q.run_sql(spark, TableSet({n: base_table(spark, folder, n) for n in names}), text, cap=None)
 
 
 @query("sql_three_way_join", THREE_WAY)
@@ -492,6 +501,98 @@ def sql_scalar_functions(spark, folder):
     return _sql(spark, folder, ("orders",), SCALARS)
 
 
+OUTER = """
+select coalesce(n.n_nationkey, -1) as nation, coalesce(s.s_suppkey, -1) as supplier, count(o.o_orderkey) as n
+from (select * from supplier where s_nationkey < 20) s full join (select * from nation where n_nationkey > 3) n on n.n_nationkey = s.s_nationkey
+right join customer c on c.c_nationkey = n.n_nationkey and c.c_acctbal > s.s_acctbal
+left join orders o on o.o_custkey = c.c_custkey and o.o_totalprice >= 100000
+where not exists (select 1 from orders p where p.o_custkey = c.c_custkey and p.o_orderstatus = 'P')
+group by coalesce(n.n_nationkey, -1), coalesce(s.s_suppkey, -1)
+"""
+FRAMES = """
+select o_orderkey, lead(o_orderkey) over w as next_order, rank() over w as place, dense_rank() over w as dense_place,
+  sum(o_totalprice) over (partition by o_custkey order by o_orderdate, o_orderkey rows between 2 preceding and current row) as of_three,
+  count(*) over (partition by o_custkey order by o_orderdate range between unbounded preceding and current row) as so_far
+from orders window w as (partition by o_custkey order by o_orderdate, o_orderkey)
+"""
+ROLLUPS = """
+select l_returnflag, l_linestatus, l_suppkey, count(*) as n from lineitem group by rollup (l_returnflag, l_linestatus, l_suppkey)
+union all select l_returnflag, l_linestatus, -1, count(*) from lineitem group by cube (l_returnflag, l_linestatus)
+"""
+NESTED_VALUES = """
+select o_orderkey, {size}({split}(o_orderpriority, '-')) as parts, {element} as first_part, {json} as status from orders
+"""
+SPARK_NESTED = NESTED_VALUES.format(
+    size="size", split="split", element="element_at(split(o_orderpriority, '-'), 1)",
+    json="get_json_object(to_json(named_struct('s', o_orderstatus)), '$.s')",
+)
+DUCK_NESTED = NESTED_VALUES.format(
+    size="len", split="string_split", element="string_split(o_orderpriority, '-')[1]", json="json_extract_string(to_json({'s': o_orderstatus}), '$.s')"
+).replace("as parts", "::integer as parts")
+
+
+@query("sql_outer_joins", OUTER)
+def sql_outer_joins(spark, folder):
+    return _sql(spark, folder, ("supplier", "nation", "customer", "orders"), OUTER)
+
+
+@query("sql_frames", FRAMES.replace(" as place", "::integer as place").replace("dense_rank() over w as", "(dense_rank() over w)::integer as"))
+def sql_frames(spark, folder):
+    return _sql(spark, folder, ("orders",), FRAMES)
+
+
+@query("sql_rollup_cube", ROLLUPS)
+def sql_rollup_cube(spark, folder):
+    return _sql(spark, folder, ("lineitem",), ROLLUPS)
+
+
+@query("sql_arrays_json", DUCK_NESTED)
+def sql_arrays_json(spark, folder):
+    return _sql(spark, folder, ("orders",), SPARK_NESTED)
+
+
+@query(
+    "lookup_gaps",
+    """
+    select o_orderkey, coalesce(m.c_mktsegment, 'Non renseigné') as segment from orders o left join (
+      select c_nationkey, min(case when c_custkey % 3 <> 0 then c_mktsegment end) as c_mktsegment from customer group by c_nationkey) m
+      on m.c_nationkey = o.o_custkey % 30
+    """,
+)
+def lookup_gaps(spark, folder):
+    """A reference with several rows a key, a third of them without a value, and keys it lacks."""
+    team = base_table(spark, folder, "customer").select("c_nationkey", F.when(F.col("c_custkey") % 3 != 0, F.col("c_mktsegment")).alias("segment_of"))
+    orders = base_table(spark, folder, "orders").select("o_orderkey", (F.col("o_custkey") % 30).cast("int").alias("agent"))
+    return J.lookup(orders, "agent", team, "c_nationkey", "segment_of", "segment").select("o_orderkey", "segment")
+
+
+@query("spec_leading_zeros", "select count(*) filter (where o_custkey = 7) as seven, 0::bigint as zeros from orders")
+def spec_leading_zeros(spark, folder):
+    """Text is compared, not amounts: 007 is no customer."""
+    orders = base_table(spark, folder, "orders")
+
+    def counted(value):
+        raw = {"operation": "compter", "filtres": [{"colonne": "o_custkey", "operateur": "==", "valeur": value}]}
+        return Q.run_spec(orders, Q.parse_spec(raw, orders.columns))
+
+    return counted("7").select(F.col("n").alias("seven"), counted("007").scalar().alias("zeros"))
+
+
+SPELLINGS = {
+    "%d/%m/%Y": "dd/MM/yyyy", "%Y/%m/%d": "yyyy/MM/dd", "%d.%m.%Y": "dd.MM.yyyy", "%Y%m%d": "yyyyMMdd", "%d/%m/%y": "dd/MM/yy",
+    "%-d %B %Y": "d MMMM yyyy", "%d/%m/%Y %H:%M:%S.5": "dd/MM/yyyy HH:mm:ss'.5'", "%Y-%m-%d": "yyyy-MM-dd",
+}
+
+
+@query("date_spellings", "\nunion all\n".join(f"select '{d}' as spelling, cast(o_orderdate as date) as day, count(*) as n from orders group by 2" for d in SPELLINGS))
+def date_spellings(spark, folder):
+    """Every order date written in every spelling and read back."""
+    days = base_table(spark, folder, "orders").select(F.col("o_orderdate").cast("timestamp_ntz").alias("d"))
+    written = [days.select(F.lit(name).alias("spelling"), F.date_format("d", how).alias("text")) for name, how in SPELLINGS.items()]
+    read = ST.union_all(written).select("spelling", S.parse_moment(F.col("text")).cast("date").alias("day"))
+    return read.groupBy("spelling", "day").agg(F.count("*").alias("n"))
+
+
 GROWTH = "select a.individid from presences a join pregnancies b on a.individid = b.individid"
 
 

@@ -31,8 +31,9 @@ ISO_DATE = r"^\s*\d{4}-\d{1,2}-\d{1,2}"
 SLASH_DATE = r"^\s*\d{1,2}/\d{1,2}/\d{4}"
 DASH_DATE = r"^\s*\d{1,2}-\d{1,2}-\d{4}"
 # Other shapes and how they are read; each text has one shape at most. A fraction of a second is cut off first.
+SHORT_YEAR = r"^\d{1,2}/\d{1,2}/\d{2}( |$)"
+LAST_SHORT_YEAR = 2068  # two digits up to 68 are of this century, the others of the last one
 OTHER_DATES = (
-    (r"^\d{1,2}/\d{1,2}/\d{2}( |$)", "d/M/yy[ H:mm[:ss]]"),
     (r"^\d{4}/\d{1,2}/\d{1,2}( |$)", "yyyy/M/d[ H:mm[:ss]]"),
     (r"^\d{1,2}[.]\d{1,2}[.]\d{4}( |$)", "d.M.yyyy[ H:mm[:ss]]"),
     (r"^(19|20)\d{6}$", "yyyyMMdd"),
@@ -150,7 +151,7 @@ def parse_moment(text: Column) -> Column:
 
     Null when none fits: month names in other languages than English, years of fewer digits than shown,
     month-first dates and times with a zone or of 12 hours behind a day-first date stay unread. Two-digit
-    years are of this century. The shape is tested before parsing so that no exception is raised and
+    years lie between 1969 and 2068. The shape is tested before parsing so that no exception is raised and
     swallowed per row.
     """
     t = F.regexp_replace(F.trim(text), r"^(\d{1,2}[/.-]\d{1,2}[/.-]\d{2,4} +\d{1,2}:\d{2}:\d{2})[.]\d+$", "$1")
@@ -160,7 +161,9 @@ def parse_moment(text: Column) -> Column:
     )
     iso = F.when(t.rlike(ISO_DATE), t.try_cast("timestamp_ntz"))
     others = [F.when(t.rlike(shape), F.try_to_timestamp(F.initcap(t), F.lit(how))) for shape, how in OTHER_DATES]
-    return F.coalesce(day_first.cast("timestamp_ntz"), iso, F.coalesce(*others).cast("timestamp_ntz"))
+    short = F.when(t.rlike(SHORT_YEAR), F.try_to_timestamp(t, F.lit("d/M/yy[ H:mm[:ss]]"))).cast("timestamp_ntz")
+    short = F.when(F.year(short) > LAST_SHORT_YEAR, short - F.make_ym_interval(F.lit(100))).otherwise(short)
+    return F.coalesce(day_first.cast("timestamp_ntz"), iso, short, F.coalesce(*others).cast("timestamp_ntz"))
 
 
 def moment(df: DataFrame, name: str) -> Column:

@@ -16,11 +16,13 @@ from pyspark.sql import functions as F
 
 from hearthcheck.functions import scalars as S
 from hearthcheck.operators.skew import join_reference
+from hearthcheck.operators.stats import union_all
 from hearthcheck.plans import patterns as P
+from hearthcheck.session import new_work_path
 
 WORD = r"[\p{L}\p{N}_]{2,}"
-# Up to this many question terms are held by every task; larger batches are joined on terms instead.
-HELD_TERMS = 500_000
+# Questions held by every task at a time; a larger batch takes one pass over the passages per block.
+BLOCK_QUESTIONS = 1_000
 SCORE_DIGITS = 6
 ROWS_PER_ROUND = 256
 
@@ -150,12 +152,16 @@ def inverse_frequencies(
 def build_index(
     passages_df: DataFrame, ids: Sequence[str] = ("source", "passage_no"), max_share: float = P.MAX_DOCUMENT_SHARE
 ) -> PassageIndex:
-    """Fit the index. Lazy: save it, or it is computed anew by every use."""
+    """Fit the index. Texts are cut into terms once, into counts written to the shared folder; the rest is
+    lazy: save the index, or it is computed from them anew by every use."""
+    spark = passages_df.sparkSession
     n_passages = passages_df.agg(F.count(F.lit(1)).alias("n")).scalar()
-    counts = term_counts(passages_df, ids)
+    path = new_work_path(spark, "term-counts")
+    term_counts(passages_df, ids).write.parquet(path)
+    counts = spark.read.parquet(path)
     idf = inverse_frequencies(counts, n_passages, max_share)
-    known = join_reference(counts, F.col("term"), idf.select(F.col("term").alias("_t"), "idf"), "_t", "left")
-    weighted = known.where(F.col("idf").isNotNull()).select(*ids, "term", (F.col("tf") * F.col("idf")).alias("w"))
+    known = join_reference(counts, F.col("term"), idf.select(F.col("term").alias("_t"), "idf"), "_t", "inner")
+    weighted = known.select(*ids, "term", (F.col("tf") * F.col("idf")).alias("w"))
     # The terms of one passage: a group as small as a passage.
     gathered = weighted.groupBy(*ids).agg(
         F.collect_list(F.struct("term", "w")).alias("cells"), F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm")
@@ -196,25 +202,30 @@ def rank_passages(
     boosted: Sequence[str] = (),
     boost: float = P.PRIORITY_BOOST,
     source: str = "source",
-    held_terms: int = HELD_TERMS,
+    block: int = BLOCK_QUESTIONS,
 ) -> DataFrame:
     """The ``k`` best passages of each question with a positive score: ``query_id, ids, score, rank``.
 
     Scores are cosines, multiplied by ``boost`` for the named sources; ties go to the lowest ids.
 
-    A batch of questions whose terms fit ``held_terms`` is held by every task: passages stream by,
-    each task scores its passages against all questions and keeps its own best, so no pair of
-    question and passage is ever shuffled. A larger batch is joined to the postings on terms.
+    Questions are cut into blocks of about ``block``. The vectors of one block are held by every task:
+    passages stream by, each task scores its passages against the whole block and keeps its own best, so
+    no pair of question and passage is ever shuffled.
     """
+    spark = index.passages.sparkSession
+    path = new_work_path(spark, "question-vectors")
+    blocks = max(1, -(-questions.count() // block))
     vectors = query_vectors(index.idf, questions, question_id, text)
-    held = vectors.limit(held_terms + 1).toPandas() if held_terms else None
-    if held is not None and len(held) <= held_terms:
-        query_type = vectors.schema["query_id"].dataType.simpleString()
-        best = _rank_against_held(index, held, query_type, k, boosted, boost, source)
-    else:
-        best = _score_by_join(index, vectors, boosted, boost, source)
+    vectors.withColumn("_block", F.pmod(F.xxhash64("query_id"), F.lit(blocks))).write.partitionBy("_block").parquet(path)
+    kinds = vectors.schema.simpleString()[7:-1].replace(":", " ")
+    written = spark.read.schema(f"{kinds}, _block bigint").parquet(path)
+    query_type = vectors.schema["query_id"].dataType.simpleString()
+    parts = []
+    for number in range(blocks):
+        held = written.where(F.col("_block") == number).select("query_id", "term", "weight").toPandas()
+        parts.append(_rank_against_held(index, held, query_type, k, boosted, boost, source))
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), *[F.asc(c) for c in index.ids])
-    return best.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+    return union_all(parts).withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 
 
 def _boost(score: Column, boosted: Sequence[str], boost: float, source: str) -> Column:
@@ -223,17 +234,6 @@ def _boost(score: Column, boosted: Sequence[str], boost: float, source: str) ->
     return F.when(S.column(source).isin(*boosted), score * boost).otherwise(score)
 
 
-def _score_by_join(
-    index: PassageIndex, vectors: DataFrame, boosted: Sequence[str], boost: float, source: str
-) -> DataFrame:
-    ids = list(index.ids)
-    products = vectors.withColumnRenamed("weight", "_q").join(index.postings, "term")
-    scores = products.groupBy("query_id", *ids).agg(F.sum(F.col("_q") * F.col("weight")).alias("score"))
-    return scores.withColumn("score", F.round(_boost(F.col("score"), boosted, boost, source), SCORE_DIGITS)).where(
-        F.col("score") > 0
-    )
-
-
 def _rank_against_held(
     index: PassageIndex,
     held: pd.DataFrame,
@@ -277,13 +277,16 @@ def _rank_against_held(
         for batch in batches:
             for start in range(0, len(batch), per_round):
                 block = batch.iloc[start : start + per_round]
-                scores = np.zeros((len(block), len(questions)))
-                for line, line_terms, line_weights in zip(scores, block["terms"], block["weights"]):
-                    found = words.get_indexer(line_terms)
-                    hits = np.flatnonzero(found >= 0)
-                    for t, w in zip(found[hits], line_weights[hits]):
-                        span = slice(first[t], first[t + 1])
-                        line[column[span]] += w * weight[span]
+                # every term of the block at once: each meets the questions that hold it
+                own = np.repeat(np.arange(len(block)), block["terms"].str.len().to_numpy())
+                found = words.get_indexer(np.concatenate(block["terms"].to_numpy()))
+                hits = np.flatnonzero(found >= 0)
+                times = first[found[hits] + 1] - first[found[hits]]
+                ends = np.cumsum(times)
+                places = np.arange(ends[-1] if len(ends) else 0) - np.repeat(ends - times, times) + np.repeat(first[found[hits]], times)
+                cells = np.repeat(own[hits] * len(questions), times) + column[places]
+                products = np.repeat(np.concatenate(block["weights"].to_numpy())[hits], times) * weight[places]
+                scores = np.bincount(cells, products, len(block) * len(questions)).reshape(len(block), -1)
                 scores = np.round(scores * block["factor"].to_numpy()[:, None], digits)
                 # Only scores reaching a question's current k-th best can still matter.
                 row, question = np.nonzero((scores > 0) & (scores >= floor))

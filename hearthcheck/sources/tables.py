@@ -141,9 +141,8 @@ def read_documents(
 ) -> DataFrame:
     """Whole text files: ``path, stem, modified, text``. Other extensions and ignored names are left out."""
     files = (
-        spark.read.option("wholetext", True)
-        .option("recursiveFileLookup", "true")
-        .text(folder)
+        spark.read.option("recursiveFileLookup", "true")
+        .text(folder, wholetext=True)
         .select(
             F.col("_metadata.file_path").alias("path"),
             F.col("_metadata.file_modification_time").alias("modified"),

@@ -62,13 +62,13 @@ def by_hand(passages, question):
     return sorted(((round(s, 6), key) for key, s in scores.items() if s > 0), key=lambda p: (-p[0], p[1]))
 
 
-@pytest.mark.parametrize("held", [T.HELD_TERMS, 0])
-def test_ranking_equals_the_formula(make, documents, held):
+@pytest.mark.parametrize("block", [T.BLOCK_QUESTIONS, 1])
+def test_ranking_equals_the_formula(make, documents, block):
     index = T.build_index(T.passages(documents, "source", "text"))
     passages = {(r["source"], r["passage_no"]): r["text"] for r in index.passages.collect()}
     asked = {1: "what is the father of a person", 2: "nature of the wall", 3: "zzz"}
     questions = make("id int, q string", *asked.items())
-    ranked = T.rank_passages(index, questions, "id", "q", k=2, held_terms=held).collect()
+    ranked = T.rank_passages(index, questions, "id", "q", k=2, block=block).collect()
     for number, text in asked.items():
         got = [(r["score"], (r["source"], r["passage_no"])) for r in sorted(ranked, key=lambda r: r["rank"]) if r["query_id"] == number]
         assert got == by_hand(passages, text)[:2]

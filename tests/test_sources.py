@@ -123,9 +123,9 @@ def test_folder_with_an_archive_only(spark, tmp_path):
 
 def test_documents_and_pending_conversions(spark, make, tmp_path):
     for name in ("a.txt", "b.md", "c.pdf", "Skip.txt"):
-        write(tmp_path, name, f"text of {name}")
+        write(tmp_path, name, f"text of {name}\nsecond line")
     found = ST.read_documents(spark, str(tmp_path), ignored_stems=["skip"])
-    assert as_set(found, "stem", "text") == {("a", "text of a.txt"), ("b", "text of b.md")}
+    assert as_set(found, "stem", "text") == {("a", "text of a.txt\nsecond line"), ("b", "text of b.md\nsecond line")}
     sources = make("stem string, modified int, text string", ("a", 5, "x"), ("b", 5, "x"), ("c", 5, " "), ("d", 5, "x"))
     done = make("stem string, modified int", ("a", 5), ("b", 4))
     assert as_set(ST.documents_to_convert(sources, done), "stem") == {"b", "d"}
