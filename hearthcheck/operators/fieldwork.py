@@ -42,16 +42,33 @@ def agent_quality(
         agent = found[0]
     require_columns(df, agent)
     ids = [c for c in (R.id_columns(df) if ids is None else ids) if c != agent]
-    dates = R.date_columns(df) if dates is None else list(dates)
+    texts = R.text_columns(df) if dates is None else []
+    dates = R.typed_dates(df) if dates is None else list(dates)
     who = S.column(agent)
 
     bad_dates = sum((S.as_flag(implausible_date(df, c, as_of)) for c in dates), F.lit(0).cast("bigint"))
+    # text columns are counted per agent as if they were dates; whether they are is known from all agents together
+    judged = [
+        F.struct(
+            F.sum(S.as_flag(implausible_date(df, c, as_of))).alias("bad"),
+            F.sum(S.as_flag(S.parse_moment(S.column(c)).isNotNull())).alias("parsed"),
+            F.count(S.column(c)).alias("filled"),
+        ).alias(f"t{i}")
+        for i, c in enumerate(texts)
+    ]
     missing = sum((S.as_flag(S.column(c).isNull()) for c in df.columns), F.lit(0).cast("bigint"))
     per_agent = df.groupBy(who.alias("agent")).agg(
         F.count(F.lit(1)).alias("n_forms"),
         F.sum(bad_dates).alias("implausible_dates"),
         F.bround(F.avg(missing / F.lit(float(len(df.columns)))), 3).alias("mean_missing_rate"),
+        *judged,
     )
+    if texts:
+        shares = per_agent.agg(
+            F.array(*[F.try_divide(F.sum(f"t{i}.parsed"), F.sum(f"t{i}.filled")) for i in range(len(texts))]).alias("s")
+        ).scalar()
+        more = [F.when(F.get(shares, F.lit(i)) > P.DATE_SHARE, F.col(f"t{i}.bad")).otherwise(F.lit(0)) for i in range(len(texts))]
+        per_agent = per_agent.withColumn("implausible_dates", sum(more, F.col("implausible_dates")))
     if not ids:
         return per_agent.withColumn("duplicate_ids", F.lit(0).cast("bigint")).select(*QUALITY_COLUMNS)
 
@@ -97,10 +114,10 @@ def _visit_link(tables: TableSet, name: str) -> tuple[str, DataFrame, str, str]
     return cited, tables[table], own, agent
 
 
-def with_agent(tables: TableSet, name: str, check_match: bool = True) -> tuple[DataFrame, str | None]:
+def with_agent(tables: TableSet, name: str, check_match: bool = False) -> tuple[DataFrame, str | None]:
     """The table and its agent column: its own, else one looked up through the visit it cites.
 
-    With ``check_match`` an agent column that no row could fill counts as none.
+    With ``check_match`` the lookup is run at once, and an agent column that no row could fill counts as none.
     """
     df = tables[name]
     direct = R.agent_columns(df)
@@ -148,9 +165,10 @@ def _counts_by_agent(tables: TableSet, name: str, agent: str | None) -> DataFram
     per_visit = df.groupBy(S.key_column(df, cited, as_text).alias("_visit")).agg(F.count(F.lit(1)).alias("n"))
     keyed = visits.withColumn("_own", S.key_column(visits, own, as_text))
     known = one_per_key(keyed, "_own", agent_column)
-    if known.join(per_visit, F.col("_lookup") == F.col("_visit"), "left_semi").isEmpty():
-        return None
     joined = per_visit.join(known, F.col("_visit") == F.col("_lookup"), "left")
+    # a table none of whose visits is known says nothing about agents
+    matched = joined.agg(F.count("_lookup").alias("m")).scalar()
+    joined = joined.where(matched > 0)
     return joined.groupBy(_agent_text(F.col("_found")).alias("agent")).agg(F.sum("n").alias("n"))
 
 
@@ -232,7 +250,8 @@ def agent_daily(tables: TableSet, agent: str | None = None, dates: Sequence[str]
     for name in ordered:
         if _is_team_table(tables[name]):
             continue
-        day = next(iter(dates if dates is not None else R.date_columns(tables[name])), None)
+        # typed dates are known without a look; only a table without any has its text columns read
+        day = next(iter(dates if dates is not None else R.typed_dates(tables[name]) or R.date_columns(tables[name])), None)
         if day is None or day not in tables[name].columns:
             continue
         if agent and agent in tables[name].columns:
@@ -350,14 +369,12 @@ def search_identifiers(tables: TableSet, wanted: DataFrame, column: str) -> Data
         ids = R.id_columns(df)
         if not ids:
             continue
-        values = F.array_distinct(
-            F.array_compact(F.array(*[F.lower(F.trim(S.exact_text(df, c))) for c in ids]))
-        )
+        values = F.array_distinct(F.array_compact(F.array(*[F.lower(F.trim(S.exact_text(df, c))) for c in ids])))
+        cells = df.withColumn("_value", F.explode(values))
+        found = join_reference(cells, F.col("_value"), keys, "identifier", "left_semi")
+        # rows become text only where they are wanted
         row = F.to_json(F.struct(*[S.column(c) for c in df.columns]))
-        cells = df.select(F.lit(name).alias("table"), row.alias("row"), F.explode(values).alias("value"))
-        parts.append(cells)
+        parts.append(found.select(F.col("_value").alias("identifier"), F.lit(name).alias("table"), row.alias("row")))
     if not parts:
         raise ValueError("No loaded table has an identifier column.")
-    cells = union_all(parts)
-    found = join_reference(cells, F.col("value"), keys, "identifier", "left_semi")
-    return found.select(F.col("value").alias("identifier"), "table", "row")
+    return union_all(parts)

@@ -110,10 +110,13 @@ def largest_cell(df: DataFrame, first: str, second: str) -> DataFrame:
 # ---------------------------------------------------------------------- correlation
 
 
-def correlation_pairs(df: DataFrame, columns: Sequence[str] | None = None, digits: int = 3) -> DataFrame:
+def correlation_pairs(
+    df: DataFrame, columns: Sequence[str] | None = None, digits: int = 3, whole: bool = False
+) -> DataFrame:
     """Pearson correlation of every pair of numeric columns, over the rows where both are filled.
 
-    One pass for all pairs. A column that does not vary has no correlation (null).
+    One pass for all pairs. A column that does not vary has no correlation (null). ``whole`` adds the
+    mirrored pairs and the diagonal, from the same pass.
     """
     numeric = R.numeric_columns(df)
     chosen = [c for c in (numeric if columns is None else columns) if c in numeric]
@@ -128,41 +131,21 @@ def correlation_pairs(df: DataFrame, columns: Sequence[str] | None = None, digit
             F.stddev_pop(F.when(value[b].isNotNull(), value[a])).alias(f"a{k}"),
             F.stddev_pop(F.when(value[a].isNotNull(), value[b])).alias(f"b{k}"),
         ]
-    entries = F.array(
-        *[
-            F.struct(
-                F.lit(a).alias("column_a"),
-                F.lit(b).alias("column_b"),
-                F.round(F.try_divide(F.col(f"c{k}"), F.col(f"a{k}") * F.col(f"b{k}")), digits).alias("r"),
-            )
-            for k, (a, b) in enumerate(pairs)
-        ]
-    )
-    return df.agg(*moments).select(F.explode(entries).alias("e")).select("e.*")
+    def cell(a: str, b: str, r: Column) -> Column:
+        return F.struct(F.lit(a).alias("column_a"), F.lit(b).alias("column_b"), r.alias("r"))
+
+    shares = [F.round(F.try_divide(F.col(f"c{k}"), F.col(f"a{k}") * F.col(f"b{k}")), digits) for k in range(len(pairs))]
+    entries = [cell(a, b, r) for (a, b), r in zip(pairs, shares)]
+    if whole:
+        moments += [F.stddev_pop(value[c]).alias(f"v{i}") for i, c in enumerate(chosen)]
+        entries += [cell(b, a, r) for (a, b), r in zip(pairs, shares)]
+        entries += [cell(c, c, F.when(F.col(f"v{i}") > 0, F.lit(1.0))) for i, c in enumerate(chosen)]
+    return df.agg(*moments).select(F.explode(F.array(*entries)).alias("e")).select("e.*")
 
 
 def correlation_matrix(df: DataFrame, columns: Sequence[str] | None = None, digits: int = 3) -> DataFrame:
     """The full matrix in long form: both triangles and the diagonal."""
-    pairs = correlation_pairs(df, columns, digits)
-    numeric = R.numeric_columns(df)
-    chosen = [c for c in (numeric if columns is None else columns) if c in numeric]
-    varies = df.agg(*[F.stddev_pop(S.numeric(df, c)).alias(f"v{i}") for i, c in enumerate(chosen)])
-    diagonal = varies.select(
-        F.explode(
-            F.array(
-                *[
-                    F.struct(
-                        F.lit(c).alias("column_a"),
-                        F.lit(c).alias("column_b"),
-                        F.when(F.col(f"v{i}") > 0, F.lit(1.0)).alias("r"),
-                    )
-                    for i, c in enumerate(chosen)
-                ]
-            )
-        ).alias("e")
-    ).select("e.*")
-    mirrored = pairs.select(F.col("column_b").alias("column_a"), F.col("column_a").alias("column_b"), "r")
-    return union_all([pairs, mirrored, diagonal])
+    return correlation_pairs(df, columns, digits, whole=True)
 
 
 def strongest_correlation(df: DataFrame, columns: Sequence[str] | None = None, digits: int = 3) -> DataFrame:
@@ -276,28 +259,35 @@ def coherence_report(
     """Row count, duplicates per identifier, implausible dates per date column, missing rates.
 
     Long form (kind, column, value). Checked columns without a finding appear with 0, so what
-    was examined is always visible. Columns are detected when not given.
+    was examined is always visible. Columns are detected when not given; text columns are judged as
+    dates by the report's own aggregate.
     """
     ids = R.id_columns(df) if ids is None else list(ids)
-    dates = R.date_columns(df) if dates is None else list(dates)
+    texts = R.text_columns(df) if dates is None else []
+    dates = [c for c in df.columns if c in (*R.typed_dates(df), *texts)] if dates is None else list(dates)
     one_row = df.agg(
         F.count(F.lit(1)).alias("rows"),
         *[F.sum(S.as_flag(implausible_date(df, c, as_of))).alias(f"d{i}") for i, c in enumerate(dates)],
         *[F.avg(S.as_flag(S.column(c).isNull())).alias(f"m{i}") for i, c in enumerate(df.columns)],
+        *[R.parsed_share(c).alias(f"p{i}") for i, c in enumerate(dates) if c in texts],
     )
 
+    def found(i: int, c: str) -> Column:
+        value = F.coalesce(F.col(f"d{i}"), F.lit(0))
+        return F.when(F.col(f"p{i}") > P.DATE_SHARE, value) if c in texts else value
+
     def entry(kind: str, column: str | None, value: Column) -> Column:
         return F.struct(
             F.lit(kind).alias("kind"), F.lit(column).cast("string").alias("column"), value.cast("double").alias("value")
         )
 
     entries = [entry("rows", None, F.col("rows"))]
-    entries += [entry("implausible_dates", c, F.coalesce(F.col(f"d{i}"), F.lit(0))) for i, c in enumerate(dates)]
+    entries += [entry("implausible_dates", c, found(i, c)) for i, c in enumerate(dates)]
     entries += [entry("missing_rate", c, F.bround(F.col(f"m{i}"), 3)) for i, c in enumerate(df.columns)]
     report = (
         one_row.select(F.explode(F.array(*entries)).alias("e"))
         .select("e.*")
-        .where((F.col("kind") != "missing_rate") | (F.col("value") > 0))
+        .where(F.col("value").isNotNull() & ((F.col("kind") != "missing_rate") | (F.col("value") > 0)))
     )
     if not ids:
         return report

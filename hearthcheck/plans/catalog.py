@@ -115,13 +115,12 @@ class TableSet(Mapping[str, DataFrame]):
         return found
 
     def resolve_pair(self, mentioned: Sequence[str]) -> tuple[str, str] | None:
-        """The two tables meant: both named, or one named while only two are loaded."""
-        if len(mentioned) >= 2:
-            return mentioned[0], mentioned[1]
-        others = [n for n in self if n not in mentioned]
-        if len(mentioned) == 1 and len(self) == 2 and len(others) == 1:
-            return mentioned[0], others[0]
-        return None
+        """The two tables meant: the first two named, or the one named and the only one left."""
+        pair = list(dict.fromkeys(mentioned))
+        left = [n for n in self if n not in pair]
+        if len(pair) == len(left) == 1:
+            pair += left
+        return (pair[0], pair[1]) if len(pair) > 1 else None
 
     def describe_schema(self) -> list[str]:
         """One line per table, then confirmed links, then shared columns that are not confirmed keys."""

@@ -161,3 +161,13 @@ TOP_PASSAGES = 5
 PRIORITY_BOOST = 1.5
 WEAK_SCORE = 0.12
 HISTORY_TURNS = 6
+
+# How a turn gives a goal, an identifier or a list of agents, and the words before an ambiguous alias.
+GOAL_NUMBER = r"objectif\D{0,15}?(\d[\d\s.,]*)"
+LONE_NUMBER = r"(?U)\b(\d+)\b"
+IDENTIFIER_WORD = r"[A-Za-z0-9_\-]{3,}"
+EXCLUDE_AGENTS = r"(?U)exclu\w*|sans les agents?|hors agents?"
+AGENT_LIST = r"(?U)agents?\s*[:\-]?\s*(\w[\w,\s]*)$"
+LIST_SEPARATOR = r"[,;]| et "
+ARTICLE = r"(?:la\s+|le\s+|les\s+|l['’]\s*|de\s+la\s+|des\s+)?"
+SHORTEST_ALIAS = 4

@@ -59,19 +59,29 @@ def antenatal_dates(df: DataFrame) -> list[str]:
     return [c for _, c in sorted(numbered)]
 
 
+def text_columns(df: DataFrame) -> list[str]:
+    return [f.name for f in df.schema.fields if S.is_text(f.dataType)]
+
+
+def typed_dates(df: DataFrame) -> list[str]:
+    return [f.name for f in df.schema.fields if S.is_temporal(f.dataType)]
+
+
+def parsed_share(name: str) -> Column:
+    """Aggregate: the share of a text column's filled values that are dates."""
+    return F.avg(F.when(S.column(name).isNotNull(), S.as_flag(S.parse_moment(S.column(name)).isNotNull())))
+
+
 def date_columns(df: DataFrame, share: float = P.DATE_SHARE) -> list[str]:
     """Date-typed columns, plus text columns where more than ``share`` of the filled values parse.
 
-    Text columns are judged together in one aggregate over the table; typed columns cost nothing.
+    Text columns are judged together in one aggregate over the table, which runs at once: reports that go
+    over the table anyway judge them in their own aggregate instead (``text_columns``, ``parsed_share``).
     """
-    texts = [f.name for f in df.schema.fields if S.is_text(f.dataType)]
+    texts = text_columns(df)
     judged: dict[str, float | None] = {}
     if texts:
-        parsed: list[Column] = [
-            F.avg(F.when(S.column(c).isNotNull(), S.as_flag(S.parse_moment(S.column(c)).isNotNull()))).alias(f"s{i}")
-            for i, c in enumerate(texts)
-        ]
-        row = df.agg(*parsed).first()
+        row = df.agg(*[parsed_share(c).alias(f"s{i}") for i, c in enumerate(texts)]).first()
         judged = {c: row[i] for i, c in enumerate(texts)}
     return [
         f.name

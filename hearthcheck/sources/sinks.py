@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
+import itertools
 import re
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -17,21 +18,23 @@ NAME_LENGTH = 32
 
 
 def restricted_names(columns: Sequence[str], length: int = NAME_LENGTH) -> list[str]:
-    """Names of letters, digits and underscores that start with a letter, fit the length and stay unique."""
-    taken: set[str] = set()
-    result = []
-    for column in columns:
-        name = re.sub(r"[^A-Za-z0-9_]", "_", column)
-        if not re.match(r"[A-Za-z_]", name):
-            name = "v_" + name
-        stem = name = name[:length]
-        tries = 0
-        while name in taken:
-            tries += 1
-            name = f"{stem[: length - len(str(tries)) - 1]}_{tries}"
-        taken.add(name)
-        result.append(name)
-    return result
+    """Names of letters, digits and underscores that start with a letter, fit the length and stay unique.
+
+    Columns whose names come out alike are numbered among themselves, past every name that is free of a clash.
+    """
+    stems = [re.sub(r"\W", "_", re.sub(r"^(?![A-Za-z_])", "v_", c), flags=re.ASCII)[:length] for c in columns]
+    given = set(stems)
+
+    def names_of(stem: str) -> Iterator[str]:
+        yield stem
+        for number in itertools.count(1):
+            name = f"{stem[: length - len(str(number)) - 1]}_{number}"
+            if name not in given:
+                given.add(name)
+                yield name
+
+    supply = {stem: names_of(stem) for stem in given.copy()}
+    return [next(supply[stem]) for stem in stems]
 
 
 def with_restricted_names(df: DataFrame, length: int = NAME_LENGTH) -> DataFrame:

@@ -64,7 +64,7 @@ def test_agent_found_through_the_visit(make):
     found = as_set(W.agent_volume_long(tables))
     assert ("A", "Naissances enregistrées", 2) in found
     unmatched = TableSet({"naissances": make("enquete_id int", (9,)), "visites": tables["visites"]})
-    assert W.with_agent(unmatched, "naissances")[1] is None
+    assert W.with_agent(unmatched, "naissances", check_match=True)[1] is None
 
 
 def test_quality_counts_missing_identifiers_as_duplicates(make):
@@ -99,3 +99,19 @@ def test_identifier_search_over_all_tables(make):
     assert as_set(W.search_identifiers(tables, wanted, "w"), "identifier", "table") == {
         ("1024", "a"), ("7", "a"), ("1024", "b"), ("1024", "d"),
     }
+
+
+def test_reports_start_no_job_before_an_action(spark, make):
+    from hearthcheck.operators import stats as ST
+
+    rows = make("individid int, agent string, day string, enquete_id int", (1, "A", "01/02/2020", 5), (2, "B", "x", 6))
+    visits = make("enquete_id int, field_wrkr string", (5, "A"))
+    tables = TableSet({"FNewPresences": rows, "FNewVisits": visits})
+    tracker = spark.sparkContext.statusTracker()
+    spark.sparkContext.setJobGroup("plan", "building plans")
+    try:
+        reports = [W.agent_quality(rows), ST.coherence_report(rows), W.agent_volume(tables), ST.correlation_matrix(rows)]
+        assert list(tracker.getJobIdsForGroup("plan")) == []
+        assert all(r.count() for r in reports)
+    finally:
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
