@@ -24,14 +24,25 @@ def fold(doc_id: str = "doc_id") -> Column:
     return F.crc32(F.col(doc_id).cast("string")) % FOLDS
 
 
+_WORK: list[str] = []
+
+
 def stored(df: DataFrame, label: str) -> DataFrame:
     """Write to the shared folder and read back: cuts lineage, survives lost executors, is computed once."""
     spark = df.sparkSession
     path = new_work_path(spark, label)
     df.write.parquet(path)
+    _WORK.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def forget_work(spark: SparkSession) -> None:
+    """Delete what ``stored`` has written so far in this process: call it once all results built on it are written."""
+    while _WORK:
+        path = spark._jvm.org.apache.hadoop.fs.Path(_WORK.pop())
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def slices(batches: Iterable[pa.RecordBatch], text: str = "text", most: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
     """Cut record batches so that each piece holds about ``most`` bytes of text, and at least one row."""
     for batch in batches:

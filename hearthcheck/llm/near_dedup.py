@@ -210,7 +210,9 @@ def _links(sketched: DataFrame, nodes: DataFrame, text_col: str, least: float) -
     """Verified links (leader, node) between nodes."""
     members = stored(_shared(nodes), "near-buckets")
     texts = sketched.select("row", F.lower(F.col("doc").getField(text_col)).alias("lower"))
-    texts = stored(texts.join(members.select(F.col("node").alias("row")).distinct(), "row", "left_semi"), "near-texts")
+    # never broadcast: the nodes grow with the corpus, and one plan should hold at every size
+    wanted = members.select(F.col("node").alias("row")).distinct().hint("merge")
+    texts = stored(texts.join(wanted, "row", "left_semi"), "near-texts")
     done = verified(_first_pairs(members, least), texts, least)
     near = done.where(F.col("similarity") >= least).select("leader", "node")
     pairs = _further_pairs(members, components(near), least)

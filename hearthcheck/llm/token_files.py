@@ -36,7 +36,7 @@ TAIL = 8 + 6 * 8
 BLOCK = 4096
 END_ID = 0
 SHARD_CHARS = 64 << 20
-CACHE_UNITS = 300_000
+CACHE_UNITS = 500_000
 JOINED_UNITS = 2_000
 NO_ID = -(1 << 63)
 
