@@ -20,7 +20,7 @@ HEADLINE = (
     "duplicates_by_id", "coherence_report", "sample_fixed", "spec_count", "spec_list", "sql_three_way_join",
     "fusion", "difference_both", "overlap", "lookup_default", "audit_row_checks", "audit_full", "agent_quality",
     "agent_volume", "agent_daily", "id_search", "id_search_batch", "clean_text", "passages", "tfidf_terms",
-    "tfidf_topk", "mention_tags", "context_carry", "latest_export",
+    "tfidf_weights", "tfidf_topk", "mention_tags", "context_carry", "latest_export",
 )
 
 
