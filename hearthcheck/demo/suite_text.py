@@ -38,7 +38,7 @@ def clean_text(spark, folder):
 
 @query(
     "document_header",
-    """
+    r"""
     select doc_id, md5('Document: ' || source || chr(10) || chr(10) || regexp_replace(regexp_replace(regexp_replace(text,
       '[ \t]+(\n|\z)', '\1', 'g'), '\n{3,}', chr(10) || chr(10), 'g'), '^[ \t\n]+|[ \t\n]+\z', '', 'g')) as digest from documents
     """,
@@ -73,7 +73,7 @@ def passages(spark, folder):
 
 @query(
     "passages_blank_lines",
-    """
+    r"""
     with bodies as (select doc_id as source, string_split_regex(trim(replace(text, chr(10), chr(10) || ' ' || chr(10)), chr(10) || ' '),
         '\n\s*\n') as blocks from documents where length(trim(text, chr(10) || ' ')) > 0),
       cut as (select source, trim(blocks[1], chr(10) || ' ') as first_line, unnest(case when len(blocks) > 1 then blocks[2:] else blocks end) as block,
