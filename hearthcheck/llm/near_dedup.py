@@ -6,13 +6,14 @@ shingles in the same order. Two texts are linked if the share of shingles that a
 all shingles of both, is at least ``SIMILARITY``. Groups are the connected components of links.
 
 Equal word sequences are one node from the start (combined on the map side), so a large group of copies costs one row per
-task. In a bucket every text is compared with one leader, the one that meets most others, not with all. Where a bucket
-then still holds several components, buckets of at most ``SMALL`` texts compare all pairs across components; in larger
-ones each text outside the largest component meets ``DRAWS`` seeded leaders in each of its buckets (up to ``SKETCHES`` x
-``DRAWS`` in all). So links are exact among the buckets of small groups, and in very large groups a text can be left out
-only if it resembles very few of its many neighbours; the tests and the README give the measured recall. Leaders of many
-pairs are dealt out in parts by their counted pairs. Before any text moves, pairs whose shingle counts alone rule out the
-similarity are left out; that loses none.
+task. In a bucket every text is compared with one leader, the one that meets most others. Where a bucket then still holds
+several components, buckets of at most ``SMALL`` texts compare all pairs across components; in larger ones each text
+outside the largest component first meets ``DRAWS`` seeded leaders, which only joins components early. Buckets that still
+hold several components then settle every pair across them, in blocks of ``SIDE`` x ``SIDE`` texts dealt to tasks: so any
+two texts of one bucket are compared, known to be in one component, or ruled out without loss. What rules out is an upper
+bound of the similarity, from shingle counts alone, and in large buckets from how many shingles fall into each of ``BINS``
+classes: two texts share no more than the smaller number of each class. Leaders of many pairs are dealt out in parts by
+their counted pairs.
 
 Texts without words are grouped when equal character by character; texts of fewer than five words have one shingle. Null
 text counts as empty. Null ids rank last; of repeated rows one stays. No rows give no rows. Texts are read whole.
@@ -39,6 +40,8 @@ SIMILARITY = 0.8
 PART_PAIRS = 256
 SMALL = 32
 DRAWS = 4
+SIDE = 2048
+BINS = 1024
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 _SEEDS = mixed(np.arange(1, SKETCHES + 1, dtype=np.uint64) * _ODD) | np.uint64(1)
 
@@ -179,19 +182,24 @@ def _first_pairs(members: DataFrame, least: float) -> DataFrame:
     return led.where(_possible("size", "leader_size", least)).select("leader", "node").distinct()
 
 
-def _further_pairs(members: DataFrame, labels: DataFrame, least: float) -> DataFrame:
-    """(leader, node) in buckets that still hold several components.
-
-    In buckets of at most ``SMALL`` nodes all pairs across components; in larger ones each node outside the largest
-    component with ``DRAWS`` seeded leaders of the bucket.
-    """
+def _open(members: DataFrame, labels: DataFrame) -> DataFrame:
+    """The members of buckets of several components, with their label and that of the bucket's largest component."""
     labelled_rows = members.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
     counted = labelled_rows.groupBy("bucket", "label").agg(F.count("*").alias("n"))
     split = (
         counted.groupBy("bucket").agg(F.count("*").alias("labels"), F.max(F.struct("n", "label")).alias("top")).where("labels > 1")
         .select("bucket", F.col("top.label").alias("main"))
     )
-    open_rows = stored(labelled_rows.join(split, "bucket").select("bucket", "node", "size", "nodes", "label", "main"), "near-open")
+    return stored(labelled_rows.join(split, "bucket").select("bucket", "node", "size", "nodes", "label", "main"), "near-open")
+
+
+def _further_pairs(members: DataFrame, labels: DataFrame, least: float) -> DataFrame:
+    """(leader, node) in buckets that still hold several components.
+
+    In buckets of at most ``SMALL`` nodes all pairs across components; in larger ones each node outside the largest
+    component with ``DRAWS`` seeded leaders of the bucket; ``_remaining_pairs`` gives the others.
+    """
+    open_rows = _open(members, labels)
     small, large = open_rows.where(F.col("nodes") <= SMALL), open_rows.where(F.col("nodes") > SMALL)
     other = small.select("bucket", F.col("node").alias("leader"), F.col("size").alias("leader_size"), F.col("label").alias("leader_label"))
     all_of_small = small.where(F.col("label") != F.col("main")).join(other, "bucket")
@@ -206,6 +214,71 @@ def _further_pairs(members: DataFrame, labels: DataFrame, least: float) -> DataF
     return met.where((F.col("label") != F.col("leader_label")) & _possible("size", "leader_size", least)).select("leader", "node").distinct()
 
 
+def class_counts(labels: np.ndarray) -> tuple[bytes, int]:
+    """How many shingles fall into each of ``BINS`` classes, one byte each, and the sum of what is above a byte."""
+    counts = np.bincount((labels & np.uint64(BINS - 1)).astype(np.int64), minlength=BINS)
+    held = np.minimum(counts, 255)
+    return held.astype(np.uint8).tobytes(), int((counts - held).sum())
+
+
+def _class_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in slices(batches, "lower"):
+        words, offsets = word_hashes(batch.column("lower"))
+        found = [class_counts(labelled(words[a:b])) for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist())]
+        held, above = pa.array([x for x, _ in found], pa.binary()), pa.array([x for _, x in found], pa.int64())
+        yield pa.RecordBatch.from_arrays([batch.column("row"), held, above], ["row", "held", "above"])
+
+
+def _may_match(least: float):
+    """(leader, node) across components in a pair of blocks of one bucket, but for pairs which the class counts rule out."""
+
+    def run(block: pa.Table) -> pa.Table:
+        node, size, label, part, above = (block.column(x).to_numpy() for x in ("node", "size", "label", "part", "above"))
+        counts = np.frombuffer(b"".join(block.column("held").to_pylist()), np.uint8).reshape(-1, BINS)
+        one = len(set(part.tolist())) == 1
+        own = block.column("a").to_numpy()
+        left = np.flatnonzero(part == own)
+        right = left if one and own[0] == block.column("b")[0].as_py() else np.flatnonzero(part != own)
+        right = right[np.argsort(size[right], kind="stable")]
+        sizes, pairs = size[right], []
+        for x in left.tolist():
+            low = np.searchsorted(sizes, least * size[x] * (1 - 1e-9))
+            high = np.searchsorted(sizes, size[x] / least * (1 + 1e-9), side="right")
+            near = right[low:high]
+            near = near[(label[near] != label[x]) & ((node[near] > node[x]) | (part[near] != part[x]))]
+            for k in range(0, len(near), 512):
+                some = near[k : k + 512]
+                most = np.minimum(counts[some], counts[x]).sum(axis=1, dtype=np.int64) + np.minimum(above[some], above[x])
+                some = some[most >= least * (size[some] + size[x] - most) * (1 - 1e-9)]
+                pairs.append(np.stack([np.full(len(some), node[x]), node[some]]))
+        found = np.concatenate(pairs, axis=1) if pairs else np.zeros((2, 0), np.int64)
+        return pa.table({"leader": pa.array(found[0]), "node": pa.array(found[1])})
+
+    return run
+
+
+def _remaining_pairs(members: DataFrame, labels: DataFrame, texts: DataFrame, least: float) -> DataFrame:
+    """(leader, node) of all pairs across components in large buckets that may be similar enough."""
+    rows = _open(members.where(F.col("nodes") > SMALL), labels)
+    wanted = rows.select(F.col("node").alias("row")).distinct().hint("merge")
+    counts = texts.join(wanted, "row", "left_semi").mapInArrow(_class_counts, "row long, held binary, above long")
+    parts = F.ceil(F.col("nodes") / SIDE).cast("long")
+    placed = rows.withColumn("parts", parts).withColumn("part", F.pmod(F.xxhash64("node"), F.col("parts")))
+    # each block meets each: a node goes to the pairs (a, b), a <= b, that hold its own block
+    met = placed.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)))
+    met = met.select("bucket", F.least("part", "other").alias("a"), F.greatest("part", "other").alias("b"), "node", "size", "label", "part")
+    met = met.join(counts.hint("merge"), F.col("node") == F.col("row")).drop("row")
+    return met.groupBy("bucket", "a", "b").applyInArrow(_may_match(least), "leader long, node long").distinct()
+
+
+def _unseen(pairs: DataFrame, done: DataFrame) -> DataFrame:
+    """The distinct pairs which ``done`` does not hold either way round."""
+    keyed = pairs.withColumn("hi", F.greatest("leader", "node")).withColumn("lo", F.least("leader", "node"))
+    seen = done.select(F.greatest("leader", "node").alias("hi"), F.least("leader", "node").alias("lo")).distinct()
+    fresh = keyed.join(seen, ["hi", "lo"], "left_anti").groupBy("hi", "lo").agg(F.min("leader").alias("leader"))
+    return fresh.select("leader", F.when(F.col("leader") == F.col("hi"), F.col("lo")).otherwise(F.col("hi")).alias("node"))
+
+
 def _links(sketched: DataFrame, nodes: DataFrame, text_col: str, least: float) -> DataFrame:
     """Verified links (leader, node) between nodes."""
     members = stored(_shared(nodes), "near-buckets")
@@ -215,12 +288,11 @@ def _links(sketched: DataFrame, nodes: DataFrame, text_col: str, least: float) -
     texts = stored(texts.join(wanted, "row", "left_semi"), "near-texts")
     done = verified(_first_pairs(members, least), texts, least)
     near = done.where(F.col("similarity") >= least).select("leader", "node")
-    pairs = _further_pairs(members, components(near), least)
-    keyed = pairs.withColumn("hi", F.greatest("leader", "node")).withColumn("lo", F.least("leader", "node"))
-    seen = done.select(F.greatest("leader", "node").alias("hi"), F.least("leader", "node").alias("lo")).distinct()
-    fresh = keyed.join(seen, ["hi", "lo"], "left_anti").groupBy("hi", "lo").agg(F.min("leader").alias("leader"))
-    fresh = fresh.select("leader", F.when(F.col("leader") == F.col("hi"), F.col("lo")).otherwise(F.col("hi")).alias("node"))
-    more = verified(fresh, texts, least)
+    more = verified(_unseen(_further_pairs(members, components(near), least), done), texts, least)
+    done = done.unionByName(more)
+    near = done.where(F.col("similarity") >= least).select("leader", "node")
+    rest = stored(_unseen(_remaining_pairs(members, components(near), texts, least), done), "near-rest")
+    more = verified(rest, texts, least)
     return near.unionByName(more.where(F.col("similarity") >= least).select("leader", "node"))
 
 

@@ -74,6 +74,30 @@ def test_large_group_of_copies_and_near_copies(docs, monkeypatch):
     assert got == classes(rows)
 
 
+def test_many_small_groups_in_one_large_bucket(docs, monkeypatch):
+    """Hundreds of texts share a template that fills most sketches; each group of two differs from all others."""
+    monkeypatch.setattr(N, "SIDE", 64)
+    template, rows = prose(7, 140, 2_000), []
+    for g in range(150):
+        own = prose(3_000 + g, 40, 2_000)
+        rows += [(10 * g, f"{template} {own}"), (10 * g + 1, f"{template} {own} extra{g} words{g}")]
+    # a chain: each text is near its neighbours only
+    words = prose(5_000, 60, 2_000).split()
+    rows += [(9_000 + k, " ".join([template, *(f"new{n}" for n in range(12 * k)), *words[12 * k :]])) for k in range(5)]
+    wanted = classes(rows)
+    assert len(set(wanted.values())) > 100
+    assert {r.doc_id: r.class_id for r in N.near_groups(docs(*rows)).collect()} == wanted
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_class_counts_bound_the_shared_shingles(seed):
+    a, b = prose(seed, 30_000, 3), edited(prose(seed, 30_000, 3), 0.1, seed)
+    x, y = (N.labelled(word_hashes(pa.array([t]))[0]) & np.uint64(0xFFFFFFFFFFFFFC00) for t in (a, b))
+    (h, e), (i, f) = N.class_counts(x), N.class_counts(y)
+    most = np.minimum(np.frombuffer(h, np.uint8), np.frombuffer(i, np.uint8)).sum(dtype=int) + min(e, f)
+    assert e > 0 and most >= len(np.intersect1d(x, y))
+
+
 def test_odd_rows(docs):
     got = N.near_groups(docs(*ODD, (8, "!!!"), (9, "one two"), (10, "One, two!"), (11, "one"))).collect()
     named = {r.doc_id: r.class_id for r in got if r.doc_id is not None}
