@@ -2,8 +2,10 @@
 
 A page is cut into flat blocks at block-level tags. A block's features are its word count and link density, those of the
 blocks before and after it, whether it is a heading, and whether an enclosing element says article or says furniture
-(menus, headers and footers of the page, sidebars, notices, adverts, forms, reader comments). A CART tree trained on the
-small labelled table below decides which blocks stay. Scripts, styles, comments, markup and the head never make blocks.
+(menus, headers and footers of the page, sidebars, notices, adverts, forms, reader comments). A class, id or role says so
+as a whole token, or made of such words and those of ``NEUTRAL_NAMES``; on an outermost article, on main and on elements
+that hold one of them such names say nothing. A CART tree trained on the small labelled table below decides which blocks
+stay. Scripts, styles, comments, markup and the elements of the head never make blocks, whether the head is closed or not.
 
 White space in a block, ``br`` included, becomes one space; character references are decoded; blocks are joined in page
 order by one line feed. Null, empty and tag-only pages give an empty text. Pages are parsed in one pass over the whole
@@ -64,7 +66,7 @@ BLOCK_TAGS = frozenset(
     "h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol option optgroup p pre search section select summary "
     "table tbody td tfoot th thead tr ul".split()
 )
-HIDDEN_TAGS = frozenset("script style noscript template textarea svg math iframe object head title".split())
+HIDDEN_TAGS = frozenset("script style noscript template textarea svg math iframe object title".split())
 FURNITURE_TAGS = frozenset("nav footer aside form dialog menu fieldset button select".split())
 ARTICLE_TAGS = frozenset(["article", "main"])
 FURNITURE_NAMES = frozenset(
@@ -73,6 +75,11 @@ FURNITURE_NAMES = frozenset(
     "related replies reply respond share sharing sidebar signup social sponsor sponsored subscribe toolbar widget widgets "
     "alert complementary contentinfo dialog search".split()
 )
+# parts that say where a piece of furniture stands or what shape it has
+NEUTRAL_NAMES = frozenset(
+    "area bar block bottom box container content global inner item items left link links list main outer page primary right "
+    "secondary section site sticky top wrap wrapper".split()
+)
 ARTICLE_NAMES = frozenset("article content entry post story main".split())
 VOID_TAGS = frozenset("area base br col embed hr img input link meta source track wbr".split())
 _TAG = re.compile(r"<(/?)([A-Za-z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>")
@@ -82,30 +89,36 @@ _UNSEEN = re.compile(r"(?:^|\s)hidden(?:\s|=|$)|display\s*:\s*none|aria-hidden\s
 _PARTS = re.compile(r"[a-z]+")
 
 
-def _flags(tag: str, attributes: str, article: bool) -> tuple[bool, bool]:
-    """Whether an element says article, and whether it says furniture."""
+def _flags(tag: str, attributes: str, article: bool, within: bool) -> tuple[bool, bool, bool]:
+    """Whether an element says article, says furniture by its tag or by being hidden, and says furniture by its names."""
     furniture = tag in FURNITURE_TAGS or (tag == "header" and not article)
-    own = tag in ARTICLE_TAGS
+    own, named = tag in ARTICLE_TAGS, False
     if attributes:
-        names = {p for m in _NAMES.finditer(attributes) for p in _PARTS.findall((m[1] or m[2] or m[3] or "").lower())}
-        furniture |= not FURNITURE_NAMES.isdisjoint(names) or (not article and "header" in names) or bool(_UNSEEN.search(attributes))
-        own |= not ARTICLE_NAMES.isdisjoint(names)
-    return own, furniture and tag not in ("html", "body")
+        tokens = [set(_PARTS.findall(x)) for m in _NAMES.finditer(attributes) for x in (m[1] or m[2] or m[3] or "").lower().split()]
+        said = FURNITURE_NAMES if article else FURNITURE_NAMES | {"header"}
+        named = any(not said.isdisjoint(x) and x <= said | NEUTRAL_NAMES for x in tokens)
+        named &= within or tag not in ARTICLE_TAGS
+        furniture |= bool(_UNSEEN.search(attributes))
+        own |= any(not ARTICLE_NAMES.isdisjoint(x) for x in tokens)
+    inside = tag not in ("html", "body")
+    return own, furniture and inside, named and inside
 
 
 def blocks_of(html: str) -> list[tuple[str, int, int, bool, bool, bool]]:
     """(text, words, words in links, heading, article, furniture) of the non-empty flat blocks, in page order."""
-    out: list[tuple[str, int, int, bool, bool, bool]] = []
+    out: list[tuple[str, int, int, bool, bool, bool, list | None]] = []
     texts: list[str] = []
     linked: list[str] = []
-    open_tags: list[tuple[str, bool, bool]] = []
-    article = furniture = link = heading = False
+    open_tags: list[tuple[str, bool, bool, bool, list | None]] = []
+    article = furniture = link = heading = within = False
+    # the innermost element with names of furniture: [whether they count, the next one out]
+    named: list | None = None
 
     def close_block() -> None:
         if texts:
             words = unescape("".join(texts)).split()
             if words:
-                out.append((" ".join(words), len(words), len(unescape("".join(linked)).split()), heading, article, furniture))
+                out.append((" ".join(words), len(words), len(unescape("".join(linked)).split()), heading, article, furniture, named))
             texts.clear()
             linked.clear()
 
@@ -138,9 +151,12 @@ def blocks_of(html: str) -> list[tuple[str, int, int, bool, bool, bool]]:
                 stop = re.compile(rf"</{re.escape(tag)}[\s/>]", re.I).search(html, at)
                 end = html.find(">", stop.start()) if stop else -1
                 at = size if end < 0 else end + 1
-            if tag in ("head", "title"):
+            if tag == "title":
                 close_block()
             continue
+        if tag == "head":
+            close_block()
+            continue
         if tag == "br":
             texts.append(" ")
             linked.append(" ")
@@ -160,11 +176,16 @@ def blocks_of(html: str) -> list[tuple[str, int, int, bool, bool, bool]]:
                     del open_tags[k:]
                     break
         elif tag not in ("p", "li", "dt", "dd", "td", "th", "tr", "option", "h1", "h2", "h3", "h4", "h5", "h6") or attributes:
-            own, bad = _flags(tag, attributes, article)
-            open_tags.append((tag, article or own, furniture or bad))
-        article, furniture = open_tags[-1][1:] if open_tags else (False, False)
+            own, bad, names = _flags(tag, attributes, article, within)
+            if tag in ARTICLE_TAGS and not within:
+                holder = named
+                while holder and holder[0]:
+                    holder[0], holder = False, holder[1]
+            within |= tag in ARTICLE_TAGS
+            open_tags.append((tag, article or own, furniture or bad, within, [True, named] if names else named))
+        article, furniture, within, named = open_tags[-1][1:] if open_tags else (False, False, False, None)
     close_block()
-    return out
+    return [(*block, bad or bool(names and names[0])) for *block, bad, names in out]
 
 
 def features_of(blocks: list[tuple[str, int, int, bool, bool, bool]]) -> np.ndarray:

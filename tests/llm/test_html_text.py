@@ -29,6 +29,21 @@ def test_odd_pages(html, text):
     assert main_text(html, TREE) == text
 
 
+@pytest.mark.parametrize(
+    "html, text",
+    [("<html><head><title>x</title><meta charset=utf-8><body><article><p>One line of text here.</article>", "One line of text here."),
+     ("<head><title>x</title><style>p{}</style><article><p>One line of text here.", "One line of text here."),
+     ("<article class='post has-comments'><p>One line of text here.</article>", "One line of text here."),
+     ("<main class='widget'><p>One line of text here.</main>", "One line of text here."),
+     ("<div id='page' class='no-sidebar'><article><p>One line of text here.</article></div>", "One line of text here."),
+     ("<div class='widget'><p>Name</p><article><p>One line of text here.</article></div>", "One line of text here."),
+     ("<article><p>One line of text here.<div class='comments'><article class='comment'><p>I say so too.</article></div></article>", "One line of text here."),
+     ("<article><p>One line of text here.</article><div class='site-footer'><p>A line about the owner of this site.</div>", "One line of text here.")],
+)
+def test_open_heads_and_names_around_articles_empty_no_page(html, text):
+    assert text in main_text(html, TREE).split("\n") and "say so" not in main_text(html, TREE) and "owner" not in main_text(html, TREE)
+
+
 def test_pages_table(make):
     rows = [(1, "u", PAGE, "t", 1), (1, "u", PAGE, "t", 1), (2, None, None, None, None), (None, "v", "", "t", 2)]
     table = make("page_id long, url string, html string, text string, n_chars long", *rows)
