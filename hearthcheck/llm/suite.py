@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+import string
 from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from hearthcheck.llm import chat, decontaminate, exact_dedup, html_text, language, mixing, near_dedup, pii, token_files, toxicity
+from hearthcheck.llm import (
+    chat, decontaminate, digest_sql, exact_dedup, html_text, language, merkle, mixing, near_dedup, pii, token_files, toxicity,
+)
 from hearthcheck.llm.common import fold, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -116,3 +119,11 @@ def op8(spark: SparkSession, folder: str) -> DataFrame:
 @query("op7_html_text")
 def op7(spark: SparkSession, folder: str) -> DataFrame:
     return html_text.extract(table(spark, folder, "pages"))
+
+
+@query("op13_merkle", digest_sql.merkle())
+def op13(spark: SparkSession, folder: str) -> DataFrame:
+    low = F.translate("text", string.ascii_uppercase, string.ascii_lowercase)
+    chosen = F.crc32(F.col("doc_id").cast("string")) % 5 == 0
+    claim = F.when(chosen, low).otherwise(F.col("text"))
+    return merkle.proofs(merkle.build(table(spark, folder, "documents"), claim))
