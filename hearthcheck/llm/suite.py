@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from hearthcheck.llm import (
-    chat, decontaminate, digest_sql, exact_dedup, html_text, language, merkle, mixing, near_dedup, pii, token_files, toxicity,
+    chat, decontaminate, digest_sql, exact_dedup, hard_negatives, html_text, language, merkle, mixing, near_dedup, pii, quality, token_files, toxicity,
 )
 from hearthcheck.llm.common import fold, table
 
@@ -121,6 +121,20 @@ def op7(spark: SparkSession, folder: str) -> DataFrame:
     return html_text.extract(table(spark, folder, "pages"))
 
 
+@query("op11_quality")
+def op11(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents")
+    return quality.score(docs, quality.train(docs, table(spark, folder, "labels")))
+
+
+@query("op12_hard_negatives", digest_sql.hard_negatives())
+def op12(spark: SparkSession, folder: str) -> DataFrame:
+    vectors = table(spark, folder, "embeddings")
+    label = F.col("label").cast("long")
+    moved = F.when(F.col("vec_id") % 7 == 0, (label + 1) % 10).otherwise(label)
+    return hard_negatives.mine(hard_negatives.candidates(vectors.withColumn("label", moved)), F.col("vec_id") % 100 == 0)
+
+
 @query("op13_merkle", digest_sql.merkle())
 def op13(spark: SparkSession, folder: str) -> DataFrame:
     low = F.translate("text", string.ascii_uppercase, string.ascii_lowercase)
