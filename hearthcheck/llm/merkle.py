@@ -1,7 +1,7 @@
 """A Merkle manifest of a corpus, and inclusion proofs found by pointer jumping.
 
-Leaves are digests of whole rows, hashed where the rows are read; after that only ids and digests move. The rows of a
-source are numbered by id from a range-partitioned table (counts per partition, no window over a source), every
+Leaves are digests of whole rows, hashed once where the rows are read and written; after that only ids and digests move. The
+rows of a source are numbered by id from a range-partitioned table (counts per partition, no window over a source), every
 ``FAN`` consecutive nodes make a parent, level by level, until one node per source is left: its subroot. The subroots,
 ordered by source, are joined to one root the same way.
 
@@ -124,7 +124,7 @@ def build(docs: DataFrame, claim: Column | None = None, fields: tuple[str, ...]
     leaf, claimed = leaf_digest(F.col("text"), fields), F.lit(None).cast("string")
     if claim is not None:
         claimed = F.when(claim.eqNullSafe(F.col("text")), claimed).otherwise(leaf_digest(claim, fields))
-    rows = docs.select(tree.alias("tree"), F.col("doc_id"), leaf.alias("hash"), claimed.alias("claim"))
+    rows = stored(docs.select(tree.alias("tree"), F.col("doc_id"), leaf.alias("hash"), claimed.alias("claim")), "merkle-digests")
     leaves = _numbered(rows, ["doc_id", "hash"], "merkle-leaves")
     runs = stored(_runs(leaves, ["doc_id", "claim"]), "merkle-runs")
     height = _levels(runs.agg(F.max("n")).first()[0])

@@ -267,7 +267,7 @@ def train(docs: DataFrame, labels: DataFrame, most: int = TRAIN_ROWS) -> Model:
     marks = marks.where(chosen).groupBy("doc_id").agg((F.min("good") > 0).cast("int").alias("good"))
     rows = _slim(docs, F.col("doc_id").cast("long").alias("doc_id")).where(chosen).join(marks.hint("merge"), "doc_id")
     vectors = rows.mapInArrow(_vectors, "doc_id long, good int, features array<int>, weights array<float>")
-    found = vectors.groupBy(F.lit(0)).applyInArrow(_fitted, "model binary").collect()  # one row, of a bounded sample
+    found = vectors.withColumn("one", F.lit(1)).groupBy("one").applyInArrow(_fitted, "model binary").collect()  # one row, of a bounded sample
     return pickle.loads(found[0]["model"]) if found else Model()
 
 
