@@ -7,12 +7,11 @@ import re
 from collections.abc import Mapping, Sequence
 from dataclasses import dataclass
 
-from py4j.protocol import Py4JError
-from pyspark.errors import PySparkException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from hearthcheck.functions import scalars as S
+from hearthcheck.operators.sql_guard import InvalidSql, read_only
 from hearthcheck.operators.stats import union_all
 from hearthcheck.plans import patterns as P
 from hearthcheck.plans.catalog import TableSet
@@ -22,26 +21,11 @@ OPERATIONS = ("compter", "lister", "moyenne", "somme", "min", "max")
 AGGREGATES = {"moyenne": F.avg, "somme": F.sum, "min": F.min, "max": F.max}
 OPERATORS = ("==", "!=", ">", "<", ">=", "<=", "contient")
 
-# Words no statement may contain outside of quotes.
-FORBIDDEN_WORDS = (
-    "INSERT", "UPDATE", "DELETE", "DROP", "ALTER", "CREATE", "ATTACH", "DETACH", "COPY", "PRAGMA",
-    "CALL", "EXPORT", "IMPORT", "INSTALL", "LOAD", "SET", "GRANT", "REVOKE", "VACUUM", "CHECKPOINT",
-)
-QUOTED = re.compile(r"'(?:[^'\\]|\\.|'')*'|\"(?:[^\"]|\"\")*\"|`(?:[^`]|``)*`")
-# Functions that reach outside the tables: they run code of the JVM or of another program, or open files.
-OUTSIDE_FUNCTIONS = frozenset({"reflect", "java_method", "try_reflect", "transform_script", "read_files", "input_file_name"})
-# How a parsed statement that does more than read begins.
-CHANGING_PLAN = re.compile(r"^'?(Insert|Create|Drop|Delete|Update|Merge|Truncate|Alter|Set|Replace|Cache|Refresh|Describe|Show|\w*Command)")
-
 
 class InvalidSpec(ValueError):
     """The spec names an unknown operation or column, or a filter without a value."""
 
 
-class InvalidSql(ValueError):
-    """The statement is not a single read, or Spark refused it."""
-
-
 @dataclass(frozen=True)
 class Condition:
     column: str
@@ -183,39 +167,14 @@ def run_spec_everywhere(tables: TableSet, raw: Mapping) -> DataFrame:
 # ---------------------------------------------------------------------- SQL
 
 
-def check_statement(spark: SparkSession, tables: TableSet, text: str | None) -> str:
-    """A statement that only reads the loaded tables, final semicolons removed; anything else is refused.
-
-    Beside the forbidden words, what counts is what Spark's parser makes of it; text inside quotes is free. Relations have to
-    be tables of this set or names the statement defines itself.
-    """
+def statement_text(text: str | None) -> str:
+    """A single statement that begins like a question, final semicolons removed."""
     statement = re.sub(r"[;\s]+\Z", "", text or "")
     if not re.match(r"\s*(SELECT|WITH)\b", statement, re.IGNORECASE):
         raise InvalidSql("A statement has to begin with SELECT or WITH")
-    if forbidden := re.search(rf"\b({'|'.join(FORBIDDEN_WORDS)})\b", QUOTED.sub("''", statement), re.IGNORECASE):
-        raise InvalidSql(f"Not allowed in a statement: {forbidden[0]}")
-    try:
-        parsed = spark._jsparkSession.sessionState().sqlParser().parsePlan(statement)
-    except (PySparkException, Py4JError) as problem:
-        raise InvalidSql(f"SQL error: {problem}") from problem
-    shown = parsed.treeString(True, False, 1 << 30, False, False)
-    if CHANGING_PLAN.match(shown) or "ScriptTransformation" in shown:
-        raise InvalidSql("The statement does more than read")
-    own = {n.lower() for n in tables} | {n.lower() for n in _defined_names(shown)}
-    outside = [n for n in re.findall(r"'UnresolvedRelation \[(.*?)\], \[", shown) if n.strip("`").lower() not in own]
-    if outside or "UnresolvedTableValuedFunction" in shown:
-        raise InvalidSql(f"Not a loaded table: {', '.join(outside) or 'a table function'}")
-    used = {n.lower() for n in re.findall(r"'`?(\w+)`?\(", shown)}
-    if used & OUTSIDE_FUNCTIONS:
-        raise InvalidSql(f"Function not allowed: {', '.join(sorted(used & OUTSIDE_FUNCTIONS))}")
     return statement
 
 
-def _defined_names(shown: str) -> set[str]:
-    """Names of common table expressions in a printed plan."""
-    return {n.strip() for names in re.findall(r"CTE \[(.*?)\]", shown) for n in names.split(",")}
-
-
 def tables_in_statement(tables: TableSet, statement: str) -> list[str]:
     """Loaded tables named as whole words in the statement."""
     return [n for n in tables if re.search(rf"\b{re.escape(n)}\b", statement, re.IGNORECASE)]
@@ -223,17 +182,7 @@ def tables_in_statement(tables: TableSet, statement: str) -> list[str]:
 
 def plan_sql(spark: SparkSession, tables: TableSet, text: str) -> DataFrame:
     """The uncapped result of a checked statement. Double quotes enclose names, as in ANSI SQL."""
-    setting = "spark.sql.ansi.doubleQuotedIdentifiers"
-    before = spark.conf.get(setting, "false")
-    spark.conf.set(setting, "true")
-    try:
-        statement = check_statement(spark, tables, text)
-        tables.register_views()
-        return spark.sql(statement)
-    except PySparkException as problem:
-        raise InvalidSql(f"SQL error: {problem}") from problem
-    finally:
-        spark.conf.set(setting, before)
+    return read_only(spark, tables, statement_text(text))
 
 
 def run_sql(spark: SparkSession, tables: TableSet, text: str, cap: int | None = P.SQL_ROW_CAP) -> DataFrame:

@@ -90,7 +90,7 @@ def test_sql_is_capped(spark):
 @pytest.mark.parametrize(
     "text",
     ["", None, "select 1; select 2", "delete from deaths", "with x as (select 1) insert into deaths select 1",
-     "select * from deaths where 1 = 1 -- drop table deaths", "explain select 1", "select * from nowhere", "select nope from deaths",
+     "explain select 1", "select * from nowhere", "select nope from deaths",
      "select * from text.`/etc/hostname`", "with x as (select * from csv.`/etc/hostname`) select * from x", "select * from range(3)",
      "select (select max(value) from text.`/etc/hostname`) from deaths", "select reflect('java.lang.System', 'nanoTime') from deaths",
      "select 1 from deaths where exists (select 1 from parquet.`/tmp`)", "select java_method('java.lang.System', 'nanoTime')",
@@ -107,10 +107,62 @@ def test_quoted_words_and_own_names_are_allowed(spark, tables, text):
     assert Q.run_sql(spark, tables, text, cap=None).count() >= 1
 
 
-def test_other_views_are_refused(spark, tables):
-    spark.range(3).createOrReplaceTempView("not_of_this_set")
+@pytest.mark.parametrize(
+    "text",
+    ["select * from IDENTIFIER('text.`/etc/hostname`')", "select * from IDENTIFIER('hid' || 'den')", "select * from hidden",
+     "select IDENTIFIER('reflect')('java.lang.System', 'lineSeparator') from deaths", "select 'CTE [hidden]' as a, id from hidden",
+     "with a as (with hidden as (select 1 as id) select * from hidden) select hidden.id from a, hidden",
+     "select (with hidden as (select 2 as id) select max(id) from hidden) from hidden", "select * from global_temp.shown",
+     "select 1 from deaths where exists (select 1 from hidden where hidden.id = 1)", "select * from deaths, lateral (select * from hidden)",
+     "select try_reflect('java.lang.System', 'nanoTime') from deaths", "select 1 from values (reflect('java.lang.System', 'nanoTime')) t(a)",
+     "select input_file_name() from deaths", "select twice(1) from deaths", "with recursive r as (select 1 as a union all select a + 1 from r, hidden) select * from r",
+     "select transform(individu_id) using 'cat' as (x string) from deaths", "select * from kept_view", "select * from deaths union all select id from hidden",
+     "select count(*) filter (where exists (select 1 from hidden)) from deaths", "select sum(1) over (order by (select max(id) from hidden)) from deaths"],
+)
+def test_nothing_but_the_set_is_read(spark, tables, text, foreign_names):
     with pytest.raises(Q.InvalidSql):
-        Q.run_sql(spark, tables, "select * from not_of_this_set")
+        Q.run_sql(spark, tables, text)
+
+
+@pytest.fixture
+def foreign_names(spark):
+    """A view, a global view and a function that only the caller knows."""
+    spark.range(3).createOrReplaceTempView("hidden")
+    spark.range(3).createOrReplaceGlobalTempView("shown")
+    spark.udf.register("twice", lambda x: 2 * x, "int")
+    yield
+    spark.catalog.dropTempView("hidden")
+    spark.catalog.dropGlobalTempView("shown")
+
+
+@pytest.mark.parametrize(
+    "text, rows",
+    [("select 1 as a from deaths where 1 = 1 -- drop table deaths", 2), ("select 'reflect(' as a, \"set\" from (select 1 as \"set\") /* insert */", 1),
+     ("with hidden as (select 5 as id) select * from hidden", 1), ("select * from (values (1, 'x'), (2, 'y')) t(a, b)", 2),
+     ("select d.individu_id, x.n from deaths d, lateral (select count(*) as n from presences p where p.individu_id = d.individu_id) x", 2),
+     ("select * from deaths where individu_id in (select individu_id from PRESENCES)", 2), ("select individu_id from deaths group by cube (individu_id)", 3),
+     ("with recursive r as (select 1 as a union all select a + 1 from r where a < 4) select * from r", 4),
+     ("select explode(array(1, 2, 3)) from deaths limit 4", 4), ("select * from deaths tablesample (100 percent)", 2),
+     ("select row_number() over (order by individu_id) from deaths union select 7", 3), ("select \"individu_id\" from IDENTIFIER('deaths')", 2),
+     ("select * from presences pivot (count(*) for enquete_id in (1, 2))", 3), ("select /*+ broadcast(d) */ 1 from deaths d order by 1 limit 1 offset 1", 1)],
+)
+def test_reading_statements_are_accepted(spark, tables, text, rows, foreign_names):
+    assert Q.run_sql(spark, tables, text).count() == rows
+
+
+def test_the_callers_names_stay_as_they_were(spark, tables):
+    spark.range(3).createOrReplaceTempView("deaths")
+    before = spark.conf.get("spark.sql.ansi.doubleQuotedIdentifiers", "false")
+    assert Q.run_sql(spark, tables, "select * from deaths").count() == 2
+    assert spark.table("deaths").count() == 3 and spark.conf.get("spark.sql.ansi.doubleQuotedIdentifiers", "false") == before
+    spark.catalog.dropTempView("deaths")
+
+
+def test_what_is_read_of_a_file_stays_pruned(spark, tmp_path):
+    spark.range(10).selectExpr("id as a", "id as b").write.parquet(str(tmp_path / "t"))
+    own = TableSet({"t": spark.read.parquet(str(tmp_path / "t"))})
+    plan = Q.plan_sql(spark, own, "select a from t where a > 3")._jdf.queryExecution().executedPlan().toString()
+    assert "ReadSchema: struct<a:bigint>" in plan and "GreaterThan(a,3)" in plan
 
 
 @pytest.mark.parametrize("wanted, n", [("7", 1), ("007", 0), (" 7 ", 1), ("7.0", 0), ("-0", 0)])
