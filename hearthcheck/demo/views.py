@@ -147,19 +147,24 @@ def base_table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+def _open(spark: SparkSession, folder: str, *names: str) -> None:
+    """The base tables that the named views are made of, each opened once."""
+    for table in BASE_TABLES:
+        if any(re.search(rf"\bfrom {table}\b", VIEWS[n]) for n in names):
+            base_table(spark, folder, table).createOrReplaceTempView(table)
+
+
 def view(spark: SparkSession, folder: str, name: str) -> DataFrame:
     """One survey view; only the base tables it names are opened."""
-    text = VIEWS[name]
-    used = [t for t in BASE_TABLES if re.search(rf"\bfrom {t}\b", text)]
-    for table in used:
-        base_table(spark, folder, table).createOrReplaceTempView(table)
-    return spark.sql(text)
+    _open(spark, folder, name)
+    return spark.sql(VIEWS[name])
 
 
 def survey(spark: SparkSession, folder: str, *sheets: str, names: dict[str, str] = SHEETS) -> TableSet:
     """A table set of the named sheets (all of them by default)."""
-    picked = sheets or tuple(names)
-    return TableSet({s: view(spark, folder, names[s]) for s in names if s in picked})
+    picked = [s for s in names if not sheets or s in sheets]
+    _open(spark, folder, *(names[s] for s in picked))
+    return TableSet({s: spark.sql(VIEWS[names[s]]) for s in picked})
 
 
 def with_views(query: str) -> str:

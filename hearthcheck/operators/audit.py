@@ -3,13 +3,9 @@
 Shape of the result: ``check, table_a, table_b, metric, columns, applicable, n``. A check whose
 columns are missing gives one row with ``applicable`` false, so nothing is silently left out.
 
-How the work is laid out:
-
-* all row checks of a table are one aggregate over one scan of the columns they need;
-* all cross checks that only need "how many rows of each kind does this key have" share one
-  ledger per kind of key: tables are stacked as (key, tallies), grouped once by key, and the
-  violations are arithmetic on the tallies. No join, and a hot key is one row per task;
-* checks comparing dates with the person's birth date share one join to the person table.
+All counts come from two groupings over all tables (``one_pass``): one of rows and keys, which reads each
+table once, and one of persons in time and in their households, which reads the tables that have dates
+or homes once more. No check joins or scans on its own.
 """
 
 from __future__ import annotations
@@ -17,11 +13,12 @@ from __future__ import annotations
 from collections.abc import Callable, Sequence
 from dataclasses import dataclass, field
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from hearthcheck.functions import scalars as S
 from hearthcheck.operators import checks as C
+from hearthcheck.operators.one_pass import OnePass, Reading
 from hearthcheck.operators.skew import join_reference
 from hearthcheck.operators.stats import union_all
 from hearthcheck.plans import patterns as P
@@ -31,25 +28,6 @@ from hearthcheck.plans.catalog import TableSet
 PERSON_RULES = ("RUL1", "RUL2", "RUL3", "RUL4", "RUL5")
 
 
-def result_entry(
-    check: str, table_a: str | None, table_b: str | None, metric: str, columns: Sequence[str], slot: str | None
-) -> str:
-    """One row of the result as SQL: its labels, and its count from column ``slot`` (None: not applicable).
-
-    An audit has hundreds of these; as text they cost one call each to build.
-    """
-    n = "cast(null as bigint)" if slot is None else f"cast(coalesce(`{slot}`, 0) as bigint)"
-    listed = f"array({', '.join(S.sql_text(c) for c in columns)})" if columns else "cast(array() as array<string>)"
-    return (
-        f"named_struct('check', {S.sql_text(check)}, 'table_a', {S.sql_text(table_a)}, 'table_b', {S.sql_text(table_b)}, "
-        f"'metric', {S.sql_text(metric)}, 'columns', {listed}, 'applicable', {str(slot is not None).lower()}, 'n', {n})"
-    )
-
-
-def explode_entries(one_row: DataFrame, entries: Sequence[str]) -> DataFrame:
-    return one_row.selectExpr(f"inline(array({', '.join(entries)}))")
-
-
 # ---------------------------------------------------------------------- one table
 
 
@@ -62,100 +40,41 @@ def _row_checks(tables: TableSet, name: str, only: Sequence[str] | None) -> list
     return [c for c in meant + C.bracket_checks(tables, name) if _wanted(c.check, only)]
 
 
-def audit_tables(
-    tables: TableSet, names: Sequence[str], as_of: str | None = None, only: Sequence[str] | None = None
-) -> list[DataFrame]:
-    """Counts of every check meant for the named tables, including those not applicable to them.
-
-    One aggregate per table for its row checks; one grouping over all tables for the key checks;
-    one grouping over all tables for the lengths of identifiers.
-    """
-    parts: list[DataFrame] = []
-    keyed: list[tuple[str, str, str, str | None]] = []
-    measured: list[str] = []
-    absent: list[str] = []
+def readings_of(tables: TableSet, as_of: str | None) -> dict[str, Reading]:
+    return {name: Reading(name, df, as_of) for name, df in tables.items()}
+
+
+def _add_table_checks(run: OnePass, tables: TableSet, names: Sequence[str], only: Sequence[str] | None) -> None:
+    """Every check meant for the named tables, including those not applicable to them."""
     for name in names:
-        sheet = C.Sheet(name, tables[name], as_of)
-        sums: list[Column] = []
-        entries: list[str] = []
+        sheet, rows = run.readings[name], run.space()
         for check in _row_checks(tables, name, only):
             findings = check.build(sheet)
             if findings is None:
                 # A form without its own birth date is bracketed through the person table (XCK1).
                 if check.check != "CHK13" or tables.persons(exclude=name) is None:
-                    absent.append(result_entry(check.check, name, None, "n", (), None))
+                    run.entry(check.check, name, None, "n", (), None)
                 continue
             for metric in findings:
-                slot = f"f{len(sums)}"
-                sums.append(F.sum(metric.adds).alias(slot))
-                entries.append(result_entry(check.check, name, None, metric.name, metric.columns, slot))
-        if sums:
-            parts.append(explode_entries(sheet.df.agg(*sums), entries))
+                run.entry(check.check, name, None, metric.name, metric.columns, run.count_rows(sheet, rows, metric.adds))
         for key_check in C.KEY_CHECKS:
-            if not _wanted(key_check.check, only):
-                continue
-            if key_check.tables is not None and not tables.plays(name, key_check.tables):
+            if not _wanted(key_check.check, only) or not (key_check.tables is None or tables.plays(name, key_check.tables)):
                 continue
             found = key_check.columns(sheet)
-            if found is None:
-                absent.append(result_entry(key_check.check, name, None, "n", (), None))
-            else:
-                keyed.append((key_check.check, name, *found))
+            slot = run.check_keys(sheet, *found) if found else None
+            run.entry(key_check.check, name, None, "n", [c for c in found or () if c], slot)
         if _wanted("CHK1", only):
-            if R.id_columns(sheet.df):
-                measured.append(name)
-            else:
-                absent.append(result_entry("CHK1", name, None, "n", (), None))
-    if keyed:
-        parts.append(_key_check_counts(tables, keyed))
-    if measured:
-        parts.append(_length_counts(tables, measured))
-    if absent:
-        # Known from the schemas: a zero-row aggregate yields the one row they hang on.
-        one_row = tables[names[0]].limit(0).agg(F.count(F.lit(1)).alias("f"))
-        parts.append(explode_entries(one_row, absent))
-    return parts
-
-
-def _key_check_counts(tables: TableSet, keyed: Sequence[tuple[str, str, str, str | None]]) -> DataFrame:
-    """Offending keys of all key checks: rows of every table grouped once by (check, key)."""
-    as_text = S.needs_text_key([(tables[name], key) for _, name, key, _ in keyed])
-    stacked = union_all(
-        [
-            tables[name].select(
-                F.lit(i).alias("slot"),
-                S.key_column(tables[name], key, as_text).alias("_key"),
-                (S.column(value).cast("string") if value else F.lit(None).cast("string")).alias("value"),
-            )
-            for i, (_, name, key, value) in enumerate(keyed)
-        ]
-    ).where(F.col("_key").isNotNull())
-    per_key = stacked.groupBy("slot", "_key").agg(
-        F.count(F.lit(1)).alias("k"), F.min("value").alias("low"), F.max("value").alias("high")
-    )
-    repeats = [i for i, (_, _, _, value) in enumerate(keyed) if value is None]
-    broken = F.when(F.col("slot").isin(repeats), F.col("k") > 1).otherwise(F.col("low") < F.col("high"))
-    one_row = per_key.agg(*[F.sum(S.as_flag((F.col("slot") == i) & broken)).alias(f"k{i}") for i in range(len(keyed))])
-    return explode_entries(
-        one_row,
-        [
-            result_entry(check, name, None, "n", [c for c in (key, value) if c], f"k{i}")
-            for i, (check, name, key, value) in enumerate(keyed)
-        ],
-    )
+            ids = R.id_columns(sheet.df)
+            run.entry("CHK1", name, None, "n", ids, run.check_lengths(sheet, ids) if ids else None)
 
 
-def _length_counts(tables: TableSet, names: Sequence[str]) -> DataFrame:
-    cells = union_all([C.length_cells(tables[n]).select(F.lit(i).alias("slot"), "*") for i, n in enumerate(names)])
-    unusual = C.unusual_lengths(cells, "slot")
-    one_row = unusual.agg(*[F.sum(F.when(F.col("slot") == i, F.col("n"))).alias(f"l{i}") for i in range(len(names))])
-    return explode_entries(
-        one_row,
-        [
-            result_entry("CHK1", name, None, "n", R.id_columns(tables[name]), f"l{i}")
-            for i, name in enumerate(names)
-        ],
-    )
+def audit_tables(
+    tables: TableSet, names: Sequence[str], as_of: str | None = None, only: Sequence[str] | None = None
+) -> list[DataFrame]:
+    """Counts of every check meant for the named tables, including those not applicable to them, as one part (or none)."""
+    run = OnePass(readings_of(tables, as_of))
+    _add_table_checks(run, tables, names, only)
+    return [run.result()] if run.entries else []
 
 
 def audit_table(
@@ -194,12 +113,11 @@ def flagged_key_rows(tables: TableSet, name: str, check_id: str) -> DataFrame:
 
 
 def unusual_length_rows(tables: TableSet, name: str) -> DataFrame:
-    """Rows with an identifier whose length is unusual. The modal lengths are one row per column."""
+    """Rows with an identifier whose length is unusual. One histogram of lengths gives the modal length of every column."""
     df = tables[name]
     ids = R.id_columns(df)
-    modal = {
-        c: C.identifier_lengths(df.select(S.column(c))).agg(F.max("modal_length").alias("m")).scalar() for c in ids
-    }
+    modal = C.identifier_lengths(df).select(F.struct("column", "modal_length").alias("m"))
+    modal = modal.agg(F.map_from_entries(F.collect_list("m")).alias("m")).scalar()  # one entry per identifier column
     marks = [
         F.when(S.column(c).isNotNull() & (F.length(S.exact_text(df, c)) != modal[c]), F.lit(c)) for c in ids
     ]
@@ -211,10 +129,10 @@ def unusual_length_rows(tables: TableSet, name: str) -> DataFrame:
 
 @dataclass
 class Ledger:
-    """Tallies per key over several tables, and the checks that are arithmetic on them."""
+    """Tallies per key over several tables, and the checks that are arithmetic on them (SQL over the tallies' names)."""
 
     sources: list[tuple[str, DataFrame, str, Column]] = field(default_factory=list)
-    checks: list[tuple[str, str, str, str, tuple[str, ...], tuple[str, ...], Callable[..., Column], bool]] = field(
+    checks: list[tuple[str, str, str, str, tuple[str, ...], tuple[str, ...], Callable[..., str], bool]] = field(
         default_factory=list
     )
 
@@ -233,7 +151,7 @@ class Ledger:
         metric: str,
         columns: Sequence[str],
         needs: Sequence[str],
-        violation: Callable[..., Column],
+        violation: Callable[..., str],
         null_key: bool = False,
     ) -> None:
         self.checks.append((check, table_a, table_b, metric, tuple(columns), tuple(needs), violation, null_key))
@@ -269,19 +187,19 @@ class Ledger:
     @staticmethod
     def _violation(check) -> Column:
         _, _, _, _, _, needs, violation, null_key = check
-        amount = violation(*[S.column(t) for t in needs])
+        amount = F.expr(violation(*[S.quoted(t) for t in needs]))
         return amount if null_key else F.when(F.col("_key").isNotNull(), amount)
 
-    def counts(self, only: Sequence[str] | None = None) -> DataFrame | None:
-        selected, per_key = self._selected(only), self.grouped(only)
-        if per_key is None:
-            return None
-        sums = [F.sum(self._violation(c)).alias(f"v{i}") for i, c in enumerate(selected)]
-        entries = [
-            result_entry(check, a, b, metric, columns, f"v{i}")
-            for i, (check, a, b, metric, columns, *_) in enumerate(selected)
-        ]
-        return explode_entries(per_key.agg(*sums), entries)
+    def add_to(self, run: OnePass, only: Sequence[str] | None = None) -> set[str]:
+        """Hand the selected checks to a run; the tables are found again by their frames."""
+        selected = self._selected(only)
+        needed = {t for c in selected for t in c[5]}
+        reading = {id(r.df): r for r in run.readings.values()}
+        sources = [(name, reading[id(df)], key, adds) for name, df, key, adds in self.sources if name in needed]
+        slots = run.ledger(sources, [c[5:] for c in selected]) if selected else []
+        for (check, a, b, metric, columns, *_), slot in zip(selected, slots):
+            run.entry(check, a, b, metric, columns, slot)
+        return {c[0] for c in selected}
 
     def keys(self, check_id: str, cap: int | None = P.LIST_CAP) -> DataFrame:
         """The keys behind a cross check, per metric, sorted as text; ``cap`` None lists them all."""
@@ -302,8 +220,12 @@ class Ledger:
 
 
 
-def _positive(condition: Column) -> Column:
-    return S.as_flag(condition)
+def _flag(condition: str) -> str:
+    return f"cast({condition} as bigint)"
+
+
+def _rows_if(rows: str, condition: str) -> str:
+    return f"case when {condition} then {rows} end"
 
 
 @dataclass
@@ -312,6 +234,7 @@ class CrossAudit:
 
     tables: TableSet
     as_of: str | None = None
+    readings: dict[str, Reading] | None = None  # set where the counts come from a run
 
     def __post_init__(self) -> None:
         t = self.tables
@@ -336,7 +259,9 @@ class CrossAudit:
     # -- helpers ------------------------------------------------------------
 
     def sheet(self, name: str | None) -> C.Sheet | None:
-        return C.Sheet(name, self.tables[name], self.as_of) if name else None
+        if name is None:
+            return None
+        return self.readings[name] if self.readings else C.Sheet(name, self.tables[name], self.as_of)
 
     def _eligible(self) -> tuple[Column, list[str]] | None:
         """Slept here and has not departed, on whichever of the two columns exist."""
@@ -385,18 +310,18 @@ class CrossAudit:
             needs = ("eligible", f"rows:{name}")
             ledger.check(
                 "XCK2", self.presence, name, "n_eligible_without_form", looked_at, needs,
-                lambda e, f: _positive((e > 0) & (f == 0)),
+                lambda e, f: _flag(f"{e} > 0 and {f} = 0"),
             )
             ledger.check(
                 "XCK2", self.presence, name, "n_form_without_eligibility", looked_at, needs,
-                lambda e, f: _positive((e == 0) & (f > 0)),
+                lambda e, f: _flag(f"{e} = 0 and {f} > 0"),
             )
 
         for check, name in (("XCK4", self.deaths), ("XCK5", self.departures)):
             if name and presence and ledger.tally(f"rows:{name}", t[name], R.person_key(t[name]), one):
                 ledger.check(
                     check, name, self.presence, "n", (R.person_key(t[name]),), (f"rows:{name}", "presence"),
-                    lambda rows, present: F.when(present > 0, rows), null_key=True,
+                    lambda rows, present: _rows_if(rows, f"{present} > 0"), null_key=True,
                 )
 
         if self.pregnancies:
@@ -408,11 +333,11 @@ class CrossAudit:
             ):
                 ledger.check(
                     "XCK10", self.pregnancies, self.outcomes, "n", (key,), (pregnant, f"rows:{self.outcomes}"),
-                    lambda rows, ended: F.when(ended == 0, rows), null_key=True,
+                    lambda rows, ended: _rows_if(rows, f"{ended} = 0"), null_key=True,
                 )
             ledger.check(
                 "XCK13", self.pregnancies, self.presence, "n", (key, slept), (pregnant, "not_slept"),
-                lambda rows, away: _positive((rows > 0) & (away > 0)),
+                lambda rows, away: _flag(f"{rows} > 0 and {away} > 0"),
             )
 
         self._person_attributes(ledger)
@@ -436,7 +361,7 @@ class CrossAudit:
                 )
                 ledger.check(
                     "XCK15", self.reproductive, self.complement, "n", (living, alive), ("childless", "live_child"),
-                    lambda none, child: _positive((none > 0) & (child > 0)),
+                    lambda none, child: _flag(f"{none} > 0 and {child} > 0"),
                 )
 
         health = self.sheet(self.health)
@@ -445,7 +370,7 @@ class CrossAudit:
             ledger.tally("health", health.df, respondent, one)
             ledger.check(
                 "XCK18", self.health, self.presence, "n", (respondent,), ("health", "not_slept"),
-                lambda rows, away: _positive((rows > 0) & (away > 0)),
+                lambda rows, away: _flag(f"{rows} > 0 and {away} > 0"),
             )
 
         if persons is None:
@@ -453,8 +378,8 @@ class CrossAudit:
         key, birth = R.person_key(persons.df), persons.find(P.BIRTH_DATE)
         age = persons.age(birth)
 
-        def product(rows: Column, kind: Column) -> Column:
-            return rows * kind
+        def product(rows: str, kind: str) -> str:
+            return f"{rows} * {kind}"
 
         def persons_where(tally: str, condition: Column) -> str:
             ledger.tally(tally, persons.df, key, S.as_flag(condition))
@@ -505,11 +430,11 @@ class CrossAudit:
             adult = persons_where("adult", age >= P.ADULT_AGE)
             ledger.check(
                 "XCK17", self.telephones, self.persons, "n_minor_with_phone", looked_at, (minor, "phone"),
-                lambda kind, phone: F.when(phone > 0, kind),
+                lambda kind, phone: _rows_if(kind, f"{phone} > 0"),
             )
             ledger.check(
                 "XCK17", self.telephones, self.persons, "n_adult_without_phone", looked_at, (adult, "phone"),
-                lambda kind, phone: F.when(phone == 0, kind), null_key=True,
+                lambda kind, phone: _rows_if(kind, f"{phone} = 0"), null_key=True,
             )
 
     def rule_ledger(self) -> Ledger:
@@ -531,50 +456,69 @@ class CrossAudit:
             ledger.tally(f"child_of_{parent}", persons.df, column, F.lit(1))
             ledger.check(
                 "RUL3", self.persons, self.persons, f"n_{parent}", (column, key), (f"child_of_{parent}", "registered"),
-                lambda children, known: F.when(known == 0, children),
+                lambda children, known: _rows_if(children, f"{known} = 0"),
             )
             ledger.check(
                 "RUL4", self.persons, self.persons, f"n_{parent}", (column, key), (f"child_of_{parent}", wrong),
-                lambda children, other: children * other,
+                lambda children, other: f"{children} * {other}",
             )
         return ledger
 
     # -- households ---------------------------------------------------------
 
+    def _homes(self) -> tuple[C.Sheet, C.Sheet, str, str, str, list[tuple[str, str]]] | None:
+        """Presence, persons, their keys, the household column, and the forms kept per household with theirs."""
+        persons, presence = self.sheet(self.persons), self.sheet(self.presence)
+        if not (persons and presence):
+            return None
+        household, key, presence_key = persons.find(P.HOUSEHOLD), R.person_key(persons.df), R.person_key(presence.df)
+        if not (household and presence_key):
+            return None
+        forms = [(n, R.first_column(self.tables[n], P.HOUSEHOLD)) for n in (self.poverty, self.health) if n]
+        return presence, persons, presence_key, key, household, [(n, c) for n, c in forms if c]
+
+    def home_ledger(self) -> Ledger:
+        """XCK3 per household, for listing the households; the counts come from ``add_homes``."""
+        ledger, found = Ledger(), self._homes()
+        if found is None:
+            return ledger
+        presence, persons, presence_key, key, household, forms = found
+        as_text = S.needs_text_key([(persons.df, key), (presence.df, presence_key)])
+        staying = presence.df.where(self._eligible()[0]).select(S.key_column(presence.df, presence_key, as_text).alias("_p")).distinct()
+        homes = persons.df.join(staying, S.key_column(persons.df, key, as_text) == F.col("_p"), "left_semi").select(S.column(household))
+        ledger.tally("eligible_home", homes, household, F.lit(1))
+        for name, column in forms:
+            ledger.tally(f"rows:{name}", self.tables[name], column, F.lit(1))
+            needs, looked_at = ("eligible_home", f"rows:{name}"), self._home_columns(found, column)
+            ledger.check(
+                "XCK3", self.presence, name, "n_eligible_without_form", looked_at, needs,
+                lambda e, f: _flag(f"{e} > 0 and {f} = 0"),
+            )
+            ledger.check(
+                "XCK3", self.presence, name, "n_form_without_eligibility", looked_at, needs,
+                lambda e, f: _flag(f"{e} = 0 and {f} > 0"),
+            )
+        return ledger
+
+    def _home_columns(self, found: tuple, column: str) -> tuple[str, ...]:
+        _, _, presence_key, _, household, _ = found
+        return (presence_key, column, *self._eligible()[1], f"{self.persons}.{household}")
+
+    def add_homes(self, run: OnePass) -> bool:
+        found = self._homes()
+        if found is None or not found[-1]:
+            return False
+        presence, persons, presence_key, key, household, forms = found
+        staying = (run.readings[presence.name], presence_key, self._eligible()[0])
+        slots = run.homes(staying, (run.readings[persons.name], key, household), [(run.readings[n], c) for n, c in forms])
+        for (name, column), both in zip(forms, slots):
+            for metric, slot in zip(("n_eligible_without_form", "n_form_without_eligibility"), both):
+                run.entry("XCK3", self.presence, name, metric, self._home_columns(found, column), slot)
+        return True
+
     def household_ledger(self) -> Ledger:
         ledger = Ledger()
         one = F.lit(1)
-        persons, presence, eligible = self.sheet(self.persons), self.sheet(self.presence), self._eligible()
-        if persons and presence:
-            household = persons.find(P.HOUSEHOLD)
-            key, presence_key = R.person_key(persons.df), R.person_key(presence.df)
-            if household and presence_key:
-                as_text = S.needs_text_key([(persons.df, key), (presence.df, presence_key)])
-                staying = (
-                    presence.df.where(eligible[0])
-                    .select(S.key_column(presence.df, presence_key, as_text).alias("_p"))
-                    .distinct()
-                )
-                homes = persons.df.join(
-                    staying, S.key_column(persons.df, key, as_text) == F.col("_p"), "left_semi"
-                ).select(S.column(household))
-                ledger.tally("eligible_home", homes, household, one)
-                for name in (self.poverty, self.health):
-                    column = R.first_column(self.tables[name], P.HOUSEHOLD) if name else None
-                    if column is None:
-                        continue
-                    ledger.tally(f"rows:{name}", self.tables[name], column, one)
-                    looked_at = (presence_key, column, *eligible[1], f"{self.persons}.{household}")
-                    needs = ("eligible_home", f"rows:{name}")
-                    ledger.check(
-                        "XCK3", self.presence, name, "n_eligible_without_form", looked_at, needs,
-                        lambda e, f: _positive((e > 0) & (f == 0)),
-                    )
-                    ledger.check(
-                        "XCK3", self.presence, name, "n_form_without_eligibility", looked_at, needs,
-                        lambda e, f: _positive((e == 0) & (f > 0)),
-                    )
-
         bites, residency = self.sheet(self.snakebite), self.sheet(self.residency)
         if bites and residency:
             home, found = bites.find(P.HOUSEHOLD), residency.find_all(P.HOUSEHOLD, P.RESIDENCE_STATUS)
@@ -585,11 +529,11 @@ class CrossAudit:
                 looked_at, needs = (home, *found), ("snakebite", "resident")
                 ledger.check(
                     "XCK21", self.snakebite, self.residency, "n_form_without_resident", looked_at, needs,
-                    lambda form, living: _positive((form > 0) & (living == 0)),
+                    lambda form, living: _flag(f"{form} > 0 and {living} = 0"),
                 )
                 ledger.check(
                     "XCK21", self.snakebite, self.residency, "n_residents_without_form", looked_at, needs,
-                    lambda form, living: _positive((form == 0) & (living > 0)),
+                    lambda form, living: _flag(f"{form} = 0 and {living} > 0"),
                 )
         return ledger
 
@@ -611,153 +555,89 @@ class CrossAudit:
             ):
                 ledger.check(
                     check, name, other, "n", (f"{name}.{left}", f"{other}.{right}"), ("own", "other"),
-                    lambda mine, theirs: _positive((mine > 0) & (theirs == 0)),
+                    lambda mine, theirs: _flag(f"{mine} > 0 and {theirs} = 0"),
                 )
             ledgers.append(ledger)
         return ledgers
 
     # -- dates against births ------------------------------------------------
 
-    def _dated_sources(self, only: Sequence[str] | None):
-        """(check, metric, table_a, columns, sheet, key column, date column, test(birth, date))."""
+    def add_dates(self, run: OnePass, only: Sequence[str] | None) -> set[str]:
+        """Dates that contradict the person's birth date: before it (None), or too few years after it."""
         persons = self.sheet(self.persons)
         if persons is None:
-            return
-        birth = persons.find(P.BIRTH_DATE)
-        before = lambda born, day: day < born
-        deaths = self.sheet(self.deaths)
-        if deaths:
-            day = deaths.find(P.DEATH_DATE)
-            yield "XCK6", "n", deaths, R.person_key(deaths.df), day, before
-        unions = self.sheet(self.relationships)
-        if unions:
-            for kind, pattern in P.UNION_DATES.items():
-                yield "XCK7", f"n_{kind}", unions, R.person_key(unions.df), unions.find(pattern), before
-        children = self.sheet(self.complement)
-        if children:
-            young = lambda born, day: S.years_between(born, day) < P.MOTHER_MINIMUM_AGE
-            yield "XCK16", "n", children, R.person_key(children.df), children.find(P.CHILD_BIRTH_DATE), young
-        close = lambda born, day: S.years_between(born, day) < P.PARENT_AGE_GAP
+            return set()
+        key, birth = R.person_key(persons.df), persons.find(P.BIRTH_DATE)
+        asked: dict[float | None, list[tuple[str, str, C.Sheet, str | None, str | None]]] = {}
+
+        def ask(check: str, metric: str, name: str | None, key: str | None, pattern, years: float | None = None) -> None:
+            sheet = self.sheet(name)
+            if sheet and _wanted(check, only):
+                day = sheet.find(pattern)
+                key = key or R.person_key(sheet.df)
+                if key and day:
+                    asked.setdefault(years, []).append((check, metric, sheet, key, day))
+
+        ask("XCK6", "n", self.deaths, None, P.DEATH_DATE)
+        for kind, pattern in P.UNION_DATES.items():
+            ask("XCK7", f"n_{kind}", self.relationships, None, pattern)
+        ask("XCK16", "n", self.complement, None, P.CHILD_BIRTH_DATE, P.MOTHER_MINIMUM_AGE)
         if only is not None and "RUL5" in only:
             for parent, pattern in (("father", P.FATHER_ID), ("mother", P.MOTHER_ID)):
-                yield "RUL5", f"n_{parent}", persons, persons.find(pattern), birth, close
-
-    def dated_counts(self, only: Sequence[str] | None = None) -> DataFrame | None:
-        """Dates that contradict the person's birth date: all of them through one join."""
-        sources = [s for s in self._dated_sources(only) if _wanted(s[0], only) and s[3] and s[4]]
-        if not sources:
-            return None
-        persons = self.sheet(self.persons)
-        key, birth = R.person_key(persons.df), persons.find(P.BIRTH_DATE)
-        as_text = S.needs_text_key([(persons.df, key)] + [(s[2].df, s[3]) for s in sources])
-        events = union_all(
-            [
-                sheet.df.select(
-                    S.key_column(sheet.df, k, as_text).alias("_key"),
-                    F.lit(i).alias("kind"),
-                    sheet.moment(day).alias("day"),
-                )
-                for i, (_, _, sheet, k, day, _) in enumerate(sources)
-            ]
-        ).where(F.col("_key").isNotNull() & F.col("day").isNotNull())
-        born = persons.df.select(
-            S.key_column(persons.df, key, as_text).alias("_person"), persons.moment(birth).alias("born")
-        ).where(F.col("born").isNotNull())
-        matched = events.join(born, F.col("_key") == F.col("_person"), "inner")
-        sums = [
-            F.sum(S.as_flag((F.col("kind") == i) & test(F.col("born"), F.col("day")))).alias(f"d{i}")
-            for i, (*_, test) in enumerate(sources)
-        ]
-        entries = [
-            result_entry(check, sheet.name, self.persons, metric, (k, day, f"{self.persons}.{birth}"), f"d{i}")
-            for i, (check, metric, sheet, k, day, _) in enumerate(sources)
-        ]
-        return explode_entries(matched.agg(*sums), entries)
-
-    def union_age_gap(self) -> DataFrame | None:
+                if column := persons.find(pattern):
+                    ask("RUL5", f"n_{parent}", self.persons, column, P.BIRTH_DATE, P.PARENT_AGE_GAP)
+        for years, events in asked.items():
+            slots = run.later((persons, key, birth), [e[2:] for e in events], years)
+            for (check, metric, sheet, k, day), slot in zip(events, slots):
+                run.entry(check, sheet.name, self.persons, metric, (k, day, f"{self.persons}.{birth}"), slot)
+        return {e[0] for events in asked.values() for e in events}
+
+    def add_union_ages(self, run: OnePass) -> bool:
         """XCK8: declared age at union against the age computed from the union and birth dates.
 
-        Rows are counted per key and value before the joins, so a person with many rows
-        contributes one row per distinct age and day, weighted by how often each occurs.
+        Values are counted per person first; a person has one row per distinct age and per distinct day.
         """
         history, unions, persons = self.sheet(self.union_history), self.sheet(self.relationships), self.sheet(self.persons)
         if not (history and unions and persons):
-            return None
+            return False
         declared, start = history.find(P.UNION_AGE), unions.find(P.UNION_DATES["start"])
         birth = persons.find(P.BIRTH_DATE)
         keys = [R.person_key(s.df) for s in (history, unions, persons)]
         if not (declared and start and all(keys)):
-            return None
-        as_text = S.needs_text_key([(s.df, k) for s, k in zip((history, unions, persons), keys)])
-
-        def weighted(sheet: C.Sheet, key: str, value: Column, name: str) -> DataFrame:
-            return (
-                sheet.df.select(S.key_column(sheet.df, key, as_text).alias("_key"), value.alias(name))
-                .where(F.col("_key").isNotNull() & F.col(name).isNotNull())
-                .groupBy("_key", name)
-                .agg(F.count(F.lit(1)).alias(f"n_{name}"))
-            )
+            return False
 
-        ages = weighted(history, keys[0], history.number(declared), "declared")
-        starts = weighted(unions, keys[1], unions.moment(start).cast("date"), "started")
-        births = weighted(persons, keys[2], persons.moment(birth).cast("date"), "born")
-        apart = F.abs(F.col("declared") - S.years_between(F.col("born"), F.col("started"))) > P.UNION_AGE_GAP
-        weight = F.col("n_declared") * F.col("n_started") * F.col("n_born")
-        counted = ages.join(starts, "_key").join(births, "_key").agg(F.sum(F.when(apart, weight)).alias("k"))
-        looked_at = (keys[0], declared, start, f"{self.persons}.{birth}")
-        return explode_entries(
-            counted, [result_entry("XCK8", self.union_history, self.relationships, "n", looked_at, "k")]
-        )
+        def day(sheet: C.Sheet, column: str) -> Column:
+            return F.datediff(sheet.moment(column).cast("date"), F.lit("1970-01-01").cast("date"))
 
-    def departures_before_arrivals(self) -> DataFrame | None:
-        """XCK9: (departure, arrival) pairs of a person where the departure comes first.
+        slot = run.union_ages(
+            (history, keys[0], history.number(declared)), (unions, keys[1], day(unions, start)), (persons, keys[2], day(persons, birth)), P.UNION_AGE_GAP
+        )
+        run.entry("XCK8", self.union_history, self.relationships, "n", (keys[0], declared, start, f"{self.persons}.{birth}"), slot)
+        return True
 
-        Pairs are counted, not formed: events are totalled per person and moment, then each
-        departure is multiplied by the arrivals still to come.
-        """
+    def add_departures(self, run: OnePass) -> bool:
+        """XCK9: (departure, arrival) pairs of a person where the departure comes first."""
         out, into = self.sheet(self.departures), self.sheet(self.arrivals)
         if not (out and into):
-            return None
+            return False
         left, came = out.find(P.DEPARTURE_DATE), into.find(P.ARRIVAL_DATE)
         key_out, key_in = R.person_key(out.df), R.person_key(into.df)
         if not (left and came and key_out and key_in):
-            return None
-        as_text = S.needs_text_key([(out.df, key_out), (into.df, key_in)])
-        events = union_all(
-            [
-                sheet.df.select(
-                    S.key_column(sheet.df, key, as_text).alias("_key"),
-                    sheet.moment(day).alias("day"),
-                    F.lit(leaving).cast("bigint").alias("departures"),
-                    F.lit(1 - leaving).cast("bigint").alias("arrivals"),
-                )
-                for sheet, key, day, leaving in ((out, key_out, left, 1), (into, key_in, came, 0))
-            ]
-        ).where(F.col("_key").isNotNull() & F.col("day").isNotNull())
-        per_day = events.groupBy("_key", "day").agg(
-            F.sum("departures").alias("departures"), F.sum("arrivals").alias("arrivals")
-        )
-        later = Window.partitionBy("_key").orderBy(F.desc("day")).rowsBetween(Window.unboundedPreceding, -1)
-        pairs = F.col("departures") * F.coalesce(F.sum("arrivals").over(later), F.lit(0))
-        counted = per_day.select(pairs.alias("pairs")).agg(F.sum("pairs").alias("k"))
-        looked_at = (f"{self.departures}.{left}", f"{self.arrivals}.{came}")
-        return explode_entries(
-            counted, [result_entry("XCK9", self.departures, self.arrivals, "n", looked_at, "k")]
-        )
+            return False
+        (slot,) = run.later((into, key_in, came), [(out, key_out, left)])
+        run.entry("XCK9", self.departures, self.arrivals, "n", (f"{self.departures}.{left}", f"{self.arrivals}.{came}"), slot)
+        return True
 
-    def person_rules(self, only: Sequence[str] | None) -> DataFrame | None:
+    def add_person_rules(self, run: OnePass, only: Sequence[str] | None) -> set[str]:
         """Documented rules on the person table itself: code lists, own parent."""
         persons = self.sheet(self.persons)
         if persons is None:
-            return None
-        key, sums, entries = R.person_key(persons.df), [], []
+            return set()
+        key, space = R.person_key(persons.df), run.space()
 
         def add(check: str, metric: str, columns: Sequence[str], broken: Column) -> None:
             if _wanted(check, only):
-                sums.append(F.sum(S.as_flag(broken)).alias(f"r{len(sums)}"))
-                entries.append(
-                    result_entry(check, self.persons, None, metric, columns, f"r{len(entries)}")
-                )
+                run.entry(check, self.persons, None, metric, columns, run.count_rows(persons, space, S.as_flag(broken)))
 
         for metric, pattern, codes in (
             ("n_sex", P.GENDER, P.SEX_CODES),
@@ -770,39 +650,28 @@ class CrossAudit:
             column = persons.find(pattern)
             if column:
                 add("RUL2", metric, (key, column), S.column(column) == S.column(key))
-        return explode_entries(persons.df.agg(*sums), entries) if sums else None
+        return {c for c in ("RUL1", "RUL2") if _wanted(c, only)}
 
     # -- all ----------------------------------------------------------------
 
     def ledgers(self) -> list[Ledger]:
         return [self.person_ledger(), self.household_ledger(), *self.event_ledgers(), self.rule_ledger()]
 
-    def counts(self, only: Sequence[str] | None = None) -> list[DataFrame]:
-        """Counts of the wanted checks; those the loaded tables do not allow come as not applicable."""
-        parts: list[DataFrame | None] = []
+    def add_to(self, run: OnePass, only: Sequence[str] | None = None) -> None:
+        """Hand the wanted checks to a run; those the loaded tables do not allow come as not applicable."""
         applied: set[str] = set()
         for ledger in self.ledgers():
-            parts.append(ledger.counts(only))
-            applied |= {c[0] for c in ledger._selected(only)}
-        parts.append(self.dated_counts(only))
-        applied |= {s[0] for s in self._dated_sources(only) if s[3] and s[4]}
-        for check, build in (("XCK8", self.union_age_gap), ("XCK9", self.departures_before_arrivals)):
-            counted = build() if _wanted(check, only) else None
-            if counted is not None:
-                parts.append(counted)
+            applied |= ledger.add_to(run, only)
+        applied |= self.add_dates(run, only) | self.add_person_rules(run, only)
+        for check, add in (("XCK3", self.add_homes), ("XCK8", self.add_union_ages), ("XCK9", self.add_departures)):
+            if _wanted(check, only) and add(run):
                 applied.add(check)
-        rules = self.person_rules(only)
-        if rules is not None:
-            parts.append(rules)
-            applied |= {"RUL1", "RUL2"}
-        absent = [c for c in (CROSS_CHECKS if only is None else only) if c not in applied]
-        if absent and len(self.tables):
-            one_row = next(iter(self.tables.values())).limit(0).agg(F.count(F.lit(1)).alias("f"))
-            parts.append(explode_entries(one_row, [result_entry(c, None, None, "n", (), None) for c in absent]))
-        return [p for p in parts if p is not None]
+        for check in CROSS_CHECKS if only is None else only:
+            if check not in applied:
+                run.entry(check, None, None, "n", (), None)
 
     def keys(self, check_id: str, cap: int | None = P.LIST_CAP) -> DataFrame:
-        for ledger in self.ledgers():
+        for ledger in [*self.ledgers(), self.home_ledger()]:
             if ledger._selected([check_id]):
                 return ledger.keys(check_id, cap)
         raise ValueError(f"{check_id} has no key listing or does not apply")
@@ -814,26 +683,22 @@ CROSS_CHECKS = tuple(f"XCK{i}" for i in range(1, 22))
 def audit_across(tables: TableSet, as_of: str | None = None, only: Sequence[str] | None = None) -> DataFrame:
     """Counts of the cross-table checks. Rules that are only written down run when asked for."""
     wanted = CROSS_CHECKS if only is None else only
-    parts = CrossAudit(tables, as_of).counts(wanted)
-    if not parts:
+    run = OnePass(readings_of(tables, as_of))
+    CrossAudit(tables, as_of, run.readings).add_to(run, wanted)
+    if not run.entries:
         raise ValueError("No cross-table check applies to the loaded tables")
-    return union_all(parts)
+    return run.result()
 
 
 def audit_full(
     tables: TableSet, as_of: str | None = None, table: str | None = None, include_rules: bool = False
 ) -> DataFrame:
     """Every check on every table, then across tables; ``table`` keeps what concerns one table."""
-    names = [table] if table else list(tables)
-    parts = audit_tables(tables, names, as_of)
-    wanted = CROSS_CHECKS + (PERSON_RULES if include_rules else ())
-    crossed = CrossAudit(tables, as_of).counts(wanted)
-    if crossed:
-        across = union_all(crossed)
-        if table:
-            across = across.where((F.col("table_a") == table) | (F.col("table_b") == table))
-        parts.append(across)
-    return union_all(parts)
+    run = OnePass(readings_of(tables, as_of))
+    _add_table_checks(run, tables, [table] if table else list(tables), None)
+    CrossAudit(tables, as_of, run.readings).add_to(run, CROSS_CHECKS + (PERSON_RULES if include_rules else ()))
+    result = run.result()
+    return result.where((F.col("table_a") == table) | (F.col("table_b") == table)) if table else result
 
 
 def status_overlap(tables: TableSet, status_table: str, target: str, key: str | None = None) -> DataFrame:

@@ -35,6 +35,7 @@ def build_session(
         .config("spark.sql.ansi.enabled", "true")
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.sql.parquet.filterPushdown", "true")
+        .config("spark.sql.codegen.cache.maxEntries", "1000")  # a report over many tables compiles more than the default 100 steps
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
     )
     if master:
