@@ -187,7 +187,7 @@ def hits_sql(value: str) -> str:
 
 
 def _searched(spark, folder) -> TableSet:
-    return TableSet({n: view(spark, folder, n) for n in SEARCHED})
+    return survey(spark, folder, names={n: n for n in SEARCHED})
 
 
 @query("id_search", hits_sql("114"))

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from hearthcheck.functions import scalars as S
 from hearthcheck.operators.joins import lookup, one_per_key
-from hearthcheck.operators.skew import join_reference
+from hearthcheck.operators.skew import join_reference, may_be_member, member_bits
 from hearthcheck.operators.stats import implausible_date, require_columns, running_total, union_all
 from hearthcheck.plans import patterns as P
 from hearthcheck.plans import roles as R
@@ -362,19 +362,24 @@ def search_identifier(tables: TableSet, identifier: object) -> DataFrame:
 
 
 def search_identifiers(tables: TableSet, wanted: DataFrame, column: str) -> DataFrame:
-    """The same for a table of identifiers: (identifier, table, JSON row) for each match."""
-    keys = wanted.select(F.lower(F.trim(S.exact_text(wanted, column))).alias("identifier")).distinct()
+    """The same for a table of identifiers: (identifier, table, JSON row) for each match.
+
+    A Bloom filter of the wanted identifiers is held against every identifier cell as the tables are read. Only rows
+    that may match become text; their cells meet the wanted identifiers in one join for all tables.
+    """
+    keys = wanted.select(F.lower(F.trim(S.exact_text(wanted, column))).alias("_wanted")).where("_wanted is not null")
+    bits = member_bits(keys, "_wanted")
     parts = []
     for name, df in tables.items():
         ids = R.id_columns(df)
         if not ids:
             continue
-        values = F.array_distinct(F.array_compact(F.array(*[F.lower(F.trim(S.exact_text(df, c))) for c in ids])))
-        cells = df.withColumn("_value", F.explode(values))
-        found = join_reference(cells, F.col("_value"), keys, "identifier", "left_semi")
-        # rows become text only where they are wanted
-        row = F.to_json(F.struct(*[S.column(c) for c in df.columns]))
-        parts.append(found.select(F.col("_value").alias("identifier"), F.lit(name).alias("table"), row.alias("row")))
+        texts = [f"lower(trim({S.sql_exact_text(df, c)})) as _id{i}" for i, c in enumerate(ids)]
+        cells = df.withColumn("_bits", bits).selectExpr("*", *texts)
+        found = ", ".join(f"case when {may_be_member(f'_id{i}', '_bits')} then _id{i} end" for i in range(len(ids)))
+        row = ", ".join(S.quoted(c) for c in df.columns)
+        # an empty array has no rows, so only rows that may match become text
+        parts.append(cells.selectExpr(f"explode(array_distinct(array_compact(array({found})))) as identifier", f"{S.sql_text(name)} as table", f"to_json(struct({row})) as row"))
     if not parts:
         raise ValueError("No loaded table has an identifier column.")
-    return union_all(parts)
+    return join_reference(union_all(parts), F.col("identifier"), keys.distinct(), "_wanted", "left_semi")

@@ -1,10 +1,13 @@
 """Joining rows to a keyed reference when one key may hold a large share of the rows.
 
-Adaptive execution splits a skewed side only where both inputs come straight from a shuffle.
-A reference with one row per key is an aggregate, so a hot key would stay in one task. Here rows
-are counted per key first (one narrow row per key and task is shuffled), a key gets as many salts
-as its rows are worth tasks, and its reference row is copied once per salt. The plan is the same
-at every size.
+Adaptive execution splits a skewed side by itself, while the rows lie in the shuffle, but only where both inputs come
+straight from a shuffle made for the join. A reference with one row per key is an aggregate already dealt by key, which
+rules that out. So the join asks for one more column, computed from the key and the same for equal keys: the reference is
+dealt once more by both (narrow rows, one per key), and a hot key of the other side is then cut into as many tasks as
+its bytes are worth, each with a copy of its reference partition. Nothing is counted beforehand and every input is read
+once.
+
+``member_bits`` is a Bloom filter of a set of keys, for dropping rows before they are shuffled at all.
 """
 
 from __future__ import annotations
@@ -12,21 +15,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-TASK_ROWS = 1_000_000
-# A key needs more rows than this share of all to get salts, so no more than 1 / LEAST_SHARE keys can.
-LEAST_SHARE = 1e-4
-
-
-def key_salts(keys: DataFrame, key: str, task_rows: int = TASK_ROWS) -> DataFrame:
-    """(_h, _salts) of the keys worth more than one task, missing keys included.
-
-    A key is worth one task per ``task_rows`` rows, or per ``LEAST_SHARE`` of all rows where that is
-    more: at most 1 / LEAST_SHARE rows come back, whatever the data, so they can be held in every task.
-    """
-    counts = keys.groupBy(F.col(key).alias("_h")).agg(F.count(F.lit(1)).alias("_n"))
-    total = counts.agg(F.coalesce(F.sum("_n"), F.lit(0)).alias("t")).scalar()
-    worth = F.greatest(F.lit(float(task_rows)), total * F.lit(LEAST_SHARE))
-    return counts.where(F.col("_n") > worth).select("_h", F.ceil(F.col("_n") / worth).cast("int").alias("_salts"))
+FILTER_WORDS = 1 << 14  # 64 bits each: 128 KB, about 1 % wrong hits at 100 000 keys
+FILTER_PROBES = 3
 
 
 def join_reference(
@@ -36,19 +26,38 @@ def join_reference(
     reference_key: str,
     how: str,
     match_nulls: bool = False,
-    task_rows: int = TASK_ROWS,
 ) -> DataFrame:
-    """Left, semi or anti join to a reference that has each key once.
-
-    Rows of a key worth several tasks are spread over that many salts by their place in their file,
-    so copies of one row spread as well; the result does not depend on which salt a row gets.
-    """
-    keyed = left.withColumn("_k", left_key)
-    salts = F.broadcast(key_salts(keyed.select("_k"), "_k", task_rows))
-    spread = F.pmod(F.monotonically_increasing_id(), F.coalesce(F.col("_salts"), F.lit(1))).cast("int")
-    keyed = keyed.join(salts, F.col("_k").eqNullSafe(F.col("_h")), "left").withColumn("_s", spread).drop("_h", "_salts")
-    copies = F.sequence(F.lit(0), F.coalesce(F.col("_salts"), F.lit(1)) - 1)
-    renamed = reference.withColumnRenamed(reference_key, "_rk")
-    renamed = renamed.join(salts, F.col("_rk").eqNullSafe(F.col("_h")), "left").withColumn("_rs", F.explode(copies)).drop("_h", "_salts")
+    """Left, inner, semi or anti join to a reference that has each key once."""
+    keyed = left.withColumn("_k", left_key).withColumn("_s", _same_for_equal("_k"))
+    renamed = reference.withColumnRenamed(reference_key, "_rk").withColumn("_rs", _same_for_equal("_rk"))
     same = F.col("_k").eqNullSafe(F.col("_rk")) if match_nulls else F.col("_k") == F.col("_rk")
     return keyed.join(renamed, same & (F.col("_s") == F.col("_rs")), how).drop("_k", "_rk", "_s", "_rs")
+
+
+def _same_for_equal(key: str) -> Column:
+    """Always 0, in a way the planner does not see through."""
+    return F.pmod(F.xxhash64(key), F.lit(1))
+
+
+def _probes(value: str, words: int) -> list[tuple[str, str]]:
+    """Word and bit of each probe of a key, as SQL."""
+    hashes = [f"xxhash64({value}, {probe})" for probe in range(FILTER_PROBES)]
+    return [(f"cast(pmod({h}, {words}) as int)", f"cast(shiftrightunsigned({h}, 58) as int)") for h in hashes]
+
+
+def member_bits(keys: DataFrame, key: str, words: int = FILTER_WORDS) -> Column:
+    """The Bloom filter of a set of keys: an array of ``words`` numbers, computed once by the query that uses it.
+
+    With many more keys than it is made for it lets more pass, so an exact test has to follow.
+    """
+    probes = ", ".join(f"named_struct('word', {word}, 'bit', {bit})" for word, bit in _probes(f"`{key}`", words))
+    set_bits = keys.selectExpr(f"inline(array({probes}))").selectExpr("word", "shiftleft(1L, bit) as bits")
+    empty = keys.sparkSession.range(words).selectExpr("cast(id as int) as word", "0L as bits")
+    held = set_bits.unionByName(empty).groupBy("word").agg(F.expr("bit_or(bits)").alias("bits"))
+    listed = F.array_sort(F.collect_list(F.struct("word", "bits")))
+    return held.agg(listed.alias("l")).select(F.col("l.bits").alias("bits")).scalar()
+
+
+def may_be_member(value: str, bits: str, words: int = FILTER_WORDS) -> str:
+    """SQL: may this value be among the keys whose filter is in column ``bits``? Never false for one that is."""
+    return " and ".join(f"getbit(get({bits}, {word}), {bit}) = 1" for word, bit in _probes(value, words))

@@ -1,5 +1,6 @@
 import pytest
 from conftest import as_set
+from pyspark.sql import functions as F
 
 from hearthcheck.operators import joins as J
 from hearthcheck.operators import skew
@@ -71,24 +72,60 @@ def test_lookup_takes_the_first_and_fills_the_rest(make):
     assert as_set(found) == {("A", "early"), ("B", "Non renseigné"), (None, "Non renseigné")}
 
 
-@pytest.mark.parametrize("how, match_nulls", [("left", False), ("left_semi", True), ("left_anti", False), ("left_anti", True)])
-def test_salted_join_equals_the_plain_one(spark, how, match_nulls):
-    """A third of the rows share one key, another part has none."""
-    rows = spark.range(3000).selectExpr(
-        "id", "case when id % 3 = 0 then 7 when id % 10 = 1 then null else id % 50 end as k"
-    )
-    reference = spark.range(40).selectExpr("id as r", "id * 2 as v").unionByName(
-        spark.sql("select cast(null as bigint) as r, cast(-1 as bigint) as v")
-    )
-    from pyspark.sql import functions as F
+def rows_with_a_hot_key(spark, n=3000):
+    """Two fifths of the rows share one key, another part has none."""
+    return spark.range(n).selectExpr("id", "case when id % 5 < 2 then 7 when id % 10 = 2 then null else id % 50 end as k", "repeat('x', 50) as pad")
+
+
+@pytest.fixture
+def reference(spark):
+    return spark.range(40).selectExpr("id as r", "id * 2 as v").unionByName(spark.sql("select cast(null as bigint) as r, cast(-1 as bigint) as v"))
+
+
+JOINS = [("left", False), ("inner", False), ("left_semi", True), ("left_anti", False), ("left_anti", True)]
+
 
-    joined = skew.join_reference(rows, F.col("k"), reference, "r", how, match_nulls)
-    salted = skew.join_reference(rows, F.col("k"), reference, "r", how, match_nulls, task_rows=100)
+@pytest.mark.parametrize("how, match_nulls", JOINS)
+def test_join_to_a_reference_equals_the_plain_one(spark, reference, how, match_nulls):
+    rows = rows_with_a_hot_key(spark)
     same = rows["k"].eqNullSafe(reference["r"]) if match_nulls else rows["k"] == reference["r"]
     plain = sorted(map(str, rows.join(reference, same, how).drop("r").collect()))
-    assert sorted(map(str, joined.collect())) == plain == sorted(map(str, salted.collect()))
-    assert as_set(skew.key_salts(rows, "k", 100)) == {(7, 11), (None, 2)}
-    assert skew.key_salts(rows, "k").count() == 0
+    assert sorted(map(str, skew.join_reference(rows, F.col("k"), reference, "r", how, match_nulls).collect())) == plain
+
+
+@pytest.mark.parametrize("how", ["left", "left_semi", "left_anti"])
+def test_a_hot_key_is_split_and_each_input_is_read_once(spark, tmp_path, how):
+    """A key with 40 % of the rows, against distinct keys: no counting pass, and the join is cut where the key lies."""
+    settings = {
+        "spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.advisoryPartitionSizeInBytes": "8k",
+        "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "16k", "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "2",
+        "spark.sql.shuffle.partitions": "16", "spark.sql.adaptive.coalescePartitions.enabled": "false",
+    }
+    before = {k: spark.conf.get(k, None) for k in settings}
+    rows_with_a_hot_key(spark, 20_000).repartition(12).write.parquet(str(tmp_path / "a"))
+    spark.range(4000).selectExpr("id % 40 as r").write.parquet(str(tmp_path / "b"))
+    try:
+        for k, v in settings.items():
+            spark.conf.set(k, v)
+        rows, keys = spark.read.parquet(str(tmp_path / "a")), spark.read.parquet(str(tmp_path / "b")).groupBy("r").agg(F.count("*").alias("v"))
+        joined = skew.join_reference(rows, F.col("k"), keys, "r", how)
+        n = len(joined.collect())
+        plan = joined._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0]
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+    assert n == {"left": 20_000, "left_semi": rows.where("k < 40").count(), "left_anti": rows.where("k is null or k >= 40").count()}[how]
+    assert "skew=true" in plan
+    assert plan.count("FileScan") == 2
+
+
+def test_member_filter_keeps_all_members_and_few_others(spark):
+    keys = spark.range(0, 3000, 3).selectExpr("cast(id as string) as key")
+    df = spark.range(3000).select(F.col("id"), F.col("id").cast("string").alias("value"), skew.member_bits(keys, "key", 512).alias("bits"))
+    kept = {r["id"] for r in df.where(skew.may_be_member("value", "bits", 512)).collect()}
+    assert set(range(0, 3000, 3)) <= kept and len(kept) < 1100
+    none = spark.range(10).select(F.col("id").cast("string").alias("value"), skew.member_bits(keys.limit(0), "key").alias("bits"))
+    assert none.where(skew.may_be_member("value", "bits")).count() == 0
 
 
 def test_missing_keys_pair_only_when_asked(make):
