@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterable, Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -101,11 +102,22 @@ def _word_mask(data: np.ndarray) -> np.ndarray:
     return mask
 
 
-def word_hashes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """64-bit hashes of all words of a text column, and where each row's words start and end in them."""
+@dataclass
+class Words:
+    """All words of a text column: 64-bit hashes, where each starts in ``data`` and its bytes, where each row's words begin."""
+
+    hashes: np.ndarray
+    starts: np.ndarray
+    sizes: np.ndarray
+    offsets: np.ndarray
+    data: np.ndarray
+
+
+def words_of(column: pa.Array) -> Words:
     data, offsets = utf8_parts(column)
+    none = np.zeros(0, np.int64)
     if not len(data):
-        return np.zeros(0, np.uint64), np.zeros(len(offsets), np.int64)
+        return Words(np.zeros(0, np.uint64), none, none, np.zeros(len(offsets), np.int64), data)
     mask = _word_mask(data)
     begins = mask.copy()
     begins[1:] &= ~mask[:-1]
@@ -113,7 +125,7 @@ def word_hashes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     begins[rows] = mask[rows]
     starts = np.flatnonzero(begins)
     if not len(starts):
-        return np.zeros(0, np.uint64), np.zeros(len(offsets), np.int64)
+        return Words(np.zeros(0, np.uint64), none, none, np.zeros(len(offsets), np.int64), data)
     number = np.cumsum(begins, dtype=np.int32) - 1
     place = np.arange(len(data), dtype=np.int32) - starts.astype(np.int32)[number]
     place[~mask] = 0
@@ -122,7 +134,14 @@ def word_hashes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     powers = np.multiply.accumulate(powers)
     value = (data.astype(np.uint64) + np.uint64(1)) * powers[place]
     value[~mask] = 0
-    return mixed(np.add.reduceat(value, starts)), np.searchsorted(starts, offsets)
+    sizes = np.maximum.reduceat(place, starts).astype(np.int64) + 1
+    return Words(mixed(np.add.reduceat(value, starts)), starts, sizes, np.searchsorted(starts, offsets), data)
+
+
+def word_hashes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """64-bit hashes of all words of a text column, and where each row's words start and end in them."""
+    words = words_of(column)
+    return words.hashes, words.offsets
 
 
 def shingles(words: np.ndarray, width: int) -> np.ndarray:
