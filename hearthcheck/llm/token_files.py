@@ -6,11 +6,11 @@ any stretch of ids is found and unpacked with numpy alone. Shards are written un
 manifest, which Spark commits, names them; a lost task leaves an unnamed file and is run again.
 
 Layout of a shard, little-endian: the blocks; u64 block offsets (one more than blocks), i64 document ids, u64 document
-starts (one more than documents); then a tail of 8 bytes magic and u64 bits, block size, ids, blocks, documents and the
-place of the index. The tail comes last because object stores write front to back only.
+starts (one more than documents); then a tail of 8 bytes magic and u64 bits, block size, ids, blocks, documents, documents
+without an id and the place of the index. The tail comes last because object stores write front to back only.
 
 Null text counts as empty: its document is the end id alone. Documents with equal ids stand next to each other, ordered
-by text; null ids come first and are stored as the smallest integer. No rows give no shards. Other columns are ignored.
+by text; null ids come first, stored as 0 and counted in the tail. No rows give no shards. Other columns are ignored.
 """
 
 from __future__ import annotations
@@ -28,17 +28,16 @@ from pyarrow import fs as pafs
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from hearthcheck.llm.common import rows_of, slices
+from hearthcheck.llm.common import mixed, rows_of, slices, utf8_parts
 from hearthcheck.session import new_work_path
 
 MAGIC = b"BITIDS01"
-TAIL = 8 + 6 * 8
+TAIL = 8 + 7 * 8
 BLOCK = 4096
 END_ID = 0
 SHARD_CHARS = 64 << 20
 CACHE_UNITS = 500_000
 JOINED_UNITS = 2_000
-NO_ID = -(1 << 63)
 
 
 def bits_for(vocabulary: int) -> int:
@@ -69,7 +68,7 @@ class ShardWriter:
     def __init__(self, stream, bits: int, block: int = BLOCK) -> None:
         self.stream, self.bits, self.block = stream, bits, block
         self.rest, self.offsets, self.at, self.total = np.zeros(0, "<u4"), array("Q"), 0, 0
-        self.ids, self.starts = array("q"), array("Q")
+        self.ids, self.starts, self.nulls = array("q"), array("Q"), 0
 
     def _blocks(self, ids: np.ndarray) -> None:
         for k in range(0, len(ids), self.block):
@@ -80,7 +79,8 @@ class ShardWriter:
 
     def add(self, doc_ids: list, lengths: np.ndarray, ids: np.ndarray) -> None:
         """``ids`` holds those of all the documents in a row."""
-        self.ids.extend(NO_ID if x is None else x for x in doc_ids)
+        self.nulls += doc_ids.count(None)
+        self.ids.extend(x or 0 for x in doc_ids)
         self.starts.extend((self.total + np.cumsum(lengths) - lengths).tolist())
         self.total += len(ids)
         ids = np.concatenate([self.rest, ids])
@@ -96,7 +96,7 @@ class ShardWriter:
         self.starts.append(self.total)
         for column, kind in ((self.offsets, "<u8"), (self.ids, "<i8"), (self.starts, "<u8")):
             self.stream.write(np.frombuffer(column, kind[1:]).astype(kind).tobytes() if len(column) else b"")
-        numbers = [self.bits, self.block, self.total, len(self.offsets) - 1, len(self.ids), index]
+        numbers = [self.bits, self.block, self.total, len(self.offsets) - 1, len(self.ids), self.nulls, index]
         self.stream.write(MAGIC + np.array(numbers, "<u8").tobytes())
 
 
@@ -110,7 +110,7 @@ class ShardReader:
         tail = self.file.read(TAIL)
         if tail[:8] != MAGIC:
             raise ValueError(f"Not a shard of token ids: {path}")
-        self.bits, self.block, self.total, blocks, docs, index = (int(x) for x in np.frombuffer(tail[8:], "<u8"))
+        self.bits, self.block, self.total, blocks, docs, self.nulls, index = (int(x) for x in np.frombuffer(tail[8:], "<u8"))
         self.file.seek(index)
         self.offsets = np.frombuffer(self.file.read(8 * (blocks + 1)), "<u8").astype(np.int64)
         self.doc_ids = np.frombuffer(self.file.read(8 * docs), "<i8")
@@ -137,75 +137,143 @@ def store_of(path: str) -> tuple[pafs.FileSystem, str]:
     return pafs.LocalFileSystem(), path
 
 
-_ENCODERS: dict[str, tuple[object, np.ndarray, dict[str, bytes]]] = {}
-_NEAR_SPACE = tuple(x for white in "\n\t\r " for x in (f" {white}", f"{white} "))
-_RARE_WHITE = re.compile("[\x0b\x0c\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
-_SAFE_CUT = re.compile(r"(?<=\S) (?=\S)")
-
-
-def units(text: str) -> list[str]:
-    """Cut before each single space between two non-spaces; byte-level BPE never merges across such a place."""
-    plain = not (text[:1].isspace() or text[-1:].isspace() or any(x in text for x in _NEAR_SPACE) or _RARE_WHITE.search(text))
-    if plain:
-        return text.replace(" ", "\0 ").split("\0") if "\0" not in text else [text]
-    pieces = _SAFE_CUT.split(text)
-    return [pieces[0], *(" " + x for x in pieces[1:])]
-
-
-def _encoder(tokenizer_file: str) -> tuple[object, np.ndarray, dict[str, bytes]]:
-    """The tokenizer, how many bytes of text each id stands for, and the units known so far, kept by the worker."""
-    os.environ["TOKENIZERS_PARALLELISM"] = "false"  # the task's core is the only one it may use
-    from tokenizers import Tokenizer
-
-    if tokenizer_file not in _ENCODERS:
-        tokenizer = Tokenizer.from_file(tokenizer_file)
-        vocabulary = tokenizer.get_vocab(with_added_tokens=True)
-        width = np.zeros(max(vocabulary.values()) + 1, np.int64)
+# Bytes of the white space that Python's str.isspace knows: one byte, and the leads and tails of longer ones.
+_WHITE = np.zeros(256, bool)
+_WHITE[[9, 10, 11, 12, 13, 28, 29, 30, 31, 32]] = True
+_WHITE_LONG = (b"\xc2\x85", b"\xc2\xa0", b"\xe1\x9a\x80", *(b"\xe2\x80" + bytes([x]) for x in (*range(0x80, 0x8B), 0xA8, 0xA9, 0xAF)),
+               b"\xe2\x81\x9f", b"\xe3\x80\x80")
+
+
+def _white(data: np.ndarray) -> np.ndarray:
+    """Bytes that belong to white space."""
+    mask = _WHITE[data]
+    for lead in (0xC2, 0xE1, 0xE2, 0xE3):
+        at = np.flatnonzero(data == lead)
+        for code in _WHITE_LONG:
+            if code[0] == lead:
+                found = at[at + len(code) <= len(data)]
+                for k, byte in enumerate(code[1:], start=1):
+                    found = found[data[found + k] == byte]
+                for k in range(len(code)):
+                    mask[found + k] = True
+    return mask
+
+
+def unit_starts(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    """Where units begin: at each text, and at each single space between two non-spaces, across which byte-level BPE never
+    merges. Empty texts have no unit."""
+    begins = np.zeros(len(data), bool)
+    if len(data):
+        white = _white(data)
+        begins[1:-1] = (data[1:-1] == 32) & ~white[:-2] & ~white[2:]
+        rows = offsets[:-1][offsets[:-1] < offsets[1:]]
+        begins[rows[rows > 0] - 1] = False  # the last byte of a text ends it
+        begins[rows] = True
+    return np.flatnonzero(begins)
+
+
+class _Encoder:
+    """A tokenizer with the ids of the units met so far, one after another in one array; kept by the worker."""
+
+    def __init__(self, tokenizer_file: str):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # the task's core is the only one it may use
+        from tokenizers import Tokenizer
+
+        self.tokenizer = Tokenizer.from_file(tokenizer_file)
+        vocabulary = self.tokenizer.get_vocab(with_added_tokens=True)
+        self.width = np.zeros(max(vocabulary.values()) + 1, np.int64)
         for token, number in vocabulary.items():  # byte-level: one character of a token's name is one byte
-            width[number] = len(token)
-        _ENCODERS[tokenizer_file] = (tokenizer, width, {})
-    return _ENCODERS[tokenizer_file]
-
-
-def _learn(fresh: list[str], tokenizer_file: str) -> None:
-    """Encode new units, many at a time in one text, and cut the ids where a unit's bytes end.
-
-    A full stop or comma behind a letter is a piece of its own, so such a unit is put together from its two pieces.
-    """
-    tokenizer, width, known = _encoder(tokenizer_file)
-    ended = [x for x in fresh if x[-1] in ".," and x[-2:-1].isalpha()]
-    stems = {x[:-1] for x in ended}.difference(known)
-    fresh = list(stems.union(fresh).difference(ended)) if ended else fresh
-    joined = [x for x in fresh if x[0] == " " and not x[-1].isspace()]
-    for unit in [".", ",", *(x for x in fresh if x[0] != " " or x[-1].isspace())]:
-        if unit not in known:
-            known[unit] = array("I", tokenizer.encode(unit, add_special_tokens=False).ids).tobytes()
-    texts = ["".join(joined[k : k + JOINED_UNITS]) for k in range(0, len(joined), JOINED_UNITS)]
-    for k, found in enumerate(tokenizer.encode_batch_fast(texts, add_special_tokens=False)):
-        some = joined[k * JOINED_UNITS : (k + 1) * JOINED_UNITS]
-        ids = np.array(found.ids, "<u4")
-        stops = np.searchsorted(np.cumsum(width[ids]), np.cumsum([len(x.encode()) for x in some]), side="left") + 1
-        raw, at = ids.tobytes(), 0
-        for unit, stop in zip(some, (4 * stops).tolist()):
-            known[unit] = raw[at:stop]
-            at = stop
-    for unit in ended:
-        known[unit] = known[unit[:-1]] + known[unit[-1]]
+            self.width[number] = len(token)
+        self.forget()
+
+    def forget(self) -> None:
+        self.slots: dict[int, int] = {}  # hash of a unit's bytes -> slot
+        self.first, self.count = np.zeros(1024, np.int64), np.zeros(1024, np.int64)
+        self.ids, self.used = np.zeros(1 << 16, np.uint32), 0
+
+    def learn(self, hashes: list[int], texts: list[str]) -> None:
+        """Give new units their slots."""
+        found = self._encoded(texts)
+        flat = np.concatenate(found) if found else np.zeros(0, np.uint32)
+        if self.used + len(flat) > len(self.ids):
+            self.ids = np.concatenate([self.ids, np.zeros(len(self.ids) + len(flat), np.uint32)])
+        self.ids[self.used : self.used + len(flat)] = flat
+        at, n = len(self.slots), len(found)
+        if at + n > len(self.first):
+            self.first, self.count = (np.concatenate([x, np.zeros(len(x) + n, np.int64)]) for x in (self.first, self.count))
+        counts = np.fromiter(map(len, found), np.int64, n)
+        self.count[at : at + n] = counts
+        self.first[at : at + n] = self.used + np.cumsum(counts) - counts
+        self.used += len(flat)
+        self.slots.update(zip(hashes, range(at, at + n)))
+
+    def _encoded(self, texts: list[str]) -> list[np.ndarray]:
+        """Ids of each unit. Units that follow a space are encoded many in one text, and the ids are cut where a unit's
+        bytes end; a full stop or comma behind a letter is a piece of its own, so such units are put together."""
+        known: dict[str, np.ndarray] = {}
+        ended = [x for x in texts if x[-1] in ".," and x[-2:-1].isalpha()]
+        plain = set(texts).difference(ended).union(x[:-1] for x in ended)
+        joined = [x for x in plain if x[0] == " " and not x[-1].isspace()]
+        for unit in {".", ","}.union(x for x in plain if x[0] != " " or x[-1].isspace()):
+            known[unit] = np.array(self.tokenizer.encode(unit, add_special_tokens=False).ids, np.uint32)
+        parts = [joined[k : k + JOINED_UNITS] for k in range(0, len(joined), JOINED_UNITS)]
+        for some, found in zip(parts, self.tokenizer.encode_batch_fast(["".join(x) for x in parts], add_special_tokens=False)):
+            ids = np.array(found.ids, np.uint32)
+            stops = np.searchsorted(np.cumsum(self.width[ids]), np.cumsum([len(x.encode()) for x in some]), side="left") + 1
+            known.update(zip(some, np.split(ids, stops[:-1])))
+        for unit in ended:
+            known[unit] = np.concatenate([known[unit[:-1]], known[unit[-1]]])
+        return [known[x] for x in texts]
+
+    def encode(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all texts of a column one after another, and how many each text has."""
+        data, offsets = utf8_parts(column)
+        starts = unit_starts(data, offsets)
+        if not len(starts):
+            return np.zeros(0, np.uint32), np.zeros(len(offsets) - 1, np.int64)
+        if len(self.slots) > CACHE_UNITS:
+            self.forget()
+        stops = np.append(starts[1:], len(data))
+        hashes, first, unit = np.unique(byte_hashes(data, starts), return_index=True, return_inverse=True)
+        slots = list(map(self.slots.get, hashes.tolist()))
+        if None in slots:
+            new = [k for k, slot in enumerate(slots) if slot is None]
+            raw = data.tobytes()
+            self.learn(hashes[new].tolist(), [raw[starts[at] : stops[at]].decode() for at in first[new].tolist()])
+            slots = list(map(self.slots.__getitem__, hashes.tolist()))
+        slots = np.array(slots)[unit]
+        counts = self.count[slots]
+        ends = np.concatenate([[0], np.cumsum(counts)])
+        where = np.arange(ends[-1]) + np.repeat(self.first[slots] - ends[:-1], counts)
+        return self.ids[where], np.diff(ends[np.searchsorted(starts, offsets)])
+
+
+def byte_hashes(data: np.ndarray, starts: np.ndarray) -> np.ndarray:
+    """64-bit hashes of the stretches of bytes that begin at ``starts``."""
+    sizes = np.diff(np.append(starts, len(data)))
+    powers = np.full(int(sizes.max()), 0x9E3779B97F4A7C15, np.uint64)
+    powers[0] = 1
+    powers = np.multiply.accumulate(powers)
+    place = np.arange(len(data), dtype=np.int64) - np.repeat(starts, sizes)
+    value = (data.astype(np.uint64) + np.uint64(1)) * powers[place]
+    return mixed(np.add.reduceat(value, starts) ^ (sizes.astype(np.uint64) << np.uint64(40)))
+
+
+_ENCODERS: dict[str, _Encoder] = {}
+
+
+def encode_column(column: pa.Array, tokenizer_file: str) -> tuple[np.ndarray, np.ndarray]:
+    """Ids of all texts, and how many each has: each distinct unit goes to the tokenizer once, then is looked up by the 64-bit
+    hash of its bytes."""
+    if tokenizer_file not in _ENCODERS:
+        _ENCODERS[tokenizer_file] = _Encoder(tokenizer_file)
+    return _ENCODERS[tokenizer_file].encode(column)
 
 
 def encode(texts: list[str], tokenizer_file: str) -> list[bytes]:
-    """Ids of each text as little-endian u32 bytes: each distinct unit goes to the tokenizer once, then is looked up."""
-    known = _encoder(tokenizer_file)[2]
-    if len(known) > CACHE_UNITS:
-        known.clear()
-    cut = [units(x) if x else [] for x in texts]
-    found = [list(map(known.get, pieces)) for pieces in cut]
-    missing = [k for k, x in enumerate(found) if None in x]
-    if missing:
-        _learn(list({unit for k in missing for unit, x in zip(cut[k], found[k]) if x is None}), tokenizer_file)
-        for k in missing:
-            found[k] = map(known.__getitem__, cut[k])
-    return [b"".join(x) for x in found]
+    """Ids of each text as little-endian u32 bytes."""
+    ids, lengths = encode_column(pa.array(texts, pa.string()), tokenizer_file)
+    return [x.astype("<u4").tobytes() for x in np.split(ids, np.cumsum(lengths)[:-1])] if texts else []
 
 
 def vocabulary_of(tokenizer_file: str) -> int:
@@ -218,15 +286,13 @@ def _write(folder: str, tokenizer_file: str, bits: int, block: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         store, root = store_of(folder)
         path, writer, first = f"{root}/{uuid.uuid4().hex}.ids", None, None
-        stop = np.array([END_ID], "<u4").tobytes()
         for batch in slices(batches):
             if writer is None:
                 store.create_dir(root, recursive=True)
                 stream = store.open_output_stream(path)
                 writer, first = ShardWriter(stream, bits, block), batch.column("doc_id")[0].as_py()
-            packed = [x + stop for x in encode(rows_of(batch, "text"), tokenizer_file)]
-            lengths = np.fromiter(map(len, packed), np.int64, len(packed)) // 4
-            writer.add(rows_of(batch, "doc_id"), lengths, np.frombuffer(b"".join(packed), "<u4"))
+            ids, lengths = encode_column(batch.column("text"), tokenizer_file)
+            writer.add(rows_of(batch, "doc_id"), lengths + 1, np.insert(ids, np.cumsum(lengths), END_ID))
         if writer is not None:
             writer.finish()
             stream.close()
@@ -269,9 +335,9 @@ def _read(folder: str):
                     cut = reader.starts[at : stop + 1] - reader.starts[at]
                     raw = memoryview(ids.astype("<u4").tobytes())
                     crc = [zlib.crc32(raw[4 * a : 4 * b]) for a, b in zip(cut[:-1].tolist(), cut[1:].tolist())]
-                    some = reader.doc_ids[at:stop]
+                    some, none = reader.doc_ids[at:stop], np.arange(at, stop) < reader.nulls
                     yield pa.RecordBatch.from_arrays(
-                        [pa.array(some, pa.int64(), mask=some == NO_ID), pa.array(before + reader.starts[at:stop]),
+                        [pa.array(some, pa.int64(), mask=none), pa.array(before + reader.starts[at:stop]),
                          pa.array(np.diff(cut)), pa.array(crc, pa.int64())],
                         ["doc_id", "start", "n_tokens", "ids_crc32"],
                     )

@@ -1,3 +1,4 @@
+import random
 import zlib
 
 import numpy as np
@@ -26,6 +27,23 @@ def test_cut_units_encode_like_whole_texts():
         assert np.frombuffer(encode([text], TOKENIZER_FILE)[0], "<u4").tolist() == tokenizer.encode(text, add_special_tokens=False).ids
 
 
+@pytest.mark.parametrize("seed", range(4))
+def test_random_texts_encode_like_the_tokenizer(seed):
+    """Odd blanks, marks, letters of all sizes, added tokens; texts next to each other in one column, known units or not."""
+    pick = random.Random(seed)
+    pieces = ["a", "The", "né", "ß", "😀", "中", ".", ",", "'s", "12", "\n", "\t", "\x1c", "\x85", "\xa0", "\u1680", "\u2003", "\u2028", "\u202f",
+              "\u205f", "\u3000", "\u200b", "<|endoftext|>", "\x00", "Ö.", "x,", "é."] + [" "] * 20
+    texts = ["".join(pick.choice(pieces) for _ in range(pick.randrange(0, 14))) for _ in range(4000)]
+    tokenizer = Tokenizer.from_file(TOKENIZER_FILE)
+    wanted = [x.ids for x in tokenizer.encode_batch(texts, add_special_tokens=False)]
+    assert [np.frombuffer(x, "<u4").tolist() for x in encode(texts, TOKENIZER_FILE)] == wanted
+
+
+def test_the_smallest_id_is_not_a_missing_one(spark, docs):
+    folder = write_ids(docs((-(1 << 63), "a"), (None, "b c"), (None, None), (0, "d")), TOKENIZER_FILE)
+    assert [(r.doc_id, r.n_tokens) for r in read_documents(spark, folder).orderBy("start").collect()][2:] == [(-(1 << 63), 2), (0, 2)]
+
+
 def test_files_give_every_document_back(spark, docs):
     rows = ODD + [(50 - k, prose(k, 40)) for k in range(30)]
     tokenizer = Tokenizer.from_file(TOKENIZER_FILE)
