@@ -279,23 +279,26 @@ def csv_export(spark, folder):
     return back.select(F.col(f"`{first}`").cast("bigint").alias("s_suppkey"), "s_nationkey", F.initcap(F.col("in_credit").cast("string")).alias("in_credit"))
 
 
+HISTORY_BATCHES = 4
+
+
 @query(
     "load_history",
-    """
-    select row_number() over (order by s_suppkey desc)::integer as place, 'f' || s_suppkey as file, s_nationkey::bigint as n_rows
-    from supplier where s_suppkey between 1 and 3
+    f"""
+    select s_suppkey % {HISTORY_BATCHES} as batch, 'f' || s_suppkey as file, count(*) as n_rows, sum(ps)::bigint as checksum,
+      {HISTORY_BATCHES} - s_suppkey % {HISTORY_BATCHES} as place
+    from (select s_suppkey, s_nationkey as ps from supplier) q group by s_suppkey
     """,
 )
 def load_history(spark, folder):
-    """Three loads are recorded one after another and listed newest first."""
+    """One load per supplier, recorded in batches one after another and listed newest first."""
     path = new_work_path(spark, "history")
     suppliers = base_table(spark, folder, "supplier")
-    for k in (1, 2, 3):
-        rows = suppliers.where(F.col("s_suppkey") == k).select(
-            F.concat(F.lit("f"), "s_suppkey").alias("file"), F.lit("t").alias("table"), F.col("s_nationkey").cast("bigint").alias("n_rows"),
-            F.lit(None).cast("date").alias("export_date"), F.lit("folder").alias("source"),
-        )
-        K.record_loads(spark, path, rows)
+    loads = suppliers.groupBy("s_suppkey").agg(F.count("*").alias("n_rows"), F.sum("s_nationkey").cast("string").alias("source"))
+    loads = loads.select("s_suppkey", F.concat(F.lit("f"), "s_suppkey").alias("file"), F.lit("t").alias("table"), "n_rows", F.lit(None).cast("date").alias("export_date"), "source")
+    for k in range(HISTORY_BATCHES):
+        K.record_loads(spark, path, loads.where(F.col("s_suppkey") % HISTORY_BATCHES == k))
     listed = K.load_history(spark, path)
-    stamp = [c for c in listed.columns if c not in ("file", "table", "n_rows", "export_date", "source")][0]
-    return listed.select(F.row_number().over(Window.orderBy(F.desc(stamp))).alias("place"), "file", "n_rows")
+    newest = listed.groupBy("loaded_at").agg(F.count("*").alias("n")).select("loaded_at", F.row_number().over(Window.orderBy(F.desc("loaded_at"))).cast("bigint").alias("place"))
+    batch = F.substring("file", 2, 20).cast("bigint") % HISTORY_BATCHES
+    return listed.join(F.broadcast(newest), "loaded_at").select(batch.alias("batch"), "file", "n_rows", F.col("source").cast("bigint").alias("checksum"), "place")

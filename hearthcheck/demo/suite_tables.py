@@ -63,6 +63,49 @@ def frequency_everywhere(spark, folder):
     return ST.frequency_everywhere(tables, "field_wrkr").withColumnRenamed("table", "table_name")
 
 
+@query(
+    "crosstab_everywhere",
+    " union all ".join(
+        f"""
+        select '{sheet}' as table_name, coalesce(cast(fieldwrkr as varchar), 'Total') as row_value, coalesce(cast(half as varchar), 'Total') as column_value, n
+        from (select field_wrkr as fieldwrkr, {column} as half, count(*) as n from {name}
+              where field_wrkr is not null and {column} is not null group by cube (field_wrkr, {column})) q
+        """
+        for sheet, name, column in (("FNewDeath", "deaths", "diedinhs"), ("FNewDeathAgain", "deaths", "diedinhs"))
+    ),
+)
+def crosstab_everywhere(spark, folder):
+    """The same cross-tab on every table that has both columns."""
+    deaths = view(spark, folder, "deaths")
+    tables = TableSet({"FNewDeath": deaths, "FNewDeathAgain": deaths, "FNewEducation": view(spark, folder, "education")})
+    found = ST.crosstab_everywhere(tables, "field_wrkr", "diedinhs")
+    return found.select(F.col("table").alias("table_name"), "row_value", "column_value", "n")
+
+
+@query(
+    "correlation_everywhere",
+    " union all ".join(
+        f"select '{name}' as table_name, 'individid' as column_a, 'socialgpid' as column_b, round(corr(individid, socialgpid), 3) as r from {name}"
+        for name in ("individuals", "education", "residency")
+    ),
+)
+def correlation_everywhere(spark, folder):
+    tables = TableSet({n: view(spark, folder, n) for n in ("individuals", "deaths", "education", "residency")})
+    return ST.correlation_everywhere(tables, ["individid", "socialgpid"]).withColumnRenamed("table", "table_name")
+
+
+@query(
+    "group_counts_everywhere",
+    " union all ".join(
+        f"select '{name}' as table_name, field_wrkr, cast(entry_date as varchar) as entry_date, count(*) as n from {name} group by field_wrkr, entry_date"
+        for name in ("presences", "births")
+    ),
+)
+def group_counts_everywhere(spark, folder):
+    tables = TableSet({n: view(spark, folder, n) for n in ("presences", "deaths", "births")})
+    return ST.group_counts_everywhere(tables, ["field_wrkr", "entry_date"]).withColumnRenamed("table", "table_name")
+
+
 @query(
     "sample_fixed",
     """

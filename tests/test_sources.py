@@ -224,6 +224,42 @@ def test_batch_replay_overwrites_itself(spark, make, tmp_path):
     assert SR.current_snapshot(spark, target, "t").count() == 2
 
 
+def test_snapshot_opens_one_export_per_table_and_old_ones_go(spark, tmp_path):
+    inbox = str(tmp_path / "inbox")
+    for month in range(1, 7):
+        write(inbox, f"t_2026-{month:02d}-01.csv", f"individid,nom\n{month},x\n")
+        write(inbox, f"u_2026-{month:02d}-01.csv", f"individid,nom\n{10 * month},x\n")
+        target = refresh(spark, tmp_path)
+    assert len(os.listdir(tmp_path / "table" / "exports")) == 2 * SR.KEPT_EXPORTS
+    assert len(SR._versions(spark, target)) == SR.KEPT_MANIFESTS
+    now = SR.current_snapshot(spark, target)
+    assert as_set(now, "table_name", "individid") == {("t", 6), ("u", 60)}
+    assert len({os.path.dirname(f) for f in now.inputFiles()}) == 2
+    assert as_set(SR.manifest(spark, target), "table_name", "export") == {(t, f"{t}_2026-0{m}-01.csv") for t in "tu" for m in (5, 6)}
+
+
+def test_a_batch_that_fails_before_its_commit_changes_nothing(spark, make, tmp_path, monkeypatch):
+    inbox, target = str(tmp_path / "inbox"), str(tmp_path / "table")
+
+    def batch(*names):
+        return make("path string", *((f"file:{inbox}/{n}",) for n in names)).withColumn("modified", F.current_timestamp())
+
+    write(inbox, "t_2026-01-01.csv", "x\n1\n")
+    SR.keep_newest(target, "x int")(batch("t_2026-01-01.csv"), 1)
+    write(inbox, "t_2026-02-01.csv", "x\n2\n")
+    with monkeypatch.context() as broken:
+        broken.setattr(SR, "commit", lambda *a: (_ for _ in ()).throw(OSError("lost")))
+        with pytest.raises(OSError):
+            SR.keep_newest(target, "x int")(batch("t_2026-02-01.csv"), 2)
+    assert as_set(SR.current_snapshot(spark, target, "t")) == {1}
+    for _ in range(2):  # replayed, and once more
+        SR.keep_newest(target, "x int")(batch("t_2026-02-01.csv"), 2)
+        assert as_set(SR.current_snapshot(spark, target, "t")) == {2}
+    assert len(os.listdir(tmp_path / "table" / "exports")) == 2
+    with pytest.raises(ValueError):
+        SR.current_snapshot(spark, target, "nothing")
+
+
 def test_derived_tables_are_published(spark, make):
     tables = TableSet()
     tables.publish("difference_a_sans_b", make("x int", (1,)))
