@@ -6,6 +6,10 @@ listing with aggregates; file contents are only opened for what was chosen.
 
 from __future__ import annotations
 
+import io
+import struct
+import zipfile
+import zlib
 from collections.abc import Iterator, Sequence
 
 import pandas as pd
@@ -160,7 +164,11 @@ def tables_or_archive(batch: DataFrame) -> DataFrame:
 # ---------------------------------------------------------------------- archives
 
 PIECE_BYTES = 1 << 20
+FILE_PIECES = 128  # pieces of a member that go to one file
+CHUNK_BYTES = 64 << 20
+MEMBERS = "archive string, member string, part string, chunk bigint, method int, crc bigint, size bigint, data binary, error string"
 PIECES = "archive string, member string, part string, piece bigint, value string, error string"
+BROKEN = (zipfile.BadZipFile, zlib.error, EOFError, OSError, RuntimeError, NotImplementedError, ValueError)
 
 
 def _is_table_member(name: str) -> bool:
@@ -169,62 +177,148 @@ def _is_table_member(name: str) -> bool:
     return own.lower().endswith(".csv") and not own.startswith(".") and "__MACOSX" not in name.split("/")
 
 
-def _pieces(stream) -> Iterator[str]:
-    """Whole lines of a member, about ``PIECE_BYTES`` at a time, without their last line end."""
-    rest = b""
-    for raw in iter(lambda: stream.read(PIECE_BYTES), b""):
-        lines, _, rest = (rest + raw).rpartition(b"\n")
-        if lines:
-            yield lines.decode("utf-8", "replace")
-    if rest:
-        yield rest.decode("utf-8", "replace")
-
+def _stored_bytes(content: bytes, info: zipfile.ZipInfo) -> memoryview:
+    """A member as it lies in the archive, still compressed."""
+    at = info.header_offset
+    if content[at : at + 4] != b"PK\x03\x04":
+        raise zipfile.BadZipFile(f"No member at byte {at}")
+    start = at + 30 + sum(struct.unpack("<HH", content[at + 26 : at + 30]))
+    data = memoryview(content)[start : start + info.compress_size]
+    if len(data) < info.compress_size:
+        raise zipfile.BadZipFile("The archive ends inside a member")
+    return data
 
-def _expand(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    import io
-    import zipfile
-    import zlib
 
-    broken = (zipfile.BadZipFile, zlib.error, EOFError, OSError, RuntimeError, NotImplementedError)
-    names = [x.split()[0] for x in PIECES.split(", ")]
+def _cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Rows of the members of each archive, compressed as they are: the archive's own listing says where they lie."""
+    names = [x.split()[0] for x in MEMBERS.split(", ")]
 
-    def row(*values) -> pd.DataFrame:
-        return pd.DataFrame([values], columns=names)
+    def row(path: str, member: str, part=None, chunk=None, method=None, crc=None, size=None, data=None, error=None) -> pd.DataFrame:
+        return pd.DataFrame([(path, member, part, chunk, method, crc, size, data, error)], columns=names)
 
     for batch in batches:
         for path, content in zip(batch["path"], batch["content"]):
-            own = path.rsplit("/", 1)[-1]
             try:
                 archive = zipfile.ZipFile(io.BytesIO(content))
-            except broken as problem:
-                yield row(path, own, None, None, None, str(problem))
+            except BROKEN as problem:
+                yield row(path, path.rsplit("/", 1)[-1], error=str(problem))
                 continue
             for info in filter(lambda i: _is_table_member(i.filename), archive.infolist()):
                 member, part = info.filename.rsplit("/", 1)[-1], f"{zlib.crc32(path.encode()):08x}{info.header_offset:012x}"
+                method = info.compress_type
                 try:
-                    with archive.open(info) as stream:  # a first pass to its end proves the check sum
-                        while stream.read(PIECE_BYTES):
-                            pass
-                    with archive.open(info) as stream:
-                        for n, lines in enumerate(_pieces(stream)):
-                            yield row(path, member, part, n, lines.lstrip("\ufeff") if n == 0 else lines, None)
-                except broken as problem:
-                    yield row(path, member, None, None, None, str(problem))
+                    if method in (zipfile.ZIP_STORED, zipfile.ZIP_DEFLATED) and not info.flag_bits & 1:
+                        data = _stored_bytes(content, info)
+                    else:
+                        method, data = zipfile.ZIP_STORED, archive.read(info)
+                except BROKEN as problem:
+                    yield row(path, member, part, error=str(problem))
+                    continue
+                for n, at in enumerate(range(0, max(1, len(data)), CHUNK_BYTES)):
+                    yield row(path, member, part, n, method, info.CRC, info.file_size, bytes(data[at : at + CHUNK_BYTES]))
+
+
+class _Member:
+    """One member being unpacked: compressed chunks in, pieces of whole lines out."""
+
+    def __init__(self, first, piece_bytes: int, file_pieces: int):
+        self.first, self.piece_bytes, self.file_pieces = first, piece_bytes, file_pieces
+        self.inflate = zlib.decompressobj(-15) if first.method == zipfile.ZIP_DEFLATED else None
+        self.crc, self.size, self.rest, self.header, self.pieces, self.problem = 0, 0, b"", "", 0, None
+
+    def _plain(self, data: bytes) -> Iterator[bytes]:
+        if self.inflate is None:
+            yield from (data[k : k + self.piece_bytes] for k in range(0, len(data), self.piece_bytes))
+            return
+        while data:
+            yield self.inflate.decompress(data, self.piece_bytes)
+            data = self.inflate.unconsumed_tail
+
+    def _piece(self, lines: bytes) -> tuple[int, str]:
+        """The number and text of a piece; each file's first one begins with the member's header."""
+        text, n = lines.decode("utf-8", "replace"), self.pieces
+        if n == 0:
+            text = text.lstrip("\ufeff")
+            self.header = text.partition("\n")[0]
+        elif n % self.file_pieces == 0:
+            text = f"{self.header}\n{text}"
+        self.pieces += 1
+        return n, text
+
+    def feed(self, data: bytes) -> Iterator[tuple[int, str]]:
+        for raw in self._plain(data):
+            yield from self._lines(raw)
+
+    def _lines(self, raw: bytes) -> Iterator[tuple[int, str]]:
+        self.crc, self.size = zlib.crc32(raw, self.crc), self.size + len(raw)
+        lines, _, self.rest = (self.rest + raw).rpartition(b"\n")
+        if lines:
+            yield self._piece(lines)
+
+    def finish(self) -> Iterator[tuple[int, str]]:
+        if self.inflate is not None:
+            yield from self._lines(self.inflate.flush())
+        if self.rest:
+            yield self._piece(self.rest)
+        if (self.crc, self.size) != (self.first.crc, self.first.size):
+            raise zipfile.BadZipFile(f"Bad CRC-32 or length of {self.first.member}")
 
 
-def expand_archives(spark: SparkSession, paths: Sequence[str]) -> tuple[list[tuple[str, str]], list[tuple[str, str]]]:
+def _unpack(piece_bytes: int, file_pieces: int):
+    names = [x.split()[0] for x in PIECES.split(", ")]
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        member: _Member | None = None
+
+        def rows(found: Iterator[tuple[int, str]]) -> Iterator[pd.DataFrame]:
+            own = member.first
+            try:
+                for n, text in found:
+                    yield pd.DataFrame([(own.archive, own.member, own.part, n, text, None)], columns=names)
+            except BROKEN as problem:
+                member.problem = str(problem)
+                yield pd.DataFrame([(own.archive, own.member, own.part, None, None, str(problem))], columns=names)
+
+        for batch in batches:
+            for chunk in batch.itertuples(index=False):
+                if member is None or member.first.part != chunk.part:
+                    if member is not None and member.problem is None:
+                        yield from rows(member.finish())
+                    member = _Member(chunk, piece_bytes, file_pieces)
+                if member.problem is None:
+                    yield from rows(member.feed(chunk.data))
+        if member is not None and member.problem is None:
+            yield from rows(member.finish())
+
+    return run
+
+
+def expand_archives(
+    spark: SparkSession, paths: Sequence[str], piece_bytes: int = PIECE_BYTES, file_pieces: int = FILE_PIECES
+) -> tuple[list[tuple[str, str]], list[tuple[str, str]]]:
     """Text tables inside zip archives, written out to the shared folder: (member, folder to read), (name, error).
 
-    The archive is one row of its reading task; members leave it in pieces of whole lines. A damaged archive or member
-    gives an error and stops nothing else.
+    An archive's task only cuts it into its members. Each member is then unpacked by a task of its own, checked against
+    its check sum, and leaves it in pieces of whole lines, which are dealt again: a large member becomes several files, each
+    with the header. A damaged archive or member gives an error and stops nothing else.
     """
     target = new_work_path(spark, "archives")
     files = spark.read.format("binaryFile").load(list(paths)).select("path", "content")
-    files.mapInPandas(_expand, PIECES).write.parquet(f"{target}/pieces")
+    files.mapInPandas(_cut, MEMBERS).write.parquet(f"{target}/compressed")
+    members = spark.read.schema(MEMBERS).parquet(f"{target}/compressed")
+    sound = members.where(F.col("error").isNull())
+    # one row per member: as short as the archives' own listings
+    listed = members.groupBy("archive", "member", "part").agg(F.max("error").alias("error")).orderBy("archive", "member", "part").collect()
+    dealt = sound.repartitionByRange(max(1, len(listed)), "part").sortWithinPartitions("part", "chunk")
+    dealt.mapInPandas(_unpack(piece_bytes, file_pieces), PIECES).write.parquet(f"{target}/pieces")
     pieces = spark.read.schema(PIECES).parquet(f"{target}/pieces")
-    # one row per member: as short as the archive's own listing
-    listed = pieces.groupBy("archive", "member", "part", "error").agg(F.count("*").alias("n")).orderBy("archive", "member", "part").collect()
-    whole = pieces.where(F.col("error").isNull()).repartition("part").sortWithinPartitions("part", "piece")
-    whole.select("part", "value").write.partitionBy("part").text(f"{target}/members")
-    good = [(r["member"], f"{target}/members/part={r['part']}") for r in listed if r["error"] is None]
-    return good, [(r["member"], r["error"]) for r in listed if r["error"] is not None]
+    torn = pieces.where(F.col("error").isNotNull()).select("part", "error")
+    whole = pieces.where(F.col("error").isNull()).join(F.broadcast(torn.select("part").distinct()), "part", "left_anti")  # one row per member at most
+    placed = whole.withColumn("file", F.floor(F.col("piece") / file_pieces)).repartition("part", "file").sortWithinPartitions("part", "file", "piece")
+    # a file ends with its pieces, so that each begins with a header
+    placed.select("part", "value").write.option("maxRecordsPerFile", file_pieces).partitionBy("part").text(f"{target}/members")
+    problems = {r["part"]: r["error"] for r in torn.collect()}
+    written = {r["part"] for r in pieces.select("part").distinct().collect()}  # an empty member has no piece
+    found = [(r["member"], r["part"], r["error"] or problems.get(r["part"])) for r in listed]
+    good = [(member, f"{target}/members/part={part}") for member, part, error in found if error is None and part in written]
+    return good, [(member, error) for member, _, error in found if error is not None]

@@ -121,6 +121,21 @@ def test_folder_with_an_archive_only(spark, tmp_path):
     assert {n: as_set(t) for n, t in tables.items()} == {"FNewDeath": {1}, "FNewBirth": {2, 3}} and found == []
 
 
+def test_members_are_unpacked_apart_and_large_ones_become_several_files(spark, tmp_path):
+    members = {f"t{k}_csv": "a,b\n" + "".join(f"{k},{n}\n" for n in range(50)) for k in range(20)}
+    zip_file(tmp_path / "many.zip", **members, empty_csv="", big_csv="a,b\r\n" + "".join(f"99,{n}\r\n" for n in range(30_000)))
+    found, errors = X.expand_archives(spark, [str(tmp_path / "many.zip")], piece_bytes=10_000, file_pieces=4)
+    assert errors == [] and len(found) == 21
+    rows = {name: spark.read.option("header", True).schema("a int, b int").csv(path) for name, path in found}
+    big = rows["big.csv"]
+    assert len(big.inputFiles()) > 5 and as_set(big) == {(99, n) for n in range(30_000)} and big.count() == 30_000
+    assert all(as_set(rows[f"t{k}.csv"]) == {(k, n) for n in range(50)} for k in range(20))
+    # one task per member: the parts differ, and each is unpacked in a partition of its own
+    folder = next(path for _, path in found).rsplit("/members/", 1)[0]
+    pieces = spark.read.schema(X.PIECES).parquet(f"{folder}/pieces").select(F.input_file_name().alias("f"), "part").distinct()
+    assert pieces.select("part").distinct().count() == 21 and pieces.select("f").distinct().count() >= 15
+
+
 def test_documents_and_pending_conversions(spark, make, tmp_path):
     for name in ("a.txt", "b.md", "c.pdf", "Skip.txt"):
         write(tmp_path, name, f"text of {name}\nsecond line")
