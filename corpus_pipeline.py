@@ -1,47 +1,69 @@
 """The corpus pipeline: documents in, token files out.
 
 Each stage is written before the next one reads it. A stage therefore begins by deleting the work tables of the stages
-before it, so that the shared folder never holds those of two stages at once.
+before it in the same run (over the same folder), so that the shared folder never holds those of two stages at once.
+Work tables of other results are left alone.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from functools import wraps
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from hearthcheck.llm import decontaminate, mixing, near_dedup, token_files, toxicity
-from hearthcheck.llm.common import forget_work, table
+from hearthcheck.llm.common import forget, recording, table
 from hearthcheck.llm.suite import TOKENIZER_FILE
 from hearthcheck.session import new_work_path
 
 
+_WORK: dict[str, list[str]] = {}
+
+Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
+
+
+def stage(run: Stage) -> Stage:
+    """A stage that owns the work tables it writes."""
+
+    @wraps(run)
+    def owning(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        work = _WORK.setdefault(sf_dir, [])
+        forget(spark, work)
+        with recording(work):
+            return run(spark, docs, sf_dir)
+
+    return owning
+
+
+@stage
 def without_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents not predicted toxic by a model of the labelled ones."""
-    forget_work(spark)
     return toxicity.clean(docs, toxicity.train(docs, table(spark, sf_dir, "labels")))
 
 
+@stage
 def one_of_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each near-duplicate group: the one with the smallest id."""
-    forget_work(spark)
     return near_dedup.one_of_each(docs)
 
 
+@stage
 def without_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents in which no benchmark item is found."""
-    forget_work(spark)
     return decontaminate.clean(docs, table(spark, sf_dir, "benchmark"))
 
 
+@stage
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents as often as the mix takes them: none, once or twice."""
-    forget_work(spark)
     return mixing.mixed_rows(docs, F.array("source"))
 
 
+@stage
 def token_ids(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """doc_id, start, n_tokens and ids_crc32 of each document, read back from its token files."""
-    forget_work(spark)
     return token_files.read_documents(spark, token_files.write_ids(docs, TOKENIZER_FILE))
 
 
@@ -60,8 +82,8 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over the documents of a folder."""
     docs = table(spark, sf_dir, "documents")
-    for name, stage in STAGES[:-1]:
+    for name, act in STAGES[:-1]:
         path = new_work_path(spark, f"pipeline-{name}")
-        stage(spark, docs, sf_dir).write.parquet(path)
+        act(spark, docs, sf_dir).write.parquet(path)
         docs = spark.read.parquet(path)
     return STAGES[-1][1](spark, docs, sf_dir)

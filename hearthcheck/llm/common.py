@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 from collections.abc import Iterable, Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 from dataclasses import dataclass
 
 import numpy as np
@@ -25,22 +27,36 @@ def fold(doc_id: str = "doc_id") -> Column:
     return F.crc32(F.col(doc_id).cast("string")) % FOLDS
 
 
-_WORK: list[str] = []
+_RECORDER: ContextVar[list[str] | None] = ContextVar("work", default=None)
 
 
 def stored(df: DataFrame, label: str) -> DataFrame:
-    """Write to the shared folder and read back: cuts lineage, survives lost executors, is computed once."""
+    """Write to the shared folder and read back: cuts lineage, survives lost executors, is computed once.
+
+    The folder stays until its owner deletes it: see ``recording``.
+    """
     spark = df.sparkSession
     path = new_work_path(spark, label)
     df.write.parquet(path)
-    _WORK.append(path)
+    if (mine := _RECORDER.get()) is not None:
+        mine.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
-def forget_work(spark: SparkSession) -> None:
-    """Delete what ``stored`` has written so far in this process: call it once all results built on it are written."""
-    while _WORK:
-        path = spark._jvm.org.apache.hadoop.fs.Path(_WORK.pop())
+@contextmanager
+def recording(paths: list[str]) -> Iterator[list[str]]:
+    """Note in ``paths`` what ``stored`` writes inside; nothing written elsewhere is touched by ``forget`` of that list."""
+    token = _RECORDER.set(paths)
+    try:
+        yield paths
+    finally:
+        _RECORDER.reset(token)
+
+
+def forget(spark: SparkSession, paths: list[str]) -> None:
+    """Delete recorded work tables, once all results built on them are written."""
+    while paths:
+        path = spark._jvm.org.apache.hadoop.fs.Path(paths.pop())
         path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 

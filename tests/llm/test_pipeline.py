@@ -50,3 +50,25 @@ def test_stages_take_an_empty_table(spark, tmp_path):
     for name, stage in corpus_pipeline.STAGES:
         left = written(stage(spark, left, FOLDER), tmp_path / name)
         assert left.count() == 0
+
+
+def test_a_result_built_before_a_run_stays_readable(spark, tmp_path, docs):
+    from tests.llm.conftest import ODD
+
+    groups = near_dedup.near_groups(docs(*ODD))  # lazy over its own work tables
+    documents = table(spark, FOLDER, "documents")
+    for name, act in corpus_pipeline.STAGES[:2]:
+        documents = written(act(spark, documents, FOLDER), tmp_path / name)
+    assert groups.count() == len(ODD)
+
+
+def test_odd_rows_go_through_the_first_stages(spark, tmp_path, docs):
+    """Null ids, repeated rows, extra columns and empty texts."""
+    from tests.llm.conftest import ODD
+
+    table_of = docs(*ODD)
+    for name, act in corpus_pipeline.STAGES[:2]:
+        table_of = written(act(spark, table_of, FOLDER), tmp_path / name)
+        assert table_of.columns == docs(*ODD).columns
+    kept = table_of.collect()
+    assert 0 < len(kept) < len(ODD)
