@@ -36,7 +36,7 @@ TAIL = 8 + 7 * 8
 BLOCK = 4096
 END_ID = 0
 SHARD_CHARS = 64 << 20
-CACHE_UNITS = 500_000
+CACHE_UNITS = 3_000_000  # about 40 bytes each
 JOINED_UNITS = 2_000
 
 
@@ -159,21 +159,33 @@ def _white(data: np.ndarray) -> np.ndarray:
     return mask
 
 
-def unit_starts(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
-    """Where units begin: at each text, and at each single space between two non-spaces, across which byte-level BPE never
-    merges. Empty texts have no unit."""
+def _after_letter(data: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """Does a letter of the Latin blocks up to U+024F end before each place?"""
+    one, two = data[at - 1], data[np.maximum(at - 2, 0)]
+    plain = ((one | 32) >= 97) & ((one | 32) <= 122) & (one < 128)
+    marked = (two >= 0xC3) & (two <= 0xC9) & (one >= 0x80) & (one <= 0xBF) & ~((two == 0xC3) & ((one == 0x97) | (one == 0xB7))) & ((two < 0xC9) | (one <= 0x8F))
+    return plain | marked
+
+
+def unit_starts(data: np.ndarray, offsets: np.ndarray, white: np.ndarray) -> np.ndarray:
+    """Where units begin: at each text, at each single space between two non-spaces, and at a full stop or comma between a
+    letter and such a space. Byte-level BPE never merges across these places. Empty texts have no unit."""
     begins = np.zeros(len(data), bool)
     if len(data):
-        white = _white(data)
         begins[1:-1] = (data[1:-1] == 32) & ~white[:-2] & ~white[2:]
         rows = offsets[:-1][offsets[:-1] < offsets[1:]]
         begins[rows[rows > 0] - 1] = False  # the last byte of a text ends it
+        begins[rows] = False
+        before = np.flatnonzero(begins) - 1
+        before = before[(data[before] == 46) | (data[before] == 44)]
+        before = before[before > 0]
+        begins[before[_after_letter(data, before)]] = True
         begins[rows] = True
     return np.flatnonzero(begins)
 
 
 class _Encoder:
-    """A tokenizer with the ids of the units met so far, one after another in one array; kept by the worker."""
+    """A tokenizer with the ids of the units met so far, by the sorted hashes of their bytes; kept by the worker."""
 
     def __init__(self, tokenizer_file: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # the task's core is the only one it may use
@@ -187,61 +199,59 @@ class _Encoder:
         self.forget()
 
     def forget(self) -> None:
-        self.slots: dict[int, int] = {}  # hash of a unit's bytes -> slot
-        self.first, self.count = np.zeros(1024, np.int64), np.zeros(1024, np.int64)
+        self.keys, self.first, self.count = np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64)
         self.ids, self.used = np.zeros(1 << 16, np.uint32), 0
 
-    def learn(self, hashes: list[int], texts: list[str]) -> None:
-        """Give new units their slots."""
-        found = self._encoded(texts)
-        flat = np.concatenate(found) if found else np.zeros(0, np.uint32)
+    def learn(self, hashes: np.ndarray, raw: bytes, starts: np.ndarray, stops: np.ndarray, single: np.ndarray) -> None:
+        """Keep the ids of new units, given by rising hashes and where their bytes lie.
+
+        Units that follow a space are encoded many in one text, and the ids are cut where a unit's bytes end;
+        ``single`` ones are encoded each by itself.
+        """
+        order = np.argsort(single, kind="stable")  # the joined ones first
+        hashes, starts, stops = hashes[order], starts[order], stops[order]
+        n, flat, counts = int((~single).sum()), [], []
+        pieces = [raw[a:b] for a, b in zip(starts.tolist(), stops.tolist())]
+        texts = [b"".join(pieces[k : min(k + JOINED_UNITS, n)]).decode() for k in range(0, n, JOINED_UNITS)]
+        sizes = stops - starts
+        for k, found in zip(range(0, n, JOINED_UNITS), self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)):
+            ids = np.array(found.ids, np.uint32)
+            ends = np.searchsorted(np.cumsum(self.width[ids]), np.cumsum(sizes[k : min(k + JOINED_UNITS, n)]), side="left") + 1
+            flat.append(ids)
+            counts.append(np.diff(ends, prepend=0))
+        for piece in pieces[n:]:
+            flat.append(np.array(self.tokenizer.encode(piece.decode(), add_special_tokens=False).ids, np.uint32))
+            counts.append(np.array([len(flat[-1])]))
+        flat, counts = np.concatenate(flat), np.concatenate(counts)
         if self.used + len(flat) > len(self.ids):
             self.ids = np.concatenate([self.ids, np.zeros(len(self.ids) + len(flat), np.uint32)])
         self.ids[self.used : self.used + len(flat)] = flat
-        at, n = len(self.slots), len(found)
-        if at + n > len(self.first):
-            self.first, self.count = (np.concatenate([x, np.zeros(len(x) + n, np.int64)]) for x in (self.first, self.count))
-        counts = np.fromiter(map(len, found), np.int64, n)
-        self.count[at : at + n] = counts
-        self.first[at : at + n] = self.used + np.cumsum(counts) - counts
+        first = self.used + np.cumsum(counts) - counts
         self.used += len(flat)
-        self.slots.update(zip(hashes, range(at, at + n)))
-
-    def _encoded(self, texts: list[str]) -> list[np.ndarray]:
-        """Ids of each unit. Units that follow a space are encoded many in one text, and the ids are cut where a unit's
-        bytes end; a full stop or comma behind a letter is a piece of its own, so such units are put together."""
-        known: dict[str, np.ndarray] = {}
-        ended = [x for x in texts if x[-1] in ".," and x[-2:-1].isalpha()]
-        plain = set(texts).difference(ended).union(x[:-1] for x in ended)
-        joined = [x for x in plain if x[0] == " " and not x[-1].isspace()]
-        for unit in {".", ","}.union(x for x in plain if x[0] != " " or x[-1].isspace()):
-            known[unit] = np.array(self.tokenizer.encode(unit, add_special_tokens=False).ids, np.uint32)
-        parts = [joined[k : k + JOINED_UNITS] for k in range(0, len(joined), JOINED_UNITS)]
-        for some, found in zip(parts, self.tokenizer.encode_batch_fast(["".join(x) for x in parts], add_special_tokens=False)):
-            ids = np.array(found.ids, np.uint32)
-            stops = np.searchsorted(np.cumsum(self.width[ids]), np.cumsum([len(x.encode()) for x in some]), side="left") + 1
-            known.update(zip(some, np.split(ids, stops[:-1])))
-        for unit in ended:
-            known[unit] = np.concatenate([known[unit[:-1]], known[unit[-1]]])
-        return [known[x] for x in texts]
+        back = np.argsort(hashes)
+        at = np.searchsorted(self.keys, hashes[back])
+        self.keys, self.first, self.count = (np.insert(old, at, new[back]) for old, new in ((self.keys, hashes), (self.first, first), (self.count, counts)))
 
     def encode(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts of a column one after another, and how many each text has."""
         data, offsets = utf8_parts(column)
-        starts = unit_starts(data, offsets)
+        white = _white(data)
+        starts = unit_starts(data, offsets, white)
         if not len(starts):
             return np.zeros(0, np.uint32), np.zeros(len(offsets) - 1, np.int64)
-        if len(self.slots) > CACHE_UNITS:
+        if len(self.keys) > CACHE_UNITS:
             self.forget()
         stops = np.append(starts[1:], len(data))
         hashes, first, unit = np.unique(byte_hashes(data, starts), return_index=True, return_inverse=True)
-        slots = list(map(self.slots.get, hashes.tolist()))
-        if None in slots:
-            new = [k for k, slot in enumerate(slots) if slot is None]
-            raw = data.tobytes()
-            self.learn(hashes[new].tolist(), [raw[starts[at] : stops[at]].decode() for at in first[new].tolist()])
-            slots = list(map(self.slots.__getitem__, hashes.tolist()))
-        slots = np.array(slots)[unit]
+        at = np.searchsorted(self.keys, hashes)
+        known = at < len(self.keys)
+        known[known] = self.keys[at[known]] == hashes[known]
+        if not known.all():
+            new = first[~known]
+            single = (data[starts[new]] != 32) | white[stops[new] - 1]
+            self.learn(hashes[~known], data.tobytes(), starts[new], stops[new], single)
+            at = np.searchsorted(self.keys, hashes)
+        slots = at[unit]
         counts = self.count[slots]
         ends = np.concatenate([[0], np.cumsum(counts)])
         where = np.arange(ends[-1]) + np.repeat(self.first[slots] - ends[:-1], counts)
