@@ -2,9 +2,9 @@
 
 Texts are cut into chunks of ``CHUNK`` words; a passage is a run of chunks, one longer than the benchmark item it is held
 against, from every chunk of every text. Words are hashed to ``TERMS`` terms and weighted by inverse frequency counted
-over all chunks of all documents. A randomised SVD, its products computed by Spark tasks and added per block of terms,
-gives ``RANK`` latent dimensions. It is fitted on a block of the benchmark's items (bounded by ``MOST_ITEMS``) and a seeded
-sample of about as many passages; every passage of every document is then projected and compared with the items by cosine.
+over all chunks of all documents. A randomised SVD gives ``RANK`` latent dimensions, fitted on all items and on all disjoint
+passages of all documents: tasks add each passage, with a random sign, to one of ``ROWS`` rows, and the rows are added per
+block of terms. Every passage of every document is then projected and compared with the items by cosine.
 
 Passages above ``COSINE`` are checked word by word: the longest common subsequence with the item has to cover ``EXACT``
 of its words, or ``PARAPHRASE`` of them if the answer is there too: the item's ``answer`` where the benchmark has that
@@ -13,10 +13,9 @@ full, word after word, and are looked for directly since they are too short for
 
 What is found does not rest on the vectors alone: an item that the word check accepts has at least one of its rarest words
 in the stretch (``anchors`` says how many of them that takes), so the passage around every place of such a word, as long as
-the item's passages on either side, is checked too, at every length of item and whatever ``COSINE`` and the sample leave
-out. Items made of common words only make this slower, not less whole.
+the item's passages on either side, is checked too, at every length of item and whatever ``COSINE`` leaves out. Items made of common words only make this slower, not less whole.
 
-The corpus is scanned, never shuffled; the benchmark is broadcast in blocks of at most about ``MOST_ITEMS`` items, one
+The corpus is scanned (three times), never shuffled; the benchmark is broadcast in blocks of at most about ``MOST_ITEMS`` items, one
 scan each. Null or empty texts match nothing; null or empty items are matched by nothing. Repeated rows are each reported.
 No rows give no rows. Other columns pass unchanged.
 """
@@ -29,6 +28,7 @@ from dataclasses import dataclass
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -38,8 +38,7 @@ CHUNK = 8
 TERM_BITS = 15
 TERMS = 1 << TERM_BITS
 RANK = 64
-EXTRA = 16
-POWER = 2
+ROWS = 4 * RANK
 COSINE = 0.7
 EXACT = 0.8
 PARAPHRASE = 0.6
@@ -92,24 +91,6 @@ def _parts(table: np.ndarray) -> Iterator[pa.RecordBatch]:
             )
 
 
-def _orthonormal(blocks: dict[int, np.ndarray]) -> np.ndarray:
-    """An orthonormal basis of the columns' span, from Gram matrices of blocks: nothing larger than one block is copied.
-
-    Columns beyond the rank are zero. Done twice, the second time on what rounding has left.
-    """
-    width = next(iter(blocks.values())).shape[1] if blocks else 1
-    turn = np.eye(width)
-    for _ in range(2):
-        gram = sum((x := b @ turn).T @ x for b in blocks.values()) if blocks else np.zeros((width, width))
-        values, own = np.linalg.eigh(gram)
-        scale = np.where(values > 1e-10 * max(values.max(), 1e-300), 1 / np.sqrt(np.maximum(values, 1e-300)), 0.0)
-        turn = turn @ (own * scale)
-    out = np.zeros((TERMS, width), np.float32)
-    for k, b in blocks.items():
-        out[k * BLOCK : (k + 1) * BLOCK] = b @ turn
-    return out
-
-
 def term_weights(texts: DataFrame) -> np.ndarray:
     """Inverse frequency of each hashed term over all chunks of all texts (``lower``)."""
 
@@ -134,56 +115,93 @@ def term_weights(texts: DataFrame) -> np.ndarray:
     return np.log((total + 1) / (found[:, 0] + 0.5)).clip(0.0).astype(np.float32)
 
 
-def _passages(column: pa.Array, weights: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Term and normalised weight per slot of each passage of ``_PASSAGE`` chunks; empty slots weigh nothing."""
+def _passages(column: pa.Array, weights: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of each word: its term, its passage (of ``_PASSAGE`` chunks, none in two) and its weight, each passage of unit length."""
     words, offsets = word_hashes(column)
-    place, first = chunks_of(offsets)
-    if not len(words):
-        return np.zeros((0, 1), np.int32), np.zeros((0, 1))
-    row = np.repeat(np.arange(len(offsets) - 1), np.diff(first))
-    lead = np.flatnonzero((np.arange(first[-1]) - first[row]) % _PASSAGE == 0)
-    slots = np.full((len(lead), _PASSAGE, CHUNK), -1, np.int64)
-    for k in range(_PASSAGE):
-        here = np.flatnonzero(lead + k < first[1:][row[lead]])
-        slots[here, k] = place[lead[here] + k]
-    slots = slots.reshape(len(lead), -1)
-    terms = terms_of(words)[slots]
-    value = np.where(slots >= 0, weights[terms], 0.0)
-    return terms, value / np.maximum(np.sqrt((value**2).sum(axis=1, keepdims=True)), 1e-9)
-
-
-def latent_basis(texts: DataFrame, weights: np.ndarray, rank: int = RANK, seed: int = 11) -> np.ndarray:
-    """The first right singular vectors of the passages' TF-IDF matrix (terms x rank), by randomised subspace iteration."""
+    lengths = np.diff(offsets)
+    width = _PASSAGE * CHUNK
+    first = np.concatenate([[0], np.cumsum(-(-lengths // width))])
+    passage = np.repeat(first[:-1], lengths) + (np.arange(len(words)) - np.repeat(offsets[:-1], lengths)) // width
+    terms = terms_of(words)
+    value = weights[terms]
+    norm = np.sqrt(np.bincount(passage, value * value, int(first[-1])))
+    return terms, passage, value / np.maximum(norm, 1e-9)[passage]
+
+
+def _sketch(texts: DataFrame, weights: np.ndarray, rows: int, seed: int) -> DataFrame:
+    """The passages' TF-IDF matrix, each passage added with a random sign to a random one of ``rows`` rows: per block of
+    ``BLOCK`` terms, terms x rows as floats. No passage is left out."""
     sc = texts.sparkSession.sparkContext
+    shared = sc.broadcast(weights)
 
-    def product(basis: np.ndarray) -> dict[int, np.ndarray]:
-        shared = sc.broadcast((basis.astype(np.float32), weights))
-
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            m, w = shared.value
-            total = np.zeros((TERMS, m.shape[1]))
-            for batch in slices(batches, "lower", _SLICE // 4):
-                terms, value = _passages(batch.column("lower"), w)
-                if not len(terms):
-                    continue
-                image = np.einsum("ps,psk->pk", value, m[terms])
-                order = np.argsort(terms, axis=None, kind="stable")
-                flat = terms.ravel()[order]
-                rows = (value[:, :, None] * image[:, None, :]).reshape(-1, m.shape[1])[order]
-                starts = np.flatnonzero(np.diff(flat, prepend=-1))
-                total[flat[starts]] += np.add.reduceat(rows, starts, axis=0)
-            yield from _parts(total)
-
-        out = _summed(texts.select("lower").mapInArrow(run, "block int, data binary"), basis.shape[1])
-        shared.destroy()
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        # equal passages of one task fall on different rows, so that copies count as often as they are there and no more
+        chance = np.random.default_rng([seed, TaskContext.get().partitionId()])
+        total = np.zeros(TERMS * rows, np.float32)
+        for batch in slices(batches, "lower", _SLICE // 4):
+            terms, passage, value = _passages(batch.column("lower"), shared.value)
+            if len(terms):
+                row, sign = chance.integers(0, rows, passage[-1] + 1), chance.integers(0, 2, passage[-1] + 1) * 2 - 1
+                np.add.at(total, terms.astype(np.int64) * rows + row[passage], (value * sign[passage]).astype(np.float32))
+        for k in range(0, TERMS, BLOCK):
+            part = total[k * rows : (k + BLOCK) * rows]
+            if part.any():
+                yield pa.RecordBatch.from_arrays([pa.array([k // BLOCK], pa.int32()), pa.array([part.tobytes()], pa.binary())], ["block", "data"])
+
+    def add(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total, block = np.zeros(BLOCK * rows), None
+        for batch in parts:
+            block = batch.column("block")[:1]
+            for raw in batch.column("data"):
+                total += np.frombuffer(raw.as_buffer(), "<f4")
+        yield pa.RecordBatch.from_arrays([block, pa.array([total.astype("<f4").tobytes()], pa.binary())], ["block", "data"])
+
+    # as many sums as the cluster has cores, whatever the corpus: what is shuffled does not grow with it
+    parts = texts.select("lower").coalesce(sc.defaultParallelism).mapInArrow(run, "block int, data binary")
+    return stored(parts.groupBy("block").applyInArrow(add, "block int, data binary"), "latent-sketch")
+
+
+def latent_basis(texts: DataFrame, weights: np.ndarray, rank: int = RANK, seed: int = 11, rows: int = ROWS) -> np.ndarray:
+    """The first right singular vectors of the passages' TF-IDF matrix (terms x rank), by a randomised SVD of all passages.
+
+    Those of the sketch, which is small enough for an exact one: from the sum of its blocks' Gram matrices, by tasks.
+    Vectors beyond the rank are zero.
+    """
+    blocks = _sketch(texts, weights, rows, seed)
+
+    def matrix(raw: pa.BinaryScalar) -> np.ndarray:
+        return np.frombuffer(raw.as_buffer(), "<f4").reshape(BLOCK, rows).astype(np.float64)
+
+    def gram(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in parts:
+            for raw in batch.column("data"):
+                yield pa.RecordBatch.from_arrays([pa.array([((b := matrix(raw)).T @ b).tobytes()], pa.binary())], ["data"])
+
+    def solve(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros((rows, rows))
+        for batch in parts:
+            for raw in batch.column("data"):
+                total += np.frombuffer(raw.as_buffer(), "<f8").reshape(rows, rows)
+        values, own = np.linalg.eigh(total)
+        scale = np.where(values > 1e-10 * max(values.max(), 1e-300), 1 / np.sqrt(np.maximum(values, 1e-300)), 0.0)
+        yield pa.RecordBatch.from_arrays([pa.array([(own * scale)[:, ::-1][:, :rank].tobytes()], pa.binary())], ["data"])
+
+    # at most one Gram matrix per block of terms
+    turn = blocks.select("data").mapInArrow(gram, "data binary").groupBy().applyInArrow(solve, "data binary").toArrow().column("data")
+    out = np.zeros((TERMS, rank), np.float32)
+    if not len(turn):
         return out
+    turned = np.frombuffer(turn[0].as_buffer(), "<f8").reshape(rows, -1)
+
+    def project(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in parts:
+            data = [(matrix(raw) @ turned).astype("<f4").tobytes() for raw in batch.column("data")]
+            yield pa.RecordBatch.from_arrays([batch.column("block"), pa.array(data, pa.binary())], ["block", "data"])
 
-    q = _orthonormal(product(np.random.default_rng(seed).standard_normal((TERMS, rank + EXTRA), np.float32)))
-    for _ in range(POWER - 1):
-        q = _orthonormal(product(q))
-    small = sum(q[k * BLOCK : (k + 1) * BLOCK].astype(np.float64).T @ b for k, b in product(q).items()) + np.zeros((q.shape[1], q.shape[1]))
-    values, turn = np.linalg.eigh((small + small.T) / 2)
-    return q @ turn[:, np.argsort(-values)[:rank]].astype(np.float32)
+    found = blocks.mapInArrow(project, "block int, data binary").toArrow()
+    for b, raw in zip(found.column("block"), found.column("data")):
+        out[b.as_py() * BLOCK : (b.as_py() + 1) * BLOCK, : turned.shape[1]] = np.frombuffer(raw.as_buffer(), "<f4").reshape(BLOCK, -1)
+    return out
 
 
 @dataclass
@@ -356,7 +374,7 @@ def _matches(block: Block, column: pa.Array, cosine: float) -> Iterator[tuple[in
 
 
 def prepared(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", rank: int = RANK) -> list[Block]:
-    """Weights over all documents, the latent basis, and the benchmark in blocks."""
+    """Weights and latent basis of all documents, and the benchmark in blocks."""
     texts = docs.select(F.lower(F.coalesce(F.col(text_col), F.lit(""))).alias("lower"))
     items = benchmark.select("item_id", F.lower(F.coalesce("text", F.lit(""))).alias("lower"),
                              *([F.lower("answer").alias("answer")] if "answer" in benchmark.columns else []))
@@ -364,16 +382,11 @@ def prepared(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", rank
     if not count:
         return []
     weights = term_weights(texts)
+    basis = latent_basis(texts.unionByName(items.select("lower")), weights, rank)
     blocks = -(-count // MOST_ITEMS)
-    total = max(1, texts.count())
-    place = F.pmod(F.xxhash64(F.lit(3), F.col("lower")), F.lit(1 << 30)) / F.lit(float(1 << 30))
-    # a text has several passages, so a fraction of as many texts gives about as many passages
-    sample = stored(texts.where(place < 0.25 * count / blocks / total), "latent-sample")
     part, out = F.pmod(F.xxhash64("item_id"), F.lit(blocks)), []
     for k in range(blocks):
-        own = items.where(part == k)
-        basis = latent_basis(own.select("lower").unionByName(sample), weights, rank)
-        out.append(_block(own.orderBy("item_id", "lower").toPandas(), weights, basis))
+        out.append(_block(items.where(part == k).orderBy("item_id", "lower").toPandas(), weights, basis))
     return out
 
 

@@ -111,3 +111,28 @@ def test_retrieval_recall_against_brute_force(docs, make):
     words, offsets = D.word_hashes(pa.array([t.lower() for _, t in rows]))
     found = {(rows[r][0], block.items[k]["id"]) for some, which, _, _ in D._candidates(block, words, offsets, D.COSINE) for r, k in zip(some, which)}
     assert len(found & set(truth.items())) >= 0.9 * len(truth)
+
+
+def test_the_basis_is_fitted_on_all_passages(docs, make):
+    """Passages without any word of the benchmark's make half of the matrix; with as many rows as passages nothing is lost."""
+    texts = [prose(k % 2, 64 * 3, 30) for k in range(60)]
+    table = docs(*((k, t) for k, t in enumerate(texts))).select("text").selectExpr("lower(text) as lower")
+    weights = D.term_weights(table)
+    got = D.latent_basis(table, weights, rank=8, rows=1024)
+    matrix = np.zeros((180, D.TERMS))
+    terms, passage, value = D._passages(pa.array(texts), weights)
+    np.add.at(matrix, (passage, terms), value)
+    assert len(set(passage.tolist())) == 180
+    assert np.allclose(np.linalg.norm(matrix.reshape(180, -1), axis=1) > 0, True)
+    best = np.linalg.svd(matrix, full_matrices=False)[1][:8]
+    assert np.allclose(got.T @ got, np.eye(8), atol=1e-3) or np.linalg.matrix_rank(matrix) < 8
+    held = np.linalg.norm(matrix @ got) ** 2
+    assert held >= 0.9 * (best**2).sum()
+
+
+def test_words_only_the_documents_have_are_in_the_basis(docs, make):
+    """A sample drawn by the benchmark's size saw a few texts of many; now each document's own words are in the basis."""
+    rows = [(k, " ".join(f"own{k}x{n % 9}" for n in range(64))) for k in range(40)]
+    block = D.prepared(docs(*rows), make(ITEMS, (1, "some benchmark item of more than eight different words here", "x", 1)))[0]
+    own = D.terms_of(D.word_hashes(pa.array([t for _, t in rows]))[0]).reshape(40, 64)
+    assert (np.linalg.norm(block.vectors[own], axis=2).max(axis=1) > 0.01).all()
