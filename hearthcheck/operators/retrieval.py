@@ -11,11 +11,13 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from hearthcheck.functions import scalars as S
-from hearthcheck.operators.skew import join_reference
+from hearthcheck.operators.skew import may_be_member, member_bits
 from hearthcheck.operators.stats import union_all
 from hearthcheck.plans import patterns as P
 from hearthcheck.session import new_work_path
@@ -25,6 +27,8 @@ WORD = r"[\p{L}\p{N}_]{2,}"
 BLOCK_QUESTIONS = 1_000
 SCORE_DIGITS = 6
 ROWS_PER_ROUND = 256
+# Text of a block of passages, cut into terms at a time.
+BLOCK_CHARS = 16 << 20
 
 
 # ---------------------------------------------------------------------- text
@@ -100,12 +104,30 @@ def neighbours(w: Column) -> Column:
 
 @dataclass
 class PassageIndex:
-    """``passages`` (id columns, text), ``idf`` (term, df, idf), ``vectors`` (id columns, terms, weights)."""
+    """``passages`` (id columns, text) and how many of them hold each term (``counted``, see ``count_terms``).
+
+    ``idf`` (term, df, idf) and ``vectors`` (id columns, terms, weights) follow from them, by one scan, wherever they are used.
+    """
 
     passages: DataFrame
-    idf: DataFrame
-    vectors: DataFrame
+    counted: DataFrame
     ids: tuple[str, ...]
+    n_passages: int
+    n_blocks: int
+    max_share: float = P.MAX_DOCUMENT_SHARE
+
+    @property
+    def idf(self) -> DataFrame:
+        return inverse_frequencies(vocabulary(self.counted), self.n_passages, self.max_share)
+
+    @property
+    def vectors(self) -> DataFrame:
+        """One row per passage with a known term: id columns, terms, weights of unit length."""
+        texts = _in_blocks(self.passages, self.ids, self.n_blocks)
+        found = self.counted.where("_block >= 0").select("_block", "bucket", "data")
+        kinds = ", ".join(f"`{c}` {self.passages.schema[c].dataType.simpleString()}" for c in self.ids)
+        weigh = _weighing(self.ids, self.n_passages, self.n_blocks, self.max_share)
+        return texts.groupBy("_block").cogroup(found.groupBy("_block")).applyInArrow(weigh, f"{kinds}, terms array<string>, weights array<double>")
 
     @property
     def postings(self) -> DataFrame:
@@ -114,14 +136,141 @@ class PassageIndex:
         return self.vectors.select(*self.ids, F.inline(cells))
 
     def save(self, path: str) -> PassageIndex:
-        """Write the three tables, replacing an earlier index at the path, and return the written index."""
-        for name, table in (("passages", self.passages), ("idf", self.idf), ("vectors", self.vectors)):
+        """Write the index, replacing an earlier one at the path, and return the written index."""
+        spark = self.passages.sparkSession
+        settings = spark.createDataFrame([(self.n_passages, self.n_blocks, self.max_share)], SETTINGS)
+        for name, table in (("passages", self.passages), ("counted", self.counted), ("settings", settings)):
             table.write.mode("overwrite").parquet(f"{path}/{name}")
-        return PassageIndex.load(self.passages.sparkSession, path, self.ids)
+        return PassageIndex.load(spark, path, self.ids)
 
     @staticmethod
     def load(spark: SparkSession, path: str, ids: Sequence[str]) -> PassageIndex:
-        return PassageIndex(*[spark.read.parquet(f"{path}/{n}") for n in ("passages", "idf", "vectors")], tuple(ids))
+        settings = spark.read.schema(SETTINGS).parquet(f"{path}/settings").first()
+        return PassageIndex(spark.read.parquet(f"{path}/passages"), spark.read.schema(COUNTED).parquet(f"{path}/counted"), tuple(ids), *settings)
+
+
+SETTINGS = "n_passages bigint, n_blocks bigint, max_share double"
+COUNTED = "_block int, bucket int, data binary"
+
+
+def _in_blocks(passages_df: DataFrame, ids: Sequence[str], n_blocks: int) -> DataFrame:
+    """Blocks of passages by a digest of their ids, texts as their words with a space between: ``_block, ids, _words``."""
+    block = F.pmod(F.xxhash64(*ids), F.lit(n_blocks)).cast("int")
+    return passages_df.select(block.alias("_block"), *ids, F.array_join(words(S.column("text")), " ").alias("_words"))
+
+
+def _packed(**columns) -> bytes:
+    table, sink = pa.table(columns), pa.BufferOutputStream()
+    with pa.ipc.new_stream(sink, table.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
+        out.write_table(table)
+    return sink.getvalue().to_pybytes()
+
+
+def _unpacked(raw: pa.BinaryScalar) -> pa.Table:
+    return pa.ipc.open_stream(raw.as_buffer()).read_all()
+
+
+def _flat(column: pa.ChunkedArray) -> pa.Array:
+    return pa.concat_arrays(column.chunks) if column.num_chunks else pa.array([], column.type)
+
+
+def _cut(table: pa.Table, ids: Sequence[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, pa.Array]:
+    """A block's passages cut into terms: each passage's first row, then (passage, term, occurrences) as three arrays in
+    that order, and the block's terms, sorted. Rows of the same ids are one passage."""
+    number = np.zeros(table.num_rows, np.int64)
+    for c in ids:
+        own = _flat(table.column(c)).dictionary_encode(null_encoding="encode")
+        _, first, number = np.unique(number * (len(own.dictionary) + 1) + own.indices.to_numpy(), return_index=True, return_inverse=True)
+    lists = pc.split_pattern(_flat(table.column("_words")).fill_null(""), " ")
+    row = np.repeat(np.arange(table.num_rows), pc.list_value_length(lists).to_numpy())
+    word = lists.flatten()
+    some = pc.greater(pc.binary_length(word), 0)
+    word, row = word.filter(some), row[some.to_numpy(zero_copy_only=False)]
+    left = np.flatnonzero(row[1:] == row[:-1])
+    pairs = pc.binary_join_element_wise(word.take(pa.array(left)), word.take(pa.array(left + 1)), " ")
+    term = pa.concat_arrays([word, pairs]).dictionary_encode()
+    order = pc.sort_indices(term.dictionary).to_numpy()
+    place = np.empty(len(order), np.int64)
+    place[order] = np.arange(len(order))
+    cells = number[np.concatenate([row, row[left]])] * max(1, len(order)) + place[term.indices.to_numpy()]
+    cells, times = np.unique(cells, return_counts=True)
+    passage, code = np.divmod(cells, max(1, len(order)))
+    return first, passage, code, times, term.dictionary.take(pa.array(order))
+
+
+def _dealt(terms: pa.Array, n_blocks: int) -> tuple[np.ndarray, np.ndarray]:
+    """The terms' places in order of their buckets, and where each bucket begins and ends in them."""
+    bucket = pd.util.hash_array(terms.to_numpy(zero_copy_only=False), categorize=False) % np.uint64(n_blocks)
+    order = np.argsort(bucket, kind="stable")
+    return order, np.searchsorted(bucket[order], np.arange(n_blocks + 1))
+
+
+def count_terms(passages_df: DataFrame, ids: Sequence[str], n_blocks: int) -> DataFrame:
+    """In how many passages each term stands: ``_block, bucket, data``.
+
+    A block of passages sends each of its terms once, compressed, to the term's bucket. What a bucket finds goes into two
+    kinds of rows: under ``_block`` -1 its terms and their frequencies, and for each block the frequencies alone, in the
+    order of the block's terms. So no term of a passage is ever shuffled by itself, neither there nor back.
+    """
+
+    def send(key: tuple, table: pa.Table) -> pa.Table:
+        _, _, code, _, terms = _cut(table, ids)
+        n = np.bincount(code, minlength=len(terms)).astype(np.int32)
+        order, bounds = _dealt(terms, n_blocks)
+        used = np.flatnonzero(np.diff(bounds))
+        own = [order[bounds[b] : bounds[b + 1]] for b in used]
+        data = [_packed(term=terms.take(pa.array(x)), n=pa.array(n[x])) for x in own]
+        return pa.table({"_block": pa.array([key[0].as_py()] * len(used), pa.int32()), "bucket": pa.array(used, pa.int32()), "data": pa.array(data, pa.binary())})
+
+    def count(key: tuple, table: pa.Table) -> pa.Table:
+        parts = [_unpacked(raw) for raw in table.column("data")]
+        term = pa.concat_arrays([_flat(x.column("term")) for x in parts]).dictionary_encode()
+        code = term.indices.to_numpy()
+        df = np.bincount(code, np.concatenate([x.column("n").to_numpy() for x in parts])).astype(np.int64)
+        ends = np.cumsum([x.num_rows for x in parts])
+        order = pc.sort_indices(term.dictionary)
+        data = [_packed(term=term.dictionary.take(order), df=pa.array(df).take(order))]
+        data += [_packed(df=pa.array(df[code[end - x.num_rows : end]])) for x, end in zip(parts, ends)]
+        blocks = pa.concat_arrays([pa.array([-1], pa.int32()), _flat(table.column("_block"))])
+        return pa.table({"_block": blocks, "bucket": pa.array([key[0].as_py()] * len(data), pa.int32()), "data": pa.array(data, pa.binary())})
+
+    ids = tuple(ids)
+    sent = _in_blocks(passages_df, ids, n_blocks).groupBy("_block").applyInArrow(send, COUNTED)
+    return sent.groupBy("bucket").applyInArrow(count, COUNTED)
+
+
+def vocabulary(counted: DataFrame) -> DataFrame:
+    """``term, df`` of every term."""
+
+    def listed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for raw in batch.column("data"):
+                yield from _unpacked(raw).to_batches(max_chunksize=1 << 16)
+
+    return counted.where("_block = -1").select("data").mapInArrow(listed, "term string, df bigint")
+
+
+def _weighing(ids: Sequence[str], n_passages: int, n_blocks: int, max_share: float):
+    """Vectors of a block of passages from the frequencies that were found for its terms."""
+
+    def weigh(key: tuple, table: pa.Table, found: pa.Table) -> pa.Table:
+        first, passage, code, times, terms = _cut(table, ids)
+        order, _ = _dealt(terms, n_blocks)
+        parts = found.take(pc.sort_indices(found, [("bucket", "ascending")])).column("data")
+        df = np.zeros(len(terms))
+        df[order] = np.concatenate([np.zeros(0), *(_unpacked(raw).column("df").to_numpy() for raw in parts)])
+        idf = np.log((1.0 + n_passages) / (1.0 + df)) + 1
+        known = (df <= n_passages * max_share)[code]
+        passage, code, times = passage[known], code[known], times[known]
+        w = times * idf[code]
+        norm = np.sqrt(np.bincount(passage, w * w, len(first)))
+        held = np.bincount(passage, minlength=len(first))
+        some = np.flatnonzero(held)
+        ends = pa.array(np.concatenate([[0], np.cumsum(held[some])]), pa.int32())
+        lists = {"terms": pa.ListArray.from_arrays(ends, terms.take(pa.array(code))), "weights": pa.ListArray.from_arrays(ends, pa.array(w / norm[passage]))}
+        return pa.table({c: table.column(c).take(pa.array(first[some])) for c in ids} | lists)
+
+    return weigh
 
 
 def term_counts(df: DataFrame, ids: Sequence[str], text: str = "text") -> DataFrame:
@@ -136,42 +285,22 @@ def term_counts(df: DataFrame, ids: Sequence[str], text: str = "text") -> DataFr
     return exploded.groupBy(*ids, "term").agg(F.count(F.lit(1)).alias("tf"))
 
 
-def inverse_frequencies(
-    counts: DataFrame, n_passages: Column | int, max_share: float = P.MAX_DOCUMENT_SHARE
-) -> DataFrame:
-    """Document frequency and idf of every term found in at most ``max_share`` of the passages."""
-    n = F.lit(n_passages) if isinstance(n_passages, int) else n_passages
-    frequencies = counts.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
-    return (
-        frequencies.withColumn("_n", n)
-        .where(F.col("df") <= F.col("_n") * F.lit(max_share))
-        .select("term", "df", (F.log((F.lit(1.0) + F.col("_n")) / (F.lit(1.0) + F.col("df"))) + 1).alias("idf"))
-    )
+def inverse_frequencies(frequencies: DataFrame, n_passages: int, max_share: float = P.MAX_DOCUMENT_SHARE) -> DataFrame:
+    """``term, df, idf`` of every term found in at most ``max_share`` of the passages."""
+    idf = F.log((F.lit(1.0) + F.lit(n_passages)) / (F.lit(1.0) + F.col("df"))) + 1
+    return frequencies.where(F.col("df") <= F.lit(n_passages) * F.lit(max_share)).select("term", "df", idf.alias("idf"))
 
 
 def build_index(
-    passages_df: DataFrame, ids: Sequence[str] = ("source", "passage_no"), max_share: float = P.MAX_DOCUMENT_SHARE
+    passages_df: DataFrame, ids: Sequence[str] = ("source", "passage_no"), max_share: float = P.MAX_DOCUMENT_SHARE, block_chars: int = BLOCK_CHARS
 ) -> PassageIndex:
-    """Fit the index. Texts are cut into terms once, into counts written to the shared folder; the rest is
-    lazy: save the index, or it is computed from them anew by every use."""
+    """Fit the index. How often terms occur is written to the shared folder; the rest follows from it and the passages."""
     spark = passages_df.sparkSession
-    n_passages = passages_df.agg(F.count(F.lit(1)).alias("n")).scalar()
+    n_passages, chars = passages_df.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.length("text")), F.lit(0))).first()
+    n_blocks = 1 + chars // block_chars
     path = new_work_path(spark, "term-counts")
-    term_counts(passages_df, ids).write.parquet(path)
-    counts = spark.read.parquet(path)
-    idf = inverse_frequencies(counts, n_passages, max_share)
-    known = join_reference(counts, F.col("term"), idf.select(F.col("term").alias("_t"), "idf"), "_t", "inner")
-    weighted = known.select(*ids, "term", (F.col("tf") * F.col("idf")).alias("w"))
-    # The terms of one passage: a group as small as a passage.
-    gathered = weighted.groupBy(*ids).agg(
-        F.collect_list(F.struct("term", "w")).alias("cells"), F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm")
-    )
-    vectors = gathered.select(
-        *ids,
-        F.col("cells.term").alias("terms"),
-        F.transform("cells", lambda cell: cell["w"] / F.col("norm")).alias("weights"),
-    )
-    return PassageIndex(passages_df, idf, vectors, tuple(ids))
+    count_terms(passages_df, ids, n_blocks).write.parquet(path)
+    return PassageIndex(passages_df, spark.read.schema(COUNTED).parquet(path), tuple(ids), n_passages, n_blocks, max_share)
 
 
 def index_documents(documents: DataFrame, source: str = "source", text: str = "text") -> PassageIndex:
@@ -185,7 +314,9 @@ def index_documents(documents: DataFrame, source: str = "source", text: str = "t
 def query_vectors(idf: DataFrame, questions: DataFrame, question_id: str, text: str) -> DataFrame:
     """Unit-length term weights of each question over the index vocabulary."""
     counts = term_counts(questions.select(S.column(question_id).alias("query_id"), S.column(text).alias("text")), ["query_id"])
-    weighted = counts.join(idf, "term").select("query_id", "term", (F.col("tf") * F.col("idf")).alias("w"))
+    # of a vocabulary as long as the passages, only what the questions may hold is shuffled
+    asked = idf.withColumn("_bits", member_bits(counts, "term")).where(may_be_member("term", "_bits")).drop("_bits")
+    weighted = counts.join(asked, "term").select("query_id", "term", (F.col("tf") * F.col("idf")).alias("w"))
     norm = F.sqrt(F.sum(F.col("w") * F.col("w")).over(Window.partitionBy("query_id")))
     return weighted.select("query_id", "term", (F.col("w") / norm).alias("weight"))
 

@@ -104,3 +104,27 @@ def test_saved_index_answers_the_same(spark, make, documents, tmp_path):
 def test_empty_folder_is_refused(make):
     with pytest.raises(ValueError):
         T.index_documents(make("source string, text string", ("a", "  ")))
+
+
+def test_no_term_of_a_passage_is_shuffled_by_itself(make, documents):
+    """Many blocks, repeated and missing ids: the same weights as by hand, and one row per block and bucket on the way."""
+    rows = [*TEXTS.items(), ("a", TEXTS["a"]), (None, "one two\n\nthree four five"), (None, "one two\n\nthree six")]
+    cut = T.passages(make("source string, text string", *rows), "source", "text")
+    index = T.build_index(cut, block_chars=40)
+    assert index.n_blocks > 5
+    merged = {}
+    for r in cut.collect():
+        merged.setdefault((r["source"], r["passage_no"]), []).append(re.findall(r"\w\w+", (r["text"] or "").lower()))
+    counts = {k: [t for w in texts for t in [*w, *(f"{a} {b}" for a, b in zip(w, w[1:]))]] for k, texts in merged.items()}
+    df = {t: sum(t in c for c in counts.values()) for c in counts.values() for t in c}
+    n = cut.count()
+    want = {}
+    for key, c in counts.items():
+        v = {t: c.count(t) * (math.log((1 + n) / (1 + df[t])) + 1) for t in c if df[t] <= 0.9 * n}
+        norm = math.sqrt(sum(x * x for x in v.values()))
+        want |= {(*key, t): round(x / norm, 9) for t, x in v.items()}
+    got = {(r["source"], r["passage_no"], r["term"]): round(r["weight"], 9) for r in index.postings.collect()}
+    assert got == want
+    assert as_set(index.idf, "term", "df") == {(t, k) for t, k in df.items() if k <= 0.9 * n}
+    assert index.counted.where("_block >= 0").count() <= min(index.n_blocks**2, sum(map(len, counts.values())))
+    assert index.counted.where("_block = -1").groupBy("bucket").count().where("count > 1").isEmpty()
