@@ -259,13 +259,11 @@ def formats_round_trip(spark, folder):
 def documents_read(spark, folder):
     """Each document is written as a text file of its own and the folder is read back."""
     path = new_work_path(spark, "texts")
-    documents = base_table(spark, folder, "documents").where("text <> ''")
-    documents.select("text", F.concat(F.col("doc_id").cast("string"), F.lit(".md")).alias("name")).repartition("name").write.partitionBy("name").option(
-        "lineSep", "\u0001"
-    ).text(path)
+    documents = base_table(spark, folder, "documents")
+    named = documents.where("text <> ''").select(F.concat(F.coalesce(F.col("doc_id").cast("string"), F.lit("none")), F.lit(".md")).alias("name"), "text")
+    K.write_documents(named, path, -(-documents.count() // K.FOLDER_FILES))
     found = ST.read_documents(spark, path)
-    stem = F.regexp_extract("path", r"name=(\d+)\.md", 1).cast("bigint")
-    return found.select(stem.alias("doc_id"), F.md5(F.rtrim("text", F.lit("\u0001"))).alias("digest"))
+    return found.select(F.col("stem").try_cast("bigint").alias("doc_id"), F.md5(F.rtrim("text", F.lit("\u0001"))).alias("digest"))
 
 
 @query("csv_export", "select s_suppkey, s_nationkey, case when s_acctbal > 0 then 'True' else 'False' end as in_credit from supplier")

@@ -6,6 +6,8 @@ import itertools
 import re
 from collections.abc import Iterator, Sequence
 
+import pandas as pd
+from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -86,3 +88,32 @@ def record_loads(spark: SparkSession, path: str, loads: DataFrame) -> None:
 def load_history(spark: SparkSession, path: str) -> DataFrame:
     """Past loads, newest first."""
     return spark.read.schema(HISTORY).parquet(path).orderBy(F.desc("loaded_at"), "table", "file")
+
+
+# ---------------------------------------------------------------------- documents
+
+FOLDER_FILES = 1_000
+ENDS_TEXT = "\u0001"
+
+
+def _text_files(folder: str):
+    def write(rows: pd.DataFrame) -> pd.DataFrame:
+        store, root = fs.FileSystem.from_uri(re.sub("^file:/+", "file:///", folder)) if ":" in folder else (fs.LocalFileSystem(), folder)
+        root = f"{root}/{int(rows['folder'].iloc[0])}"
+        store.create_dir(root, recursive=True)
+        for name, texts in rows.groupby("name", sort=False)["text"]:
+            with store.open_output_stream(f"{root}/{name}") as out:
+                out.write("".join(text + ENDS_TEXT for text in texts).encode())
+        return pd.DataFrame({"folder": rows["folder"].iloc[:1]})
+
+    return write
+
+
+def write_documents(texts: DataFrame, folder: str, folders: int) -> None:
+    """Each text as a file of its own: rows ``name, text`` go to ``folders`` sub-folders by a digest of the name.
+
+    Tasks write the files where they belong, so that nothing is renamed afterwards and a listing reads ``folders`` folders,
+    not one per file. Texts of one name go to one file, each ended by ``ENDS_TEXT``.
+    """
+    placed = texts.withColumn("folder", F.pmod(F.xxhash64("name"), F.lit(max(1, folders))))
+    placed.groupBy("folder").applyInPandas(_text_files(folder), "folder bigint").agg(F.count("*")).first()

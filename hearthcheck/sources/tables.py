@@ -139,7 +139,11 @@ def read_documents(
     extensions: Sequence[str] = TEXT_EXTENSIONS,
     ignored_stems: Sequence[str] = (),
 ) -> DataFrame:
-    """Whole text files: ``path, stem, modified, text``. Other extensions and ignored names are left out."""
+    """Whole text files: ``path, stem, modified, text``. Other extensions and ignored names are left out.
+
+    A reader counts a small file as megabytes and would open a task for every few; so no more tasks than a shuffle has.
+    """
+    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
     files = (
         spark.read.option("recursiveFileLookup", "true")
         .text(folder, wholetext=True)
@@ -148,6 +152,7 @@ def read_documents(
             F.col("_metadata.file_modification_time").alias("modified"),
             F.col("value").alias("text"),
         )
+        .coalesce(tasks)
     )
     name = F.url_decode(F.element_at(F.split("path", "/"), -1))
     stem = F.regexp_replace(name, r"\.[^.]*$", "")

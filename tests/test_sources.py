@@ -281,3 +281,13 @@ def test_derived_tables_are_published(spark, make):
     assert spark.table("difference_a_sans_b").count() == 1
     with pytest.raises(ValueError):
         TableSet().summary()
+
+
+def test_documents_are_written_into_few_folders_and_read_back(spark, make, tmp_path):
+    """One folder per document would be listed, and renamed, one by one."""
+    texts = {f"{k}.md": f" line {k}\r\n\nend\n" for k in range(60)}
+    K.write_documents(make("name string, text string", *texts.items(), ("7.md", " line 7\r\n\nend\n")), str(tmp_path / "out"), 3)
+    folders = list((tmp_path / "out").iterdir())
+    assert len(folders) <= 3 and sum(len(list(x.iterdir())) for x in folders) == 60
+    got = {r["stem"]: r["text"] for r in ST.read_documents(spark, str(tmp_path / "out")).collect()}
+    assert got == {n[:-3]: (t + "\u0001") * (2 if n == "7.md" else 1) for n, t in texts.items()}
