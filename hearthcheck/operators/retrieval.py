@@ -7,7 +7,7 @@ neighbouring words, idf ``ln((1 + n) / (1 + df)) + 1``, unit length per passage.
 from __future__ import annotations
 
 from collections.abc import Iterator, Sequence
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pandas as pd
@@ -15,6 +15,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegralType
 
 from hearthcheck.functions import scalars as S
 from hearthcheck.operators.skew import may_be_member, member_bits
@@ -29,6 +30,9 @@ SCORE_DIGITS = 6
 ROWS_PER_ROUND = 256
 # Text of a block of passages, cut into terms at a time.
 BLOCK_CHARS = 16 << 20
+# Text that a task collects before it deals it to blocks, and neighbouring passages that go to one block together.
+PACKED_BYTES = 32 << 20
+NEAR_SHIFT = 6
 
 
 # ---------------------------------------------------------------------- text
@@ -107,6 +111,8 @@ class PassageIndex:
     """``passages`` (id columns, text) and how many of them hold each term (``counted``, see ``count_terms``).
 
     ``idf`` (term, df, idf) and ``vectors`` (id columns, terms, weights) follow from them, by one scan, wherever they are used.
+    The ``counted`` of an index that is neither kept nor saved is a plan: one result of it shuffles the texts (``texts``) once and
+    writes nothing, each further result counts anew.
     """
 
     passages: DataFrame
@@ -115,6 +121,16 @@ class PassageIndex:
     n_passages: int
     n_blocks: int
     max_share: float = P.MAX_DOCUMENT_SHARE
+    texts: DataFrame | None = None
+    written: bool = False
+
+    def kept(self) -> PassageIndex:
+        """The index with its counts written to the shared folder, for more than one result."""
+        if self.written:
+            return self
+        spark, path = self.passages.sparkSession, new_work_path(self.passages.sparkSession, "term-counts")
+        self.counted.write.parquet(path)
+        return replace(self, counted=spark.read.schema(COUNTED).parquet(path), written=True)
 
     @property
     def idf(self) -> DataFrame:
@@ -123,7 +139,7 @@ class PassageIndex:
     @property
     def vectors(self) -> DataFrame:
         """One row per passage with a known term: id columns, terms, weights of unit length."""
-        texts = _in_blocks(self.passages, self.ids, self.n_blocks)
+        texts = _in_blocks(self.passages, self.ids, self.n_blocks) if self.texts is None else self.texts
         found = self.counted.where("_block >= 0").select("_block", "bucket", "data")
         kinds = ", ".join(f"`{c}` {self.passages.schema[c].dataType.simpleString()}" for c in self.ids)
         weigh = _weighing(self.ids, self.n_passages, self.n_blocks, self.max_share)
@@ -140,13 +156,14 @@ class PassageIndex:
         spark = self.passages.sparkSession
         settings = spark.createDataFrame([(self.n_passages, self.n_blocks, self.max_share)], SETTINGS)
         for name, table in (("passages", self.passages), ("counted", self.counted), ("settings", settings)):
-            table.write.mode("overwrite").parquet(f"{path}/{name}")
+            table.write.mode("overwrite").option("compression", "zstd").parquet(f"{path}/{name}")
         return PassageIndex.load(spark, path, self.ids)
 
     @staticmethod
     def load(spark: SparkSession, path: str, ids: Sequence[str]) -> PassageIndex:
         settings = spark.read.schema(SETTINGS).parquet(f"{path}/settings").first()
-        return PassageIndex(spark.read.parquet(f"{path}/passages"), spark.read.schema(COUNTED).parquet(f"{path}/counted"), tuple(ids), *settings)
+        counted = spark.read.schema(COUNTED).parquet(f"{path}/counted")
+        return PassageIndex(spark.read.parquet(f"{path}/passages"), counted, tuple(ids), *settings, written=True)
 
 
 SETTINGS = "n_passages bigint, n_blocks bigint, max_share double"
@@ -154,13 +171,47 @@ COUNTED = "_block int, bucket int, data binary"
 
 
 def _in_blocks(passages_df: DataFrame, ids: Sequence[str], n_blocks: int) -> DataFrame:
-    """Blocks of passages by a digest of their ids, texts as their words with a space between: ``_block, ids, _words``."""
-    block = F.pmod(F.xxhash64(*ids), F.lit(n_blocks)).cast("int")
-    return passages_df.select(block.alias("_block"), *ids, F.array_join(words(S.column("text")), " ").alias("_words"))
+    """Blocks of passages by a digest of their ids: ``_block, data``, many passages compressed to a row (ids and ``_words``, the
+    text's words with a space between).
+
+    Where the last of several ids is a whole number, runs of neighbouring passages go to one block: they begin alike and
+    share terms, so that texts and terms get shorter.
+    """
+    near = [F.col(c) for c in ids]
+    if len(ids) > 1 and isinstance(passages_df.schema[ids[-1]].dataType, IntegralType):
+        near[-1] = F.shiftright(near[-1].cast("bigint"), NEAR_SHIFT)
+    block = F.pmod(F.xxhash64(*near), F.lit(n_blocks)).cast("int")
+
+    def dealt(held: list[pa.RecordBatch]) -> pa.RecordBatch:
+        table = pa.Table.from_batches(held)
+        own = table.column("_block").to_numpy()
+        order = np.argsort(own, kind="stable")
+        blocks, first = np.unique(own[order], return_index=True)
+        rows, ends = table.drop_columns("_block").take(pa.array(order)), [*first[1:].tolist(), len(order)]
+        data = [_packed_table(rows.slice(a, b - a)) for a, b in zip(first.tolist(), ends)]
+        return pa.RecordBatch.from_arrays([pa.array(blocks, pa.int32()), pa.array(data, pa.binary())], ["_block", "data"])
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size = [], 0
+        for batch in batches:
+            held.append(batch)
+            size += batch.nbytes
+            if size >= PACKED_BYTES:
+                yield dealt(held)
+                held, size = [], 0
+        if held:
+            yield dealt(held)
+
+    texts = passages_df.select(block.alias("_block"), *ids, F.array_join(words(S.column("text")), " ").alias("_words"))
+    return texts.mapInArrow(pack, "_block int, data binary")
 
 
 def _packed(**columns) -> bytes:
-    table, sink = pa.table(columns), pa.BufferOutputStream()
+    return _packed_table(pa.table(columns))
+
+
+def _packed_table(table: pa.Table) -> bytes:
+    sink = pa.BufferOutputStream()
     with pa.ipc.new_stream(sink, table.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
         out.write_table(table)
     return sink.getvalue().to_pybytes()
@@ -174,6 +225,10 @@ def _flat(column: pa.ChunkedArray) -> pa.Array:
     return pa.concat_arrays(column.chunks) if column.num_chunks else pa.array([], column.type)
 
 
+def _passages_of(block: pa.Table) -> pa.Table:
+    return pa.concat_tables([_unpacked(raw) for raw in block.column("data")])
+
+
 def _cut(table: pa.Table, ids: Sequence[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, pa.Array]:
     """A block's passages cut into terms: each passage's first row, then (passage, term, occurrences) as three arrays in
     that order, and the block's terms, sorted. Rows of the same ids are one passage."""
@@ -205,8 +260,8 @@ def _dealt(terms: pa.Array, n_blocks: int) -> tuple[np.ndarray, np.ndarray]:
     return order, np.searchsorted(bucket[order], np.arange(n_blocks + 1))
 
 
-def count_terms(passages_df: DataFrame, ids: Sequence[str], n_blocks: int) -> DataFrame:
-    """In how many passages each term stands: ``_block, bucket, data``.
+def count_terms(texts: DataFrame, ids: Sequence[str], n_blocks: int) -> DataFrame:
+    """In how many passages (``texts``, see ``_in_blocks``) each term stands: ``_block, bucket, data``.
 
     A block of passages sends each of its terms once, compressed, to the term's bucket. What a bucket finds goes into two
     kinds of rows: under ``_block`` -1 its terms and their frequencies, and for each block the frequencies alone, in the
@@ -214,7 +269,7 @@ def count_terms(passages_df: DataFrame, ids: Sequence[str], n_blocks: int) -> Da
     """
 
     def send(key: tuple, table: pa.Table) -> pa.Table:
-        _, _, code, _, terms = _cut(table, ids)
+        _, _, code, _, terms = _cut(_passages_of(table), ids)
         n = np.bincount(code, minlength=len(terms)).astype(np.int32)
         order, bounds = _dealt(terms, n_blocks)
         used = np.flatnonzero(np.diff(bounds))
@@ -235,7 +290,7 @@ def count_terms(passages_df: DataFrame, ids: Sequence[str], n_blocks: int) -> Da
         return pa.table({"_block": blocks, "bucket": pa.array([key[0].as_py()] * len(data), pa.int32()), "data": pa.array(data, pa.binary())})
 
     ids = tuple(ids)
-    sent = _in_blocks(passages_df, ids, n_blocks).groupBy("_block").applyInArrow(send, COUNTED)
+    sent = texts.groupBy("_block").applyInArrow(send, COUNTED)
     return sent.groupBy("bucket").applyInArrow(count, COUNTED)
 
 
@@ -253,7 +308,8 @@ def vocabulary(counted: DataFrame) -> DataFrame:
 def _weighing(ids: Sequence[str], n_passages: int, n_blocks: int, max_share: float):
     """Vectors of a block of passages from the frequencies that were found for its terms."""
 
-    def weigh(key: tuple, table: pa.Table, found: pa.Table) -> pa.Table:
+    def weigh(key: tuple, block: pa.Table, found: pa.Table) -> pa.Table:
+        table = _passages_of(block)
         first, passage, code, times, terms = _cut(table, ids)
         order, _ = _dealt(terms, n_blocks)
         parts = found.take(pc.sort_indices(found, [("bucket", "ascending")])).column("data")
@@ -294,13 +350,11 @@ def inverse_frequencies(frequencies: DataFrame, n_passages: int, max_share: floa
 def build_index(
     passages_df: DataFrame, ids: Sequence[str] = ("source", "passage_no"), max_share: float = P.MAX_DOCUMENT_SHARE, block_chars: int = BLOCK_CHARS
 ) -> PassageIndex:
-    """Fit the index. How often terms occur is written to the shared folder; the rest follows from it and the passages."""
-    spark = passages_df.sparkSession
+    """Fit the index: how often terms occur; the rest follows from it and the passages. ``kept`` or ``save`` write it."""
     n_passages, chars = passages_df.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.length("text")), F.lit(0))).first()
     n_blocks = 1 + chars // block_chars
-    path = new_work_path(spark, "term-counts")
-    count_terms(passages_df, ids, n_blocks).write.parquet(path)
-    return PassageIndex(passages_df, spark.read.schema(COUNTED).parquet(path), tuple(ids), n_passages, n_blocks, max_share)
+    texts = _in_blocks(passages_df, ids, n_blocks)
+    return PassageIndex(passages_df, count_terms(texts, ids, n_blocks), tuple(ids), n_passages, n_blocks, max_share, texts)
 
 
 def index_documents(documents: DataFrame, source: str = "source", text: str = "text") -> PassageIndex:
@@ -311,14 +365,15 @@ def index_documents(documents: DataFrame, source: str = "source", text: str = "t
     return build_index(cut)
 
 
-def query_vectors(idf: DataFrame, questions: DataFrame, question_id: str, text: str) -> DataFrame:
-    """Unit-length term weights of each question over the index vocabulary."""
-    counts = term_counts(questions.select(S.column(question_id).alias("query_id"), S.column(text).alias("text")), ["query_id"])
+def query_vectors(idf: DataFrame, questions: DataFrame, question_id: str, text: str, also: Sequence[str] = ()) -> DataFrame:
+    """Unit-length term weights of each question (and value of the columns ``also``) over the index vocabulary."""
+    keys = ["query_id", *also]
+    counts = term_counts(questions.select(S.column(question_id).alias("query_id"), *also, S.column(text).alias("text")), keys)
     # of a vocabulary as long as the passages, only what the questions may hold is shuffled
     asked = idf.withColumn("_bits", member_bits(counts, "term")).where(may_be_member("term", "_bits")).drop("_bits")
-    weighted = counts.join(asked, "term").select("query_id", "term", (F.col("tf") * F.col("idf")).alias("w"))
-    norm = F.sqrt(F.sum(F.col("w") * F.col("w")).over(Window.partitionBy("query_id")))
-    return weighted.select("query_id", "term", (F.col("w") / norm).alias("weight"))
+    weighted = counts.join(asked, "term").select(*keys, "term", (F.col("tf") * F.col("idf")).alias("w"))
+    norm = F.sqrt(F.sum(F.col("w") * F.col("w")).over(Window.partitionBy(*keys)))
+    return weighted.select(*keys, "term", (F.col("w") / norm).alias("weight"))
 
 
 # ---------------------------------------------------------------------- scoring
@@ -343,20 +398,36 @@ def rank_passages(
     passages stream by, each task scores its passages against the whole block and keeps its own best, so
     no pair of question and passage is ever shuffled.
     """
+    asked = questions.select(S.column(question_id).alias("query_id"), F.lit(1).alias("phrasing"), S.column(text).alias("text"))
+    return _rank_phrasings(index, asked, k, boosted, boost, source, block).drop("phrasing")
+
+
+def _rank_phrasings(
+    index: PassageIndex,
+    asked: DataFrame,
+    k: int = P.TOP_PASSAGES,
+    boosted: Sequence[str] = (),
+    boost: float = P.PRIORITY_BOOST,
+    source: str = "source",
+    block: int = BLOCK_QUESTIONS,
+) -> DataFrame:
+    """``rank_passages`` of several phrasings (``query_id, phrasing, text``) by the same passes: ``query_id, ids, score, rank, phrasing``."""
+    index = index.kept()
     spark = index.passages.sparkSession
     path = new_work_path(spark, "question-vectors")
-    blocks = max(1, -(-questions.count() // block))
-    vectors = query_vectors(index.idf, questions, question_id, text)
+    blocks = max(1, -(-asked.count() // block))
+    vectors = query_vectors(index.idf, asked, "query_id", "text", ["phrasing"])
     vectors.withColumn("_block", F.pmod(F.xxhash64("query_id"), F.lit(blocks))).write.partitionBy("_block").parquet(path)
     kinds = vectors.schema.simpleString()[7:-1].replace(":", " ")
     written = spark.read.schema(f"{kinds}, _block bigint").parquet(path)
     query_type = vectors.schema["query_id"].dataType.simpleString()
     parts = []
     for number in range(blocks):
-        held = written.where(F.col("_block") == number).select("query_id", "term", "weight").toPandas()
+        held = written.where(F.col("_block") == number).select("query_id", "phrasing", "term", "weight").toPandas()
         parts.append(_rank_against_held(index, held, query_type, k, boosted, boost, source))
-    order = Window.partitionBy("query_id").orderBy(F.desc("score"), *[F.asc(c) for c in index.ids])
-    return union_all(parts).withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+    order = Window.partitionBy("query_id", "phrasing").orderBy(F.desc("score"), *[F.asc(c) for c in index.ids])
+    ranked = union_all(parts).withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+    return ranked.select("query_id", *index.ids, "score", "rank", "phrasing")
 
 
 def _boost(score: Column, boosted: Sequence[str], boost: float, source: str) -> Column:
@@ -377,28 +448,29 @@ def _rank_against_held(
     """Local best passages per task, over whole passage vectors; terms no question has are skipped."""
     ids = list(index.ids)
     digits, per_round = SCORE_DIGITS, ROWS_PER_ROUND
-    held = held.sort_values(["term", "query_id"], kind="stable").reset_index(drop=True)
+    # questions without an id are not ranked; the others are numbered, each phrasing by itself
+    held = held.dropna(subset=["query_id"]).sort_values(["term", "query_id", "phrasing"], kind="stable").reset_index(drop=True)
     vocabulary = pd.Index(held["term"].unique())
-    query_ids = np.sort(held["query_id"].unique())
+    questions = held[["query_id", "phrasing"]].drop_duplicates(ignore_index=True)
     term_of = vocabulary.get_indexer(held["term"])
-    query_of = np.searchsorted(query_ids, held["query_id"].to_numpy())
+    query_of = pd.MultiIndex.from_frame(questions).get_indexer(pd.MultiIndex.from_frame(held[["query_id", "phrasing"]]))
     starts = np.searchsorted(term_of, np.arange(len(vocabulary) + 1))
     weights = held["weight"].to_numpy()
     spark = index.passages.sparkSession
-    shared = spark.sparkContext.broadcast((vocabulary, query_ids, starts, query_of, weights))
+    shared = spark.sparkContext.broadcast((vocabulary, questions, starts, query_of, weights))
     rows = index.vectors.select(
         *ids, "terms", "weights", _boost(F.lit(1.0), boosted, boost, source).alias("factor")
     )
 
     # Everything the tasks run is nested here, so that it travels with the job by value.
-    def keep_best(rows: pd.DataFrame | None, part: pd.DataFrame, floor: np.ndarray, questions: np.ndarray):
+    def keep_best(rows: pd.DataFrame | None, part: pd.DataFrame, floor: np.ndarray):
         """The k best rows per question so far; ``floor`` rises to each full question's k-th score."""
         rows = part if rows is None else pd.concat([rows, part], ignore_index=True)
-        rows = rows.sort_values(["query_id", "score", *ids], ascending=[True, False] + [True] * len(ids))
-        rows = rows.groupby("query_id", sort=False).head(k)
-        full = rows.groupby("query_id")["score"].agg(["size", "min"])
+        rows = rows.sort_values(["_question", "score", *ids], ascending=[True, False] + [True] * len(ids))
+        rows = rows.groupby("_question", sort=False).head(k)
+        full = rows.groupby("_question")["score"].agg(["size", "min"])
         full = full[full["size"] >= k]
-        floor[np.searchsorted(questions, full.index.to_numpy())] = full["min"].to_numpy()
+        floor[full.index.to_numpy()] = full["min"].to_numpy()
         return rows
 
     def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -423,14 +495,15 @@ def _rank_against_held(
                 row, question = np.nonzero((scores > 0) & (scores >= floor))
                 if len(row):
                     part = block[ids].iloc[row].reset_index(drop=True)
-                    part.insert(0, "query_id", questions[question])
+                    part.insert(0, "_question", question)
                     part["score"] = scores[row, question]
-                    best = keep_best(best, part, floor, questions)
+                    best = keep_best(best, part, floor)
         if best is not None:
-            yield best
+            asked = questions.iloc[best["_question"].to_numpy()].reset_index(drop=True)
+            yield pd.concat([asked, best.drop(columns="_question").reset_index(drop=True)], axis=1)
 
     fields = ", ".join(f"{c} {index.vectors.schema[c].dataType.simpleString()}" for c in ids)
-    return rows.mapInPandas(score, f"query_id {query_type}, {fields}, score double")
+    return rows.mapInPandas(score, f"query_id {query_type}, phrasing int, {fields}, score double")
 
 
 def best_phrasing(
@@ -445,13 +518,17 @@ def best_phrasing(
 ) -> DataFrame:
     """Ranked passages, using a second phrasing where the first finds only weak ones and the second
     finds a better one. Questions without a second phrasing keep the first."""
-    first = rank_passages(index, questions, question_id, text, k, **settings).withColumn("phrasing", F.lit(1))
     usable = questions.where(
         S.column(rephrased).isNotNull()
         & (F.length(F.trim(S.column(rephrased))) > 0)
         & (F.lower(F.trim(S.column(rephrased))) != F.lower(F.trim(S.column(text))))
     )
-    second = rank_passages(index, usable, question_id, rephrased, k, **settings).withColumn("phrasing", F.lit(2))
+    # both by one pass over the passages
+    asked = [
+        rows.select(S.column(question_id).alias("query_id"), F.lit(number).alias("phrasing"), S.column(c).alias("text"))
+        for number, rows, c in ((1, questions, text), (2, usable, rephrased))
+    ]
+    ranked = _rank_phrasings(index, union_all(asked), k, **settings)
     # At most 2k rows per question.
     same_question = Window.partitionBy("query_id")
 
@@ -459,8 +536,7 @@ def best_phrasing(
         return F.max(F.when(F.col("phrasing") == phrasing, F.col("score"))).over(same_question)
 
     both = (
-        first.unionByName(second)
-        .withColumn("_top1", F.coalesce(top(1), F.lit(0.0)))
+        ranked.withColumn("_top1", F.coalesce(top(1), F.lit(0.0)))
         .withColumn("_top2", top(2))
         .withColumn("_better", F.coalesce((F.col("_top1") < weak) & (F.col("_top2") > F.col("_top1")), F.lit(False)))
     )

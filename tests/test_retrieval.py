@@ -1,11 +1,14 @@
 import math
+import os
 import re
 
+import pyarrow as pa
 import pytest
 from conftest import as_set
 from pyspark.sql import functions as F
 
 from hearthcheck.operators import retrieval as T
+from hearthcheck.session import shared_folder
 
 TEXTS = {
     "a": "Table: people\n\nfatherid : the father of the person\n\nmotherid : the mother of the person",
@@ -128,3 +131,30 @@ def test_no_term_of_a_passage_is_shuffled_by_itself(make, documents):
     assert as_set(index.idf, "term", "df") == {(t, k) for t, k in df.items() if k <= 0.9 * n}
     assert index.counted.where("_block >= 0").count() <= min(index.n_blocks**2, sum(map(len, counts.values())))
     assert index.counted.where("_block = -1").groupBy("bucket").count().where("count > 1").isEmpty()
+
+
+def test_weights_write_nothing_and_texts_travel_compressed(spark, make):
+    """Passages of one text share a block and are packed there; runs of 64 passages of a long one may part."""
+    texts = [(f"s{n}", "\n\n".join(["the same title of every block", *(f"word{n} meets word{k}" for k in range(100))])) for n in range(10)]
+    cut = T.passages(make("source string, text string", *texts), "source", "text")
+    folder = shared_folder(spark)
+    before = set(os.listdir(folder))
+    index = T.build_index(cut, block_chars=5_000)
+    assert index.postings.select("source", "passage_no").distinct().count() == 1000
+    assert set(os.listdir(folder)) == before
+    packed = index.texts.collect()
+    held = [(p["_block"], r["source"], r["passage_no"]) for p in packed for r in T._unpacked(pa.scalar(bytes(p["data"]), pa.binary())).to_pylist()]
+    assert len(held) == 1000 and len({b for b, _, _ in held}) > 3
+    assert len({(b, s) for b, s, _ in held}) <= 20
+    assert sum(len(p["data"]) for p in packed) < sum(len(r["text"]) for r in cut.collect()) / 2
+
+
+def test_both_phrasings_take_one_pass(make, documents, tmp_path):
+    index = T.build_index(T.passages(documents, "source", "text")).save(str(tmp_path / "index"))
+    questions = make("id int, q string, r string", (1, "zzz", "wall nature"), (2, "wall nature of", "father"), (None, "wall", "roof"))
+    best = T.best_phrasing(index, questions, "id", "q", "r")
+    assert best._jdf.queryExecution().analyzed().toString().count("FlatMapCoGroupsInArrow") == 1
+    first, second = (as_set(T.rank_passages(index, questions, "id", c)) for c in ("q", "r"))
+    plain = ["query_id", "source", "passage_no", "score", "rank"]
+    assert as_set(best.where("phrasing = 2"), *plain) == {r for r in second if r[0] == 1}
+    assert as_set(best.where("phrasing = 1"), *plain) == {r for r in first if r[0] == 2}
