@@ -3,6 +3,10 @@
 Each stage is written before the next one reads it. A stage therefore begins by deleting the work tables of the stages
 before it in the same run (over the same folder), so that the shared folder never holds those of two stages at once.
 Work tables of other results are left alone.
+
+A stage hands texts to Python in batches of at most ``BATCH_ROWS`` rows and ``BATCH_BYTES`` bytes. An executor holds each batch
+several times outside its heap, for every task; Spark's 10 000 rows of whole texts are hundreds of megabytes there. The session
+keeps these settings, since a stage's result is computed after the stage returns; smaller ones of the caller stay.
 """
 
 from __future__ import annotations
@@ -19,16 +23,28 @@ from hearthcheck.llm.suite import TOKENIZER_FILE
 from hearthcheck.session import new_work_path
 
 
+BATCH_ROWS = 1_000
+BATCH_BYTES = 8 << 20
+
 _WORK: dict[str, list[str]] = {}
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Bound what is handed to Python at once; 0 or less means unbounded."""
+    for name, most in (("maxRecordsPerBatch", BATCH_ROWS), ("maxBytesPerBatch", BATCH_BYTES)):
+        key = f"spark.sql.execution.arrow.{name}"
+        if not 0 < int(spark.conf.get(key).rstrip("bB")) <= most:
+            spark.conf.set(key, str(most))
+
+
 def stage(run: Stage) -> Stage:
     """A stage that owns the work tables it writes."""
 
     @wraps(run)
     def owning(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        small_batches(spark)
         work = _WORK.setdefault(sf_dir, [])
         forget(spark, work)
         with recording(work):

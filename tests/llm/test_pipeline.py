@@ -1,4 +1,5 @@
 import corpus_pipeline
+import pyarrow as pa
 from hearthcheck.llm import decontaminate, mixing, near_dedup, toxicity
 from hearthcheck.llm.common import table
 from pyspark.sql import functions as F
@@ -72,3 +73,30 @@ def test_odd_rows_go_through_the_first_stages(spark, tmp_path, docs):
         assert table_of.columns == docs(*ODD).columns
     kept = table_of.collect()
     assert 0 < len(kept) < len(ODD)
+
+
+def test_stages_hand_texts_to_python_in_small_batches(spark):
+    """Both bounds hold for what a stage computes after it returned; a smaller setting of the caller stays."""
+    names = [f"spark.sql.execution.arrow.{x}" for x in ("maxRecordsPerBatch", "maxBytesPerBatch")]
+    before = [spark.conf.get(x) for x in names]
+
+    def sizes(batches):
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([batch.num_rows]), pa.array([batch.nbytes])], ["rows", "bytes"])
+
+    @corpus_pipeline.stage
+    def measured(spark, docs, folder):
+        return docs.mapInArrow(sizes, "rows long, bytes long")
+
+    try:
+        for key in names:
+            spark.conf.set(key, str(1 << 30))
+        short = measured(spark, spark.range(0, 2500, 1, 1).selectExpr("repeat('x', 10) as text"), "batches").collect()
+        long = measured(spark, spark.range(0, 900, 1, 1).selectExpr("repeat('x', 20000) as text"), "batches").collect()
+        assert max(r.rows for r in short) == corpus_pipeline.BATCH_ROWS and sum(r.rows for r in short) == 2500
+        assert max(r.bytes for r in long) < 2 * corpus_pipeline.BATCH_BYTES and sum(r.rows for r in long) == 900
+        spark.conf.set(names[0], "10")
+        assert max(r.rows for r in measured(spark, spark.range(0, 25, 1, 1).selectExpr("'x' as text"), "batches").collect()) == 10
+    finally:
+        for key, value in zip(names, before):
+            spark.conf.set(key, value)
