@@ -14,6 +14,8 @@ full, word after word, and are looked for directly since they are too short for
 What is found does not rest on the vectors alone: an item that the word check accepts has at least one of its rarest words
 in the stretch (``anchors`` says how many of them that takes), so the passage around every place of such a word, as long as
 the item's passages on either side, is checked too, at every length of item and whatever ``COSINE`` leaves out. Items made of common words only make this slower, not less whole.
+Of all these stretches the word check reads those with enough places of the rarer half of the item's words (``least_places``
+says how many an accepted one has).
 
 The corpus is scanned (three times), never shuffled; the benchmark is broadcast in blocks of at most about ``MOST_ITEMS`` items, one
 scan each. Null or empty texts match nothing; null or empty items are matched by nothing. Repeated rows are each reported.
@@ -44,6 +46,7 @@ EXACT = 0.8
 PARAPHRASE = 0.6
 ANSWER = 0.8
 RAREST = 0.25
+RARER = 0.5
 SHORT = 8
 MOST_ITEMS = 4096
 BLOCK = 1024
@@ -204,6 +207,24 @@ def latent_basis(texts: DataFrame, weights: np.ndarray, rank: int = RANK, seed:
     return out
 
 
+@dataclass
+class Held:
+    """Which items hold a word: sorted words, each one's first place in ``items``, and the end."""
+
+    words: np.ndarray
+    first: np.ndarray
+    items: np.ndarray
+    heads: np.ndarray  # by the first 16 bits, whether a word begins so
+
+    @staticmethod
+    def of(held: dict[int, list[int]]) -> Held:
+        words = sorted(held)
+        found = np.array(words, np.uint64)
+        heads = np.zeros(1 << 16, bool)
+        heads[found >> np.uint64(48)] = True
+        return Held(found, np.cumsum([0, *(len(held[x]) for x in words)]), np.array([k for x in words for k in held[x]], np.int64), heads)
+
+
 @dataclass
 class Block:
     """A block of the benchmark in the latent space."""
@@ -213,9 +234,9 @@ class Block:
     items: list[dict]
     spans: dict[int, tuple[np.ndarray, np.ndarray]]  # passage length in chunks -> item numbers and unit vectors
     short: dict[int, list[int]]  # first word -> items
-    anchors: np.ndarray  # sorted words one of which an accepted stretch holds
-    anchor_first: np.ndarray  # each anchor's first place in anchor_items, and the end
-    anchor_items: np.ndarray
+    anchors: Held  # words one of which an accepted stretch holds
+    rarer: Held  # the rarer half of each item's words
+    least: np.ndarray  # places of an item's rarer words that an accepted stretch has
     reach: np.ndarray  # words of an item's passage
 
 
@@ -230,10 +251,26 @@ def anchors(ranked: np.ndarray, given: bool) -> np.ndarray:
     return ranked[: least if given else max(least, int(np.ceil(RAREST * n)))]
 
 
+def least_places(ranked: np.ndarray, given: bool) -> int:
+    """How many places of the rarer half (``RARER``) of an item's words, rarest first, each accepted stretch has at least.
+
+    A common subsequence takes a place of the stretch for each place of the item, and may leave out only so many of the
+    item's. Without an answer of its own, an item accepted by ``PARAPHRASE`` also needs ``ANSWER`` of its rarest words.
+    """
+    n = len(ranked)
+    half = int(np.ceil(RARER * n))
+    loose, exact = (int(np.ceil(share * n - 1e-9)) - (n - half) for share in (PARAPHRASE, EXACT))
+    if not given:
+        rare = len(set(ranked[: int(np.ceil(RAREST * n))].tolist()))
+        loose = min(exact, max(loose, int(np.ceil(ANSWER * rare - 1e-9))))
+    return max(1, loose)
+
+
 def _block(items: pd.DataFrame, weights: np.ndarray, basis: np.ndarray) -> Block:
     vectors = np.vstack([basis * weights[:, None], np.zeros((1, basis.shape[1]), np.float32)]).astype(np.float32)
-    none = np.zeros(0, np.int64)
-    block, by_span, held = Block(weights, vectors, [], {}, {}, none.astype(np.uint64), none, none, np.zeros(len(items), np.int64)), {}, {}
+    none = Held.of({})
+    block = Block(weights, vectors, [], {}, {}, none, none, np.ones(len(items), np.int64), np.zeros(len(items), np.int64))
+    by_span, held, rarer = {}, {}, {}
     words, offsets = word_hashes(pa.array(items["lower"].tolist(), pa.string()))
     answers = items["answer"].tolist() if "answer" in items else [None] * len(items)
     for k, item_id in enumerate(None if pd.isna(x) else int(x) for x in items["item_id"]):
@@ -253,12 +290,13 @@ def _block(items: pd.DataFrame, weights: np.ndarray, basis: np.ndarray) -> Block
             span = -(-len(own) // CHUNK) + 1
             by_span.setdefault(span, []).append((k, vector / max(np.linalg.norm(vector), 1e-9)))
             block.reach[k] = span * CHUNK
+            block.least[k] = least_places(ranked, bool(given))
             for word in set(anchors(ranked, bool(given)).tolist()):
                 held.setdefault(word, []).append(k)
+            for word in set(ranked[: int(np.ceil(RARER * len(own)))].tolist()):
+                rarer.setdefault(word, []).append(k)
     block.spans = {m: (np.array([k for k, _ in x]), np.stack([v for _, v in x]).astype(np.float32)) for m, x in by_span.items()}
-    block.anchors = np.array(sorted(held), np.uint64)
-    block.anchor_first = np.cumsum([0, *(len(held[x]) for x in sorted(held))])
-    block.anchor_items = np.array([k for x in sorted(held) for k in held[x]], np.int64)
+    block.anchors, block.rarer = Held.of(held), Held.of(rarer)
     return block
 
 
@@ -284,7 +322,11 @@ def _candidates(block: Block, words: np.ndarray, offsets: np.ndarray, cosine: fl
         return
     terms = np.concatenate([terms_of(words), [TERMS]])
     sums = np.zeros((len(place) + 1, block.vectors.shape[1]), np.float32)
-    np.cumsum(block.vectors[terms[place]].sum(axis=1), axis=0, out=sums[1:])
+    # slot by slot, and the running sums along the longer axis: the same additions on less memory at a time
+    slots, total, some = terms[place], np.zeros((len(place), sums.shape[1]), np.float32), np.empty((len(place), sums.shape[1]), np.float32)
+    for slot in range(CHUNK):
+        total += np.take(block.vectors, slots[:, slot], axis=0, out=some, mode="clip")
+    sums[1:] = np.cumsum(total.T.copy(), axis=1).T
     row = np.repeat(np.arange(len(offsets) - 1), np.diff(first))
     number = np.arange(len(place))
     for span, (items, unit) in block.spans.items():
@@ -295,12 +337,10 @@ def _candidates(block: Block, words: np.ndarray, offsets: np.ndarray, cosine: fl
         floor[floor == 0] = np.inf
         for at in range(0, len(items), 512):
             some = unit[at : at + 512]
-            hits = np.flatnonzero(passage @ some.T >= floor[:, None])
+            hits = np.flatnonzero(some @ passage.T >= floor)
             if not len(hits):
                 continue
-            where, which = hits // len(some), hits % len(some)
-            order = np.argsort(which, kind="stable")
-            where, which = where[order], which[order]
+            which, where = np.divmod(hits, len(passage))
             # neighbouring passages near one item are one stretch
             new = np.ones(len(where), bool)
             new[1:] = (which[1:] != which[:-1]) | (where[1:] > where[:-1] + 1) | (row[where[1:]] != row[where[:-1]])
@@ -312,17 +352,19 @@ def _candidates(block: Block, words: np.ndarray, offsets: np.ndarray, cosine: fl
             yield rows, items[at + which[begins]], low, high
 
 
-def _anchor_places(block: Block, words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(item, place) of every place of an item's anchors, in that order."""
-    if not len(block.anchors) or not len(words):
-        return np.zeros(0, np.int64), np.zeros(0, np.int64)
-    at = np.minimum(np.searchsorted(block.anchors, words), len(block.anchors) - 1)
-    hits = np.flatnonzero(block.anchors[at] == words)
-    times = block.anchor_first[at[hits] + 1] - block.anchor_first[at[hits]]
+def _places(held: Held, words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(item, place) of every place of an item's held words, in that order."""
+    hits = np.flatnonzero(held.heads[words >> np.uint64(48)])
+    if not len(hits):
+        return hits, hits
+    at = np.minimum(np.searchsorted(held.words, words[hits]), len(held.words) - 1)
+    same = held.words[at] == words[hits]
+    at, hits = at[same], hits[same]
+    times = held.first[at + 1] - held.first[at]
     nth = np.arange(times.sum()) - np.repeat(np.cumsum(times) - times, times)
-    which = block.anchor_items[np.repeat(block.anchor_first[at[hits]], times) + nth]
+    which = held.items[np.repeat(held.first[at], times) + nth]
     place = np.repeat(hits, times)
-    order = np.lexsort((place, which))
+    order = np.argsort(which, kind="stable")
     return which[order], place[order]
 
 
@@ -330,20 +372,28 @@ def _stretches(block: Block, words: np.ndarray, offsets: np.ndarray, cosine: flo
     """(row, item, first word, end) of all stretches to be checked.
 
     An accepted stretch holds an anchor of its item, so those without one are left out of the candidates; around the
-    anchors' own places there is a stretch in any case.
+    anchors' own places there is a stretch in any case. Stretches with too few of the item's rarer words are left out of both.
     """
-    which, place = _anchor_places(block, words)
+    which, place = _places(block.anchors, words)
     if not len(which):
         return
     wide = len(words) + 1
     keys = which * wide + place
+    rarer, at = _places(block.rarer, words)
+    counted = rarer * wide + at
+
+    def enough(items: np.ndarray, low: np.ndarray, high: np.ndarray) -> np.ndarray:
+        return np.searchsorted(counted, items * wide + high) - np.searchsorted(counted, items * wide + low) >= block.least[items]
+
     for rows, items, low, high in _candidates(block, words, offsets, cosine):
         held = np.searchsorted(keys, items * wide + low) < np.searchsorted(keys, items * wide + high)
+        held &= enough(items, low, high)
         yield from zip(rows[held].tolist(), items[held].tolist(), low[held].tolist(), high[held].tolist())
     rows = np.searchsorted(offsets, place, side="right") - 1
     low = np.maximum(place - block.reach[which], offsets[rows])
     high = np.minimum(place + block.reach[which] + 1, offsets[rows + 1])
-    yield from zip(rows.tolist(), which.tolist(), low.tolist(), high.tolist())
+    held = enough(which, low, high)
+    yield from zip(rows[held].tolist(), which[held].tolist(), low[held].tolist(), high[held].tolist())
 
 
 def _matches(block: Block, column: pa.Array, cosine: float) -> Iterator[tuple[int, int, float]]:

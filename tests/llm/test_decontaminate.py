@@ -6,6 +6,7 @@ import pyarrow as pa
 import pytest
 
 from hearthcheck.llm import decontaminate as D
+from hearthcheck.llm.common import mixed
 from tests.llm.conftest import ODD, prose
 
 ITEMS = "item_id long, text string, lower string, doc_id long"
@@ -136,3 +137,38 @@ def test_words_only_the_documents_have_are_in_the_basis(docs, make):
     block = D.prepared(docs(*rows), make(ITEMS, (1, "some benchmark item of more than eight different words here", "x", 1)))[0]
     own = D.terms_of(D.word_hashes(pa.array([t for _, t in rows]))[0]).reshape(40, 64)
     assert (np.linalg.norm(block.vectors[own], axis=2).max(axis=1) > 0.01).all()
+
+
+@pytest.mark.parametrize("answered", [True, False])
+def test_stretches_with_too_few_of_the_rarer_words_are_not_read(answered, monkeypatch):
+    """One rare word of an item by itself starts no word check, and no check that would accept is left out."""
+    asked = [(k, prose(50_000 + k, 20 + k, 60), "seldom" if answered else None) for k in range(12)]
+    texts = []
+    for k, item, _ in asked:
+        pick, words = random.Random(k), item.split()
+        for share in (0.0, 0.2, 0.38, 0.45):
+            some = [f"w{n}" if pick.random() < share else w for n, w in enumerate(words)]
+            texts.append(f"{prose(60_000 + k, 60, 60)} {' '.join(some)} seldom {prose(70_000 + k, 60, 60)}")
+    alone = set(range(len(texts), len(texts) + 12 * 20))
+    texts += [f"{prose(80_000 + k, 9, 9_000)} {asked[k % 12][1].split()[k // 12]} {prose(90_000 + k, 9, 9_000)}" for k in range(12 * 20)]
+    words, offsets = D.word_hashes(pa.array(texts))
+    weights = np.log((len(words) + 1) / (np.bincount(D.terms_of(words), minlength=D.TERMS) + 0.5)).clip(0).astype(np.float32)
+    frame = pd.DataFrame(asked, columns=["item_id", "lower", "answer"])
+    block = D._block(frame, weights, np.zeros((D.TERMS, 4), np.float32))
+    read, found = list(D._stretches(block, words, offsets, D.COSINE)), sorted(D._matches(block, pa.array(texts), D.COSINE))
+    monkeypatch.setattr(D, "least_places", lambda ranked, given: 0)
+    block = D._block(frame, weights, np.zeros((D.TERMS, 4), np.float32))
+    every = list(D._stretches(block, words, offsets, D.COSINE))
+    assert len(found) >= 12 and found == sorted(D._matches(block, pa.array(texts), D.COSINE))
+    assert len({r for r, *_ in every} & alone) > 40 and not {r for r, *_ in read} & alone
+
+
+def test_word_hashes_are_those_of_the_words_by_themselves():
+    """A word's hash is its polynomial, wherever the word stands in the column."""
+    rows = ["ab cd", None, "", "abcd, été—naïve", "cd", "x" * 5_000 + " ab"]
+    words, offsets = D.word_hashes(pa.array(rows))
+    own = [w for r in rows for w in (r or "").replace(",", " ").replace("—", " ").split()]
+    assert np.diff(offsets).tolist() == [2, 0, 0, 3, 1, 2]
+    for hashed, word in zip(words.tolist(), own, strict=True):
+        value = sum((b + 1) * pow(0x9E3779B97F4A7C15, n, 1 << 64) for n, b in enumerate(word.encode())) % (1 << 64)
+        assert D.word_hashes(pa.array([word]))[0].tolist() == [hashed] == mixed(np.array([value], np.uint64)).tolist()
