@@ -33,6 +33,9 @@ BLOCK_CHARS = 16 << 20
 # Text that a task collects before it deals it to blocks, and neighbouring passages that go to one block together.
 PACKED_BYTES = 32 << 20
 NEAR_SHIFT = 6
+PACKED_LEVEL = 9
+# Bytes that a term of a sorted list may share with the one before it without writing them.
+MOST_SHARED = 255
 
 
 # ---------------------------------------------------------------------- text
@@ -212,7 +215,7 @@ def _packed(**columns) -> bytes:
 
 def _packed_table(table: pa.Table) -> bytes:
     sink = pa.BufferOutputStream()
-    with pa.ipc.new_stream(sink, table.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
+    with pa.ipc.new_stream(sink, table.schema, options=pa.ipc.IpcWriteOptions(compression=pa.Codec("zstd", PACKED_LEVEL))) as out:
         out.write_table(table)
     return sink.getvalue().to_pybytes()
 
@@ -221,6 +224,62 @@ def _unpacked(raw: pa.BinaryScalar) -> pa.Table:
     return pa.ipc.open_stream(raw.as_buffer()).read_all()
 
 
+def _packed_terms(terms: pa.Array, counts: np.ndarray) -> bytes:
+    """Sorted terms and a number for each: of a term only what differs from the one before it, lengths apart from bytes."""
+    terms = terms.cast(pa.large_string())
+    _, offsets, data = terms.buffers()
+    offsets = np.frombuffer(offsets, np.int64)[terms.offset : terms.offset + len(terms) + 1]
+    data = np.frombuffer(data, np.uint8) if data else np.zeros(0, np.uint8)
+    start, size = offsets[:-1], np.diff(offsets)
+    shared, live = np.zeros(len(terms), np.int64), np.arange(1, len(terms))
+    for place in range(MOST_SHARED):
+        live = live[np.minimum(size[live], size[live - 1]) > place]
+        live = live[data[start[live] + place] == data[start[live - 1] + place]]
+        if not len(live):
+            break
+        shared[live] += 1
+    rest = size - shared
+    kept = data[_runs(start + shared, rest)]
+    columns = {"shared": shared.astype(np.uint8).tobytes(), "rest": _by_byte(rest), "bytes": kept.tobytes(), "n": _by_byte(counts)}
+    return _packed(**{name: pa.array([x], pa.large_binary()) for name, x in columns.items()})
+
+
+def _unpacked_terms(raw: pa.BinaryScalar) -> tuple[pa.Array, np.ndarray]:
+    """What ``_packed_terms`` packed."""
+    found = _unpacked(raw)
+    held = {name: found.column(name)[0].as_buffer() for name in found.column_names}
+    shared = np.frombuffer(held["shared"], np.uint8).astype(np.int64)
+    rest = _from_bytes(held["rest"])
+    kept = np.frombuffer(held["bytes"], np.uint8)
+    offsets = np.concatenate([[0], np.cumsum(shared + rest)])
+    start, own = offsets[:-1], np.cumsum(rest) - rest
+    data = np.empty(offsets[-1], np.uint8)
+    data[_runs(start + shared, rest)] = kept
+    for place in range(int(shared.max(initial=0))):
+        # a byte that is not written is that of the last term before which wrote it
+        writer = np.maximum.accumulate(np.where(shared <= place, np.arange(len(shared)), 0))
+        need = np.flatnonzero(shared > place)
+        writer = writer[need]
+        data[start[need] + place] = kept[own[writer] + place - shared[writer]]
+    buffers = [None, pa.py_buffer(offsets.astype(np.int64)), pa.py_buffer(data)]
+    return pa.Array.from_buffers(pa.large_string(), len(shared), buffers).cast(pa.string()), _from_bytes(held["n"])
+
+
+def _by_byte(numbers: np.ndarray) -> bytes:
+    """Numbers with all their lowest bytes first, then the next ones: most are small, and zeros pack to nothing."""
+    return numbers.astype("<i8").view(np.uint8).reshape(-1, 8).T.tobytes()
+
+
+def _from_bytes(raw: pa.Buffer) -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(raw, np.uint8).reshape(8, -1).T).view("<i8").reshape(-1)
+
+
+def _runs(start: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """The places of all runs, one after another."""
+    ends = np.cumsum(size)
+    return np.arange(ends[-1] if len(ends) else 0) + np.repeat(start - (ends - size), size)
+
+
 def _flat(column: pa.ChunkedArray) -> pa.Array:
     return pa.concat_arrays(column.chunks) if column.num_chunks else pa.array([], column.type)
 
@@ -263,7 +322,7 @@ def _dealt(terms: pa.Array, n_blocks: int) -> tuple[np.ndarray, np.ndarray]:
 def count_terms(texts: DataFrame, ids: Sequence[str], n_blocks: int) -> DataFrame:
     """In how many passages (``texts``, see ``_in_blocks``) each term stands: ``_block, bucket, data``.
 
-    A block of passages sends each of its terms once, compressed, to the term's bucket. What a bucket finds goes into two
+    A block of passages sends each of its terms once, without what it shares with the one before, to the term's bucket. What a bucket finds goes into two
     kinds of rows: under ``_block`` -1 its terms and their frequencies, and for each block the frequencies alone, in the
     order of the block's terms. So no term of a passage is ever shuffled by itself, neither there nor back.
     """
@@ -274,18 +333,18 @@ def count_terms(texts: DataFrame, ids: Sequence[str], n_blocks: int) -> DataFram
         order, bounds = _dealt(terms, n_blocks)
         used = np.flatnonzero(np.diff(bounds))
         own = [order[bounds[b] : bounds[b + 1]] for b in used]
-        data = [_packed(term=terms.take(pa.array(x)), n=pa.array(n[x])) for x in own]
+        data = [_packed_terms(terms.take(pa.array(x)), n[x]) for x in own]
         return pa.table({"_block": pa.array([key[0].as_py()] * len(used), pa.int32()), "bucket": pa.array(used, pa.int32()), "data": pa.array(data, pa.binary())})
 
     def count(key: tuple, table: pa.Table) -> pa.Table:
-        parts = [_unpacked(raw) for raw in table.column("data")]
-        term = pa.concat_arrays([_flat(x.column("term")) for x in parts]).dictionary_encode()
+        parts = [_unpacked_terms(raw) for raw in table.column("data")]
+        term = pa.concat_arrays([x for x, _ in parts]).dictionary_encode()
         code = term.indices.to_numpy()
-        df = np.bincount(code, np.concatenate([x.column("n").to_numpy() for x in parts])).astype(np.int64)
-        ends = np.cumsum([x.num_rows for x in parts])
+        df = np.bincount(code, np.concatenate([n for _, n in parts])).astype(np.int64)
+        ends = np.cumsum([len(n) for _, n in parts])
         order = pc.sort_indices(term.dictionary)
-        data = [_packed(term=term.dictionary.take(order), df=pa.array(df).take(order))]
-        data += [_packed(df=pa.array(df[code[end - x.num_rows : end]])) for x, end in zip(parts, ends)]
+        data = [_packed_terms(term.dictionary.take(order), df[order.to_numpy()])]
+        data += [_packed(df=pa.array([_by_byte(df[code[end - len(n) : end]])], pa.large_binary())) for (_, n), end in zip(parts, ends)]
         blocks = pa.concat_arrays([pa.array([-1], pa.int32()), _flat(table.column("_block"))])
         return pa.table({"_block": blocks, "bucket": pa.array([key[0].as_py()] * len(data), pa.int32()), "data": pa.array(data, pa.binary())})
 
@@ -300,7 +359,8 @@ def vocabulary(counted: DataFrame) -> DataFrame:
     def listed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for raw in batch.column("data"):
-                yield from _unpacked(raw).to_batches(max_chunksize=1 << 16)
+                term, df = _unpacked_terms(raw)
+                yield from pa.table({"term": term, "df": pa.array(df)}).to_batches(max_chunksize=1 << 16)
 
     return counted.where("_block = -1").select("data").mapInArrow(listed, "term string, df bigint")
 
@@ -314,7 +374,7 @@ def _weighing(ids: Sequence[str], n_passages: int, n_blocks: int, max_share: flo
         order, _ = _dealt(terms, n_blocks)
         parts = found.take(pc.sort_indices(found, [("bucket", "ascending")])).column("data")
         df = np.zeros(len(terms))
-        df[order] = np.concatenate([np.zeros(0), *(_unpacked(raw).column("df").to_numpy() for raw in parts)])
+        df[order] = np.concatenate([np.zeros(0), *(_from_bytes(_unpacked(raw).column("df")[0].as_buffer()) for raw in parts)])
         idf = np.log((1.0 + n_passages) / (1.0 + df)) + 1
         known = (df <= n_passages * max_share)[code]
         passage, code, times = passage[known], code[known], times[known]

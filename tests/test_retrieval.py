@@ -1,7 +1,9 @@
 import math
 import os
+import random
 import re
 
+import numpy as np
 import pyarrow as pa
 import pytest
 from conftest import as_set
@@ -158,3 +160,19 @@ def test_both_phrasings_take_one_pass(make, documents, tmp_path):
     plain = ["query_id", "source", "passage_no", "score", "rank"]
     assert as_set(best.where("phrasing = 2"), *plain) == {r for r in second if r[0] == 1}
     assert as_set(best.where("phrasing = 1"), *plain) == {r for r in first if r[0] == 2}
+
+
+def test_terms_are_packed_without_what_they_share():
+    """Lists of sorted terms come back whole, odd ones too, and take less than half of what they took as compressed strings."""
+    pick = random.Random(5)
+    long = "y" * 70_000
+    odd = sorted({"", "a", "ab", "é", "è", "日本", "日曜", "𝒳", long, long + "z", "x" * 300, "x" * 299 + "q", "x" * 400}, key=str.encode)
+    usual = sorted({f"{a} {b}" for a, b in (pick.choices([f"w{n}rd" for n in range(900)], k=2) for _ in range(20_000))})
+    for terms in ([], ["one"], odd, usual):
+        column = pa.array(["left out", *terms], pa.string()).slice(1)
+        counts = np.arange(len(terms)) * (1 << 33)
+        packed = T._packed_terms(column, counts)
+        got, n = T._unpacked_terms(pa.scalar(packed, pa.binary()))
+        assert got.to_pylist() == terms and got.type == pa.string() and n.tolist() == counts.tolist()
+    ones = np.ones(len(usual), np.int64)
+    assert len(T._packed_terms(pa.array(usual), ones)) < len(T._packed(term=pa.array(usual), n=pa.array(ones))) / 2
