@@ -117,16 +117,17 @@ INDEX = f"""
 
 def _index(spark, folder) -> T.PassageIndex:
     """The index of the documents, written to the shared folder under what it is built from: the files, their times
-    and sizes, and the settings. Changed documents get an index of their own."""
+    and sizes, and the settings. Changed documents get an index of their own. Passages are cut from the documents again
+    where they are used, not written a second time."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(f"{folder}/documents.parquet")
     state = files.select(F.xxhash64("path", "modificationTime", "length").alias("h")).agg(F.count("*"), F.bit_xor("h")).first()
     settings = f"{spark.sparkContext.applicationId} {folder} {tuple(state)} {T.WORD} {T.P.MAX_DOCUMENT_SHARE}"
     name = hashlib.md5(settings.encode()).hexdigest()
-    path = f"{shared_folder(spark)}/passage-index-{name}"
+    path, cut = f"{shared_folder(spark)}/passage-index-{name}", _passages(spark, folder)
     try:
-        return T.PassageIndex.load(spark, path, ("source", "passage_no"))
+        return T.PassageIndex.load(spark, path, ("source", "passage_no"), cut)
     except AnalysisException:
-        return T.build_index(_passages(spark, folder)).save(path)
+        return T.build_index(cut).save(path, copy=False)
 
 
 @query(

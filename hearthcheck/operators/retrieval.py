@@ -154,19 +154,26 @@ class PassageIndex:
         cells = F.arrays_zip(F.col("terms").alias("term"), F.col("weights").alias("weight"))
         return self.vectors.select(*self.ids, F.inline(cells))
 
-    def save(self, path: str) -> PassageIndex:
-        """Write the index, replacing an earlier one at the path, and return the written index."""
+    def save(self, path: str, copy: bool = True) -> PassageIndex:
+        """Write the index, replacing an earlier one at the path, and return the written index.
+
+        Without ``copy`` the passages are not written again: they stay where they were read from, and ``load`` is given them.
+        """
         spark = self.passages.sparkSession
         settings = spark.createDataFrame([(self.n_passages, self.n_blocks, self.max_share)], SETTINGS)
-        for name, table in (("passages", self.passages), ("counted", self.counted), ("settings", settings)):
+        tables = [("counted", self.counted), ("settings", settings)]
+        for name, table in ([("passages", self.passages)] if copy else []) + tables:
             table.write.mode("overwrite").option("compression", "zstd").parquet(f"{path}/{name}")
-        return PassageIndex.load(spark, path, self.ids)
+        return PassageIndex.load(spark, path, self.ids, None if copy else self.passages)
 
     @staticmethod
-    def load(spark: SparkSession, path: str, ids: Sequence[str]) -> PassageIndex:
+    def load(spark: SparkSession, path: str, ids: Sequence[str], passages_df: DataFrame | None = None) -> PassageIndex:
+        """The written index; ``passages_df`` are its passages where it was saved without a copy of them."""
         settings = spark.read.schema(SETTINGS).parquet(f"{path}/settings").first()
         counted = spark.read.schema(COUNTED).parquet(f"{path}/counted")
-        return PassageIndex(spark.read.parquet(f"{path}/passages"), counted, tuple(ids), *settings, written=True)
+        if passages_df is None:
+            passages_df = spark.read.parquet(f"{path}/passages")
+        return PassageIndex(passages_df, counted, tuple(ids), *settings, written=True)
 
 
 SETTINGS = "n_passages bigint, n_blocks bigint, max_share double"

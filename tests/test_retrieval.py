@@ -176,3 +176,16 @@ def test_terms_are_packed_without_what_they_share():
         assert got.to_pylist() == terms and got.type == pa.string() and n.tolist() == counts.tolist()
     ones = np.ones(len(usual), np.int64)
     assert len(T._packed_terms(pa.array(usual), ones)) < len(T._packed(term=pa.array(usual), n=pa.array(ones))) / 2
+
+
+def test_index_without_a_copy_of_the_passages_answers_the_same(spark, make, documents, tmp_path):
+    cut = T.passages(documents, "source", "text")
+    T.build_index(cut).save(str(tmp_path / "copied"))
+    T.build_index(cut).save(str(tmp_path / "slim"), copy=False)
+    assert sorted(os.listdir(tmp_path / "slim")) == ["counted", "settings"]
+    copied = T.PassageIndex.load(spark, str(tmp_path / "copied"), ("source", "passage_no"))
+    slim = T.PassageIndex.load(spark, str(tmp_path / "slim"), ("source", "passage_no"), cut)
+    questions = make("id int, q string", (1, "nature of the wall"), (2, "the father"))
+    found = [T.rank_passages(index, questions, "id", "q") for index in (copied, slim)]
+    assert as_set(found[0]) == as_set(found[1]) and found[0].count() > 2
+    assert as_set(T.contexts(slim, found[1])) == as_set(T.contexts(copied, found[0]))
