@@ -7,6 +7,9 @@ Work tables of other results are left alone.
 A stage hands texts to Python in batches of at most ``BATCH_ROWS`` rows and ``BATCH_BYTES`` bytes. An executor holds each batch
 several times outside its heap, for every task; Spark's 10 000 rows of whole texts are hundreds of megabytes there. The session
 keeps these settings, since a stage's result is computed after the stage returns; smaller ones of the caller stay.
+
+A stage also bounds the description Spark makes of a plan to ``PLAN_CHARS`` characters. The driver writes that text anew whenever
+adaptive execution changes the plan, and the plans of near duplicates have about a hundred exchanges.
 """
 
 from __future__ import annotations
@@ -25,6 +28,7 @@ from hearthcheck.session import new_work_path
 
 BATCH_ROWS = 1_000
 BATCH_BYTES = 8 << 20
+PLAN_CHARS = 64 << 10
 
 _WORK: dict[str, list[str]] = {}
 
@@ -39,12 +43,21 @@ def small_batches(spark: SparkSession) -> None:
             spark.conf.set(key, str(most))
 
 
+def short_plans(spark: SparkSession) -> None:
+    """Bound the text of a plan on the driver; what is run does not depend on it."""
+    key = "spark.sql.maxPlanStringLength"
+    held = spark.conf.get(key).rstrip("bB")
+    if not held.isdigit() or int(held) > PLAN_CHARS:
+        spark.conf.set(key, str(PLAN_CHARS))
+
+
 def stage(run: Stage) -> Stage:
     """A stage that owns the work tables it writes."""
 
     @wraps(run)
     def owning(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
         small_batches(spark)
+        short_plans(spark)
         work = _WORK.setdefault(sf_dir, [])
         forget(spark, work)
         with recording(work):

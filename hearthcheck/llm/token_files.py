@@ -272,12 +272,16 @@ def byte_hashes(data: np.ndarray, starts: np.ndarray) -> np.ndarray:
 _ENCODERS: dict[str, _Encoder] = {}
 
 
+def _encoder(tokenizer_file: str) -> _Encoder:
+    if tokenizer_file not in _ENCODERS:
+        _ENCODERS[tokenizer_file] = _Encoder(tokenizer_file)
+    return _ENCODERS[tokenizer_file]
+
+
 def encode_column(column: pa.Array, tokenizer_file: str) -> tuple[np.ndarray, np.ndarray]:
     """Ids of all texts, and how many each has: each distinct unit goes to the tokenizer once, then is looked up by the 64-bit
     hash of its bytes."""
-    if tokenizer_file not in _ENCODERS:
-        _ENCODERS[tokenizer_file] = _Encoder(tokenizer_file)
-    return _ENCODERS[tokenizer_file].encode(column)
+    return _encoder(tokenizer_file).encode(column)
 
 
 def encode(texts: list[str], tokenizer_file: str) -> list[bytes]:
@@ -286,13 +290,7 @@ def encode(texts: list[str], tokenizer_file: str) -> list[bytes]:
     return [x.astype("<u4").tobytes() for x in np.split(ids, np.cumsum(lengths)[:-1])] if texts else []
 
 
-def vocabulary_of(tokenizer_file: str) -> int:
-    from tokenizers import Tokenizer
-
-    return Tokenizer.from_file(tokenizer_file).get_vocab_size()
-
-
-def _write(folder: str, tokenizer_file: str, bits: int, block: int):
+def _write(folder: str, tokenizer_file: str, block: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         store, root = store_of(folder)
         path, writer, first = f"{root}/{uuid.uuid4().hex}.ids", None, None
@@ -300,6 +298,7 @@ def _write(folder: str, tokenizer_file: str, bits: int, block: int):
             if writer is None:
                 store.create_dir(root, recursive=True)
                 stream = store.open_output_stream(path)
+                bits = bits_for(_encoder(tokenizer_file).tokenizer.get_vocab_size())  # only tasks load the tokenizer
                 writer, first = ShardWriter(stream, bits, block), batch.column("doc_id")[0].as_py()
             ids, lengths = encode_column(batch.column("text"), tokenizer_file)
             writer.add(rows_of(batch, "doc_id"), lengths + 1, np.insert(ids, np.cumsum(lengths), END_ID))
@@ -324,11 +323,10 @@ def write_ids(docs: DataFrame, tokenizer_file: str, shard_chars: int = SHARD_CHA
     slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
     chars = slim.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     folder = new_work_path(spark, "token-ids")
-    bits = bits_for(vocabulary_of(tokenizer_file))
     tie = F.xxhash64("text")
     dealt = slim.repartitionByRange(max(1, -(-chars // shard_chars)), F.col("doc_id"), tie)
     dealt = dealt.sortWithinPartitions(F.col("doc_id"), tie, F.col("text"))
-    dealt.mapInArrow(_write(f"{folder}/shards", tokenizer_file, bits, block), MANIFEST).write.parquet(f"{folder}/manifest")
+    dealt.mapInArrow(_write(f"{folder}/shards", tokenizer_file, block), MANIFEST).write.parquet(f"{folder}/manifest")
     return folder
 
 

@@ -100,3 +100,27 @@ def test_stages_hand_texts_to_python_in_small_batches(spark):
     finally:
         for key, value in zip(names, before):
             spark.conf.set(key, value)
+
+
+def test_stages_bound_the_text_of_plans_on_the_driver(spark):
+    """The bound holds for what a stage computes after it returned; a smaller setting of the caller stays."""
+    key = "spark.sql.maxPlanStringLength"
+    before = spark.conf.get(key)
+
+    @corpus_pipeline.stage
+    def long_plan(spark, docs, folder):
+        for k in range(40):
+            docs = docs.union(docs.sparkSession.range(1).selectExpr(f"id + {k} as {'n' * 2000}{k}"))
+        return docs
+
+    try:
+        spark.conf.set(key, str(1 << 30))
+        out = long_plan(spark, spark.range(1), "plans")
+        assert len(out._jdf.queryExecution().toString()) < 2 * corpus_pipeline.PLAN_CHARS
+        assert out.count() == 41
+        for mine, left in (("1000", "1000"), ("1g", str(corpus_pipeline.PLAN_CHARS))):
+            spark.conf.set(key, mine)
+            long_plan(spark, spark.range(1), "plans")
+            assert spark.conf.get(key) == left
+    finally:
+        spark.conf.set(key, before)

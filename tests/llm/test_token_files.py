@@ -1,4 +1,5 @@
 import random
+import sys
 import zlib
 
 import numpy as np
@@ -73,3 +74,9 @@ def test_random_access(spark, docs):
 
 def test_no_rows(spark, docs):
     assert read_documents(spark, write_ids(docs(), TOKENIZER_FILE)).collect() == []
+
+
+def test_the_driver_loads_no_tokenizer(spark, docs, monkeypatch):
+    monkeypatch.setitem(sys.modules, "tokenizers", None)  # an import fails here, not in tasks
+    folder = write_ids(docs((1, "a b"), (2, "end")), TOKENIZER_FILE)
+    assert read_documents(spark, folder).count() == 2
