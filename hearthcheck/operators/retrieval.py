@@ -6,6 +6,7 @@ neighbouring words, idf ``ln((1 + n) / (1 + df)) + 1``, unit length per passage.
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator, Sequence
 from dataclasses import dataclass, replace
 
@@ -15,7 +16,8 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import IntegralType
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import IntegralType, StructType
 
 from hearthcheck.functions import scalars as S
 from hearthcheck.operators.skew import may_be_member, member_bits
@@ -27,13 +29,16 @@ WORD = r"[\p{L}\p{N}_]{2,}"
 # Questions held by every task at a time; a larger batch takes one pass over the passages per block.
 BLOCK_QUESTIONS = 1_000
 SCORE_DIGITS = 6
-ROWS_PER_ROUND = 256
+# Scores (a passage and a question each) that are held at a time.
+ROUND_SCORES = 1 << 20
 # Text of a block of passages, cut into terms at a time.
-BLOCK_CHARS = 16 << 20
-# Text that a task collects before it deals it to blocks, and neighbouring passages that go to one block together.
-PACKED_BYTES = 32 << 20
+BLOCK_CHARS = 8 << 20
+# Text that a task cuts into words at a time, text it collects before it deals it to blocks, and neighbouring passages that go to
+# one block together.
+SLICE_BYTES = 4 << 20
+PACKED_BYTES = 16 << 20
 NEAR_SHIFT = 6
-PACKED_LEVEL = 9
+PACKED_LEVEL = 3
 # Bytes that a term of a sorted list may share with the one before it without writing them.
 MOST_SHARED = 255
 
@@ -90,7 +95,7 @@ def passages(df: DataFrame, source: str, text: str, separator: str = r"\n\s*\n")
         "first_line",
         _strip(F.col("block")).alias("block"),
     ).where(F.col("block") != "")
-    joined = F.regexp_replace("block", r"[ \t\r\x0b\f]*\n\s*", " ")
+    joined = F.when(F.contains("block", F.lit("\n")), F.regexp_replace("block", r"[ \t\r\x0b\f]*\n\s*", " ")).otherwise(F.col("block"))
     prefix = F.concat(F.lit("["), F.col("source").cast("string"), F.lit("] "), F.col("first_line"), F.lit(" — "))
     return stripped.select("source", "passage_no", F.concat(prefix, joined).alias("text"))
 
@@ -142,11 +147,34 @@ class PassageIndex:
     @property
     def vectors(self) -> DataFrame:
         """One row per passage with a known term: id columns, terms, weights of unit length."""
-        texts = _in_blocks(self.passages, self.ids, self.n_blocks) if self.texts is None else self.texts
+        weights = _weighing(self.ids, self.n_passages, self.n_blocks, self.max_share)
+        ids = self.ids
+
+        def listed(key: tuple, block: pa.Table, found: pa.Table) -> pa.Table:
+            table, cut, passage, code, weight = weights(block, found)
+            held = np.bincount(passage, minlength=len(cut.first))
+            some = np.flatnonzero(held)
+            order = np.argsort(passage, kind="stable")
+            code, weight = code[order], weight[order]
+            ends = pa.array(np.concatenate([[0], np.cumsum(held[some])]), pa.int32())
+            terms = _term_texts(cut.words, cut.terms).take(pa.array(code))
+            lists = {"terms": pa.ListArray.from_arrays(ends, terms), "weights": pa.ListArray.from_arrays(ends, pa.array(weight))}
+            return pa.table({c: table.column(c).take(pa.array(cut.first[some])) for c in ids} | lists)
+
+        return self.by_block(listed, f"{self.id_kinds}, terms array<string>, weights array<double>")
+
+    @property
+    def id_kinds(self) -> str:
+        return ", ".join(f"`{c}` {self.passages.schema[c].dataType.simpleString()}" for c in self.ids)
+
+    def by_block(self, run, schema: str, factor: Column | None = None) -> DataFrame:
+        """What ``run(key, block, found)`` makes of each block of passages and the frequencies that were found for its terms."""
+        if factor is not None or self.texts is None:
+            texts = _in_blocks(self.passages, self.ids, self.n_blocks, factor)
+        else:
+            texts = self.texts
         found = self.counted.where("_block >= 0").select("_block", "bucket", "data")
-        kinds = ", ".join(f"`{c}` {self.passages.schema[c].dataType.simpleString()}" for c in self.ids)
-        weigh = _weighing(self.ids, self.n_passages, self.n_blocks, self.max_share)
-        return texts.groupBy("_block").cogroup(found.groupBy("_block")).applyInArrow(weigh, f"{kinds}, terms array<string>, weights array<double>")
+        return texts.groupBy("_block").cogroup(found.groupBy("_block")).applyInArrow(run, schema)
 
     @property
     def postings(self) -> DataFrame:
@@ -180,9 +208,9 @@ SETTINGS = "n_passages bigint, n_blocks bigint, max_share double"
 COUNTED = "_block int, bucket int, data binary"
 
 
-def _in_blocks(passages_df: DataFrame, ids: Sequence[str], n_blocks: int) -> DataFrame:
-    """Blocks of passages by a digest of their ids: ``_block, data``, many passages compressed to a row (ids and ``_words``, the
-    text's words with a space between).
+def _in_blocks(passages_df: DataFrame, ids: Sequence[str], n_blocks: int, factor: Column | None = None) -> DataFrame:
+    """Blocks of passages by a digest of their ids: ``_block, data``, many passages compressed to a row (ids, ``factor`` if one is
+    given, and ``_words``, the text's words with a space after each).
 
     Where the last of several ids is a whole number, runs of neighbouring passages go to one block: they begin alike and
     share terms, so that texts and terms get shorter.
@@ -191,6 +219,7 @@ def _in_blocks(passages_df: DataFrame, ids: Sequence[str], n_blocks: int) -> Dat
     if len(ids) > 1 and isinstance(passages_df.schema[ids[-1]].dataType, IntegralType):
         near[-1] = F.shiftright(near[-1].cast("bigint"), NEAR_SHIFT)
     block = F.pmod(F.xxhash64(*near), F.lit(n_blocks)).cast("int")
+    letters = zlib.compress(np.packbits(_word_characters(passages_df.sparkSession)).tobytes())
 
     def dealt(held: list[pa.RecordBatch]) -> pa.RecordBatch:
         table = pa.Table.from_batches(held)
@@ -202,18 +231,93 @@ def _in_blocks(passages_df: DataFrame, ids: Sequence[str], n_blocks: int) -> Dat
         return pa.RecordBatch.from_arrays([pa.array(blocks, pa.int32()), pa.array(data, pa.binary())], ["_block", "data"])
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = np.unpackbits(np.frombuffer(zlib.decompress(letters), np.uint8)).view(bool)
         held, size = [], 0
-        for batch in batches:
-            held.append(batch)
-            size += batch.nbytes
+        for batch in _sliced(batches, "_words"):
+            cut = _only_words(batch.column("_words"), known)
+            held.append(batch.set_column(batch.schema.get_field_index("_words"), "_words", cut))
+            size += held[-1].nbytes
             if size >= PACKED_BYTES:
                 yield dealt(held)
                 held, size = [], 0
         if held:
             yield dealt(held)
 
-    texts = passages_df.select(block.alias("_block"), *ids, F.array_join(words(S.column("text")), " ").alias("_words"))
-    return texts.mapInArrow(pack, "_block int, data binary")
+    # the sign after each text keeps words of two texts apart
+    lowered = F.concat(F.lower(S.column("text")), F.lit("\n")).alias("_words")
+    factors = [] if factor is None else [factor.alias("_factor")]
+    return passages_df.select(block.alias("_block"), *ids, *factors, lowered).mapInArrow(pack, "_block int, data binary")
+
+
+_LETTERS: list[np.ndarray] = []
+
+
+def _word_characters(spark: SparkSession) -> np.ndarray:
+    """Which code points are part of words, as Spark's own patterns tell; found once."""
+    if not _LETTERS:
+        width = 1 << 12
+        blocks = [["".join(chr(c) for c in range(k, k + width) if not 0xD800 <= c < 0xE000)] for k in range(0, 0x110000, width)]
+        kept = spark.createDataFrame(blocks, "c string").select(F.regexp_replace("c", WORD[: WORD.index("]")].replace("[", "[^") + "]", "").alias("c"))
+        found = np.zeros(0x110000, bool)
+        found[[ord(c) for row in kept.collect() for c in row["c"]]] = True
+        _LETTERS.append(found)
+    return _LETTERS[0]
+
+
+def _sliced(batches: Iterator[pa.RecordBatch], text: str) -> Iterator[pa.RecordBatch]:
+    """Record batches of about ``SLICE_BYTES`` of text, and at least one row."""
+    for batch in batches:
+        at, ends = 0, np.cumsum(pc.fill_null(pc.binary_length(batch.column(text)), 0).to_numpy())
+        while at < batch.num_rows:
+            before = ends[at - 1] if at else 0
+            stop = max(at + 1, int(np.searchsorted(ends, before + SLICE_BYTES, side="right")))
+            yield batch.slice(at, stop - at)
+            at = stop
+
+
+def _bytes_of(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """The bytes of texts without nulls, and where each begins and ends in them."""
+    texts = texts.cast(pa.large_string())
+    _, offsets, data = texts.buffers()
+    offsets = np.frombuffer(offsets, np.int64)[texts.offset : texts.offset + len(texts) + 1]
+    data = np.frombuffer(data, np.uint8) if data else np.zeros(0, np.uint8)
+    return data[offsets[0] : offsets[-1]], offsets - offsets[0]
+
+
+def _only_words(texts: pa.Array, known: np.ndarray) -> pa.Array:
+    """Of each lower-cased text that ends with a sign between words (or is null): its words of two or more characters, a space after each."""
+    data, offsets = _bytes_of(texts.fill_null(""))
+    inside = known[:256][data] & (data < 128)
+    lead = np.flatnonzero(data >= 0xC0)
+    if len(lead):
+        follow = 1 + (data[lead] >= 0xE0).astype(np.int8) + (data[lead] >= 0xF0)
+        padded = np.append(data, np.zeros(3, np.uint8))
+        point = data[lead].astype(np.int32) & np.array([0, 0x1F, 0x0F, 0x07])[follow]
+        whole = np.ones(len(lead), bool)
+        for step in range(1, 4):
+            more = follow >= step
+            byte = padded[lead + step]
+            whole &= ~more | ((byte & 0xC0) == 0x80)
+            point = np.where(more, (point << 6) | (byte & 0x3F), point)
+        good = whole & (point < len(known)) & known[np.minimum(point, len(known) - 1)]
+        for step in range(4):
+            inside[lead[good & (follow >= step)] + step] = True
+    edges = np.flatnonzero(inside[1:] != inside[:-1]) + 1
+    if len(inside) and inside[0]:
+        edges = np.append(0, edges)
+    starts, ends = edges[0::2], edges[1::2]
+    size, first = ends - starts, data[starts]
+    single = size == 1 + (first >= 0xC0).astype(np.int64) + (first >= 0xE0) + (first >= 0xF0)
+    for step in range(4):
+        inside[starts[single & (size > step)] + step] = False
+    starts, ends = starts[~single], ends[~single]
+    inside[ends] = True
+    spaced = data.copy()
+    spaced[ends] = ord(" ")
+    kept = spaced[inside]
+    places = np.concatenate([[0], np.cumsum(ends - starts + 1)])[np.searchsorted(starts, offsets)]
+    buffers = [None, pa.py_buffer(places.astype(np.int64)), pa.py_buffer(kept)]
+    return pa.Array.from_buffers(pa.large_string(), len(texts), buffers).cast(pa.string())
 
 
 def _packed(**columns) -> bytes:
@@ -233,12 +337,16 @@ def _unpacked(raw: pa.BinaryScalar) -> pa.Table:
 
 def _packed_terms(terms: pa.Array, counts: np.ndarray) -> bytes:
     """Sorted terms and a number for each: of a term only what differs from the one before it, lengths apart from bytes."""
-    terms = terms.cast(pa.large_string())
-    _, offsets, data = terms.buffers()
-    offsets = np.frombuffer(offsets, np.int64)[terms.offset : terms.offset + len(terms) + 1]
-    data = np.frombuffer(data, np.uint8) if data else np.zeros(0, np.uint8)
+    return _packed_lists(terms, counts, np.array([0, len(terms)]))[0]
+
+
+def _packed_lists(terms: pa.Array, counts: np.ndarray, bounds: np.ndarray) -> list[bytes]:
+    """``_packed_terms`` of each stretch of the terms; a stretch begins and ends where ``bounds`` say."""
+    data, offsets = _bytes_of(terms)
     start, size = offsets[:-1], np.diff(offsets)
-    shared, live = np.zeros(len(terms), np.int64), np.arange(1, len(terms))
+    shared, opens = np.zeros(len(terms), np.int64), np.zeros(len(terms) + 1, bool)
+    opens[bounds] = True
+    live = np.flatnonzero(~opens[:-1])
     for place in range(MOST_SHARED):
         live = live[np.minimum(size[live], size[live - 1]) > place]
         live = live[data[start[live] + place] == data[start[live - 1] + place]]
@@ -247,29 +355,51 @@ def _packed_terms(terms: pa.Array, counts: np.ndarray) -> bytes:
         shared[live] += 1
     rest = size - shared
     kept = data[_runs(start + shared, rest)]
-    columns = {"shared": shared.astype(np.uint8).tobytes(), "rest": _by_byte(rest), "bytes": kept.tobytes(), "n": _by_byte(counts)}
-    return _packed(**{name: pa.array([x], pa.large_binary()) for name, x in columns.items()})
+    ends = np.concatenate([[0], np.cumsum(rest)])[bounds]
+    shared, out = shared.astype(np.uint8), []
+    for k in range(len(bounds) - 1):
+        some = slice(bounds[k], bounds[k + 1])
+        parts = [shared[some].tobytes(), _by_byte(rest[some]), _by_byte(counts[some]), kept[ends[k] : ends[k + 1]].tobytes()]
+        out.append(_squeezed(int(bounds[k + 1] - bounds[k]).to_bytes(8, "little") + b"".join(parts)))
+    return out
 
 
 def _unpacked_terms(raw: pa.BinaryScalar) -> tuple[pa.Array, np.ndarray]:
     """What ``_packed_terms`` packed."""
-    found = _unpacked(raw)
-    held = {name: found.column(name)[0].as_buffer() for name in found.column_names}
-    shared = np.frombuffer(held["shared"], np.uint8).astype(np.int64)
-    rest = _from_bytes(held["rest"])
-    kept = np.frombuffer(held["bytes"], np.uint8)
+    return _unpacked_lists([raw])[:2]
+
+
+def _unpacked_lists(raws: Sequence[pa.BinaryScalar]) -> tuple[pa.Array, np.ndarray, np.ndarray]:
+    """What was packed into each of several lists, one after another, and where each ends."""
+    held, sizes = [], []
+    for raw in raws:
+        own = _released(raw)
+        n = int.from_bytes(own[:8].tobytes(), "little")
+        held.append((own[8 : 8 + n], _from_bytes(own[8 + n : 8 + 9 * n]), _from_bytes(own[8 + 9 * n : 8 + 17 * n]), own[8 + 17 * n :]))
+        sizes.append(n)
+    shared, rest, counts, kept = (np.concatenate([x[k] for x in held]) for k in range(4)) if held else (np.zeros(0, np.int64),) * 4
     offsets = np.concatenate([[0], np.cumsum(shared + rest)])
     start, own = offsets[:-1], np.cumsum(rest) - rest
     data = np.empty(offsets[-1], np.uint8)
     data[_runs(start + shared, rest)] = kept
     for place in range(int(shared.max(initial=0))):
         # a byte that is not written is that of the last term before which wrote it
-        writer = np.maximum.accumulate(np.where(shared <= place, np.arange(len(shared)), 0))
+        writer = np.maximum.accumulate(np.where(shared <= place, np.arange(len(shared), dtype=np.int32), 0))
         need = np.flatnonzero(shared > place)
         writer = writer[need]
         data[start[need] + place] = kept[own[writer] + place - shared[writer]]
     buffers = [None, pa.py_buffer(offsets.astype(np.int64)), pa.py_buffer(data)]
-    return pa.Array.from_buffers(pa.large_string(), len(shared), buffers).cast(pa.string()), _from_bytes(held["n"])
+    return pa.Array.from_buffers(pa.large_string(), len(shared), buffers).cast(pa.string()), counts, np.cumsum(sizes)
+
+
+def _squeezed(raw: bytes) -> bytes:
+    return len(raw).to_bytes(8, "little") + pa.Codec("zstd", PACKED_LEVEL).compress(raw, asbytes=True)
+
+
+def _released(raw: pa.BinaryScalar) -> np.ndarray:
+    """The bytes that ``_squeezed`` was given."""
+    held = raw.as_buffer()
+    return np.frombuffer(pa.Codec("zstd").decompress(held.slice(8), int.from_bytes(held.slice(0, 8).to_pybytes(), "little")), np.uint8)
 
 
 def _by_byte(numbers: np.ndarray) -> bytes:
@@ -277,8 +407,8 @@ def _by_byte(numbers: np.ndarray) -> bytes:
     return numbers.astype("<i8").view(np.uint8).reshape(-1, 8).T.tobytes()
 
 
-def _from_bytes(raw: pa.Buffer) -> np.ndarray:
-    return np.ascontiguousarray(np.frombuffer(raw, np.uint8).reshape(8, -1).T).view("<i8").reshape(-1)
+def _from_bytes(raw: np.ndarray) -> np.ndarray:
+    return np.ascontiguousarray(raw.reshape(8, -1).T).view("<i8").reshape(-1)
 
 
 def _runs(start: np.ndarray, size: np.ndarray) -> np.ndarray:
@@ -292,36 +422,85 @@ def _flat(column: pa.ChunkedArray) -> pa.Array:
 
 
 def _passages_of(block: pa.Table) -> pa.Table:
+    pa.default_memory_pool().release_unused()  # what blocks before have left
     return pa.concat_tables([_unpacked(raw) for raw in block.column("data")])
 
 
-def _cut(table: pa.Table, ids: Sequence[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, pa.Array]:
-    """A block's passages cut into terms: each passage's first row, then (passage, term, occurrences) as three arrays in
-    that order, and the block's terms, sorted. Rows of the same ids are one passage."""
+@dataclass
+class Cut:
+    """A block's passages cut into terms: each passage's first row, then (passage, term, occurrences) as three arrays sorted by term
+    and passage, the block's words, sorted, and its terms as numbers.
+
+    A word alone is its place in the words times one more than there are words; a pair adds one more than the place of its second
+    word. So numbers sort as the terms' texts do, no pair is written out, and equal terms of two blocks have equal texts.
+    """
+
+    first: np.ndarray
+    passage: np.ndarray
+    code: np.ndarray
+    times: np.ndarray
+    words: pa.Array
+    terms: np.ndarray
+
+
+def _cut(table: pa.Table, ids: Sequence[str]) -> Cut:
+    """Rows of the same ids are one passage."""
     number = np.zeros(table.num_rows, np.int64)
     for c in ids:
         own = _flat(table.column(c)).dictionary_encode(null_encoding="encode")
         _, first, number = np.unique(number * (len(own.dictionary) + 1) + own.indices.to_numpy(), return_index=True, return_inverse=True)
-    lists = pc.split_pattern(_flat(table.column("_words")).fill_null(""), " ")
-    row = np.repeat(np.arange(table.num_rows), pc.list_value_length(lists).to_numpy())
-    word = lists.flatten()
-    some = pc.greater(pc.binary_length(word), 0)
-    word, row = word.filter(some), row[some.to_numpy(zero_copy_only=False)]
-    left = np.flatnonzero(row[1:] == row[:-1])
-    pairs = pc.binary_join_element_wise(word.take(pa.array(left)), word.take(pa.array(left + 1)), " ")
-    term = pa.concat_arrays([word, pairs]).dictionary_encode()
-    order = pc.sort_indices(term.dictionary).to_numpy()
+    data, offsets = _bytes_of(_flat(table.column("_words")))
+    gap = data == ord(" ")
+    ends = np.flatnonzero(gap)
+    row = np.repeat(number, np.diff(np.searchsorted(ends, offsets)))
+    # a word that ends a row has no neighbour after it
+    last = np.zeros(len(ends), bool)
+    if len(ends):
+        last[np.searchsorted(ends, offsets[1:]) - 1] = True
+    sizes = np.diff(ends, prepend=-1) - 1
+    buffers = [None, pa.py_buffer(np.concatenate([[0], np.cumsum(sizes)]).astype(np.int64)), pa.py_buffer(data[~gap])]
+    encoded = pa.Array.from_buffers(pa.large_string(), len(ends), buffers).dictionary_encode()
+    del data, gap, buffers
+    order = pc.sort_indices(encoded.dictionary)
     place = np.empty(len(order), np.int64)
-    place[order] = np.arange(len(order))
-    cells = number[np.concatenate([row, row[left]])] * max(1, len(order)) + place[term.indices.to_numpy()]
-    cells, times = np.unique(cells, return_counts=True)
-    passage, code = np.divmod(cells, max(1, len(order)))
-    return first, passage, code, times, term.dictionary.take(pa.array(order))
-
-
-def _dealt(terms: pa.Array, n_blocks: int) -> tuple[np.ndarray, np.ndarray]:
+    place[order.to_numpy()] = np.arange(len(order))
+    word = place[encoded.indices.to_numpy()]
+    left = np.flatnonzero(~last)
+    base = len(order) + 1
+    n = max(1, len(first))
+    terms, code = None, np.concatenate([word * base, word[left] * base + word[left + 1] + 1])
+    if base * base * n >= 1 << 63:  # term and passage do not fit one number: terms are numbered first
+        terms, code = np.unique(code, return_inverse=True)
+    cells = code * n + np.concatenate([row, row[left]])
+    cells.sort()
+    new = np.flatnonzero(np.diff(cells, prepend=-1))
+    times = np.diff(np.append(new, len(cells)))
+    code, passage = np.divmod(cells[new], n)
+    if terms is None:
+        begin = np.diff(code, prepend=-1) > 0
+        terms, code = code[begin], np.cumsum(begin) - 1
+    return Cut(first, passage, code, times, encoded.dictionary.take(order), terms)
+
+
+def _term_texts(words: pa.Array, terms: np.ndarray) -> pa.Array:
+    """The texts of terms that are numbers (see ``Cut``)."""
+    a, b = np.divmod(terms, len(words) + 1)
+    one = words.take(pa.array(a))
+    if not len(words):
+        return one.cast(pa.string())
+    two = pc.binary_join_element_wise(one, words.take(pa.array(np.maximum(b - 1, 0))), pa.scalar(" ", pa.large_string()))
+    return pc.if_else(pa.array(b == 0), one, two).cast(pa.string())
+
+
+def _dealt(cut: Cut, n_blocks: int) -> tuple[np.ndarray, np.ndarray]:
     """The terms' places in order of their buckets, and where each bucket begins and ends in them."""
-    bucket = pd.util.hash_array(terms.to_numpy(zero_copy_only=False), categorize=False) % np.uint64(n_blocks)
+    own = pd.util.hash_array(cut.words.to_numpy(zero_copy_only=False), categorize=False)
+    a, b = np.divmod(cut.terms, len(cut.words) + 1)
+    mixed = own[a]
+    pair = b > 0
+    mixed[pair] = (mixed[pair] * np.uint64(0x9E3779B97F4A7C15)) ^ own[b[pair] - 1]
+    mixed ^= mixed >> np.uint64(32)
+    bucket = mixed % np.uint64(n_blocks)
     order = np.argsort(bucket, kind="stable")
     return order, np.searchsorted(bucket[order], np.arange(n_blocks + 1))
 
@@ -335,23 +514,21 @@ def count_terms(texts: DataFrame, ids: Sequence[str], n_blocks: int) -> DataFram
     """
 
     def send(key: tuple, table: pa.Table) -> pa.Table:
-        _, _, code, _, terms = _cut(_passages_of(table), ids)
-        n = np.bincount(code, minlength=len(terms)).astype(np.int32)
-        order, bounds = _dealt(terms, n_blocks)
+        cut = _cut(_passages_of(table), ids)
+        n = np.bincount(cut.code, minlength=len(cut.terms))
+        order, bounds = _dealt(cut, n_blocks)
         used = np.flatnonzero(np.diff(bounds))
-        own = [order[bounds[b] : bounds[b + 1]] for b in used]
-        data = [_packed_terms(terms.take(pa.array(x)), n[x]) for x in own]
+        data = _packed_lists(_term_texts(cut.words, cut.terms[order]), n[order], np.append(bounds[used], len(order)))
         return pa.table({"_block": pa.array([key[0].as_py()] * len(used), pa.int32()), "bucket": pa.array(used, pa.int32()), "data": pa.array(data, pa.binary())})
 
     def count(key: tuple, table: pa.Table) -> pa.Table:
-        parts = [_unpacked_terms(raw) for raw in table.column("data")]
-        term = pa.concat_arrays([x for x, _ in parts]).dictionary_encode()
+        terms, n, ends = _unpacked_lists(table.column("data"))
+        term = terms.dictionary_encode()
         code = term.indices.to_numpy()
-        df = np.bincount(code, np.concatenate([n for _, n in parts])).astype(np.int64)
-        ends = np.cumsum([len(n) for _, n in parts])
+        df = np.bincount(code, n).astype(np.int64)
         order = pc.sort_indices(term.dictionary)
         data = [_packed_terms(term.dictionary.take(order), df[order.to_numpy()])]
-        data += [_packed(df=pa.array([_by_byte(df[code[end - len(n) : end]])], pa.large_binary())) for (_, n), end in zip(parts, ends)]
+        data += [_squeezed(_by_byte(df[x])) for x in np.split(code, ends[:-1])]
         blocks = pa.concat_arrays([pa.array([-1], pa.int32()), _flat(table.column("_block"))])
         return pa.table({"_block": blocks, "bucket": pa.array([key[0].as_py()] * len(data), pa.int32()), "data": pa.array(data, pa.binary())})
 
@@ -373,25 +550,23 @@ def vocabulary(counted: DataFrame) -> DataFrame:
 
 
 def _weighing(ids: Sequence[str], n_passages: int, n_blocks: int, max_share: float):
-    """Vectors of a block of passages from the frequencies that were found for its terms."""
+    """Weights of a block of passages from the frequencies that were found for its terms: the block's rows, its terms, and
+    (passage, term, weight) as three arrays, terms in too many passages left out."""
 
-    def weigh(key: tuple, block: pa.Table, found: pa.Table) -> pa.Table:
+    def weigh(block: pa.Table, found: pa.Table) -> tuple[pa.Table, Cut, np.ndarray, np.ndarray, np.ndarray]:
         table = _passages_of(block)
-        first, passage, code, times, terms = _cut(table, ids)
-        order, _ = _dealt(terms, n_blocks)
+        cut = _cut(table, ids)
+        table = table.drop_columns("_words")
+        order, _ = _dealt(cut, n_blocks)
         parts = found.take(pc.sort_indices(found, [("bucket", "ascending")])).column("data")
-        df = np.zeros(len(terms))
-        df[order] = np.concatenate([np.zeros(0), *(_from_bytes(_unpacked(raw).column("df")[0].as_buffer()) for raw in parts)])
+        df = np.zeros(len(cut.terms))
+        df[order] = np.concatenate([np.zeros(0), *(_from_bytes(_released(raw)) for raw in parts)])
         idf = np.log((1.0 + n_passages) / (1.0 + df)) + 1
-        known = (df <= n_passages * max_share)[code]
-        passage, code, times = passage[known], code[known], times[known]
-        w = times * idf[code]
-        norm = np.sqrt(np.bincount(passage, w * w, len(first)))
-        held = np.bincount(passage, minlength=len(first))
-        some = np.flatnonzero(held)
-        ends = pa.array(np.concatenate([[0], np.cumsum(held[some])]), pa.int32())
-        lists = {"terms": pa.ListArray.from_arrays(ends, terms.take(pa.array(code))), "weights": pa.ListArray.from_arrays(ends, pa.array(w / norm[passage]))}
-        return pa.table({c: table.column(c).take(pa.array(first[some])) for c in ids} | lists)
+        known = (df <= n_passages * max_share)[cut.code]
+        passage, code = cut.passage[known], cut.code[known]
+        w = cut.times[known] * idf[code]
+        norm = np.sqrt(np.bincount(passage, w * w, len(cut.first)))
+        return table, cut, passage, code, w / norm[passage]
 
     return weigh
 
@@ -489,8 +664,9 @@ def _rank_phrasings(
     written = spark.read.schema(f"{kinds}, _block bigint").parquet(path)
     query_type = vectors.schema["query_id"].dataType.simpleString()
     parts = []
+    # questions without an id are not ranked
     for number in range(blocks):
-        held = written.where(F.col("_block") == number).select("query_id", "phrasing", "term", "weight").toPandas()
+        held = written.where((F.col("_block") == number) & F.col("query_id").isNotNull()).select("query_id", "phrasing", "term", "weight").toPandas()
         parts.append(_rank_against_held(index, held, query_type, k, boosted, boost, source))
     order = Window.partitionBy("query_id", "phrasing").orderBy(F.desc("score"), *[F.asc(c) for c in index.ids])
     ranked = union_all(parts).withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
@@ -512,65 +688,79 @@ def _rank_against_held(
     boost: float,
     source: str,
 ) -> DataFrame:
-    """Local best passages per task, over whole passage vectors; terms no question has are skipped."""
+    """Best passages of each block of passages, scored where its weights are found; terms no question has are skipped."""
     ids = list(index.ids)
-    digits, per_round = SCORE_DIGITS, ROWS_PER_ROUND
-    # questions without an id are not ranked; the others are numbered, each phrasing by itself
-    held = held.dropna(subset=["query_id"]).sort_values(["term", "query_id", "phrasing"], kind="stable").reset_index(drop=True)
+    digits = SCORE_DIGITS
+    # questions are numbered, each phrasing by itself
+    held = held.sort_values(["term", "query_id", "phrasing"], kind="stable").reset_index(drop=True)
     vocabulary = pd.Index(held["term"].unique())
     questions = held[["query_id", "phrasing"]].drop_duplicates(ignore_index=True)
     term_of = vocabulary.get_indexer(held["term"])
     query_of = pd.MultiIndex.from_frame(questions).get_indexer(pd.MultiIndex.from_frame(held[["query_id", "phrasing"]]))
     starts = np.searchsorted(term_of, np.arange(len(vocabulary) + 1))
     weights = held["weight"].to_numpy()
+    # a term's first word, and its second or null
+    split = [t.split(" ", 1) for t in vocabulary]
+    one, two = (pa.array([x[k] if len(x) > k else None for x in split], pa.large_string()) for k in (0, 1))
     spark = index.passages.sparkSession
-    shared = spark.sparkContext.broadcast((vocabulary, questions, starts, query_of, weights))
-    rows = index.vectors.select(
-        *ids, "terms", "weights", _boost(F.lit(1.0), boosted, boost, source).alias("factor")
-    )
-
-    # Everything the tasks run is nested here, so that it travels with the job by value.
-    def keep_best(rows: pd.DataFrame | None, part: pd.DataFrame, floor: np.ndarray):
-        """The k best rows per question so far; ``floor`` rises to each full question's k-th score."""
-        rows = part if rows is None else pd.concat([rows, part], ignore_index=True)
-        rows = rows.sort_values(["_question", "score", *ids], ascending=[True, False] + [True] * len(ids))
-        rows = rows.groupby("_question", sort=False).head(k)
-        full = rows.groupby("_question")["score"].agg(["size", "min"])
-        full = full[full["size"] >= k]
-        floor[full.index.to_numpy()] = full["min"].to_numpy()
-        return rows
-
-    def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        words, questions, first, column, weight = shared.value
-        floor = np.zeros(len(questions))
-        best = None
-        for batch in batches:
-            for start in range(0, len(batch), per_round):
-                block = batch.iloc[start : start + per_round]
-                # every term of the block at once: each meets the questions that hold it
-                own = np.repeat(np.arange(len(block)), block["terms"].str.len().to_numpy())
-                found = words.get_indexer(np.concatenate(block["terms"].to_numpy()))
-                hits = np.flatnonzero(found >= 0)
-                times = first[found[hits] + 1] - first[found[hits]]
-                ends = np.cumsum(times)
-                places = np.arange(ends[-1] if len(ends) else 0) - np.repeat(ends - times, times) + np.repeat(first[found[hits]], times)
-                cells = np.repeat(own[hits] * len(questions), times) + column[places]
-                products = np.repeat(np.concatenate(block["weights"].to_numpy())[hits], times) * weight[places]
-                scores = np.bincount(cells, products, len(block) * len(questions)).reshape(len(block), -1)
-                scores = np.round(scores * block["factor"].to_numpy()[:, None], digits)
-                # Only scores reaching a question's current k-th best can still matter.
-                row, question = np.nonzero((scores > 0) & (scores >= floor))
-                if len(row):
-                    part = block[ids].iloc[row].reset_index(drop=True)
-                    part.insert(0, "_question", question)
-                    part["score"] = scores[row, question]
-                    best = keep_best(best, part, floor)
-        if best is not None:
-            asked = questions.iloc[best["_question"].to_numpy()].reset_index(drop=True)
-            yield pd.concat([asked, best.drop(columns="_question").reset_index(drop=True)], axis=1)
-
-    fields = ", ".join(f"{c} {index.vectors.schema[c].dataType.simpleString()}" for c in ids)
-    return rows.mapInPandas(score, f"query_id {query_type}, phrasing int, {fields}, score double")
+    shared = spark.sparkContext.broadcast((one, two, questions, starts, query_of, weights))
+    weigh = _weighing(index.ids, index.n_passages, index.n_blocks, index.max_share)
+    schema = f"query_id {query_type}, phrasing int, {index.id_kinds}, score double"
+    empty = to_arrow_schema(StructType.fromDDL(schema)).empty_table()
+
+    def score(key: tuple, block: pa.Table, found: pa.Table) -> pa.Table:
+        one, two, questions, starts, query_of, weights = shared.value
+        table, cut, passage, code, weight = weigh(block, found)
+        # where each of the block's terms stands among the questions' terms, or -1
+        a, b = (pc.index_in(x, value_set=cut.words) for x in (one, two))
+        here = np.flatnonzero(pc.and_(a.is_valid(), pc.or_(two.is_null(), b.is_valid())).to_numpy(zero_copy_only=False))
+        wanted = a.fill_null(0).to_numpy().astype(np.int64)[here] * (len(cut.words) + 1) + (b.fill_null(-1).to_numpy().astype(np.int64)[here] + 1)
+        at = np.minimum(np.searchsorted(cut.terms, wanted), max(0, len(cut.terms) - 1))
+        same = cut.terms[at] == wanted if len(cut.terms) else np.zeros(len(wanted), bool)
+        asked = np.full(len(cut.terms), -1)
+        asked[at[same]] = here[same]
+        hits = np.flatnonzero(asked[code] >= 0)
+        if not len(hits):
+            return empty
+        hits = hits[np.argsort(passage[hits], kind="stable")]
+        term, passage, weight = asked[code[hits]], passage[hits], weight[hits]
+        rows, own = np.unique(passage, return_inverse=True)
+        factor = _flat(table.column("_factor")).to_numpy()[cut.first[rows]] if "_factor" in table.column_names else np.ones(len(rows))
+        keys = table.select(ids).take(pa.array(cut.first[rows]))
+        # nulls first, as in the last ranking
+        by_ids = pc.sort_indices(keys, [(c, "ascending") for c in ids], null_placement="at_start").to_numpy()
+        place = np.empty(len(rows), np.int64)
+        place[by_ids] = np.arange(len(rows))
+        n = len(questions)
+        floor = np.zeros(n)
+        best = [np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)]
+        per_round = max(1, ROUND_SCORES // n)
+        for start in range(0, len(rows), per_round):
+            part = slice(*np.searchsorted(own, [start, start + per_round]))
+            size = min(per_round, len(rows) - start)
+            times = starts[term[part] + 1] - starts[term[part]]
+            places = _runs(starts[term[part]], times)
+            cells = np.repeat((own[part] - start) * n, times) + query_of[places]
+            products = np.repeat(weight[part], times) * weights[places]
+            scores = np.bincount(cells, products, size * n).reshape(size, n)
+            scores = np.round(scores * factor[start : start + size, None], digits)
+            # only scores reaching a question's current k-th best can still matter
+            if size > k:
+                floor = np.maximum(floor, np.partition(scores, size - k, axis=0)[size - k])
+            row, question = np.nonzero((scores > 0) & (scores >= floor))
+            best = [np.concatenate(x) for x in zip(best, (question, row + start, scores[row, question]))]
+            order = np.lexsort((place[best[1]], -best[2], best[0]))
+            best = [x[order] for x in best]
+            rank = np.arange(len(order)) - np.searchsorted(best[0], best[0])
+            best = [x[rank < k] for x in best]
+            full = best[0][rank[rank < k] == k - 1]
+            floor[full] = np.maximum(floor[full], best[2][rank[rank < k] == k - 1])
+        asked_by = questions.iloc[best[0]]
+        columns = [pa.array(asked_by["query_id"]), pa.array(asked_by["phrasing"]), *keys.take(pa.array(best[1])).columns, pa.array(best[2])]
+        return pa.table(dict(zip(empty.column_names, columns))).cast(empty.schema)
+
+    factor = _boost(F.lit(1.0), boosted, boost, source) if boosted else None
+    return index.by_block(score, schema, factor)
 
 
 def best_phrasing(
@@ -612,8 +802,16 @@ def best_phrasing(
 
 
 def contexts(index: PassageIndex, ranked: DataFrame) -> DataFrame:
-    """The passages of each question as one bulleted text, best first: ``query_id, context``."""
-    with_text = ranked.join(index.passages.select(*index.ids, "text"), list(index.ids))
+    """The passages of each question as one bulleted text, best first: ``query_id, context``.
+
+    The ranking is written, since it is used twice: its passages are told by a filter before any text is shuffled.
+    """
+    spark, path = index.passages.sparkSession, new_work_path(index.passages.sparkSession, "ranked-passages")
+    ranked.write.parquet(path)
+    ranked = spark.read.schema(ranked.schema).parquet(path)
+    key = F.xxhash64(*[F.col(c).cast(index.passages.schema[c].dataType) for c in index.ids]).alias("_key")
+    texts = index.passages.select(*index.ids, "text", key).withColumn("_bits", member_bits(ranked.select(key), "_key"))
+    with_text = ranked.join(texts.where(may_be_member("_key", "_bits")).drop("_key", "_bits"), list(index.ids))
     listed = with_text.groupBy("query_id").agg(F.array_sort(F.collect_list(F.struct("rank", "text"))).alias("found"))
     return listed.select(
         "query_id",

@@ -189,3 +189,40 @@ def test_index_without_a_copy_of_the_passages_answers_the_same(spark, make, docu
     found = [T.rank_passages(index, questions, "id", "q") for index in (copied, slim)]
     assert as_set(found[0]) == as_set(found[1]) and found[0].count() > 2
     assert as_set(T.contexts(slim, found[1])) == as_set(T.contexts(copied, found[0]))
+
+
+def test_words_are_those_of_the_pattern(spark, make):
+    """Words found in bytes equal those of Spark's pattern, whatever the script, and one character alone is none."""
+    pick = random.Random(3)
+    signs = [chr(c) for c in (*range(32, 0x250), 0x307, 0x3A3, 0x130, 0x2014, 0x2028, 0xFFFD, 0x65E5, 0x672C, 0x1D4B3, 0x1F600, 0x10FFFF, 0x0660, 0xBD, 0x2160)]
+    texts = ["", None, "a", "é", "𝒳", "ΑΣ ΟΔΟΣ", "x y zz", "İstanbul_1 ½½", *("".join(pick.choices(signs, k=60)) for _ in range(400))]
+    df = make("n int, text string", *enumerate(texts))
+    want = [" ".join(r["w"]) if r["w"] else "" for r in df.select("n", T.words(F.col("text")).alias("w")).orderBy("n").collect()]
+    lowered = [r["t"] for r in df.select("n", F.concat(F.lower("text"), F.lit("\n")).alias("t")).orderBy("n").collect()]
+    got = T._only_words(pa.array(lowered, pa.string()), T._word_characters(spark))
+    assert [x.rstrip(" ") for x in got.to_pylist()] == want
+
+
+@pytest.mark.parametrize("scores", [T.ROUND_SCORES, 7])
+def test_ranking_hands_on_no_terms_of_passages(make, monkeypatch, scores):
+    """Passages are scored where they are weighed: few rows leave a block, ties go to the lowest ids, in rounds of any size."""
+    monkeypatch.setattr(T, "ROUND_SCORES", scores)
+    texts = [(f"s{n:02}", f"title {n % 7}\n\nwall word{n % 5} again\n\nwall word{n % 3}") for n in range(40)]
+    index = T.build_index(T.passages(make("source string, text string", *texts), "source", "text"), block_chars=300)
+    assert index.n_blocks > 3
+    questions = make("id int, q string", (1, "wall word2"), (2, "word4 again"), (3, "title"))
+    ranked = T.rank_passages(index, questions, "id", "q", k=4)
+    assert "MapInPandas" not in ranked._jdf.queryExecution().analyzed().toString()
+    held = {(r["source"], r["passage_no"]): r["text"] for r in index.passages.collect()}
+    for number, text in ((1, "wall word2"), (2, "word4 again"), (3, "title")):
+        got = [(r["score"], (r["source"], r["passage_no"])) for r in ranked.where(F.col("query_id") == number).orderBy("rank").collect()]
+        assert got == by_hand(held, text)[:4]
+
+
+def test_contexts_shuffle_only_ranked_passages(make):
+    """Ids of a narrower type and repeated passages are found; a passage that no ranking names is dropped before the join."""
+    index = T.build_index(T.passages(make("source bigint, text string", *((n, f"title {n}\n\nwall word{n} again") for n in range(30)), (3, "title 3\n\nwall word3 again")), "source", "text"))
+    ranked = make("query_id int, source int, passage_no bigint, rank int", (1, 3, 0, 2), (1, 5, 0, 1), (2, 40, 0, 1))
+    found = T.contexts(index, ranked)
+    assert "getbit" in found._jdf.queryExecution().optimizedPlan().toString()
+    assert as_set(found) == {(1, "- [5] title 5 — wall word5 again\n- [3] title 3 — wall word3 again\n- [3] title 3 — wall word3 again")}
