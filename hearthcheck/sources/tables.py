@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import os
+import re
+from collections.abc import Iterator, Sequence
+from urllib.parse import quote
 
+import pyarrow as pa
 from py4j.protocol import Py4JError
 from pyspark.errors import PySparkException
 from pyspark.sql import DataFrame, SparkSession
@@ -16,6 +20,10 @@ from hearthcheck.sources import exports as X
 
 DELIMITERS = (",", ";", "\t", "|")
 TEXT_EXTENSIONS = ("txt", "md")
+# Files that a reader unpacks by their extension.
+PACKED_EXTENSIONS = ("bz2", "deflate", "gz", "lz4", "snappy", "zst")
+LISTED = "path string, modified bigint, at string, folder boolean"
+READ_BYTES = 8 << 20
 
 
 def detect_delimiter(spark: SparkSession, path: str) -> str:
@@ -141,25 +149,103 @@ def read_documents(
 ) -> DataFrame:
     """Whole text files: ``path, stem, modified, text``. Other extensions and ignored names are left out.
 
-    A reader counts a small file as megabytes and would open a task for every few; so no more tasks than a shuffle has.
+    A reader holds a description of every file on the driver. So folders that tasks can open themselves are listed and read by
+    tasks, no more than a shuffle has, and the driver knows folders only. Other stores, single files and patterns of names go
+    through Spark's reader.
     """
     tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
-    files = (
-        spark.read.option("recursiveFileLookup", "true")
-        .text(folder, wholetext=True)
-        .select(
-            F.col("_metadata.file_path").alias("path"),
-            F.col("_metadata.file_modification_time").alias("modified"),
-            F.col("value").alias("text"),
-        )
-        .coalesce(tasks)
-    )
+    root = None if set(map(str.lower, extensions)) & set(PACKED_EXTENSIONS) else _local_folder(spark, folder)
     name = F.url_decode(F.element_at(F.split("path", "/"), -1))
     stem = F.regexp_replace(name, r"\.[^.]*$", "")
     kept = F.lower(name).rlike(rf"\.({'|'.join(extensions)})$")
     if ignored_stems:
         kept = kept & ~F.lower(stem).isin([s.lower() for s in ignored_stems])
-    return files.where(kept).select("path", stem.alias("stem"), "modified", "text")
+    if root is None:
+        files = (
+            spark.read.option("recursiveFileLookup", "true")
+            .text(folder, wholetext=True)
+            .select(
+                F.col("_metadata.file_path").alias("path"),
+                F.col("_metadata.file_modification_time").alias("modified"),
+                F.col("value").alias("text"),
+            )
+            .coalesce(tasks)
+            .where(kept)
+        )
+    else:
+        listed = _entries(spark, _folders_under(spark, root, tasks), tasks).where(~F.col("folder")).where(kept)
+        texts = listed.select("path", "modified", "at").repartition(tasks, "at").mapInArrow(_read, "path string, modified bigint, text binary")
+        files = texts.select("path", F.timestamp_micros("modified").alias("modified"), F.col("text").cast("string").alias("text"))
+    return files.select("path", stem.alias("stem"), "modified", "text")
+
+
+def _local_folder(spark: SparkSession, folder: str) -> str | None:
+    """The folder as a path of the file system that driver and executors see, if it is one."""
+    try:
+        path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+        store = path.getFileSystem(spark._jsc.hadoopConfiguration())
+        uri = store.makeQualified(path).toUri()
+        plain = uri.getScheme() == "file" and store.exists(path) and store.getFileStatus(path).isDirectory()
+    except Py4JError:
+        return None
+    return uri.getPath() if plain else None
+
+
+def _folders_under(spark: SparkSession, root: str, tasks: int) -> list[str]:
+    """The folder and all those below it, a level at a time."""
+    found, level = [root], [root]
+    while level:
+        level = [r["at"] for r in _entries(spark, level, tasks).where("folder").select("at").collect()]
+        found += level
+    return found
+
+
+def _entries(spark: SparkSession, folders: Sequence[str], tasks: int) -> DataFrame:
+    """Files and folders right under each folder, as a reader names them; hidden names and empty files are left out."""
+    return spark.createDataFrame([(f,) for f in folders], "at string").repartition(tasks, "at").mapInArrow(_list, LISTED)
+
+
+def _list(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    rows: dict[str, list] = {"path": [], "modified": [], "at": [], "folder": []}
+    kinds = pa.schema([("path", pa.string()), ("modified", pa.int64()), ("at", pa.string()), ("folder", pa.bool_())])
+    for batch in batches:
+        for folder in batch.column("at").to_pylist():
+            with os.scandir(folder) as entries:
+                for entry in entries:
+                    name, below = entry.name, entry.is_dir()
+                    hidden = name.startswith(".") or name.endswith("._COPYING_") or (name.startswith("_") and "=" not in name)
+                    if hidden and not (below and name.startswith(("_metadata", "_common_metadata"))):
+                        continue
+                    state = entry.stat()
+                    if not below and not state.st_size:
+                        continue
+                    uri = re.sub(r"[\x00-\x7f\s]", lambda m: quote(m[0], safe="/_-!.~'()*,;:$&+=@"), entry.path)
+                    values = (f"file:{uri}", state.st_mtime_ns // 1_000_000 * 1_000, entry.path, below)
+                    for column, value in zip(rows.values(), values):
+                        column.append(value)
+                    if len(rows["at"]) == 10_000:
+                        yield pa.RecordBatch.from_pydict(rows, kinds)
+                        rows = {c: [] for c in rows}
+    if rows["at"]:
+        yield pa.RecordBatch.from_pydict(rows, kinds)
+
+
+def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def out(rows: list[tuple]) -> pa.RecordBatch:
+        columns = [pa.array(x, kind) for x, kind in zip(zip(*rows), (pa.string(), pa.int64(), pa.binary()))]
+        return pa.RecordBatch.from_arrays(columns, ["path", "modified", "text"])
+
+    held, size = [], 0
+    for batch in batches:
+        for path, modified, at in zip(*(batch.column(c).to_pylist() for c in ("path", "modified", "at"))):
+            with open(at, "rb") as file:
+                held.append((path, modified, file.read()))
+            size += len(held[-1][2])
+            if size >= READ_BYTES or len(held) == 10_000:
+                yield out(held)
+                held, size = [], 0
+    if held:
+        yield out(held)
 
 
 def documents_to_convert(sources: DataFrame, converted: DataFrame) -> DataFrame:

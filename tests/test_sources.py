@@ -291,3 +291,22 @@ def test_documents_are_written_into_few_folders_and_read_back(spark, make, tmp_p
     assert len(folders) <= 3 and sum(len(list(x.iterdir())) for x in folders) == 60
     got = {r["stem"]: r["text"] for r in ST.read_documents(spark, str(tmp_path / "out")).collect()}
     assert got == {n[:-3]: (t + "\u0001") * (2 if n == "7.md" else 1) for n, t in texts.items()}
+
+
+def test_documents_are_listed_and_read_by_tasks(spark, tmp_path):
+    """The driver describes folders, not files; paths, times and texts are those that Spark's reader gives."""
+    names = ["a.txt", "sub/b c.md", "sub/deep/é+%41#&=.TXT", "sub/_hidden.md", ".x/c.md", "_gone/d.md", "_k=1/e.md", "f.pdf", "sub/empty.md", "sub/g._COPYING_"]
+    for name in names:
+        (tmp_path / "in" / name).parent.mkdir(parents=True, exist_ok=True)
+        write(tmp_path / "in", name, "" if "empty" in name else f"text of {name}\r\n﻿end")
+    (tmp_path / "in" / "sub" / "raw.md").write_bytes(b"\xff\xfea\x00")
+    folder = f"file://{tmp_path}/in"
+    found = ST.read_documents(spark, folder)
+    assert "FileScan" not in found._jdf.queryExecution().executedPlan().toString()
+    assert found.rdd.getNumPartitions() <= max(4, spark.sparkContext.defaultParallelism)
+    plain = spark.read.option("recursiveFileLookup", "true").text(folder, wholetext=True)
+    plain = plain.select(F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_modification_time").alias("modified"), F.col("value").cast("binary").alias("text"))
+    want = as_set(plain.where(F.lower("path").rlike(r"\.(txt|md)$")))
+    assert len(want) == 5
+    assert as_set(found.withColumn("text", F.col("text").cast("binary")), "path", "modified", "text") == want
+    assert ST.read_documents(spark, f"{folder}/a.txt").count() == 1
