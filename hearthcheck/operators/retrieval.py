@@ -344,7 +344,7 @@ def _packed_lists(terms: pa.Array, counts: np.ndarray, bounds: np.ndarray) -> li
     """``_packed_terms`` of each stretch of the terms; a stretch begins and ends where ``bounds`` say."""
     data, offsets = _bytes_of(terms)
     start, size = offsets[:-1], np.diff(offsets)
-    shared, opens = np.zeros(len(terms), np.int64), np.zeros(len(terms) + 1, bool)
+    shared, opens, own = np.zeros(len(terms), np.int64), np.zeros(len(terms) + 1, bool), np.ones(len(data), bool)
     opens[bounds] = True
     live = np.flatnonzero(~opens[:-1])
     for place in range(MOST_SHARED):
@@ -353,8 +353,8 @@ def _packed_lists(terms: pa.Array, counts: np.ndarray, bounds: np.ndarray) -> li
         if not len(live):
             break
         shared[live] += 1
-    rest = size - shared
-    kept = data[_runs(start + shared, rest)]
+        own[start[live] + place] = False
+    rest, kept = size - shared, data[own]
     ends = np.concatenate([[0], np.cumsum(rest)])[bounds]
     shared, out = shared.astype(np.uint8), []
     for k in range(len(bounds) - 1):
@@ -380,14 +380,15 @@ def _unpacked_lists(raws: Sequence[pa.BinaryScalar]) -> tuple[pa.Array, np.ndarr
     shared, rest, counts, kept = (np.concatenate([x[k] for x in held]) for k in range(4)) if held else (np.zeros(0, np.int64),) * 4
     offsets = np.concatenate([[0], np.cumsum(shared + rest)])
     start, own = offsets[:-1], np.cumsum(rest) - rest
-    data = np.empty(offsets[-1], np.uint8)
-    data[_runs(start + shared, rest)] = kept
+    data, written = np.empty(offsets[-1], np.uint8), np.ones(offsets[-1], bool)
     for place in range(int(shared.max(initial=0))):
         # a byte that is not written is that of the last term before which wrote it
         writer = np.maximum.accumulate(np.where(shared <= place, np.arange(len(shared), dtype=np.int32), 0))
         need = np.flatnonzero(shared > place)
         writer = writer[need]
         data[start[need] + place] = kept[own[writer] + place - shared[writer]]
+        written[start[need] + place] = False
+    data[written] = kept
     buffers = [None, pa.py_buffer(offsets.astype(np.int64)), pa.py_buffer(data)]
     return pa.Array.from_buffers(pa.large_string(), len(shared), buffers).cast(pa.string()), counts, np.cumsum(sizes)
 
@@ -466,16 +467,25 @@ def _cut(table: pa.Table, ids: Sequence[str]) -> Cut:
     place[order.to_numpy()] = np.arange(len(order))
     word = place[encoded.indices.to_numpy()]
     left = np.flatnonzero(~last)
-    base = len(order) + 1
-    n = max(1, len(first))
-    terms, code = None, np.concatenate([word * base, word[left] * base + word[left + 1] + 1])
+    base, n, alone = len(order) + 1, max(1, len(first)), len(word)
+    # in place: these arrays are the most that a task holds
+    cells = np.concatenate([word, word[left]])
+    cells *= base
+    cells[alone:] += word[left + 1] + 1
+    terms = None
     if base * base * n >= 1 << 63:  # term and passage do not fit one number: terms are numbered first
-        terms, code = np.unique(code, return_inverse=True)
-    cells = code * n + np.concatenate([row, row[left]])
+        terms, cells = np.unique(cells, return_inverse=True)
+    cells *= n
+    cells[:alone] += row
+    cells[alone:] += row[left]
+    del word, row, left, last, ends, sizes
     cells.sort()
-    new = np.flatnonzero(np.diff(cells, prepend=-1))
-    times = np.diff(np.append(new, len(cells)))
-    code, passage = np.divmod(cells[new], n)
+    fresh = np.ones(len(cells), bool)
+    fresh[1:] = cells[1:] != cells[:-1]
+    new = np.flatnonzero(fresh)
+    times, cells = np.diff(new, append=len(cells)), cells[new]
+    del new, fresh
+    code, passage = np.divmod(cells, n)
     if terms is None:
         begin = np.diff(code, prepend=-1) > 0
         terms, code = code[begin], np.cumsum(begin) - 1
